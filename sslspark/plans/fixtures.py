@@ -153,15 +153,18 @@ def species_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def species_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fallback entity -> candidate list: regions of the next and the previous nation."""
+    """Fallback entity -> candidate list: regions of the next and the previous
+    nation; it covers every third entity key, so each branch of the pair
+    resolution occurs."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     reg = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), "r_name")
     nxt = reg.select(((F.col("k") + 24) % 25).alias("nk"), F.col("r_name").alias("r_next"))
     prv = reg.select(((F.col("k") + 1) % 25).alias("nk"), F.col("r_name").alias("r_prev"))
     dim = F.broadcast(nxt.join(prv, "nk"))
-    return (_entity_nations(spark, sf_dir).join(dim, "nk")
-            .select("entity", F.array("r_next", "r_prev").alias("species")))
+    ents = _entity_nations(spark, sf_dir).filter(
+        F.substring_index("entity", "#", -1).cast("long") % 3 == 0)
+    return ents.join(dim, "nk").select("entity", F.array("r_next", "r_prev").alias("species"))
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

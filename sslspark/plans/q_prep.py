@@ -1 +1,530 @@
-"""(filled in below)"""
+"""Corpus preparation queries: label spaces and encoding, splits, sampling,
+set operations, augmentation joins, species lookups (PRJ*, WIN1-7, SMP*,
+SET*, JOI1-5, AGG1-3, AGG14, JOB1-3, JOB10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sslspark.constants import OOD, UNLABELLED
+from sslspark.functions import arrays as A
+from sslspark.operators import aggs, encode, lookup, policies, split
+from sslspark.plans import fixtures as fx
+from sslspark.plans import sql_expr as X
+from sslspark.plans.catalog import query, r6
+from sslspark.plans.sql_fixtures import _in, _lst, with_ctes
+
+K = fx.K_SCORED
+SP = fx.CONTEXT_SPACES
+TASKS = fx.CONTEXT_TASKS
+
+
+def _sql_encode(t: str) -> str:
+    labs = SP[t]
+    cases = " ".join(f"WHEN {t} = '{v}' THEN {i}" for i, v in enumerate(labs))
+    return f"CAST(CASE WHEN {t} = 'ood' THEN -100 {cases} END AS INTEGER)"
+
+
+def contexts_ood(spark, sf) -> DataFrame:
+    """contexts with one out-of-space value per organ written as the literal 'ood'."""
+    c = fx.contexts(spark, sf)
+    return c.withColumn("organ", F.when(F.col("organ") == "4-NOT SPECIFIED", F.lit("ood")).otherwise(F.col("organ")))
+
+
+CONTEXTS_OOD_SQL = ("SELECT * REPLACE (CASE WHEN organ = '4-NOT SPECIFIED' THEN 'ood' ELSE organ END AS organ) "
+                    "FROM contexts")
+
+
+def _vocab_sql() -> str:
+    rows = ", ".join(f"('{t}', '{v}', {i})" for t, labs in SP.items() for i, v in enumerate(labs))
+    return f"SELECT * FROM (VALUES {rows}) v(task, label, label_id)"
+
+
+def _long_sql(src: str, exprs: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS task, {e} AS label_id FROM {src}" for t, e in exprs.items())
+
+
+# --- PRJ -------------------------------------------------------------------------------------
+
+@query("prj1_label_vocab_usage", with_ctes("contexts", extra=[("voc", _vocab_sql()), (
+    "lng", " UNION ALL ".join(f"SELECT '{t}' AS task, {t} AS label FROM contexts" for t in TASKS))]) + """
+SELECT v.task, v.label, v.label_id, CAST(count(l.label) AS BIGINT) AS n
+FROM voc v LEFT JOIN lng l ON v.task = l.task AND v.label = l.label GROUP BY v.task, v.label, v.label_id""")
+def q_prj1(spark, sf):
+    vocab = encode.label_vocab(spark, SP)
+    c = fx.contexts(spark, sf)
+    lng = c.unpivot([], TASKS, "task", "label")
+    cnt = lng.groupBy("task", "label").agg(F.count(F.lit(1)).alias("n"))
+    return (F.broadcast(vocab).join(cnt, ["task", "label"], "left")
+            .select("task", "label", "label_id", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+
+
+@query("prj2_encode_label", with_ctes("contexts", extra=[("c", CONTEXTS_OOD_SQL), (
+    "lng", _long_sql("c", {t: _sql_encode(t) for t in TASKS}))]) + """
+SELECT task, label_id, CAST(count(*) AS BIGINT) AS n FROM lng GROUP BY task, label_id""")
+def q_prj2(spark, sf):
+    e = encode.encode_labels(contexts_ood(spark, sf), SP)
+    lng = e.unpivot([], TASKS, "task", "label_id")
+    return lng.groupBy("task", "label_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+CELL_NAMES = ["HeLa cell", "MCF7 cell", "293 cell", "A549 cell", "NIH-3T3 cell",
+              "Hep G2 cell", "U-937 cell", "THP-1 cell", "LNCAP cell", "COS-1 cell"]
+
+
+@query("prj3_decode_label", with_ctes("scored") + f"""
+SELECT {_lst(CELL_NAMES)}[label_true + 1] AS truth, {_lst(CELL_NAMES)}[{X.argmax('probs')} + 1] AS pred,
+       CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY ALL""")
+def q_prj3(spark, sf):
+    s = policies.with_conf(fx.scored(spark, sf))
+    return (s.select(encode.decode_label("label_true", CELL_NAMES).alias("truth"),
+                     encode.decode_label("pl", CELL_NAMES).alias("pred"))
+            .groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("prj4_drop_missing_fill", with_ctes("contexts", extra=[("e", "SELECT original_index, " + ", ".join(
+    f"{_sql_encode(t)} AS {t}" for t in TASKS) + " FROM contexts")]) + """
+SELECT 'dropped_location' AS step, CAST(count(*) AS BIGINT) AS n, CAST(sum(location) AS BIGINT) AS s FROM e WHERE location IS NOT NULL
+UNION ALL SELECT 'dropped_all', CAST(count(*) AS BIGINT), CAST(sum(location) AS BIGINT) FROM e
+  WHERE location IS NOT NULL AND cell_line IS NOT NULL AND cell_type IS NOT NULL AND organ IS NOT NULL
+    AND disease IS NOT NULL AND species IS NOT NULL
+UNION ALL SELECT 'filled_location', CAST(count(*) AS BIGINT), CAST(sum(coalesce(location, -200)) AS BIGINT) FROM e""")
+def q_prj4(spark, sf):
+    e = encode.encode_labels(fx.contexts(spark, sf), SP).select("original_index", *TASKS)
+    a = encode.drop_missing(e, ["location"]).agg(F.lit("dropped_location").alias("step"),
+                                                  F.count(F.lit(1)).alias("n"), F.sum("location").cast("long").alias("s"))
+    b = encode.drop_missing(e).agg(F.lit("dropped_all").alias("step"), F.count(F.lit(1)).alias("n"),
+                                   F.sum("location").cast("long").alias("s"))
+    c = encode.fill_sentinel(e, ["location"]).agg(F.lit("filled_location").alias("step"), F.count(F.lit(1)).alias("n"),
+                                                  F.sum("location").cast("long").alias("s"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query("prj5_prj7_labels_per_row", with_ctes("contexts", extra=[("k", "SELECT " + " + ".join(
+    f"CAST(coalesce({t} IN {_in(v)}, false) AS INTEGER)" for t, v in SP.items()) + " AS n_labels FROM contexts")]) + """
+SELECT n_labels, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY n_labels""")
+def q_prj5_7(spark, sf):
+    c = encode.null_out_of_space(fx.contexts(spark, sf), SP)
+    return c.groupBy(encode.count_labels_per_row(TASKS).alias("n_labels")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prj6_null_out_of_space", with_ctes("contexts_in_space") + " UNION ALL ".join(
+    f"SELECT '{t}' AS task, CAST(count({t}) AS BIGINT) AS n_kept, CAST(count(*) AS BIGINT) AS n_rows "
+    f"FROM contexts_in_space" for t in TASKS))
+def q_prj6(spark, sf):
+    c = encode.null_out_of_space(encode.in_label_space(fx.contexts(spark, sf), SP), SP)
+    lng = c.select(F.count(F.lit(1)).alias("n_rows"), *[F.count(t).alias(t) for t in TASKS])
+    return lng.unpivot(["n_rows"], TASKS, "task", "n_kept").select(
+        "task", F.col("n_kept").cast("long").alias("n_kept"), F.col("n_rows").cast("long").alias("n_rows"))
+
+
+def variants(spark, sf):
+    return lookup.variants_wide(fx.variant_lines(spark, sf), "original_index", "line_no", "sentence",
+                                fx.VARIANT_COLS)
+
+
+VARIANTS_SQL = ("SELECT original_index, " + ", ".join(
+    f"max(CASE WHEN k = {i + 1} THEN sentence END) AS {n}" for i, n in enumerate(fx.VARIANT_COLS))
+    + " FROM (SELECT *, row_number() OVER (PARTITION BY original_index ORDER BY line_no) AS k FROM variant_lines) "
+      "WHERE k <= 6 GROUP BY original_index")
+
+
+@query("joi1_attach_augmentations", with_ctes("variant_lines", extra=[("vw", VARIANTS_SQL)]) + """
+SELECT original_index, md5(concat_ws('|', coalesce(umls, '~'), coalesce(sr, '~'), coalesce(ri, '~'), coalesce(rs, '~'),
+       coalesce(rd, '~'), coalesce(original, '~'))) AS digest,
+       CAST((umls IS NOT NULL)::INT + (sr IS NOT NULL)::INT + (ri IS NOT NULL)::INT + (rs IS NOT NULL)::INT
+       + (rd IS NOT NULL)::INT + (original IS NOT NULL)::INT AS INTEGER) AS n_variants FROM vw""")
+def q_joi1(spark, sf):
+    v = variants(spark, sf)
+    cols = fx.VARIANT_COLS
+    return v.select("original_index",
+                    F.md5(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("~")) for c in cols])).alias("digest"),
+                    sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0)).cast("int").alias("n_variants"))
+
+
+@query("prj9_select_views", with_ctes("variant_lines", extra=[("vw", VARIANTS_SQL), (
+    "b", "SELECT *, CASE WHEN original_index % 3 = 0 THEN 'labelled' ELSE 'unlabelled' END AS role, "
+         "original AS text, CAST(CAST(('0x' || substr(md5(concat_ws(':', original_index, 7)), 1, 8)) AS UBIGINT) % 2 "
+         "AS INTEGER) AS pick FROM vw")]) + """
+SELECT original_index, alg, text_w, text_s, text_s2 FROM (
+  SELECT original_index, 'fixmatch' AS alg, CASE WHEN role = 'unlabelled' THEN umls ELSE text END AS text_w,
+         CASE WHEN role = 'unlabelled' THEN (CASE WHEN pick = 0 THEN sr ELSE ri END) END AS text_s,
+         CAST(NULL AS VARCHAR) AS text_s2 FROM b
+  UNION ALL
+  SELECT original_index, 'comatch', CASE WHEN role = 'unlabelled' THEN umls ELSE text END,
+         CASE WHEN role = 'unlabelled' THEN (CASE WHEN pick = 0 THEN sr ELSE ri END) END,
+         CASE WHEN role = 'unlabelled' THEN (CASE WHEN pick = 0 THEN ri ELSE sr END) END FROM b
+  UNION ALL
+  SELECT original_index, 'meanteacher', CASE WHEN role = 'unlabelled' THEN umls ELSE text END,
+         CASE WHEN role = 'unlabelled' THEN umls END, CAST(NULL AS VARCHAR) FROM b)""")
+def q_prj9(spark, sf):
+    v = variants(spark, sf).withColumn(
+        "role", F.when(F.col("original_index") % 3 == 0, F.lit("labelled")).otherwise(F.lit("unlabelled"))
+    ).withColumn("text", F.col("original"))
+    outs = []
+    for alg in ["fixmatch", "comatch", "meanteacher"]:
+        s = encode.select_views(v, alg, "original_index", seed=7)
+        outs.append(s.select("original_index", F.lit(alg).alias("alg"), "text_w", "text_s", "text_s2"))
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
+@query("prj10_mtl_labels", with_ctes("contexts_in_space") + f"""
+SELECT CAST(coalesce({_sql_encode('location')}, -200) AS INTEGER) AS task_id,
+       CAST(CASE relation WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS INTEGER) AS relation_id,
+       CAST(count(*) AS BIGINT) AS n FROM contexts_in_space GROUP BY ALL""")
+def q_prj10(spark, sf):
+    c = encode.null_out_of_space(encode.in_label_space(fx.contexts(spark, sf), SP), SP)
+    e = c.withColumn("loc_id", F.coalesce(encode.encode_label("location", SP["location"]), F.lit(UNLABELLED)))
+    e = e.withColumn("rel_id", encode.encode_label("relation", fx.RELATION_SPACE))
+    m = e.select(encode.mtl_labels("loc_id", "rel_id").alias("y"))
+    return m.groupBy(F.col("y.task_id").alias("task_id"), F.col("y.relation_id").alias("relation_id")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("prj11_flag_mismatch", with_ctes("scored") + f"""
+SELECT batch_id, CAST(sum(CASE WHEN label_true IS DISTINCT FROM {X.argmax('probs')} THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch
+FROM scored GROUP BY batch_id""")
+def q_prj11(spark, sf):
+    s = policies.with_conf(fx.scored(spark, sf))
+    return s.groupBy("batch_id").agg(F.sum(encode.flag_mismatch("label_true", "pl").cast("long")).alias("n_mismatch"))
+
+
+@query("prj13_restrict_to", with_ctes("interactions") + f"""
+SELECT species, CAST(count(*) AS BIGINT) AS n FROM interactions
+WHERE species IS NOT NULL AND species <> '' AND species IN {_in(fx.ALLOWED_REGIONS)} GROUP BY species""")
+def q_prj13(spark, sf):
+    x = encode.restrict_to(fx.interactions(spark, sf), "species", fx.ALLOWED_REGIONS)
+    return x.groupBy("species").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- WIN1 / JOI2 / JOB1: stratified test split ------------------------------------------------
+
+STRAT_SQL = ("SELECT *, " + " + ".join(f"CAST(({t} IS NOT NULL) AS INTEGER)" for t in TASKS) + " AS n_labels "
+             "FROM contexts_in_space")
+SPLIT_SQL = """SELECT *, CASE WHEN n_labels > 0 AND rn <= round_even(0.3::DOUBLE * cnt::DOUBLE, 0) THEN 'test'
+  ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY n_labels
+  ORDER BY md5(concat_ws(':', original_index, 0)), original_index) AS rn,
+  count(*) OVER (PARTITION BY n_labels) AS cnt FROM strat)"""
+
+
+def contexts_split(spark, sf) -> DataFrame:
+    c = encode.null_out_of_space(encode.in_label_space(fx.contexts(spark, sf), SP), SP)
+    c = c.withColumn("n_labels", encode.count_labels_per_row(TASKS))
+    return split.stratified_test_split(c, "n_labels", "original_index", 0.3, seed=0)
+
+
+@query("win1_stratified_test_split", with_ctes("contexts_in_space", extra=[("strat", STRAT_SQL), ("sp", SPLIT_SQL)])
+       + "SELECT original_index, n_labels, split FROM sp")
+def q_win1(spark, sf):
+    return contexts_split(spark, sf).select("original_index", "n_labels", "split")
+
+
+@query("joi2_train_minus_test", with_ctes("contexts_in_space", extra=[("strat", STRAT_SQL), ("sp", SPLIT_SQL)]) + """
+SELECT CAST(count(*) AS BIGINT) AS n_train, CAST(sum(original_index) AS BIGINT) AS key_sum FROM strat
+WHERE original_index NOT IN (SELECT original_index FROM sp WHERE split = 'test')""")
+def q_joi2(spark, sf):
+    s = contexts_split(spark, sf)
+    train = lookup.anti_join(s.drop("split"), s.filter("split = 'test'"), "original_index")
+    return train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("original_index").cast("long").alias("key_sum"))
+
+
+@query("job1_prepare_corpus", with_ctes("contexts_in_space", extra=[("strat", STRAT_SQL), ("sp", SPLIT_SQL), (
+    "lng", " UNION ALL ".join(f"SELECT split, '{t}' AS task, {_sql_encode(t)} AS label_id FROM sp" for t in TASKS)),
+    ("voc", _vocab_sql())]) + """
+SELECT s.split, v.task, v.label, CAST(count(l.label_id) AS BIGINT) AS n
+FROM voc v CROSS JOIN (SELECT DISTINCT split FROM sp) s
+LEFT JOIN lng l ON l.split = s.split AND l.task = v.task AND l.label_id = v.label_id GROUP BY ALL
+UNION ALL SELECT split, task, 'ood', CAST(count(*) FILTER (WHERE label_id = -100) AS BIGINT) FROM lng GROUP BY ALL
+UNION ALL SELECT split, task, 'total-lb', CAST(count(*) FILTER (WHERE label_id >= 0) AS BIGINT) FROM lng GROUP BY ALL
+UNION ALL SELECT split, task, 'total-ulb', CAST(count(*) FILTER (WHERE label_id IS NULL) AS BIGINT) FROM lng GROUP BY ALL""")
+def q_job1(spark, sf):
+    """JOB1: PRJ5 -> PRJ6 -> WIN1 -> JOI2 -> AGG3 (per split label report)."""
+    s = contexts_split(spark, sf)
+    e = encode.encode_labels(s, SP)
+    lng = e.unpivot(["split"], TASKS, "task", "label_id").withColumn("task", F.concat_ws("|", "split", "task"))
+    vocab = encode.label_vocab(spark, SP)
+    vocab = vocab.select(F.explode(F.array(F.lit("test"), F.lit("train"))).alias("split"), "*").select(
+        F.concat_ws("|", "split", "task").alias("task"), "label", "label_id")
+    rep = aggs.label_report(lng, vocab)
+    parts = F.split("task", r"\|")
+    return rep.select(parts[0].alias("split"), parts[1].alias("task"), "label", "n")
+
+
+@query("agg3_label_report", with_ctes("contexts", extra=[("c", CONTEXTS_OOD_SQL), (
+    "lng", _long_sql("c", {t: _sql_encode(t) for t in TASKS})), ("voc", _vocab_sql())]) + """
+SELECT v.task, v.label, CAST(count(l.label_id) AS BIGINT) AS n FROM voc v
+  LEFT JOIN lng l ON l.task = v.task AND l.label_id = v.label_id GROUP BY v.task, v.label
+UNION ALL SELECT task, 'ood', CAST(count(*) FILTER (WHERE label_id = -100) AS BIGINT) FROM lng GROUP BY task
+UNION ALL SELECT task, 'total-lb', CAST(count(*) FILTER (WHERE label_id >= 0) AS BIGINT) FROM lng GROUP BY task
+UNION ALL SELECT task, 'total-ulb', CAST(count(*) FILTER (WHERE label_id IS NULL) AS BIGINT) FROM lng GROUP BY task""")
+def q_agg3(spark, sf):
+    e = encode.encode_labels(contexts_ood(spark, sf), SP)
+    lng = e.unpivot([], TASKS, "task", "label_id")
+    return aggs.label_report(lng, encode.label_vocab(spark, SP))
+
+
+# --- JOB2: single-task SSL tables -------------------------------------------------------------
+
+@query("job2_build_ssl_tables", with_ctes("contexts_in_space") + f"""
+SELECT role, CAST(count(*) AS BIGINT) AS n, CAST(sum(lab) AS BIGINT) AS label_sum FROM (
+  SELECT CAST(coalesce({_sql_encode('cell_line')}, -200) AS INTEGER) AS lab FROM contexts_in_space) x,
+  LATERAL (SELECT CASE WHEN lab >= 0 THEN 'labelled' WHEN lab = -100 THEN 'ood' ELSE 'unlabelled' END AS role)
+GROUP BY role""")
+def q_job2(spark, sf):
+    c = encode.null_out_of_space(encode.in_label_space(fx.contexts(spark, sf), SP), SP)
+    e = c.withColumn("lab", encode.encode_label("cell_line", SP["cell_line"]))
+    e = encode.fill_sentinel(e, ["lab"])
+    e = encode.assign_role(encode.validate(e, ["text", "lab"]), "lab")
+    return e.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("lab").cast("long").alias("label_sum"))
+
+
+# --- JOB3: OOD annotation over several tasks in one pass ------------------------------------
+
+@query("job3_annotate_ood", with_ctes("scored", "scored_strong", extra=[(
+    "lng", "SELECT 'weak' AS task, row_id, label_id, probs FROM scored UNION ALL "
+           "SELECT 'strong', row_id, CASE WHEN row_id % 10 = 0 THEN label_true ELSE -200 END, probs FROM scored_strong"),
+    ("ann", "SELECT task, CASE WHEN label_id = -200 AND list_max(probs) < 0.9 THEN -100 ELSE label_id END AS label_id "
+            "FROM lng")]) + """
+SELECT t.task, CAST(r.c AS VARCHAR) AS label, CAST(count(a.label_id) AS BIGINT) AS n
+  FROM (SELECT DISTINCT task FROM ann) t CROSS JOIN range(0, 10) r(c) LEFT JOIN ann a ON a.task = t.task AND a.label_id = r.c
+  GROUP BY t.task, r.c
+UNION ALL SELECT task, 'ood', CAST(count(*) FILTER (WHERE label_id = -100) AS BIGINT) FROM ann GROUP BY task
+UNION ALL SELECT task, 'total-lb', CAST(count(*) FILTER (WHERE label_id >= 0) AS BIGINT) FROM ann GROUP BY task
+UNION ALL SELECT task, 'total-ulb', CAST(count(*) FILTER (WHERE label_id = -200) AS BIGINT) FROM ann GROUP BY task""")
+def q_job3(spark, sf):
+    w = fx.scored(spark, sf).select(F.lit("weak").alias("task"), "row_id", "label_id", "probs")
+    s = fx.scored(spark, sf, strong=True).select(
+        F.lit("strong").alias("task"), "row_id",
+        F.when(F.col("row_id") % 10 == 0, F.col("label_true")).otherwise(F.lit(UNLABELLED)).cast("int").alias("label_id"),
+        "probs")
+    ann = policies.ood_by_confidence_long(w.unionByName(s), tau=0.9)
+    vocab = spark.range(K).select(F.explode(F.array(F.lit("weak"), F.lit("strong"))).alias("task"),
+                                  F.col("id").cast("string").alias("label"), F.col("id").cast("int").alias("label_id"))
+    return aggs.label_report(ann, vocab)
+
+
+# --- WIN2-7, SMP, SET on the scored fixture ---------------------------------------------------
+
+def _rank_sql(src: str, part: str, seed: int, extra: str = "") -> str:
+    return (f"SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY md5(concat_ws(':', row_id, {seed})), row_id) "
+            f"AS rn, count(*) OVER (PARTITION BY {part}) AS cnt {extra} FROM {src}")
+
+
+@query("win2_sample_labelled_unlabelled", with_ctes("scored", extra=[("r", _rank_sql("scored", "label_true", 3))]) + """
+SELECT row_id, CASE WHEN rn <= 5 THEN 'labelled' ELSE 'unlabelled' END AS split_role FROM r""")
+def q_win2(spark, sf):
+    s = split.sample_labelled_unlabelled(fx.scored(spark, sf), "label_true", "row_id", K, 50, None, seed=3)
+    return s.select("row_id", "split_role")
+
+
+IMB_LB = split.imbalance_counts(20, K, 10)
+IMB_ULB = split.imbalance_counts(30, K, 10)
+
+
+@query("win2_sample_imbalanced", with_ctes("scored", extra=[("r", _rank_sql("scored", "label_true", 5))]) + f"""
+SELECT row_id, CASE WHEN rn <= {_lst(IMB_LB)}[label_true + 1] THEN 'labelled' ELSE 'unlabelled' END AS split_role
+FROM r WHERE rn <= {_lst([a + b for a, b in zip(IMB_LB, IMB_ULB)])}[label_true + 1]""")
+def q_win2_imb(spark, sf):
+    s = split.sample_labelled_unlabelled(fx.scored(spark, sf), "label_true", "row_id", K, 20, 30, 10, 10, seed=5)
+    return s.select("row_id", "split_role")
+
+
+@query("win3_split_ssl", with_ctes("scored", extra=[("r", _rank_sql("scored", "label_true", 3)), (
+    "lab", "SELECT row_id, label_true, CASE WHEN rn <= 5 THEN 'labelled' ELSE 'unlabelled' END AS split_role FROM r")]) + """
+SELECT split_role, label_true, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT split_role, label_true FROM lab UNION ALL SELECT 'unlabelled', label_true FROM lab WHERE split_role = 'labelled')
+GROUP BY ALL""")
+def q_win3(spark, sf):
+    s = split.split_ssl(fx.scored(spark, sf), "label_true", "row_id", K, 50, None, seed=3, include_lb_to_ulb=True)
+    return s.groupBy("split_role", "label_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("win4_imbalance_profile", with_ctes("scored", extra=[(
+    "m", "SELECT max(c) AS n_max FROM (SELECT count(*) AS c FROM scored GROUP BY label_true)")]) + """
+SELECT CAST(c AS INTEGER) AS class_id, CAST(CASE WHEN c = 9 THEN floor(n_max / 10.0)
+       ELSE floor(n_max * pow(pow(1.0 / 10.0, 1.0 / 9.0), c)) END AS BIGINT) AS n
+FROM m, range(0, 10) r(c)""")
+def q_win4(spark, sf):
+    s = fx.scored(spark, sf)
+    n_max = s.groupBy("label_true").count().agg(F.max("count").alias("n_max"))
+    mu = F.pow(F.lit(1.0 / 10.0), F.lit(1.0 / 9.0))
+    prof = n_max.select(F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("c"), "n_max")
+    n = F.when(F.col("c") == K - 1, F.floor(F.col("n_max") / F.lit(10.0))).otherwise(
+        F.floor(F.col("n_max") * F.pow(mu, F.col("c"))))
+    return prof.select(F.col("c").cast("int").alias("class_id"), n.cast("long").alias("n"))
+
+
+@query("win5_ordered_split_per_class", with_ctes("scored") + """
+SELECT row_id, CASE WHEN row_number() OVER (PARTITION BY label_true ORDER BY row_id)
+  <= floor(0.8 * count(*) OVER (PARTITION BY label_true)) THEN 'train' ELSE 'test' END AS split FROM scored""")
+def q_win5(spark, sf):
+    return split.ordered_split_per_class(fx.scored(spark, sf), "label_true", "row_id", 0.8).select("row_id", "split")
+
+
+@query("win6_fraction_per_class", with_ctes("scored", extra=[("r", _rank_sql("scored", "label_true", 11))]) + """
+SELECT row_id FROM r WHERE rn <= floor(0.25 * cnt)""")
+def q_win6(spark, sf):
+    s = split.fraction_per_class(fx.scored(spark, sf), "label_true", "row_id", 0.25, seed=11)
+    return s.filter("picked").select("row_id")
+
+
+@query("win7_first_n_per_class", with_ctes("scored") + """
+SELECT row_id, label_true FROM (SELECT row_id, label_true,
+  row_number() OVER (PARTITION BY label_true ORDER BY row_id) AS rn FROM scored) WHERE rn <= 7""")
+def q_win7(spark, sf):
+    s = split.first_n_per_class(fx.scored(spark, sf), "label_true", "row_id", 7)
+    return s.filter("picked").select("row_id", "label_true")
+
+
+@query("smp1_resample_uniform", with_ctes("scored", extra=[("lb", "SELECT row_id FROM scored WHERE role = 'labelled'")]) + """
+SELECT row_id, CAST(k AS INTEGER) AS copy_no FROM lb, range(1, 1 + (SELECT 250 // count(*) FROM lb)) t(k)
+UNION ALL SELECT row_id, CAST((SELECT 250 // count(*) FROM lb) + 1 AS INTEGER) FROM (
+  SELECT row_id, row_number() OVER (ORDER BY md5(concat_ws(':', row_id, 4)), row_id) AS rn FROM lb)
+WHERE rn <= (SELECT 250 % count(*) FROM lb)""")
+def q_smp1(spark, sf):
+    lb = fx.scored(spark, sf).filter("role = 'labelled'").select("row_id")
+    N = lb.count()  # one number: the set size, needed for the repeat count
+    return split.resample_uniform(lb, "row_id", 250, N, seed=4).select(
+        "row_id", F.col("copy_no").cast("int").alias("copy_no"))
+
+
+@query("smp3_class_balanced_weights", with_ctes("imbalanced") + """
+SELECT label_true, CAST(count(*) AS BIGINT) AS n, round(1.0 / count(*), 6) AS weight FROM imbalanced GROUP BY label_true""")
+def q_smp3(spark, sf):
+    c = fx.imbalanced(spark, sf).groupBy("label_true").agg(F.count(F.lit(1)).alias("n"))
+    return split.class_balanced_weights(c).select("label_true", "n", r6("weight"))
+
+
+@query("smp5_bernoulli_keep", with_ctes("imbalanced", extra=[(
+    "k", "SELECT label_true, min(count(*)) OVER () / count(*) AS keep_p FROM imbalanced GROUP BY label_true")]) + """
+SELECT i.row_id FROM imbalanced i JOIN k ON i.label_true = k.label_true
+WHERE CAST(('0x' || substr(md5(concat_ws(':', i.row_id, 9)), 1, 8)) AS UBIGINT) / 4294967296.0 < k.keep_p""")
+def q_smp5(spark, sf):
+    imb = fx.imbalanced(spark, sf)
+    keep = aggs.min_over_count(imb.groupBy("label_true").agg(F.count(F.lit(1)).alias("n")))
+    j = imb.join(F.broadcast(keep), "label_true")  # K rows
+    return split.bernoulli_keep(j, "keep_p", "row_id", 9).filter("kept").select("row_id")
+
+
+@query("set2_append_unlabelled", with_ctes("scored", "scored_strong") + """
+SELECT role, CAST(count(*) AS BIGINT) AS n, CAST(count(probs_s) AS BIGINT) AS n_with_strong FROM (
+  SELECT role, NULL AS probs_s FROM scored WHERE role = 'labelled'
+  UNION ALL SELECT 'extra', probs FROM scored_strong WHERE role = 'unlabelled') GROUP BY role""")
+def q_set2(spark, sf):
+    base = fx.scored(spark, sf).filter("role = 'labelled'").select("row_id", "role")
+    extra = fx.scored(spark, sf, strong=True).filter("role = 'unlabelled'").select(
+        "row_id", F.lit("extra").alias("role"), F.col("probs").alias("probs_s"))
+    u = split.append_unlabelled(base, extra)
+    return u.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count("probs_s").alias("n_with_strong"))
+
+
+@query("set3_augment_labelled_with_pseudo", with_ctes("scored") + f"""
+SELECT source, label_id, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'labelled' AS source, label_id FROM scored WHERE role = 'labelled'
+  UNION ALL SELECT 'pseudo', {X.argmax('probs')} FROM scored WHERE role = 'unlabelled' AND list_max(probs) >= 0.9)
+GROUP BY ALL""")
+def q_set3(spark, sf):
+    s = policies.with_conf(fx.scored(spark, sf))
+    lb = s.filter("role = 'labelled'").select("row_id", "label_id")
+    picked = s.filter("role = 'unlabelled' AND conf >= 0.9").select("row_id", "pl")
+    u = split.augment_labelled_with_pseudo(lb, picked, "label_id", "pl")
+    return u.groupBy("source", "label_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("set4_full_supervised_pool", with_ctes("scored") + """
+SELECT CAST(count(DISTINCT row_id) AS BIGINT) AS n, CAST(sum(DISTINCT row_id) AS BIGINT) AS id_sum FROM scored""")
+def q_set4(spark, sf):
+    s = fx.scored(spark, sf)
+    lb = s.filter("role = 'labelled'").select("row_id", "label_true")
+    ulb = s.select("row_id", "label_true")  # labelled rows also sit in the unlabelled pool (SET1)
+    pool = split.full_supervised_pool(lb, ulb, "row_id")
+    return pool.agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").cast("long").alias("id_sum"))
+
+
+@query("agg1_class_counts", with_ctes("imbalanced") + """
+SELECT CAST(c AS INTEGER) AS label_true, CAST(count(i.row_id) AS BIGINT) AS n
+FROM range(0, 10) r(c) LEFT JOIN imbalanced i ON i.label_true = r.c AND i.role = 'labelled' GROUP BY c""")
+def q_agg1(spark, sf):
+    return aggs.class_counts(fx.imbalanced(spark, sf).filter("role = 'labelled'"), "label_true", K)
+
+
+@query("agg2_class_distribution", with_ctes("imbalanced") + """
+SELECT label_true, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (), 6) AS share FROM (
+  SELECT label_true, count(*) AS n FROM imbalanced GROUP BY label_true)""")
+def q_agg2(spark, sf):
+    c = fx.imbalanced(spark, sf).groupBy("label_true").agg(F.count(F.lit(1)).alias("n"))
+    return aggs.class_distribution(c).select("label_true", "n", r6("share"))
+
+
+# --- JOB10: species resolution ---------------------------------------------------------------
+
+SPECIES_SQL = with_ctes("interactions", "species_primary", "species_fallback", extra=[
+    ("x", f"SELECT * FROM interactions WHERE species IS NOT NULL AND species <> '' AND species IN {_in(fx.ALLOWED_REGIONS)}"),
+    ("y", f"""SELECT x.*, coalesce(ps.species_full,
+          list_filter({_lst(fx.ALLOWED_REGIONS)}, lambda a: list_contains(fs.species, a))[1]) AS subj_species,
+          coalesce(po.species_full, list_filter({_lst(fx.ALLOWED_REGIONS)}, lambda a: list_contains(fo.species, a))[1])
+          AS obj_species
+        FROM x LEFT JOIN species_primary ps ON x.subj = ps.entity LEFT JOIN species_primary po ON x.obj = po.entity
+        LEFT JOIN species_fallback fs ON x.subj = fs.entity LEFT JOIN species_fallback fo ON x.obj = fo.entity"""),
+    ("z", """SELECT *, CASE WHEN subj_species IS NOT NULL AND obj_species IS NOT NULL THEN 'both'
+          WHEN subj_species IS NOT NULL THEN 'subject' WHEN obj_species IS NOT NULL THEN 'object' ELSE 'none' END AS branch,
+          CASE WHEN subj_species IS NOT NULL AND obj_species IS NOT NULL
+                 THEN CAST(subj_species = species OR obj_species = species AS INTEGER)
+               WHEN subj_species IS NOT NULL THEN CAST(subj_species = species AS INTEGER)
+               WHEN obj_species IS NOT NULL THEN CAST(obj_species = species AS INTEGER) ELSE 0 END AS correct
+        FROM y"""),
+])
+
+
+def _species_rows(spark, sf):
+    ident = {r: r for r in fx.ALLOWED_REGIONS}
+    return lookup.resolve_species(fx.interactions(spark, sf), fx.species_primary(spark, sf),
+                                  fx.species_fallback(spark, sf), fx.ALLOWED_REGIONS, ident)
+
+
+@query("joi5_resolve_pair", SPECIES_SQL + """
+SELECT branch, species, CAST(count(*) AS BIGINT) AS n, CAST(sum(correct) AS BIGINT) AS n_correct FROM z GROUP BY ALL""")
+def q_joi5(spark, sf):
+    x = _species_rows(spark, sf)
+    return x.groupBy("branch", "species").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("n_correct"))
+
+
+@query("job10_resolve_species", SPECIES_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(correct) AS BIGINT) AS n_correct,
+  round(CASE WHEN avg(correct) > 0 THEN 2 * avg(correct) / (1 + avg(correct)) ELSE 0 END, 6) AS f1,
+  CAST(count(*) FILTER (WHERE branch = 'none') AS BIGINT) AS n_unresolved FROM z""")
+def q_job10(spark, sf):
+    x = _species_rows(spark, sf)
+    f = lookup.retrieval_f1(x)
+    return f.select("n", "n_correct", r6("f1"), "n_unresolved")
+
+
+@query("joi3_primary_lookup", with_ctes("interactions", "species_primary") + """
+SELECT CASE WHEN ps.entity IS NOT NULL AND po.entity IS NOT NULL THEN 'both' WHEN po.entity IS NOT NULL THEN 'object'
+            WHEN ps.entity IS NOT NULL THEN 'subject' ELSE 'neither' END AS hit, CAST(count(*) AS BIGINT) AS n
+FROM interactions x LEFT JOIN species_primary ps ON x.subj = ps.entity LEFT JOIN species_primary po ON x.obj = po.entity
+GROUP BY 1""")
+def q_joi3(spark, sf):
+    ident = {r: r for r in fx.ALLOWED_REGIONS}
+    x = lookup.primary_lookup(fx.interactions(spark, sf), fx.species_primary(spark, sf), ["subj", "obj"], ident)
+    s, o = F.col("subj_primary").isNotNull(), F.col("obj_primary").isNotNull()
+    hit = F.when(s & o, "both").when(o, "object").when(s, "subject").otherwise("neither")
+    return x.groupBy(hit.alias("hit")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("joi4_fallback_lookup", SPECIES_SQL + """
+SELECT coalesce(subj_species, '<none>') AS subj_species, CAST(count(*) AS BIGINT) AS n FROM y GROUP BY 1""")
+def q_joi4(spark, sf):
+    x = _species_rows(spark, sf)
+    return x.groupBy(F.coalesce("subj_species", F.lit("<none>")).alias("subj_species")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("set5_distinct_values", SPECIES_SQL + """
+SELECT DISTINCT sp AS species FROM (SELECT subj_species AS sp FROM y UNION ALL SELECT obj_species FROM y)
+WHERE sp IS NOT NULL""")
+def q_set5(spark, sf):
+    from sslspark.operators.split import distinct_values
+    x = _species_rows(spark, sf)
+    sp = x.select(F.col("subj_species").alias("species")).unionByName(x.select(F.col("obj_species").alias("species")))
+    return distinct_values(sp.filter(F.col("species").isNotNull()), "species")
