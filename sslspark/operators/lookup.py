@@ -64,7 +64,8 @@ def fallback_lookup(df: DataFrame, dim: DataFrame, entity_cols: Sequence[str], a
     for c in entity_cols:
         d = dim.select(F.col(dim_key).alias(c), F.col(dim_val).alias("_cands"))
         out = out.join(d, c, "left")
-        first_allowed = F.element_at(F.filter(allowed_arr, lambda a: F.array_contains(F.col("_cands"), a)), 1)
+        first_allowed = F.try_element_at(F.filter(allowed_arr, lambda a: F.array_contains(F.col("_cands"), a)),
+                                         F.lit(1))
         out = out.withColumn(f"{c}{out_suffix}", F.coalesce(F.col(f"{c}{primary_suffix}"), first_allowed)).drop("_cands")
     return out
 
