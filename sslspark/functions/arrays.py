@@ -77,7 +77,10 @@ def vec_lit(values) -> Column:
 
 def element(arr, idx) -> Column:
     """0-based element access."""
-    idx = idx if isinstance(idx, Column) else F.lit(int(idx))
+    if isinstance(idx, str):
+        idx = F.col(idx)
+    elif not isinstance(idx, Column):
+        idx = F.lit(int(idx))
     return F.element_at(col_of(arr), (idx + 1).cast("int"))
 
 

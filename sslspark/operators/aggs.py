@@ -93,7 +93,7 @@ def pseudo_label_histogram(df: DataFrame, pl_col: str, K: int, by: Sequence[str]
     if by:
         # every key gets its K class slots by exploding a K-sequence (no join)
         grid = counts.select(*by).distinct().select(
-            *by, F.explode(F.sequence(F.lit(0), F.lit(K - 1))).cast("int").alias("class_id"))
+            *by, F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("class_id"))
     else:
         grid = cls
     out = grid.join(counts, [*by, "class_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))

@@ -88,7 +88,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_ctes(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_ctes(*names: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """``WITH`` prefix for the named fixtures (dependencies first) plus extra CTEs."""
     order: list[str] = []
 
@@ -103,4 +103,4 @@ def with_ctes(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order]
     parts += [f"{n} AS ({body})" for n, body in (extra or [])]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
