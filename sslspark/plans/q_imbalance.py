@@ -1 +1,222 @@
-"""(filled in below)"""
+"""Imbalance queries on the long-tailed fixture (AGG16-18, WIN8, WIN13, FN7-8,
+FN23, THR13, THR16, TOP2-3)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sslspark.functions import arrays as A
+from sslspark.operators import aggs, imbalance, policies, similarity
+from sslspark.plans import fixtures as fx
+from sslspark.plans import sql_expr as X
+from sslspark.plans.catalog import query, r6
+from sslspark.plans.q_core import long_avg, sql_long_avg
+from sslspark.plans.sql_fixtures import _lst, with_ctes
+
+K = fx.K_SCORED
+LB_COUNTS_SQL = ("SELECT CAST(r.c AS INTEGER) AS label_true, count(i.row_id) AS n FROM range(0, 10) r(c) "
+                 "LEFT JOIN imbalanced i ON i.label_true = r.c AND i.role = 'labelled' GROUP BY r.c")
+
+
+def lb_counts(spark, sf) -> DataFrame:
+    return aggs.class_counts(fx.imbalanced(spark, sf).filter("role = 'labelled'"), "label_true", K)
+
+
+def _eff_sql(src: str) -> str:
+    return f"""SELECT label_true, n, w / sum(w) OVER () * count(*) OVER () AS weight FROM (
+  SELECT label_true, n, (1 - beta) / (1 - pow(beta, n)) AS w FROM (
+    SELECT label_true, n, (avg(n) OVER () - 1) / avg(n) OVER () AS beta FROM {src}))"""
+
+
+@query("agg16_effective_weights", with_ctes("imbalanced", extra=[
+    ("c", "SELECT label_true, greatest(n, 1) AS n FROM (" + LB_COUNTS_SQL + ")")]) + f"""
+SELECT label_true, CAST(n AS BIGINT) AS n, round(weight, 6) AS weight FROM ({_eff_sql('c')})""")
+def q_agg16(spark, sf):
+    c = lb_counts(spark, sf).withColumn("n", F.greatest("n", F.lit(1)))
+    return aggs.effective_weights(c).select("label_true", F.col("n").cast("long").alias("n"), r6("weight"))
+
+
+@query("agg17_refresh_weights_from_pseudo_labels", with_ctes("imbalanced", extra=[
+    ("c", f"SELECT CAST(r.c AS INTEGER) AS label_true, greatest(count(u.pl), 1) AS n FROM range(0, 10) r(c) "
+          f"LEFT JOIN (SELECT {X.argmax('probs')} AS pl FROM imbalanced WHERE role = 'unlabelled') u ON u.pl = r.c "
+          "GROUP BY r.c")]) + f"""
+SELECT label_true, CAST(n AS BIGINT) AS n, round(weight, 6) AS weight FROM ({_eff_sql('c')})""")
+def q_agg17(spark, sf):
+    u = fx.imbalanced(spark, sf).filter("role = 'unlabelled'").withColumn("pl", A.argmax("probs"))
+    c = aggs.class_counts(u, "pl", K).withColumnRenamed("pl", "label_true")
+    w = aggs.refresh_weights_from_pseudo_labels(c)
+    return w.select("label_true", F.col("n").cast("long").alias("n"), r6("weight"))
+
+
+@query("agg18_min_over_count", with_ctes("imbalanced") + """
+SELECT label_true, round(min(n) OVER () / n, 6) AS keep_p FROM (
+  SELECT label_true, count(*) AS n FROM imbalanced GROUP BY label_true)""")
+def q_agg18(spark, sf):
+    c = fx.imbalanced(spark, sf).groupBy("label_true").agg(F.count(F.lit(1)).alias("n"))
+    return aggs.min_over_count(c).select("label_true", r6("keep_p"))
+
+
+@query("top2_sort_classes_by_frequency", with_ctes("imbalanced") + """
+SELECT CAST(label_true AS INTEGER) AS class_id, CAST(count(*) AS BIGINT) AS n,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, label_true) AS INTEGER) AS freq_rank
+FROM imbalanced GROUP BY label_true""")
+def q_top2(spark, sf):
+    c = fx.imbalanced(spark, sf).groupBy(F.col("label_true").alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    # K rows: a single ordered window over the class counts is bounded by K
+    return imbalance.sort_classes_by_frequency(c).withColumn(
+        "freq_rank", F.row_number().over(Window.orderBy(F.desc("n"), "class_id")).cast("int"))
+
+
+def _crest_rates(spark, sf) -> list[float]:
+    # imbalance ratio of the labelled class counts: two numbers
+    r = lb_counts(spark, sf).agg(F.max("n").alias("mx"), F.min(F.greatest("n", F.lit(1))).alias("mn")).first()
+    return imbalance.crest_quota(K, r["mx"] / r["mn"], alpha=3.0)
+
+
+@query("win8_top_confident_per_class", with_ctes("imbalanced", extra=[
+    ("lc", LB_COUNTS_SQL), ("mu", "SELECT pow(min(greatest(n, 1)) / max(n), 1.0 / 9.0) AS mu FROM lc"),
+    ("d", f"SELECT row_id, list_max(probs) AS conf, {X.argmax('probs')} AS pl FROM imbalanced WHERE role = 'unlabelled'"),
+    ("rk", "SELECT *, row_number() OVER (PARTITION BY pl ORDER BY conf DESC, row_id) AS rn, "
+           "count(*) OVER (PARTITION BY pl) AS n FROM d")]) + """
+SELECT row_id, pl FROM rk WHERE rn <= floor(n * pow(pow((SELECT mu FROM mu), 9 - pl), 1.0 / 3.0))""")
+def q_win8(spark, sf):
+    u = fx.imbalanced(spark, sf).filter("role = 'unlabelled'")
+    p = imbalance.top_confident_per_class(u, _crest_rates(spark, sf))
+    return p.filter("picked").select("row_id", A.argmax("probs").alias("pl"))
+
+
+DARP_Q = [40.0, 30.0, 25.0, 20.0, 16.0, 12.0, 10.0, 8.0, 6.0, 5.0]
+
+
+@query("win13_top_k_mass_per_class", with_ctes("scored", extra=[
+    ("lng", f"SELECT row_id, {X.long_of('probs')} FROM scored WHERE role = 'unlabelled'"),
+    ("rk", "SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY v DESC, row_id) AS rn FROM lng"),
+    ("top", f"SELECT class_id, sum(v) AS kp, count(*) AS n FROM rk WHERE rn <= {_lst([int(2 * q) for q in DARP_Q])}[class_id + 1] "
+            "GROUP BY class_id")]) + f"""
+SELECT CAST(r.c AS INTEGER) AS class_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_flagged,
+       round(({_lst(DARP_Q)}[r.c + 1] + 1e-6) / (coalesce(t.kp, 0) + 1e-6), 6) AS weight
+FROM range(0, 10) r(c) LEFT JOIN top t ON t.class_id = r.c""")
+def q_win13(spark, sf):
+    u = fx.scored(spark, sf).filter("role = 'unlabelled'")
+    flags, w = imbalance.top_k_mass_per_class(u, DARP_Q, 2.0, K)
+    n = flags.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_flagged"))
+    return (w.join(n, "class_id", "left")
+            .select("class_id", F.coalesce("n_flagged", F.lit(0)).cast("long").alias("n_flagged"), r6("weight")))
+
+
+@query("fn7_progressive_target", with_ctes("imbalanced", extra=[("lc", LB_COUNTS_SQL)]) + """
+SELECT label_true AS class_id, round(pow(n / tot, 0.5) / sum(pow(n / tot, 0.5)) OVER (), 6) AS target FROM (
+  SELECT label_true, n, sum(n) OVER () AS tot FROM lc)""")
+def q_fn7(spark, sf):
+    c = lb_counts(spark, sf)
+    dist = aggs.class_distribution(c).select(F.sort_array(F.collect_list(F.struct("label_true", "share"))).alias("d"))
+    t = dist.select(A.progressive_target(F.transform("d", lambda s: s["share"]), 0.5).alias("t"))
+    return t.select(F.posexplode("t").alias("class_id", "target")).select(
+        F.col("class_id").cast("int").alias("class_id"), r6("target"))
+
+
+def _prior_vec(spark, sf):
+    c = lb_counts(spark, sf).withColumn("n", F.greatest("n", F.lit(1)))
+    return aggs.class_distribution(c).select(
+        F.transform(F.sort_array(F.collect_list(F.struct("label_true", "share"))), lambda s: s["share"])).scalar()
+
+
+PRIOR_SQL = ("SELECT list(n / tot ORDER BY label_true) AS prior FROM (SELECT label_true, greatest(n, 1) AS n, "
+             "sum(greatest(n, 1)) OVER () AS tot FROM lc)")
+
+
+@query("fn8_logit_adjust", with_ctes("imbalanced", extra=[("lc", LB_COUNTS_SQL), ("pr", PRIOR_SQL)]) + f"""
+SELECT batch_id, {X.argmax(X.zip_with('logits', '(SELECT prior FROM pr)', '{x} - 1.0 * ln({y})'))} AS pl_adj,
+       CAST(count(*) AS BIGINT) AS n FROM imbalanced GROUP BY ALL""")
+def q_fn8(spark, sf):
+    s = fx.imbalanced(spark, sf).withColumn("_prior", _prior_vec(spark, sf))
+    return s.groupBy("batch_id", A.argmax(A.logit_adjust("logits", "_prior", 1.0, -1)).alias("pl_adj")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("fn23_class_temper", with_ctes("imbalanced", extra=[("lc", LB_COUNTS_SQL), (
+    "r", "SELECT list(min_n / n ORDER BY label_true) AS ratio FROM (SELECT label_true, greatest(n, 1) AS n, "
+         "min(greatest(n, 1)) OVER () AS min_n FROM lc)"), (
+    "la", "SELECT " + X.transform("ratio", "ln(pow({x}, 1.0) + 1e-12)") + " AS la FROM r")]) + f"""
+SELECT CAST(generate_subscripts(la, 1) - 1 AS INTEGER) AS class_id, round(unnest(la), 6) AS la,
+       round(unnest({X.transform(X.softmax(X.transform('la', '-{x}')), '2.0 * {x} + 2.0')}), 6) AS t_logit FROM la""")
+def q_fn23(spark, sf):
+    c = lb_counts(spark, sf).withColumn("n", F.greatest("n", F.lit(1)))
+    ratio = aggs.min_over_count(c, "n", "r").select(
+        F.transform(F.sort_array(F.collect_list(F.struct("label_true", "r"))), lambda s: s["r"]).alias("ratio"))
+    la, tl = A.class_temper("ratio", 1.0, 2.0, 2.0)
+    out = ratio.select(F.posexplode(F.arrays_zip(la.alias("la"), tl.alias("t_logit"))).alias("class_id", "z"))
+    return out.select(F.col("class_id").cast("int").alias("class_id"), r6("z.la", "la"), r6("z.t_logit", "t_logit"))
+
+
+@query("thr16_abc_mask", with_ctes("imbalanced", extra=[(
+    "k", "SELECT label_true, min(count(*)) OVER () / count(*) AS keep_p FROM imbalanced WHERE role = 'labelled' "
+         "GROUP BY label_true")]) + f"""
+SELECT i.batch_id, CAST(sum(CASE WHEN list_max(i.probs) >= 0.6
+         AND CAST(('0x' || substr(md5(concat_ws(':', i.row_id, 13)), 1, 8)) AS UBIGINT) / 4294967296.0 < k.keep_p
+       THEN 1 ELSE 0 END) AS BIGINT) AS n_masked
+FROM imbalanced i JOIN k ON k.label_true = {X.argmax('i.probs')} WHERE i.role = 'unlabelled' GROUP BY i.batch_id""")
+def q_thr16(spark, sf):
+    imb = fx.imbalanced(spark, sf)
+    keep = aggs.min_over_count(imb.filter("role = 'labelled'").groupBy("label_true").agg(F.count(F.lit(1)).alias("n")))
+    u = imb.filter("role = 'unlabelled'").withColumn("_pl", A.argmax("probs"))
+    j = u.join(F.broadcast(keep.withColumnRenamed("label_true", "_pl")), "_pl")  # K-row side
+    m = policies.abc_mask(j, "probs", "keep_p", "row_id", 13, tau=0.6)
+    return m.groupBy("batch_id").agg(F.sum(F.col("mask").cast("long")).alias("n_masked"))
+
+
+@query("thr13_blend_pseudo_label", with_ctes("imbalanced", "scored_strong", extra=[
+    ("u", "SELECT * FROM imbalanced WHERE role = 'unlabelled'"),
+    ("h", f"SELECT list(cnt ORDER BY c) AS dist FROM (SELECT r.c, count(x.pl) / (SELECT count(*) FROM u) AS cnt "
+          f"FROM range(0, 10) r(c) LEFT JOIN (SELECT {X.argmax('probs')} AS pl FROM u) x ON x.pl = r.c GROUP BY r.c)"),
+    ("sd", "SELECT " + X.sharpen("dist", 1.5) + " AS sd FROM h"),
+    ("m", f"""SELECT u.row_id, u.batch_id, sd.sd[{X.argmax('u.probs')} + 1] / list_max(sd.sd) AS v, u.probs, s.probs AS p_sim
+         FROM u JOIN scored_strong s ON s.row_id = u.row_id, sd"""),
+    ("mx", "SELECT batch_id, " + X.zip_with("probs", "p_sim", "(1 - v) * {x} + v * {y}") + " AS q FROM m")]) + f"""
+SELECT batch_id, {X.argmax('q')} AS pl_mix, CAST(count(*) AS BIGINT) AS n FROM mx GROUP BY ALL""")
+def q_thr13(spark, sf):
+    u = fx.imbalanced(spark, sf).filter("role = 'unlabelled'")
+    h = aggs.pseudo_label_histogram(u.withColumn("pl", A.argmax("probs")), "pl", K)
+    dist = h.select(F.transform(F.sort_array(F.collect_list(F.struct("class_id", "share"))), lambda s: s["share"])).scalar()
+    sim = fx.scored(spark, sf, strong=True).select("row_id", F.col("probs").alias("p_sim"))
+    b = imbalance.blend_pseudo_label(u.join(sim, "row_id").withColumn("_d", dist), F.col("_d"), "probs", "p_sim", 1.5)
+    return b.groupBy("batch_id", "pl_mix").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("top3_hard_donors", with_ctes("imbalanced", extra=[
+    ("lng", f"SELECT row_id, label_id, {X.long_of('probs')} FROM imbalanced"),
+    ("rk", "SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY v DESC, row_id) AS rn FROM lng "
+           "WHERE label_id IS DISTINCT FROM class_id")]) + """
+SELECT class_id, row_id FROM rk WHERE rn <= 5""")
+def q_top3(spark, sf):
+    d = imbalance.hard_donors(fx.imbalanced(spark, sf), K, 5)
+    return d.select("class_id", "row_id")
+
+
+@query("joi11_prototype_similarity", with_ctes("emb", "protos", extra=[
+    ("ps", "SELECT e.row_id, list(" + X.cosine("e.emb", "p.proto") + " / 0.5 ORDER BY p.label) AS lg "
+           "FROM emb e, protos p WHERE e.row_id % 2 = 1 GROUP BY e.row_id"),
+    ("pq", "SELECT row_id, " + X.softmax("lg") + " AS q FROM ps")]) + """
+SELECT row_id % 4 AS grp, class_id, round(avg(v), 6) AS p_mean FROM (SELECT row_id, """ + X.long_of("q") + """ FROM pq)
+GROUP BY ALL""")
+def q_joi11(spark, sf):
+    e = fx.embeddings(spark, sf)
+    protos = aggs.class_prototypes(e, "label", "emb")
+    s = similarity.prototype_similarity(e.filter(F.col("row_id") % 2 == 1), "emb", protos, 0.5)
+    return long_avg(s.withColumn("grp", F.col("row_id") % 4), ["grp"], "p_sim", "p_mean")
+
+
+@query("agg15_class_prototypes", with_ctes("emb", "protos") + """
+SELECT label, round(list_sum(proto), 6) AS proto_sum, round(sqrt(list_dot_product(proto, proto)), 6) AS proto_norm,
+       round(list_sum(list_transform(proto, lambda x: x / sqrt(list_dot_product(proto, proto)))), 6) AS unit_sum FROM protos""")
+def q_agg15(spark, sf):
+    e = fx.embeddings(spark, sf)
+    p = aggs.class_prototypes(e, "label", "emb")
+    pn = aggs.class_prototypes(e, "label", "emb", normalise=True).select("label", F.col("proto").alias("unit"))
+    j = p.join(pn, "label")
+    return j.select("label", r6(A.asum("proto"), "proto_sum"), r6(A.l2_norm("proto"), "proto_norm"),
+                    r6(A.asum("unit"), "unit_sum"))
