@@ -63,3 +63,102 @@ def random_partner(df: DataFrame, id_col: str, batch_col: str, seed: int, seed_b
                   F.row_number().over(w2).alias("_rn"))
     return (a.join(b, (a[batch_col] == b["_b"]) & (a["_rn"] == b["_rn"]))
             .drop("_b", "_rn"))
+
+
+# --- banks: a bounded set of (feature, target) rows attached to every query row -------------------
+
+def ring_bank(df: DataFrame, L: int, order_cols=("batch_id", "row_id")) -> DataFrame:
+    """WIN16: the newest L rows (batch desc, id desc): a top-L, no global window."""
+    return df.orderBy(*[F.desc(c) for c in order_cols]).limit(L)
+
+
+def keyed_bank(df: DataFrame, id_col: str, batch_col: str, feat_col: str, m: float | None = None) -> DataFrame:
+    """WIN17: one feature per id.  ``m=None``: the latest one replaces the
+    rest (``max_by`` per id).  Otherwise v <- normalise(m v + (1-m) x) over the
+    id's appearances in batch order (a fold over its rows; an id appears once
+    per epoch, so the list per id is bounded by the number of epochs)."""
+    from sslspark.functions.arrays import l2_normalise
+    if m is None:
+        return df.groupBy(id_col).agg(F.max_by(F.col(feat_col), F.col(batch_col)).alias(feat_col))
+    seq = F.array_sort(F.collect_list(F.struct(F.col(batch_col).alias("b"), F.col(feat_col).alias("x"))))
+    g = df.groupBy(id_col).agg(seq.alias("_s"))
+    first = l2_normalise(F.col("_s")[0]["x"])
+    fold = F.aggregate(F.slice("_s", 2, 1_000_000), first,
+                       lambda v, s: l2_normalise(F.zip_with(v, s["x"], lambda a, b: F.lit(m) * a + F.lit(1.0 - m) * b)))
+    return g.select(id_col, fold.alias(feat_col))
+
+
+def attach_bank(df: DataFrame, bank: DataFrame, cols: list[str], out: str = "_bank", max_rows: int = 65536) -> DataFrame:
+    """Attach a bounded bank to every row as one array of structs (a scalar
+    subquery, evaluated once).  The bank is bounded by construction (top-L /
+    labelled ids); ``max_rows`` guards it at run time."""
+    b = bank.select(F.collect_list(F.struct(*cols)).alias("b"))
+    guard = F.when(F.size("b") <= F.lit(max_rows), F.col("b")).otherwise(
+        F.raise_error(F.lit(f"bank larger than {max_rows} rows")))
+    return df.withColumn(out, b.select(guard).scalar())
+
+
+def bank_similarity(feat_col: str, bank_col: str, bank_feat: str, T: float) -> Column:
+    """JOI7: softmax over the bank of (feature . bank feature) / T (features L2-normalised upstream)."""
+    from sslspark.functions.arrays import dot
+    sims = F.transform(F.col(bank_col), lambda b: dot(F.col(feat_col), b[bank_feat]) / F.lit(float(T)))
+    return softmax(sims)
+
+
+def neighbour_smooth(probs_col: str, weights_col: str, bank_col: str, bank_probs: str, alpha: float, K: int) -> Column:
+    """JOI8: alpha * p + (1 - alpha) * sum_j A_j * p_j (A = bank similarity weights)."""
+    zero = F.array_repeat(F.lit(0.0), K)
+    mix = F.aggregate(F.arrays_zip(F.col(weights_col).alias("a"), F.col(bank_col).alias("e")), zero,
+                      lambda acc, z: F.zip_with(acc, z["e"][bank_probs], lambda x, q: x + z["a"] * q))
+    return F.zip_with(F.col(probs_col), mix, lambda p, q: F.lit(alpha) * p + F.lit(1.0 - alpha) * q)
+
+
+def label_propagate(probs_col: str, weights_col: str, bank_col: str, bank_label: str, alpha: float, K: int):
+    """JOI9 (SimMatch): teacher_j ∝ A_j * p[label_j] (normalised) and
+    p <- alpha * p + (1 - alpha) * (sum of A_j per bank label).  Returns
+    (teacher Column, smoothed probs Column)."""
+    z = F.arrays_zip(F.col(weights_col).alias("a"), F.col(bank_col).alias("e"))
+    from sslspark.functions.arrays import _div_by_sum
+    raw = F.transform(z, lambda t: t["a"] * F.element_at(F.col(probs_col), t["e"][bank_label] + 1))
+    teacher = _div_by_sum(raw)
+    agg = F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda c: F.aggregate(
+        z, F.lit(0.0), lambda s, t: s + F.when(t["e"][bank_label] == c, t["a"]).otherwise(F.lit(0.0))))
+    smoothed = F.zip_with(F.col(probs_col), agg, lambda p, q: F.lit(alpha) * p + F.lit(1.0 - alpha) * q)
+    return teacher, smoothed
+
+
+def instance_consistency(teacher_col: str, student_weights_col: str) -> Column:
+    """FN22: -sum_j teacher_j * log(student_j)."""
+    return -F.aggregate(F.zip_with(F.col(teacher_col), F.col(student_weights_col), lambda t, s: t * F.log(s)),
+                        F.lit(0.0), lambda a, x: a + x)
+
+
+def batch_arrays(df: DataFrame, batch_col: str, cols: list[str], id_col: str = "row_id",
+                 max_batch_rows: int = 4096) -> DataFrame:
+    """Each row of a batch gets the batch's (id, cols) as one array (bounded by
+    the batch size; checked at run time) — the in-batch graph below needs
+    every row of its batch, never rows of other batches."""
+    g = df.groupBy(batch_col).agg(F.collect_list(F.struct(id_col, *cols)).alias("_batch"))
+    g = g.withColumn("_batch", F.when(F.size("_batch") <= F.lit(max_batch_rows), F.col("_batch")).otherwise(
+        F.raise_error(F.lit(f"batch larger than {max_batch_rows} rows"))))
+    return df.join(g, batch_col)
+
+
+def pseudo_label_graph(id_col: str, probs_col: str, batch_col_arr: str = "_batch", tau: float = 0.8) -> Column:
+    """JOI10 (CoMatch): row i's graph row Q_ij = p_i . p_j (1 on the
+    diagonal), dropped below tau, normalised over j."""
+    from sslspark.functions.arrays import dot
+    q = F.transform(F.col(batch_col_arr), lambda e: F.when(e[id_col] == F.col(id_col), F.lit(1.0))
+                    .otherwise(dot(F.col(probs_col), e[probs_col])))
+    from sslspark.functions.arrays import _div_by_sum
+    return _div_by_sum(F.transform(q, lambda x: F.when(x >= F.lit(tau), x).otherwise(F.lit(0.0))))
+
+
+def contrastive_loss(q_col: str, feat0_col: str, feat1_name: str, batch_col_arr: str = "_batch",
+                     T: float = 0.2) -> Column:
+    """THR18: -sum_j Q_ij log(softmax_j(f0_i . f1_j / T) + 1e-7)."""
+    from sslspark.functions.arrays import dot
+    sims = F.transform(F.col(batch_col_arr), lambda e: dot(F.col(feat0_col), e[feat1_name]) / F.lit(float(T)))
+    sp = softmax(sims)
+    return -F.aggregate(F.zip_with(F.col(q_col), sp, lambda q, s: q * F.log(s + F.lit(1e-7))), F.lit(0.0),
+                        lambda a, x: a + x)
