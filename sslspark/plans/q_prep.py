@@ -528,3 +528,24 @@ def q_set5(spark, sf):
     x = _species_rows(spark, sf)
     sp = x.select(F.col("subj_species").alias("species")).unionByName(x.select(F.col("obj_species").alias("species")))
     return distinct_values(sp.filter(F.col("species").isNotNull()), "species")
+
+
+# --- sources -----------------------------------------------------------------------------------
+
+@query("src1_read_corpus", """
+SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang""")
+def q_src1(spark, sf):
+    from sslspark.sources.io import read_corpus
+    d = read_corpus(spark, f"{sf}/documents.parquet", ["text", "lang"])
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("src5_read_shards", """
+SELECT 'embeddings.parquet' AS shard, CAST(count(*) AS BIGINT) AS n FROM embeddings
+UNION ALL SELECT 'labels.parquet', CAST(count(*) AS BIGINT) FROM labels""")
+def q_src5(spark, sf):
+    from sslspark.sources.io import read_shards
+    a = read_shards(spark, f"{sf}/embeddings.parquet").select("shard")
+    b = read_shards(spark, f"{sf}/labels.parquet").select("shard")
+    u = a.unionByName(b)
+    return u.groupBy(F.regexp_extract("shard", r"([^/]+)$", 1).alias("shard")).agg(F.count(F.lit(1)).alias("n"))

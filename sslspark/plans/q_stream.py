@@ -1 +1,42 @@
-"""(filled in below)"""
+"""Streaming operators checked on static frames (same builders as the streams)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sslspark.plans import fixtures as fx
+from sslspark.plans.catalog import query, r6
+from sslspark.plans.sql_fixtures import with_ctes
+from sslspark.session import table
+from sslspark.streaming import stream
+
+
+@query("str1_stream_score_and_mask", with_ctes("scored") + """
+SELECT batch_id, CAST(sum(CASE WHEN list_max(probs) >= 0.95 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked,
+       CAST(sum(CASE WHEN label_id = -200 AND list_max(probs) < 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS n_ood
+FROM scored GROUP BY batch_id""")
+def q_str1(spark, sf):
+    s = stream.stream_score_and_mask(fx.scored(spark, sf))
+    return s.groupBy("batch_id").agg(F.sum(F.col("mask").cast("long")).alias("n_masked"),
+                                     F.sum((F.col("label_id") == -100).cast("long")).alias("n_ood"))
+
+
+@query("str6_pseudo_label_distribution", """
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY ALL""")
+def q_str6(spark, sf):
+    ev = table(spark, sf, "events")
+    d = stream.pseudo_label_distribution(ev, "ts", "event_type", "6 hours")
+    return d.select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+@query("str7_stream_metrics", """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, CAST(count(*) AS BIGINT) AS n,
+       round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 6) AS util_ratio
+FROM events GROUP BY 1""")
+def q_str7(spark, sf):
+    ev = table(spark, sf, "events").withColumns({
+        "truth": F.lit("purchase"), "mask": (F.col("value") >= 50).cast("double")})
+    m = stream.windowed_metrics(ev, "ts", "truth", "event_type", "mask", "1 day")
+    return m.select(F.col("w.start").alias("window_start"), "n", r6("accuracy"), r6("util_ratio"))
