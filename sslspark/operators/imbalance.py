@@ -112,3 +112,65 @@ def interpolate_tail(df: DataFrame, feat_col: str, donor_col: str, label_col: st
     use = u < (F.lit(float(n_max)) - F.col(counts_col)) / F.lit(float(n_max))
     mixed = F.zip_with(F.col(feat_col), F.col(donor_col), lambda a, b: lam * a + (F.lit(1.0) - lam) * b)
     return df.withColumn(out, F.when(use, mixed).otherwise(F.col(feat_col))).withColumn("mixed", use)
+
+
+def refine_to_target(df: DataFrame, target: Sequence[float], id_col: str = "row_id", probs_col: str = "probs",
+                     num_iter: int = 10, num_secant: int = 30, tol: float = 0.1, out: str = "probs_refined"):
+    """THR14 (DARP): rescale probabilities so class masses match ``target``
+    (row sums stay 1), with entropy weights w_i = 1 / H(p_i).
+
+    Alternating scaling: the row step is a closed-form expression; the class
+    step solves K one-dimensional roots sum_i A_ik X_i exp(-nu_k / w_i) = c_k
+    by the secant method from the previous roots (tolerance ``tol``, at most
+    ``num_secant`` steps).  Each secant step for all K classes is ONE
+    aggregate over the rows returning K sums; only the K roots live on the
+    driver, and the row table is read from cache (no lineage growth).
+    Returns (refined rows, list of K roots).
+    """
+    import math as _m
+    K = len(target)
+    e = _m.e
+    base = df.select(id_col, F.transform(F.col(probs_col), lambda p: p / F.lit(e)).alias("_ae"),
+                     (F.lit(1.0) / (-F.aggregate(F.transform(F.col(probs_col), lambda p: p * F.log(p + F.lit(1e-6))),
+                                                 F.lit(0.0), lambda a, x: a + x))).alias("_w")).persist()
+
+    def x_of(nu):
+        nu_arr = F.array(*[F.lit(float(v)) for v in nu])
+        denom = F.aggregate(F.zip_with("_ae", nu_arr, lambda a, n: a * F.exp(-n / F.col("_w"))), F.lit(0.0),
+                            lambda s, x: s + x)
+        return F.lit(1.0) / denom
+
+    def f_all(xt_df, xs):
+        aggs_ = [F.sum(F.element_at("_ae", k + 1) * F.col("_x") * F.exp(F.lit(-float(xs[k])) / F.col("_w")))
+                 for k in range(K)]
+        row = xt_df.agg(*aggs_).first()
+        return [row[k] - float(target[k]) for k in range(K)]
+
+    nu = [0.0] * K
+    for _ in range(num_iter):
+        xt = base.withColumn("_x", x_of(nu)).select("_ae", "_w", "_x")
+        # scipy-style secant start
+        x0 = list(nu)
+        x1 = [v * (1 + 1e-4) + (1e-4 if v >= 0 else -1e-4) for v in x0]
+        f0, f1 = f_all(xt, x0), f_all(xt, x1)
+        done = [False] * K
+        for _s in range(num_secant):
+            x2 = list(x1)
+            for k in range(K):
+                if done[k]:
+                    continue
+                if f1[k] == f0[k]:
+                    done[k] = True
+                    continue
+                x2[k] = x1[k] - f1[k] * (x1[k] - x0[k]) / (f1[k] - f0[k])
+                if abs(x2[k] - x1[k]) < tol:
+                    done[k] = True
+            x0, f0, x1 = x1, f1, x2
+            if all(done):
+                break
+            f1 = f_all(xt, x1)
+        nu = x1
+    nu_arr = F.array(*[F.lit(float(v)) for v in nu])
+    res = base.withColumn("_x", x_of(nu)).select(
+        id_col, F.zip_with("_ae", nu_arr, lambda a, n: a * F.col("_x") * F.exp(-n / F.col("_w"))).alias(out))
+    return res, nu

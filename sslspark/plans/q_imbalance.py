@@ -220,3 +220,18 @@ def q_agg15(spark, sf):
     j = p.join(pn, "label")
     return j.select("label", r6(A.asum("proto"), "proto_sum"), r6(A.l2_norm("proto"), "proto_norm"),
                     r6(A.asum("unit"), "unit_sum"))
+
+
+@query("thr14_refine_to_target")
+def q_thr14(spark, sf):
+    """DARP refinement of the unlabelled rows towards N_ulb x the labelled class
+    distribution; rows-only check (iterative, tolerance-based)."""
+    s = fx.scored(spark, sf)
+    u = s.filter("role = 'unlabelled'")
+    lbc = aggs.class_counts(s.filter("role = 'labelled'"), "label_id", K).orderBy("label_id").collect()  # K rows
+    n_u = u.count()
+    tot = sum(r["n"] for r in lbc)
+    target = [n_u * r["n"] / tot for r in lbc]
+    ref, _ = imbalance.refine_to_target(u, target, num_iter=2)
+    return long_avg(ref.withColumn("grp", F.lit(0)), ["grp"], "probs_refined", "p_mean").select(
+        "class_id", (F.col("p_mean") * F.lit(n_u)).alias("class_mass"))

@@ -347,3 +347,42 @@ def q_thr9(spark, sf):
 def q_thr15(spark, sf):
     d = adaptive.debiased_probs(ulb(spark, sf), K=K, tau=0.4, m=0.9)
     return long_avg(d, ["batch_id"], "probs_debiased", "p_mean")
+
+
+@query("udf1_policy_registry", with_ctes("scored") + f"""
+SELECT 'fixmatch' AS policy, batch_id, CAST(sum(CASE WHEN list_max(probs) >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked
+FROM scored WHERE role = 'unlabelled' GROUP BY batch_id
+UNION ALL
+SELECT 'pseudolabel', batch_id, CAST(sum(CASE WHEN list_max(probs) >= 0.6 THEN 1 ELSE 0 END) AS BIGINT)
+FROM scored WHERE role = 'unlabelled' GROUP BY batch_id""")
+def q_udf1(spark, sf):
+    from sslspark.operators.registry import apply_policy
+    u = ulb(spark, sf)
+    a = apply_policy(u, "fixmatch", p_cutoff=0.7).groupBy("batch_id").agg(
+        F.lit("fixmatch").alias("policy"), F.sum(F.col("mask").cast("long")).alias("n_masked"))
+    b = apply_policy(u, "pseudolabel", p_cutoff=0.6).groupBy("batch_id").agg(
+        F.lit("pseudolabel").alias("policy"), F.sum(F.col("mask").cast("long")).alias("n_masked"))
+    return a.unionByName(b).select("policy", "batch_id", "n_masked")
+
+
+@query("thr10_tsa_mask", with_ctes("scored") + """
+SELECT batch_id, CAST(sum(CASE WHEN probs[label_id + 1] <= 0.5 * (1 - 1.0 / 10) + 1.0 / 10 THEN 1 ELSE 0 END) AS BIGINT)
+       AS n_kept, CAST(count(*) AS BIGINT) AS n FROM scored WHERE role = 'labelled' GROUP BY batch_id""")
+def q_thr10(spark, sf):
+    from sslspark.operators.policies import tsa_mask
+    lb = fx.scored(spark, sf).filter("role = 'labelled'")
+    m = tsa_mask(lb, "probs", "label_id", "linear", 0.5, K)
+    return m.groupBy("batch_id").agg(F.sum(F.col("tsa_mask").cast("long")).alias("n_kept"), F.count(F.lit(1)).alias("n"))
+
+
+@query("fn17_fn18_fn19_schedules", with_ctes("scored") + """
+SELECT batch_id, round(exp((batch_id / 9.0 - 1) * 5) * 0.9 + 0.1, 6) AS tsa_exp,
+       round((1 - exp(-(batch_id / 9.0) * 5)) * 0.9 + 0.1, 6) AS tsa_log,
+       round(least(greatest(batch_id / 4.0, 0.0), 1.0), 6) AS ramp,
+       round(greatest(1.0001 * pow(1.27, -batch_id) * 2.0, 0.05), 6) AS rho
+FROM (SELECT DISTINCT batch_id FROM scored)""")
+def q_fn17(spark, sf):
+    b = fx.scored(spark, sf).select("batch_id").distinct()
+    prog = F.col("batch_id") / F.lit(9.0)
+    return b.select("batch_id", r6(A.tsa_threshold("exp", prog, K), "tsa_exp"), r6(A.tsa_threshold("log", prog, K), "tsa_log"),
+                    r6(A.ramp(F.col("batch_id"), 4), "ramp"), r6(A.dash_rho(1.0001, 1.27, F.col("batch_id"), 2.0, 0.05), "rho"))
