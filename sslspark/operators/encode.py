@@ -107,8 +107,6 @@ def select_views(df: DataFrame, alg: str, id_col: str, role_col: str = "role",
     v0 = F.when(is_ulb, F.col(v[0])).otherwise(F.col(text_col))
     v1 = F.when(is_ulb, F.col(v[1]))
     v2 = F.when(is_ulb, F.col(v[2]))
-    if preset == "single_task":
-        pass
     pick = hash_bit(id_col, seed, 2)  # 0 -> view 1, 1 -> view 2
     s_one = F.when(pick == 0, v1).otherwise(v2)
     s_other = F.when(pick == 0, v2).otherwise(v1)
