@@ -104,12 +104,13 @@ def hard_donors(df: DataFrame, K: int, size: int, id_col: str = "row_id", probs_
 
 
 def interpolate_tail(df: DataFrame, feat_col: str, donor_col: str, label_col: str, counts_col: str,
-                     n_max: int, id_col: str, seed: int, max_lam: float = 0.6, out: str = "feat_mix") -> DataFrame:
+                     n_max, id_col: str, seed: int, max_lam: float = 0.6, out: str = "feat_mix") -> DataFrame:
     """FN16 (CoSSL): with probability (n_max - n_c) / n_max a row is mixed
     with its donor, lam ~ U(max_lam, 1) (md5-seeded); label kept."""
     u = hash_u(id_col, seed)
     lam = F.lit(max_lam) + (F.lit(1.0) - F.lit(max_lam)) * hash_u(id_col, seed + 1)
-    use = u < (F.lit(float(n_max)) - F.col(counts_col)) / F.lit(float(n_max))
+    nm = (F.col(n_max) if isinstance(n_max, str) else n_max if isinstance(n_max, Column) else F.lit(n_max)).cast("double")
+    use = u < (nm - F.col(counts_col)) / nm
     mixed = F.zip_with(F.col(feat_col), F.col(donor_col), lambda a, b: lam * a + (F.lit(1.0) - lam) * b)
     return df.withColumn(out, F.when(use, mixed).otherwise(F.col(feat_col))).withColumn("mixed", use)
 

@@ -235,3 +235,38 @@ def q_thr14(spark, sf):
     ref, _ = imbalance.refine_to_target(u, target, num_iter=2)
     return long_avg(ref.withColumn("grp", F.lit(0)), ["grp"], "probs_refined", "p_mean").select(
         "class_id", (F.col("p_mean") * F.lit(n_u)).alias("class_mass"))
+
+
+@query("smp2_resample_weighted")
+def q_smp2(spark, sf):
+    """Weighted sampling without replacement (Efraimidis-Spirakis keys,
+    class-balanced weights = 1 / class count): sampled rows per class."""
+    from sslspark.operators.split import class_balanced_weights, resample_weighted
+    imb = fx.imbalanced(spark, sf)
+    w = class_balanced_weights(imb.groupBy("label_true").agg(F.count(F.lit(1)).alias("n")))
+    d = imb.join(F.broadcast(w.select("label_true", "weight")), "label_true")  # K rows
+    s = resample_weighted(d, "row_id", "weight", 60, seed=17)
+    return s.groupBy("label_true").agg(F.count(F.lit(1)).alias("n_sampled"))
+
+
+@query("fn16_interpolate_tail", with_ctes("imbalanced", "scored_strong", extra=[
+    ("c", "SELECT label_true, count(*) AS n_c, max(count(*)) OVER () AS n_max FROM imbalanced GROUP BY label_true"),
+    ("j", "SELECT i.row_id, i.batch_id, i.probs, s.probs AS donor, c.n_c, c.n_max, "
+          "CAST(('0x' || substr(md5(concat_ws(':', i.row_id, 31)), 1, 8)) AS UBIGINT) / 4294967296.0 AS u, "
+          "0.6 + 0.4 * CAST(('0x' || substr(md5(concat_ws(':', i.row_id, 32)), 1, 8)) AS UBIGINT) / 4294967296.0 AS lam "
+          "FROM imbalanced i JOIN scored_strong s ON s.row_id = i.row_id JOIN c ON c.label_true = i.label_true"),
+    ("m", "SELECT batch_id, u < (n_max - n_c) / n_max AS mixed, CASE WHEN u < (n_max - n_c) / n_max THEN "
+          + X.zip_with("probs", "donor", "lam * {x} + (1 - lam) * {y}") + " ELSE probs END AS q FROM j")]) + """
+SELECT batch_id, class_id, round(avg(v), 6) AS p_mean, CAST(sum(CAST(mixed AS INTEGER)) AS BIGINT) AS n_mixed
+FROM (SELECT batch_id, mixed, """ + X.long_of("q") + """ FROM m) GROUP BY batch_id, class_id""")
+def q_fn16(spark, sf):
+    imb = fx.imbalanced(spark, sf)
+    from pyspark.sql import Window
+    c = imb.groupBy("label_true").agg(F.count(F.lit(1)).alias("n_c"))
+    c = c.withColumn("n_max", F.max("n_c").over(Window.partitionBy()))  # K rows
+    don = fx.scored(spark, sf, strong=True).select("row_id", F.col("probs").alias("donor"))
+    j = imb.join(don, "row_id").join(F.broadcast(c), "label_true")
+    m = imbalance.interpolate_tail(j, "probs", "donor", "label_true", "n_c", "n_max", "row_id", 31, 0.6, out="q")
+    return (m.select("batch_id", "mixed", F.posexplode("q").alias("class_id", "v"))
+            .groupBy("batch_id", F.col("class_id").cast("int").alias("class_id"))
+            .agg(r6(F.avg("v"), "p_mean"), F.sum(F.col("mixed").cast("long")).alias("n_mixed")))

@@ -88,11 +88,15 @@ class AlignState:
 
 class FreeMatchState:
     """STR3: FreeMatch self-adaptive threshold across micro-batches (update then
-    mask), state = (time_p, p_model[K], label_hist[K]) from 1/K."""
+    mask), state = (time_p, p_model[K], label_hist[K]) from 1/K.
+
+    ``clip=True`` clips time_p to [0, 0.95] after every update (not linear, so
+    each micro-batch must hold exactly one step: ``maxFilesPerTrigger=1``)."""
 
     def __init__(self, state_dir: str, out_path: str, K: int, m: float = 0.999,
-                 probs_col: str = "probs", batch_col: str = "batch_id"):
+                 probs_col: str = "probs", batch_col: str = "batch_id", clip: bool = False):
         self.state_dir, self.out_path, self.K, self.m = state_dir, out_path, K, m
+        self.clip = clip
         self.probs_col, self.batch_col = probs_col, batch_col
 
     def __call__(self, df: DataFrame, epoch_id: int) -> None:
@@ -119,6 +123,11 @@ class FreeMatchState:
              .select("_t", (F.col("class_id") + K).alias("class_id"), (F.coalesce("_c", F.lit(0)) / F.col("_n")).alias("x")))
         stats = tp.select("_t", "class_id", "x").unionByName(pm.select("_t", "class_id", "x")).unionByName(h)
         st = ema(stats.join(F.broadcast(init), "class_id"), ["class_id"], "_t", "x", m, F.col("_init"), "v")
+        if self.clip:
+            if d.agg(F.countDistinct("_t")).first()[0] > 1:
+                raise ValueError("clip needs one step per micro-batch")
+            st = st.withColumn("v", F.when(F.col("class_id") == -1, F.least(F.greatest("v", F.lit(0.0)), F.lit(0.95)))
+                               .otherwise(F.col("v")))
         vec_pm = as_vector_per_batch(st.filter((F.col("class_id") >= 0) & (F.col("class_id") < K))
                                      .select("_t", "class_id", "v"), "_t", "v", "p_model")
         tpv = st.filter(F.col("class_id") == -1).select("_t", F.col("v").alias("time_p"))
