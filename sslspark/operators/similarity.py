@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sslspark.functions.arrays import col_of, cosine, softmax
+from sslspark.functions.arrays import col_of, cosine, let, softmax
 from sslspark.functions.keys import hash_key
 from sslspark.operators.aggs import prototype_map
 
@@ -28,9 +28,8 @@ def prototype_logits(df: DataFrame, feat_col: str, protos: DataFrame, T: float,
     with_p = df.withColumn("_protos", prototype_map(protos, label_col))
     P = F.col("_protos")
     keys = F.array_sort(F.map_keys(P))
-    feat = F.col(feat_col)
-    return (with_p.withColumn(out, F.transform(keys, lambda k: cosine(feat, F.element_at(P, k)) / F.lit(float(T))))
-            .drop("_protos"))
+    lg = let(F.col(feat_col), lambda feat: F.transform(keys, lambda k: cosine(feat, F.element_at(P, k)) / F.lit(float(T))))
+    return with_p.withColumn(out, lg).drop("_protos")
 
 
 def prototype_similarity(df: DataFrame, feat_col: str, protos: DataFrame, T: float,
@@ -101,15 +100,17 @@ def attach_bank(df: DataFrame, bank: DataFrame, cols: list[str], out: str = "_ba
 def bank_similarity(feat_col: str, bank_col: str, bank_feat: str, T: float) -> Column:
     """JOI7: softmax over the bank of (feature . bank feature) / T (features L2-normalised upstream)."""
     from sslspark.functions.arrays import dot
-    sims = F.transform(F.col(bank_col), lambda b: dot(F.col(feat_col), b[bank_feat]) / F.lit(float(T)))
-    return softmax(sims)
+    # the row's feature is bound once: it is read inside the loop over the bank
+    return let(F.col(feat_col), lambda f: softmax(
+        F.transform(F.col(bank_col), lambda b: dot(f, b[bank_feat]) / F.lit(float(T)))))
 
 
 def neighbour_smooth(probs_col: str, weights_col: str, bank_col: str, bank_probs: str, alpha: float, K: int) -> Column:
     """JOI8: alpha * p + (1 - alpha) * sum_j A_j * p_j (A = bank similarity weights)."""
     zero = F.array_repeat(F.lit(0.0), K)
-    mix = F.aggregate(F.arrays_zip(F.col(weights_col).alias("a"), F.col(bank_col).alias("e")), zero,
-                      lambda acc, z: F.zip_with(acc, z["e"][bank_probs], lambda x, q: x + z["a"] * q))
+    mix = let(F.col(weights_col), lambda w: F.aggregate(
+        F.arrays_zip(w.alias("a"), F.col(bank_col).alias("e")), zero,
+        lambda acc, z: F.zip_with(acc, z["e"][bank_probs], lambda x, q: x + z["a"] * q)))
     return F.zip_with(F.col(probs_col), mix, lambda p, q: F.lit(alpha) * p + F.lit(1.0 - alpha) * q)
 
 
@@ -117,13 +118,17 @@ def label_propagate(probs_col: str, weights_col: str, bank_col: str, bank_label:
     """JOI9 (SimMatch): teacher_j ∝ A_j * p[label_j] (normalised) and
     p <- alpha * p + (1 - alpha) * (sum of A_j per bank label).  Returns
     (teacher Column, smoothed probs Column)."""
-    z = F.arrays_zip(F.col(weights_col).alias("a"), F.col(bank_col).alias("e"))
     from sslspark.functions.arrays import _div_by_sum
-    raw = F.transform(z, lambda t: t["a"] * F.element_at(F.col(probs_col), t["e"][bank_label] + 1))
-    teacher = _div_by_sum(raw)
-    agg = F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda c: F.aggregate(
-        z, F.lit(0.0), lambda s, t: s + F.when(t["e"][bank_label] == c, t["a"]).otherwise(F.lit(0.0))))
-    smoothed = F.zip_with(F.col(probs_col), agg, lambda p, q: F.lit(alpha) * p + F.lit(1.0 - alpha) * q)
+    labels = F.transform(F.col(bank_col), lambda e: e[bank_label])
+    # weights, bank labels and the row's probabilities are bound once, then
+    # one pass over the bank builds the teacher and the per-class mass
+    teacher = let(F.col(probs_col), lambda p: _div_by_sum(
+        F.zip_with(F.col(weights_col), labels, lambda a, lab: a * F.element_at(p, lab + 1))))
+    zero = F.array_repeat(F.lit(0.0), K)
+    mass = F.aggregate(F.zip_with(F.col(weights_col), labels, lambda a, lab: F.struct(a.alias("a"), lab.alias("l"))),
+                       zero, lambda acc, t: F.transform(acc, lambda x, i: x + F.when(i == t["l"], t["a"])
+                                                        .otherwise(F.lit(0.0))))
+    smoothed = F.zip_with(F.col(probs_col), mass, lambda p, q: F.lit(alpha) * p + F.lit(1.0 - alpha) * q)
     return teacher, smoothed
 
 
@@ -148,8 +153,8 @@ def pseudo_label_graph(id_col: str, probs_col: str, batch_col_arr: str = "_batch
     """JOI10 (CoMatch): row i's graph row Q_ij = p_i . p_j (1 on the
     diagonal), dropped below tau, normalised over j."""
     from sslspark.functions.arrays import dot
-    q = F.transform(F.col(batch_col_arr), lambda e: F.when(e[id_col] == F.col(id_col), F.lit(1.0))
-                    .otherwise(dot(F.col(probs_col), e[probs_col])))
+    q = let(F.col(probs_col), lambda p: F.transform(
+        F.col(batch_col_arr), lambda e: F.when(e[id_col] == F.col(id_col), F.lit(1.0)).otherwise(dot(p, e[probs_col]))))
     from sslspark.functions.arrays import _div_by_sum
     return _div_by_sum(F.transform(q, lambda x: F.when(x >= F.lit(tau), x).otherwise(F.lit(0.0))))
 
@@ -158,7 +163,7 @@ def contrastive_loss(q_col: str, feat0_col: str, feat1_name: str, batch_col_arr:
                      T: float = 0.2) -> Column:
     """THR18: -sum_j Q_ij log(softmax_j(f0_i . f1_j / T) + 1e-7)."""
     from sslspark.functions.arrays import dot
-    sims = F.transform(F.col(batch_col_arr), lambda e: dot(F.col(feat0_col), e[feat1_name]) / F.lit(float(T)))
-    sp = softmax(sims)
+    sp = let(F.col(feat0_col), lambda f: softmax(
+        F.transform(F.col(batch_col_arr), lambda e: dot(f, e[feat1_name]) / F.lit(float(T)))))
     return -F.aggregate(F.zip_with(F.col(q_col), sp, lambda q, s: q * F.log(s + F.lit(1e-7))), F.lit(0.0),
                         lambda a, x: a + x)
