@@ -5,10 +5,10 @@ partitioning-independent and reproducible in SQL.
 
 Scale note.  A per-group ``row_number`` over a hash puts a whole group in
 one task; strata and head classes can hold a third of all rows.
-``rank_select`` gives the *same exact* cut without that: it histograms the
+``rank_select`` gives the *same exact* ranks without that: it histograms the
 first 16 bits of the hash per group (partial aggregate, <= 65536 x groups
-rows), finds for each quota the one bucket the cut falls in, and ranks
-exactly only the rows of those boundary buckets (~ N / 65536 per group).
+rows), turns it into "rows before this bucket" with a running sum, and ranks
+rows only inside their (group, bucket) partition (~ N / 65536 rows each).
 """
 
 from __future__ import annotations
@@ -53,24 +53,14 @@ def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Map
     for name, fn in quotas.items():
         hist = hist.withColumn(f"_q_{name}", fn(F.col("_n")))
     qcols = [f"_q_{n}" for n in quotas]
-    straddle = None
-    for q in qcols:
-        s = (F.col("_before") < F.col(q)) & (F.col("_before") + F.col("_cnt") > F.col(q))
-        straddle = s if straddle is None else (straddle | s)
-    hist = hist.withColumn("_straddle", straddle)
-    j = base.join(hist, [*by, "_b"])
-    edge = j.filter("_straddle")
-    inner = j.filter(~F.col("_straddle"))
-    # exact rank only inside boundary buckets (small partitions)
-    edge = edge.withColumn("_rank", F.col("_before") + F.row_number().over(
+    # exact rank = rows of the group in lower buckets + rank inside the bucket;
+    # the window partitions by (group, bucket): ~N/65536 rows each, never a whole group
+    out = base.join(hist, [*by, "_b"])
+    out = out.withColumn("_rank", F.col("_before") + F.row_number().over(
         Window.partitionBy(*by, "_b").orderBy("_h", id_col)))
-    inner = inner.withColumn("_rank", F.lit(None).cast("long"))
-    out = inner.unionByName(edge)
     for name, q in zip(quotas, qcols):
-        sel = F.when(F.col("_rank").isNotNull(), F.col("_rank") <= F.col(q)).otherwise(
-            F.col("_before") + F.col("_cnt") <= F.col(q))
-        out = out.withColumn(name, sel)
-    return out.drop("_h", "_b", "_cnt", "_n", "_before", "_straddle", "_rank", *qcols)
+        out = out.withColumn(name, F.col("_rank") <= F.col(q))
+    return out.drop("_h", "_b", "_cnt", "_n", "_before", "_rank", *qcols)
 
 
 def stratified_test_split(df: DataFrame, strata_col: str, id_col: str, frac: float = 0.3, seed: int = 0,
