@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,3 +177,58 @@ def refine_to_target(df: DataFrame, target: Sequence[float], id_col: str = "row_
     res = base.withColumn("_x", x_of(nu)).select(
         id_col, F.zip_with("_ae", nu_arr, lambda a, n: a * F.col("_x") * F.exp(-n / F.col("_w"))).alias(out))
     return res, nu
+
+
+def _beta_udf(alpha: float, seed: int):
+    @F.pandas_udf("double")
+    def beta(cls: pd.Series, rank: pd.Series) -> pd.Series:
+        # one generator per slot, seeded by (seed, class, rank): partition-independent
+        return pd.Series([np.random.default_rng([seed, int(c), int(r)]).beta(alpha, alpha)
+                          for c, r in zip(cls, rank)], dtype="float64")
+    return beta
+
+
+def tail_feature_synthesis(lb: DataFrame, ulb: DataFrame, K: int, id_col: str = "row_id", feat_col: str = "feat",
+                           label_col: str = "label_id", probs_col: str = "probs", seed: int = 0,
+                           alpha: float = 0.75) -> DataFrame:
+    """THR19 (CoSSL TFE): top up every class to n_max labelled rows with
+    lam * x_member + (1 - lam) * x_donor, lam ~ Beta(alpha, alpha).
+
+    Donors of class c: the top (n_max - n_c) rows of the *other* labelled rows
+    and all unlabelled rows by p_c (the j-th synthetic row uses the j-th
+    donor).  Members: drawn with replacement from class c by a hashed index
+    into the class's exact rank.  Both ranks come from the bucketed
+    ``rank_select``; lam comes from a seeded Arrow UDF (per slot).
+    Output: labelled rows plus synthetic rows, ``(id, feat, label, synthetic)``.
+    """
+    from sslspark.functions.keys import hash_u
+    counts = lb.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
+    cls = lb.sparkSession.range(K).select(F.col("id").cast("int").alias("class_id"))
+    plan = (F.broadcast(cls).join(counts.withColumnRenamed(label_col, "class_id"), "class_id", "left")
+            .withColumn("n_c", F.coalesce("n_c", F.lit(0))))
+    plan = plan.withColumn("aug", F.max("n_c").over(Window.partitionBy()) - F.col("n_c"))  # K rows
+    pool = (lb.select(id_col, feat_col, probs_col, label_col)
+            .unionByName(ulb.select(id_col, feat_col, probs_col, F.lit(None).cast("int").alias(label_col))))
+    lng = (pool.select(id_col, feat_col, label_col, F.posexplode(probs_col).alias("class_id", "p"))
+           .withColumn("class_id", F.col("class_id").cast("int"))
+           .filter(~F.col(label_col).eqNullSafe(F.col("class_id")))
+           .join(F.broadcast(plan.select("class_id", "aug", "n_c")), "class_id")
+           .filter((F.col("aug") > 0) & (F.col("n_c") > 0)))
+    aug_map = plan.select(F.map_from_entries(F.collect_list(F.struct("class_id", "aug")))).scalar()  # K entries
+    donors = rank_select(lng, ["class_id"], id_col, seed,
+                         {"_d": lambda n: F.element_at(aug_map, F.col("class_id")).cast("long")},
+                         order_key=conf_key("p"), rank_col="slot").filter("_d")
+    members = rank_select(lb.select(id_col, feat_col, F.col(label_col).alias("class_id")), ["class_id"], id_col,
+                          seed + 1, {"_m": lambda n: n}, rank_col="m_rank")
+    slots = donors.select("class_id", "slot", F.col(feat_col).alias("x_donor"), "n_c")
+    slots = slots.withColumn("m_rank", (F.floor(hash_u(F.concat_ws(":", "class_id", "slot"), seed + 2) * F.col("n_c"))
+                                        + 1).cast("long"))
+    slots = slots.join(members.select("class_id", "m_rank", F.col(feat_col).alias("x_member")), ["class_id", "m_rank"])
+    slots = slots.withColumn("lam", _beta_udf(alpha, seed)(F.col("class_id"), F.col("slot")))
+    synth = slots.select(
+        F.concat_ws(":", F.lit("syn"), "class_id", "slot").alias(id_col),
+        F.zip_with("x_member", "x_donor", lambda a, b: F.col("lam") * a + (F.lit(1.0) - F.col("lam")) * b).alias(feat_col),
+        F.col("class_id").alias(label_col), F.lit(True).alias("synthetic"), "lam")
+    base = lb.select(F.col(id_col).cast("string").alias(id_col), feat_col, label_col, F.lit(False).alias("synthetic"),
+                     F.lit(None).cast("double").alias("lam"))
+    return base.unionByName(synth)

@@ -38,7 +38,7 @@ def bround_quota(frac: float) -> QuotaFn:
 
 
 def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Mapping[str, QuotaFn],
-                order_key: Column | None = None) -> DataFrame:
+                order_key: Column | None = None, rank_col: str | None = None) -> DataFrame:
     """For each quota q: flag rows whose rank inside their ``by`` group, in
     ``(md5(id:seed), id)`` order (or ``(order_key, id)``; a hex string whose
     first four digits spread the rows), is <= q(n).  Exact; no group in one task."""
@@ -60,6 +60,8 @@ def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Map
         Window.partitionBy(*by, "_b").orderBy("_h", id_col)))
     for name, q in zip(quotas, qcols):
         out = out.withColumn(name, F.col("_rank") <= F.col(q))
+    if rank_col:
+        out = out.withColumn(rank_col, F.col("_rank"))
     return out.drop("_h", "_b", "_cnt", "_n", "_before", "_rank", *qcols)
 
 

@@ -270,3 +270,15 @@ def q_fn16(spark, sf):
     return (m.select("batch_id", "mixed", F.posexplode("q").alias("class_id", "v"))
             .groupBy("batch_id", F.col("class_id").cast("int").alias("class_id"))
             .agg(r6(F.avg("v"), "p_mean"), F.sum(F.col("mixed").cast("long")).alias("n_mixed")))
+
+
+@query("thr19_tail_feature_synthesis")
+def q_thr19(spark, sf):
+    """CoSSL feature synthesis on the long-tailed fixture: rows per class after
+    synthesis (all equal n_max) and the lam range; rows-only check."""
+    imb = fx.imbalanced(spark, sf, keep_emb=True)
+    lb = imb.filter("role = 'labelled'").select("row_id", F.col("emb").alias("feat"), "probs", "label_id")
+    ulb = imb.filter("role = 'unlabelled'").select("row_id", F.col("emb").alias("feat"), "probs")
+    out = imbalance.tail_feature_synthesis(lb, ulb, K, seed=3)
+    return out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("synthetic").cast("long")).alias("n_synthetic"),
+                                       r6(F.min("lam"), "lam_min"), r6(F.max("lam"), "lam_max"))
