@@ -40,6 +40,24 @@ def text_pipeline(text_col: str, label_col: str, weight_col: str | None = None,
     return Pipeline(stages=[tok, tf, idf, lr])
 
 
+def term_frequencies(df: DataFrame, text_col: str, num_features: int = 1 << 16) -> DataFrame:
+    """Tokenise and hash the whole text once (``_tf`` vectors), checkpointed:
+    self-training rounds refit only IDF + the classifier on these."""
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    return cut_lineage(tf.transform(tok.transform(df)).drop("_tok", text_col))
+
+
+def _fit_tf(train_tf: DataFrame, label_col: str, weight_col: str | None = None, max_iter: int = 30,
+            reg: float = 0.01) -> PipelineModel:
+    idf = IDF(inputCol="_tf", outputCol="_features")
+    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial", maxIter=max_iter,
+                            regParam=reg, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
+    if weight_col:
+        lr.setWeightCol(weight_col)
+    return Pipeline(stages=[idf, lr]).fit(train_tf)
+
+
 def fit_baseline(train: DataFrame, text_col: str, label_col: str, weight_col: str | None = None,
                  **kw) -> PipelineModel:
     """JOB4: supervised text classifier (one per task)."""
@@ -54,10 +72,6 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> Data
         .withColumns({"pl": argmax("probs"), "conf": confidence("probs")})
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    return cut_lineage(df)
-
-
 def self_train(labelled: DataFrame, unlabelled: DataFrame, evaluation: DataFrame, id_col: str, text_col: str,
                label_col: str, rounds: int = 3, tau: float = 0.9, strong_text_col: str | None = None,
                patience: int = 20, **kw) -> DataFrame:
@@ -65,18 +79,22 @@ def self_train(labelled: DataFrame, unlabelled: DataFrame, evaluation: DataFrame
     view's text with ``weight = mask`` -> refit on labelled ∪ pseudo-labelled;
     per-round accuracy on ``evaluation``, best round (WIN14 / WIN15)."""
     strong = strong_text_col or text_col
-    lb = labelled.select(id_col, F.col(text_col).alias("_text"), F.col(label_col).cast("double").alias("_y"),
-                         F.lit(1.0).alias("_w"))
+    kw_fit = {k: v for k, v in kw.items() if k in ("max_iter", "reg")}
+    lb = term_frequencies(labelled.select(id_col, text_col, F.col(label_col).cast("double").alias("_y"),
+                                          F.lit(1.0).alias("_w")), text_col)
+    ev_tf = term_frequencies(evaluation.select(id_col, text_col, label_col), text_col)
+    u_weak = term_frequencies(unlabelled.select(id_col, text_col), text_col)
+    u_strong = term_frequencies(unlabelled.select(id_col, F.col(strong).alias("_strong_text")), "_strong_text")
     train = lb
     reports = []
     for r in range(rounds):
-        model = fit_baseline(train, "_text", "_y", "_w", **kw)
-        ev = score(model, evaluation.withColumnRenamed(text_col, "_text"), [id_col, label_col])
+        model = _fit_tf(train, "_y", "_w", **kw_fit)
+        ev = score(model, ev_tf, [id_col, label_col])
         acc = metrics.accuracy(ev.withColumn("truth", F.col(label_col).cast("int")).withColumnRenamed("pl", "pred"))
-        u = unlabelled.select(id_col, F.col(text_col).alias("_text"), F.col(strong).alias("_strong"))
-        sc = score(model, u, [id_col, "_strong"])
-        pseudo = _checkpointed(sc.filter(F.col("conf") >= F.lit(tau)).select(
-            id_col, F.col("_strong").alias("_text"), F.col("pl").cast("double").alias("_y"), F.lit(1.0).alias("_w")))
+        sc = score(model, u_weak, [id_col]).filter(F.col("conf") >= F.lit(tau))
+        # keep the strong view's features for the selected rows, weight = mask (1)
+        pseudo = cut_lineage(sc.select(id_col, F.col("pl").cast("double").alias("_y"), F.lit(1.0).alias("_w"))
+                             .join(u_strong, id_col))
         n_pseudo = pseudo.count()
         reports.append(acc.select(F.lit(r).alias("round_no"), "accuracy", F.lit(n_pseudo).alias("n_pseudo")))
         train = lb.unionByName(pseudo)
@@ -93,17 +111,20 @@ def generational_self_train(labelled: DataFrame, unlabelled: DataFrame, evaluati
     """JOB8 (CReST): each generation refits from scratch on labelled ∪ the
     per-class quota of the most confident pseudo-labelled rows (WIN8)."""
     from sslspark.operators.imbalance import crest_quota
-    lb = labelled.select(id_col, F.col(text_col).alias("_text"), F.col(label_col).cast("double").alias("_y"))
+    kw_fit = {k: v for k, v in kw.items() if k in ("max_iter", "reg")}
+    lb = term_frequencies(labelled.select(id_col, text_col, F.col(label_col).cast("double").alias("_y")), text_col)
+    ev_tf = term_frequencies(evaluation.select(id_col, text_col, label_col), text_col)
+    u_tf = term_frequencies(unlabelled.select(id_col, text_col), text_col)
     train = lb
     rates = crest_quota(K, imb_ratio, alpha)
     reports = []
     for g in range(generations):
-        model = fit_baseline(train, "_text", "_y", **kw)
-        ev = score(model, evaluation.withColumnRenamed(text_col, "_text"), [id_col, label_col])
+        model = _fit_tf(train, "_y", **kw_fit)
+        ev = score(model, ev_tf, [id_col, label_col])
         acc = metrics.accuracy(ev.withColumn("truth", F.col(label_col).cast("int")).withColumnRenamed("pl", "pred"))
-        sc = score(model, unlabelled.withColumnRenamed(text_col, "_text"), [id_col, "_text"])
+        sc = score(model, u_tf, [id_col, "_tf"])
         picked = top_confident_per_class(sc, rates, id_col=id_col).filter("picked")
-        picked = _checkpointed(picked.select(id_col, "_text", F.col("pl").cast("double").alias("_y")))
+        picked = cut_lineage(picked.select(id_col, "_tf", F.col("pl").cast("double").alias("_y")))
         reports.append(acc.select(F.lit(g).alias("generation"), "accuracy", F.lit(picked.count()).alias("n_picked")))
         train = lb.unionByName(picked)
     rep = reports[0]
