@@ -212,3 +212,25 @@ def test_select_views_presets(spark):
     # multi-task preset (T6): weak = text, strong views = umls, umls
     m = {r.id: (r.text_w, r.text_s) for r in encode.select_views(df, "mtl_fixmatch", "id", preset="multi_task").collect()}
     assert m[1] == ("t", "u1") and m[2] == ("t2", None)
+
+
+def test_weighted_resample_exact_size_no_duplicates(spark):
+    df = spark.createDataFrame([(i, 1.0 + (i % 4)) for i in range(500)], "row_id long, w double")
+    s = split.resample_weighted(df, "row_id", "w", 120, seed=5)
+    ids = [r.row_id for r in s.collect()]
+    assert len(ids) == 120 and len(set(ids)) == 120
+
+
+def test_tail_feature_synthesis_balances_classes(spark):
+    from sslspark.operators.imbalance import tail_feature_synthesis
+    lb_rows = [(i, [float(i), 1.0], [0.8, 0.2] if i < 6 else [0.3, 0.7], 0 if i < 6 else 1) for i in range(8)]
+    lb = spark.createDataFrame(lb_rows, "row_id long, feat array<double>, probs array<double>, label_id int")
+    ulb = spark.createDataFrame([(100 + i, [0.0, float(i)], [0.1 * (i % 10), 1 - 0.1 * (i % 10)]) for i in range(20)],
+                                "row_id long, feat array<double>, probs array<double>")
+    out = tail_feature_synthesis(lb, ulb, 2, seed=1)
+    counts = {r.label_id: r.n for r in out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {0: 6, 1: 6}
+    syn = out.filter("synthetic").collect()
+    assert len(syn) == 4 and all(0.0 <= r.lam <= 1.0 for r in syn)
+    again = {r.row_id: r.lam for r in tail_feature_synthesis(lb, ulb, 2, seed=1).filter("synthetic").collect()}
+    assert again == {r.row_id: r.lam for r in syn}
