@@ -234,3 +234,14 @@ def test_tail_feature_synthesis_balances_classes(spark):
     assert len(syn) == 4 and all(0.0 <= r.lam <= 1.0 for r in syn)
     again = {r.row_id: r.lam for r in tail_feature_synthesis(lb, ulb, 2, seed=1).filter("synthetic").collect()}
     assert again == {r.row_id: r.lam for r in syn}
+
+
+def test_write_split_and_predictions(spark):
+    d = tempfile.mkdtemp(prefix="sslspark-sink-", dir="/tmp")
+    df = spark.createDataFrame([(1, "train", 0, 0), (2, "test", 1, 2)], "id long, split string, truth int, pred int")
+    io.write_split(df, f"{d}/splits", partition_by=["split"])
+    back = spark.read.parquet(f"{d}/splits")
+    assert sorted((r.id, r.split) for r in back.collect()) == [(1, "train"), (2, "test")]
+    io.write_predictions(df, f"{d}/preds", "truth", "pred", keep=["id"])
+    got = {r.id: r.mismatch for r in spark.read.parquet(f"{d}/preds").collect()}
+    assert got == {1: False, 2: True}
