@@ -221,13 +221,14 @@ def adsh_thresholds(df: DataFrame, probs_col: str = "probs", id_col: str = "row_
     head = d.filter(F.col("pl") == 0).agg(F.count(F.lit(1)).alias("n0"),
                                            F.count_if(F.col("conf") >= F.lit(tau)).alias("hi"))
     rho = head.select(F.when(F.col("hi") >= 1, (F.col("hi") - 1) / F.col("n0")).otherwise(F.lit(1.0))).scalar()
-    key = F.lpad(F.hex(F.floor((F.lit(1.0) - F.col("conf")) * F.lit(float(2 ** 52))).cast("long")), 13, "0")
+    from sslspark.operators.imbalance import conf_key
+    key = conf_key("conf")
 
     def quota(n: Column) -> Column:
         rr = F.floor(n.cast("double") * rho).cast("long")
         return F.when(rr == 0, n).otherwise(rr)
 
-    sel = rank_select(d, ["pl"], id_col, 0, {"_top": quota}, order_key=key)
+    sel = rank_select(d, ["pl"], id_col, 0, {"_top": quota}, order_key=key, within=[F.desc("conf")])
     th = sel.filter("_top").groupBy("pl").agg(F.min("conf").alias("threshold"))
     cls = batch_class_grid(d.select(F.lit(0).alias("_b")), "_b", K).select(F.col("class_id").alias("pl"))
     return (cls.join(th, "pl", "left")

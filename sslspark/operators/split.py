@@ -38,10 +38,13 @@ def bround_quota(frac: float) -> QuotaFn:
 
 
 def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Mapping[str, QuotaFn],
-                order_key: Column | None = None, rank_col: str | None = None) -> DataFrame:
+                order_key: Column | None = None, rank_col: str | None = None,
+                within: Sequence[Column] | None = None) -> DataFrame:
     """For each quota q: flag rows whose rank inside their ``by`` group, in
     ``(md5(id:seed), id)`` order (or ``(order_key, id)``; a hex string whose
-    first four digits spread the rows), is <= q(n).  Exact; no group in one task."""
+    first four digits spread the rows), is <= q(n).  Exact; no group in one task.
+    ``within``: exact sort columns inside a bucket (the bucket key must be
+    non-decreasing in that order), e.g. ``[F.desc("conf")]``."""
     by = list(by)
     h = hash_key(id_col, seed) if order_key is None else order_key
     base = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
@@ -56,8 +59,9 @@ def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Map
     # exact rank = rows of the group in lower buckets + rank inside the bucket;
     # the window partitions by (group, bucket): ~N/65536 rows each, never a whole group
     out = base.join(hist, [*by, "_b"])
+    order = list(within) if within else [F.col("_h")]
     out = out.withColumn("_rank", F.col("_before") + F.row_number().over(
-        Window.partitionBy(*by, "_b").orderBy("_h", id_col)))
+        Window.partitionBy(*by, "_b").orderBy(*order, id_col)))
     for name, q in zip(quotas, qcols):
         out = out.withColumn(name, F.col("_rank") <= F.col(q))
     if rank_col:
@@ -199,11 +203,11 @@ def resample_weighted(df: DataFrame, id_col: str, weight_col: str, n: int, seed:
     """SMP2 without replacement: Efraimidis-Spirakis keys ``u^(1/w)``; the n
     largest keys are the sample.  The key is turned into an ascending hex
     string so the exact, bucketed ``rank_select`` applies (no single-task top-n)."""
-    key = F.pow(hash_u(id_col, seed), F.lit(1.0) / F.col(weight_col))
-    hexkey = F.lpad(F.hex(F.floor((F.lit(1.0) - key) * F.lit(float(2 ** 52))).cast("long")), 13, "0")
-    sel = rank_select(df.withColumn("_all", F.lit(0)), ["_all"], id_col, seed,
-                      {"_pick": lambda _n: F.lit(int(n)).cast("long")}, order_key=hexkey)
-    return sel.filter("_pick").drop("_pick", "_all")
+    from sslspark.operators.imbalance import conf_key
+    d = df.withColumn("_es", F.pow(hash_u(id_col, seed), F.lit(1.0) / F.col(weight_col))).withColumn("_all", F.lit(0))
+    sel = rank_select(d, ["_all"], id_col, seed, {"_pick": lambda _n: F.lit(int(n)).cast("long")},
+                      order_key=conf_key("_es"), within=[F.desc("_es")])
+    return sel.filter("_pick").drop("_pick", "_all", "_es")
 
 
 def class_balanced_weights(counts: DataFrame, count_col: str = "n", out: str = "weight",
