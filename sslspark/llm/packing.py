@@ -13,113 +13,136 @@ the id and the text are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sslspark.llm.common import stored
 
+#: The split pattern of byte-level tokenizers (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CODERS: dict[tuple[str, int], WordCoder] = {}
 
 
-class WordCoder:
-    """Token ids of a text, put together from memorised words.
+class Coder:
+    """Token ids of many texts, each different word encoded once.
 
     A byte-level BPE tokeniser with the usual split pattern never merges
-    across a single space between two other characters (nor across a single
-    line break between two, nor between a letter and a mark after it), so the
-    ids of a text are the ids of its words in turn.  ``max_words`` bounds the
-    memory; words beyond it are encoded anew, with the same result.
+    across a single space between two other characters, so the ids of a text
+    are the ids of its words (each with the space before it) in turn.  The
+    different words of a batch are encoded together and parted where the
+    tokens' bytes reach the words' ends, by a faster encoder that is given the
+    tokenizer's own vocabulary and is compared with it on every batch.  Texts
+    with white space in a row or added tokens go to the tokenizer itself.
     """
 
-    def __init__(self, path: str, max_words: int):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        import tiktoken
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.max_words = max_words
-        self.line_break = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: str, lead: str) -> bytes:
-        """Ids of ``lead + word``; lead is a space or nothing."""
-        known = self.inner if lead else self.first
-        if (ids := known.get(word)) is not None:
-            return ids
-        lines = word.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return self.line_break.join([self.word(lines[0], lead), *(self.word(x, "") for x in lines[1:])])
-        if len(word) > 1 and word[-1] in ",.;:!?" and word[-2].isalpha():
-            ids = self.word(word[:-1], lead) + self.word(word[-1], "")
-        else:
-            ids = self._ids(lead + word)
-        if len(word) <= 48:
-            if len(known) >= self.max_words:
-                known.clear()
-            known[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
-        if not text:
-            return b""
-        words = text.split(" ")
-        out = list(map(self.inner.get, words))
-        if None in out or not words[0]:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    w = words[k]
-                    if not w and k or w[:1].isspace() or w[-1:].isspace():  # white space in a row: cut elsewhere
-                        words = _CUT.split(text)
-                        return b"".join([self.word(words[0], ""), *(self.word(x, " ") for x in words[1:])])
-                    out[k] = self.word(w, " ") if k else b""
-        out[0] = self.word(words[0], "") if words[0] else b""
-        return b"".join(out)
-
-
-def coder(path: str, max_words: int) -> WordCoder:
-    """One coder for each Python worker; its memory outlives a task."""
-    if (path, max_words) not in _CODERS:
-        _CODERS[path, max_words] = WordCoder(path, max_words)
-    return _CODERS[path, max_words]
+        tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or kind["post_processor"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+            raise ValueError("a byte-level BPE tokenizer with the usual split pattern is needed")
+        self.encode = tokenizer.encode
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow at 256
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+        ranks = {bytes(byte_of[c] for c in t): k for t, k in tokenizer.get_vocab(with_added_tokens=True).items() if t not in self.added}
+        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.n_bytes[list(ranks.values())] = list(map(len, ranks))
+        self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def text(self, text: str) -> np.ndarray:
+        """Ids of a text, cut where single spaces stand between words."""
+        first, *rest = _CUT.split(text)
+        return np.array([i for x in (first, *(" " + x for x in rest)) for i in self.encode(x, add_special_tokens=False).ids], "<u4")
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each, one after the other, and
+        the number of each word's ids.  The words have no white space at
+        their ends."""
+        kind = pa.large_string()
+        spaced = pc.binary_join_element_wise(pa.scalar("", kind), words, pa.scalar(" ", kind))
+        ends = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset + 1:spaced.offset + len(spaced) + 1]
+        data = spaced.buffers()[2].to_pybytes() if len(spaced) else b""
+        begin = int(ends[0]) - len(spaced[0].as_py().encode()) if len(spaced) else 0
+        marks = [begin, *ends[4095::4096].tolist()]
+        if len(spaced) and marks[-1] != ends[-1]:
+            marks.append(int(ends[-1]))
+        found = [np.array(self.fast(data[a:b].decode()), "<u4") for a, b in zip(marks, marks[1:])]
+        if found and self.encode(trial := data[begin:ends[:200][-1]].decode(), add_special_tokens=False).ids != self.fast(trial):
+            raise ValueError("the tokenizer's ids are not those of its vocabulary by rank")
+        ids = np.concatenate(found) if found else np.empty(0, "<u4")
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends - begin) + 1
+        if len(cuts) and cuts[-1] != len(ids):
+            raise ValueError("the tokens don't spell the words")
+        return ids, np.diff(cuts, prepend=0)
+
+    def texts(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """Little-endian unsigned 32-bit ids of each text, ``end_id`` last."""
+        split = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
+        begins = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        place, known = words.indices.to_numpy().astype(np.int64), words.dictionary
+        bare = pc.utf8_trim_whitespace(known)
+        bad = ~np.asarray(pc.equal(bare, known)) | (np.asarray(pc.binary_length(known)) == 0)
+        for added in self.added:
+            bad |= np.asarray(pc.match_substring(known, added))
+        odd = bad[place]  # white space in a row: these texts are cut by a pattern
+        odd[begins] &= np.asarray(pc.binary_length(known))[place[begins]] > 0
+        doc = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(place))))
+        ids, sizes = self.words(known.filter(pa.array(~bad)))
+        size = np.zeros(len(known), np.int64)
+        size[~bad] = sizes
+        first = pc.take(known, pa.array(place[begins])).to_pylist()  # words without a space before them
+        more = [np.array(self.encode(x, add_special_tokens=False).ids, "<u4") for x in first]
+        for d in np.unique(doc[odd]).tolist():
+            more[d] = self.text(texts[d].as_py())
+            place[begins[d]:begins[d + 1] if d + 1 < len(begins) else len(place)] = len(known) + len(more)
+        place[begins] = len(known) + np.arange(len(more))
+        size = np.concatenate([size, np.fromiter(map(len, more), np.int64, len(more)), [0, 1]])  # nothing, the end
+        source = np.concatenate([ids, *more, np.array([end_id], "<u4")])
+        all_places = np.full(len(place) + len(begins), len(size) - 1)
+        all_places[np.arange(len(place)) + doc] = place
+        count = size[all_places]
+        ends = np.cumsum(count)
+        take = np.repeat((np.cumsum(size) - size)[all_places] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+        last_word = np.append(begins[1:], len(place)) + np.arange(len(begins))
+        offsets = np.concatenate(([0], ends[last_word] * 4)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(source[take])]).cast(pa.binary())
 
 
 def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-             end_id: int = 0, max_words: int = 700_000) -> DataFrame:
+             end_id: int = 0) -> DataFrame:
     """First pass: ``part, at, n, <id>, ids`` with the ids of each document
     (unsigned 32-bit, little-endian) and its offset within its partition.
     Written to the shared folder, so the offsets stay fixed."""
     kind = docs.schema[id_col].dataType.simpleString()
-    out = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64())])
-    end = array("I", [end_id]).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, code = TaskContext.get().partitionId(), 0, coder(tokenizer, max_words)
+        part, at, code = TaskContext.get().partitionId(), 0, Coder(tokenizer)
         for batch in batches:
             row = 0
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)))
             while row < batch.num_rows:  # rows by bytes, so very long texts stay apart
-                ids, starts, counts, size = [], [], [], 0
-                from_row = row
-                while row < batch.num_rows and size < 8_000_000:
-                    x = code.text(batch.column(1)[row].as_py() or "") + end
-                    ids.append(x)
-                    starts.append(at)
-                    counts.append(len(x) // 4)
-                    at += len(x) // 4
-                    size += len(x)
-                    row += 1
+                upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 12_000_000)))
+                ids = code.texts(batch.column(1).slice(row, upto - row), end_id)
+                counts = np.asarray(pc.binary_length(ids)).astype(np.int64) // 4
+                starts = at + np.cumsum(counts) - counts
+                at += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), out.field(0).type), pa.array(starts, out.field(1).type),
-                     pa.array(counts, out.field(2).type), batch.column(0).slice(from_row, row - from_row),
-                     pa.array(ids, pa.binary())], names=["part", "at", "n", id_col, "ids"])
+                    [pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), batch.column(0).slice(row, upto - row), ids],
+                    names=["part", "at", "n", id_col, "ids"])
+                row = upto
 
     return stored(docs.select(id_col, text_col).mapInArrow(
         run, f"part int, at long, n long, `{id_col}` {kind}, ids binary"), "tokens")
@@ -197,6 +220,6 @@ def sequences(placed: DataFrame, length: int = 1024) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text",
-         end_id: int = 0, max_words: int = 700_000) -> DataFrame:
+         end_id: int = 0) -> DataFrame:
     """Pack ``docs``; see ``pieces`` for the columns."""
-    return pieces(place(tokenise(docs, tokenizer, id_col, text_col, end_id, max_words)), length, id_col)
+    return pieces(place(tokenise(docs, tokenizer, id_col, text_col, end_id)), length, id_col)

@@ -67,11 +67,8 @@ def test_packing_round_trip(spark, docs):
     assert windows == {k: stream[256 * k:256 * k + 256] for k in range(-(-len(stream) // 256))}
 
 
-def test_packing_small_memory_and_empty(spark, docs):
+def test_packing_empty(spark, docs):
     df, _ = docs
-    small = packing.pack(df, tokenizer_path(), max_words=3).select("doc_id", F.crc32("ids")).collect()
-    usual = packing.pack(df, tokenizer_path()).select("doc_id", F.crc32("ids")).collect()
-    assert sorted(small) == sorted(usual)
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
 
 
