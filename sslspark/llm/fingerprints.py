@@ -109,8 +109,8 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
     x = docs.select(F.coalesce(F.col(id_col).cast("double"), F.lit(float("nan"))).alias("_x"), id_col, text_col)
     inner = x.where(~F.isnan("_x")).approxQuantile("_x", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
     cuts = [-math.inf, *sorted(set(inner)), math.inf]
-    rows = (Bucketizer(splits=cuts, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(x)
-            .select(F.col("_b").cast("int").alias("bucket"), id_col, text_col))
+    rows = (Bucketizer(splits=cuts if len(cuts) > 2 else [-math.inf, 0.0, math.inf], inputCol="_x", outputCol="_b", handleInvalid="keep")
+            .transform(x).select(F.col("_b").cast("int").alias("bucket"), id_col, text_col))
     firsts = (rows.groupBy("bucket").agg(F.min(id_col).alias("first"), F.max(F.col(id_col).isNull()).alias("none")))
     around = Window.orderBy("bucket")
     firsts = firsts.select("bucket", "first", "none", F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(

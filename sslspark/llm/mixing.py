@@ -7,8 +7,8 @@ hold.  A document's sampling probability is its cell's fitted weight over its
 tokens, scaled so that the largest is 1: the expected token shares of the
 sample are the targets.  The draw is a hash of the id, so it can be repeated.
 
-Only cells are iterated on, never rows; each round is written to the shared
-folder and gives the driver one number.
+Only cells are iterated on, never rows; every few rounds they are written to
+the shared folder and give the driver one number.
 
 Defined cases: null and empty levels are one level; null texts have no tokens;
 cells without tokens have probability 1 (they carry no weight); equal rows get
@@ -46,16 +46,16 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(dim, (F.col("target") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], max_rounds: int = 60, tolerance: float = 1e-9) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], max_rounds: int = 60, tolerance: float = 1e-8, stride: int = 5) -> tuple[DataFrame, float]:
     """``cells(*dims, tokens)`` with ``weight`` appended, and the residual."""
     names = list(targets)
     base = cells
     for d in names:
         base = base.join(targets[d].withColumnRenamed("target", f"t_{d}"), d, "left").fillna(0.0, [f"t_{d}"])
     cur, error = stored(base.withColumn("weight", F.col("tokens").cast("double")), "cells"), 0.0
-    for _ in range(max_rounds):
+    for _ in range(0, max_rounds, stride):
         step = cur
-        for d in names:
+        for d in names * stride:
             sums = step.groupBy(d).agg(F.sum("weight").alias("s"))
             step = step.join(sums, d).withColumn("weight", F.when(F.col("s") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("s")).otherwise(0.0)).drop("s")
         cur = stored(step, "cells")
