@@ -19,7 +19,7 @@ largest relative error in ``residual``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sslspark.llm.common import stored
@@ -55,9 +55,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_rounds: int = 60,
     cur, error = stored(base.withColumn("weight", F.col("tokens").cast("double")), "cells"), 0.0
     for _ in range(0, max_rounds, stride):
         step = cur
-        for d in names * stride:
-            sums = step.groupBy(d).agg(F.sum("weight").alias("s"))
-            step = step.join(sums, d).withColumn("weight", F.when(F.col("s") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("s")).otherwise(0.0)).drop("s")
+        for d in names * stride:  # a window, as a join with its own sums would double the plan each time
+            total = F.sum("weight").over(Window.partitionBy(d))
+            step = step.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"t_{d}") / total).otherwise(0.0))
         cur = stored(step, "cells")
         gaps = [cur.groupBy(d).agg(F.sum("weight").alias("s"), F.first(f"t_{d}").alias("t"))
                 .select(F.max(F.abs(F.when(F.col("t") > 0, F.col("s") / F.col("t") - 1).otherwise(F.col("s")))).alias("e")) for d in names[:-1]]
