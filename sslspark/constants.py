@@ -49,7 +49,3 @@ VIEW_PRESETS = {
     "single_task": ("umls", "sr", "ri"),
     "multi_task": ("text", "umls", "umls"),
 }
-
-# Upper bound on the number of classes for any K-sized state that is
-# attached to rows as a literal or broadcast (vocabularies are tiny).
-MAX_CLASSES = 10_000

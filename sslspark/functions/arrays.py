@@ -260,6 +260,3 @@ def class_temper(prior_ratio, tro: float = 1.0, A: float = 2.0, B: float = 2.0):
     neg = F.transform(la, lambda x: -x)
     t_logit = F.transform(softmax(neg), lambda x: F.lit(float(A)) * x + F.lit(float(B)))
     return la, t_logit
-
-
-LOG_EPS = math.log(1e-7)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["hash_key", "hash_u", "hash_bit"]
+__all__ = ["hash_key", "hash_u", "hash_u52", "hash_bit"]
 
 
 def hash_key(id_col, seed) -> Column:
@@ -23,6 +23,11 @@ def hash_u(id_col, seed) -> Column:
     return F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def hash_u52(id_col, seed) -> Column:
+    """Uniform (0, 1), never 0, from the first 13 hex digits of the md5 key."""
+    return (F.conv(F.substring(hash_key(id_col, seed), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
+
+
 def hash_bit(id_col, seed, modulo: int = 2) -> Column:
     """Small integer in [0, modulo) from the md5 key."""
     return (F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("long") % F.lit(modulo)).cast("int")

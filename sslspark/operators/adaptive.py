@@ -19,7 +19,7 @@ from sslspark.functions.arrays import (
 )
 from sslspark.operators.aggs import mean_probs_by_batch
 from sslspark.operators.split import rank_select
-from sslspark.operators.state import as_vector_per_batch, batch_class_grid, ema, queue_mean, running_sum
+from sslspark.operators.state import as_vector_per_batch, batch_class_grid, dense_steps, ema, last_value, queue_mean, running_sum
 
 __all__ = ["align_distribution", "flexmatch_mask", "freematch_mask", "softmatch_weight", "adamatch_mask",
            "dash_mask", "adsh_thresholds", "adsh_mask", "debiased_probs", "fairness_entropy"]
@@ -106,10 +106,12 @@ def flexmatch_mask(df: DataFrame, id_col: str = "row_id", batch_col: str = "batc
     denom = F.greatest("_maxc", "_neg") if warmup else F.col("_maxc")
     g = g.withColumn("_acc_new", F.when(~all_same, F.col("_cnt") / denom))
     # carry the last updated value forward; before any update a_c = 0
-    wl = Window.partitionBy("class_id").orderBy(batch_col).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_acc", F.coalesce(F.last("_acc_new", ignorenulls=True).over(wl), F.lit(0.0)))
-    # state after batch t is used by batch t + 1
-    st = _state_vec(g.withColumn(batch_col, F.col(batch_col) + 1), batch_col, "_acc", "_cw")
+    g = last_value(g, ["class_id"], batch_col, "_acc_new", 0.0, "_acc")
+    # the state after a batch is used by the next batch that there is
+    steps = dense_steps(d, batch_col)
+    after = steps.select((F.col("_step") - 1).alias("_step"), F.col(batch_col).alias("_next"))
+    g = g.join(steps.join(after, "_step").select(batch_col, "_next"), batch_col).withColumn(batch_col, F.col("_next"))
+    st = _state_vec(g, batch_col, "_acc", "_cw")
     j = d.join(st, batch_col, "left").withColumn("_cw", F.coalesce("_cw", vec_lit([0.0] * K)))
     a_c = element("_cw", "_pl")
     return (j.withColumn("classwise_acc", a_c)
@@ -221,14 +223,12 @@ def adsh_thresholds(df: DataFrame, probs_col: str = "probs", id_col: str = "row_
     head = d.filter(F.col("pl") == 0).agg(F.count(F.lit(1)).alias("n0"),
                                            F.count_if(F.col("conf") >= F.lit(tau)).alias("hi"))
     rho = head.select(F.when(F.col("hi") >= 1, (F.col("hi") - 1) / F.col("n0")).otherwise(F.lit(1.0))).scalar()
-    from sslspark.operators.imbalance import conf_key
-    key = conf_key("conf")
 
     def quota(n: Column) -> Column:
         rr = F.floor(n.cast("double") * rho).cast("long")
         return F.when(rr == 0, n).otherwise(rr)
 
-    sel = rank_select(d, ["pl"], id_col, 0, {"_top": quota}, order_key=key, within=[F.desc("conf")])
+    sel = rank_select(d, ["pl"], id_col, 0, {"_top": quota}, score=F.col("conf"))
     th = sel.filter("_top").groupBy("pl").agg(F.min("conf").alias("threshold"))
     cls = batch_class_grid(d.select(F.lit(0).alias("_b")), "_b", K).select(F.col("class_id").alias("pl"))
     return (cls.join(th, "pl", "left")

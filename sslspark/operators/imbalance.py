@@ -18,23 +18,10 @@ from sslspark.functions.arrays import argmax, confidence, element, sharpen
 from sslspark.functions.keys import hash_u
 from sslspark.operators.split import rank_select
 
-__all__ = ["conf_key", "crest_quota", "top_confident_per_class", "top_k_mass_per_class", "blend_pseudo_label",
+__all__ = ["crest_quota", "top_confident_per_class", "top_k_mass_per_class", "blend_pseudo_label",
            "sort_classes_by_frequency", "hard_donors", "interpolate_tail"]
 
 
-def conf_key(c) -> Column:
-    """Ascending hex bucket key for a descending order on a [0, 1] score.
-
-    Log-spread in (1 - score), so scores crowding near 1 still fall into
-    different buckets (each bucket spans ~1 % of 1 - score).  The key is only
-    used to bucket; callers sort exactly by the score inside a bucket."""
-    c = F.col(c) if isinstance(c, str) else c
-    x = F.greatest(F.lit(1.0) - c, F.lit(0.0))
-    y = (F.log(x + F.lit(1e-300)) - F.lit(math.log(1e-300))) / F.lit(-math.log(1e-300))
-    y = F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))
-    return F.lpad(F.hex(F.floor(y * F.lit(float(2 ** 52 - 1))).cast("long")), 13, "0")
-
-
 def crest_quota(K: int, imb_ratio: float, alpha: float, by: str = "class_id",
                 class_order: Sequence[int] | None = None) -> list[float]:
     """WIN8 keep-rate per class: (mu^(K-1-e))^(1/alpha), mu = (1/imb)^(1/(K-1)).
@@ -49,7 +36,7 @@ def crest_quota(K: int, imb_ratio: float, alpha: float, by: str = "class_id",
             raise ValueError("by='rank' needs class_order")
         e = [0] * K
         for r, c in enumerate(class_order):
-            e[c] = K - 1 - r
+            e[c] = r
     return [math.pow(math.pow(mu, (K - 1) - e[c]), 1.0 / alpha) for c in range(K)]
 
 
@@ -60,8 +47,7 @@ def top_confident_per_class(df: DataFrame, rates: Sequence[float] | Column, id_c
     d = df.withColumns({"_conf": confidence(probs_col), "_pl": argmax(probs_col)})
     arr = rates if isinstance(rates, Column) else F.array(*[F.lit(float(r)) for r in rates])
     q = lambda n: F.floor(n.cast("double") * F.element_at(arr, F.col("_pl") + 1)).cast("long")
-    return rank_select(d, ["_pl"], id_col, 0, {out: q}, order_key=conf_key("_conf"),
-                       within=[F.desc("_conf")]).drop("_conf", "_pl")
+    return rank_select(d, ["_pl"], id_col, 0, {out: q}, score=F.col("_conf")).drop("_conf", "_pl")
 
 
 def top_k_mass_per_class(df: DataFrame, target_counts: Sequence[float], alpha: float, K: int,
@@ -75,7 +61,7 @@ def top_k_mass_per_class(df: DataFrame, target_counts: Sequence[float], alpha: f
     quota = F.array(*[F.lit(int(alpha * q)) for q in target_counts])
     sel = rank_select(lng, ["class_id"], id_col, 0,
                       {"_top": lambda n: F.element_at(quota, F.col("class_id") + 1).cast("long")},
-                      order_key=conf_key("p"), within=[F.desc("p")])
+                      score=F.col("p"))
     flags = sel.filter("_top").select(id_col, "class_id", "p")
     mass = flags.groupBy("class_id").agg(F.sum("p").alias("k_prob"))
     qt = df.sparkSession.createDataFrame([(c, float(q)) for c, q in enumerate(target_counts)], "class_id int, q double")
@@ -109,7 +95,7 @@ def hard_donors(df: DataFrame, K: int, size: int, id_col: str = "row_id", probs_
            .withColumn("class_id", F.col("class_id").cast("int"))
            .filter(~F.col(label_col).eqNullSafe(F.col("class_id"))))
     sel = rank_select(lng, ["class_id"], id_col, 0, {"_top": lambda n: F.lit(int(size)).cast("long")},
-                      order_key=conf_key("p"), within=[F.desc("p")])
+                      score=F.col("p"))
     return sel.filter("_top").drop("_top")
 
 
@@ -126,7 +112,7 @@ def interpolate_tail(df: DataFrame, feat_col: str, donor_col: str, label_col: st
 
 
 def refine_to_target(df: DataFrame, target: Sequence[float], id_col: str = "row_id", probs_col: str = "probs",
-                     num_iter: int = 10, num_secant: int = 30, tol: float = 0.1, out: str = "probs_refined"):
+                     num_iter: int = 10, num_secant: int = 500, tol: float = 0.1, out: str = "probs_refined"):
     """THR14 (DARP): rescale probabilities so class masses match ``target``
     (row sums stay 1), with entropy weights w_i = 1 / H(p_i).
 
@@ -225,7 +211,7 @@ def tail_feature_synthesis(lb: DataFrame, ulb: DataFrame, K: int, id_col: str =
     aug_map = plan.select(F.map_from_entries(F.collect_list(F.struct("class_id", "aug")))).scalar()  # K entries
     donors = rank_select(lng, ["class_id"], id_col, seed,
                          {"_d": lambda n: F.element_at(aug_map, F.col("class_id")).cast("long")},
-                         order_key=conf_key("p"), rank_col="slot", within=[F.desc("p")]).filter("_d")
+                         score=F.col("p"), rank_col="slot").filter("_d")
     members = rank_select(lb.select(id_col, feat_col, F.col(label_col).alias("class_id")), ["class_id"], id_col,
                           seed + 1, {"_m": lambda n: n}, rank_col="m_rank")
     slots = donors.select("class_id", "slot", F.col(feat_col).alias("x_donor"), "n_c")

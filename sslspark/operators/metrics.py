@@ -61,7 +61,7 @@ def precision_recall_f1(df: DataFrame, truth: str = "truth", pred: str = "pred",
     micro_r = F.sum("tp") / F.sum("support")
     return pc.groupBy(*by).agg(
         micro_p.alias("micro_precision"), micro_r.alias("micro_recall"),
-        (2 * micro_p * micro_r / (micro_p + micro_r)).alias("micro_f1"),
+        F.when(micro_p + micro_r > 0, 2 * micro_p * micro_r / (micro_p + micro_r)).otherwise(F.lit(0.0)).alias("micro_f1"),
         F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"))
 
 

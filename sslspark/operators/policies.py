@@ -70,10 +70,10 @@ def fixed_threshold(df: DataFrame, probs_col: str = "probs", tau: float = 0.95,
 
 def tsa_mask(df: DataFrame, probs_col: str, label_col: str, schedule: str, progress: float, K: int,
              out: str = "tsa_mask") -> DataFrame:
-    """THR10 (UDA): labelled rows whose probability of the true class is
-    <= tsa(t) stay in the supervised loss."""
-    p_true = F.element_at(F.col(probs_col), (F.col(label_col) + 1).cast("int"))
-    return df.withColumn(out, (p_true <= tsa_threshold(schedule, progress, K)).cast("double"))
+    """THR10 (UDA): labelled rows whose largest probability is <= tsa(t) stay
+    in the supervised loss (whatever class has it; ``label_col`` marks the
+    rows that have a label)."""
+    return df.withColumn(out, (F.col(label_col).isNotNull() & (confidence(probs_col) <= tsa_threshold(schedule, progress, K))).cast("double"))
 
 
 def abc_mask(df: DataFrame, probs_col: str, keep_col: str, id_col: str, seed: int, tau: float = 0.95,
@@ -81,11 +81,3 @@ def abc_mask(df: DataFrame, probs_col: str, keep_col: str, id_col: str, seed: in
     """THR16 (ABC): conf >= tau AND a Bernoulli(keep) draw (md5-seeded)."""
     keep = hash_u(id_col, seed) < F.col(keep_col)
     return df.withColumn(out, ((confidence(probs_col) >= F.lit(tau)) & keep).cast("double"))
-
-
-def one_hot_targets(label_col: str, K: int):
-    return one_hot(label_col, K)
-
-
-def softmax_probs(df: DataFrame, logits_col: str = "logits", T: float = 1.0, out: str = "probs") -> DataFrame:
-    return df.withColumn(out, softmax(logits_col, T))

@@ -75,7 +75,8 @@ class DebiasPLParams:
 
 
 def _fixmatch(df: DataFrame, p: FixMatchParams) -> DataFrame:
-    d = policies.pseudo_label(df, mode="hard" if p.hard_label else "soft", T=p.T)
+    # soft targets are the probabilities as they are; T only sharpens logits
+    d = policies.pseudo_label(df, mode="hard" if p.hard_label else "soft", T=1.0)
     return policies.fixed_threshold(d, tau=p.p_cutoff)
 
 
@@ -101,7 +102,7 @@ def _softmatch(df: DataFrame, p: SoftMatchParams) -> DataFrame:
 
 def _uda(df: DataFrame, p: UDAParams) -> DataFrame:
     d = policies.fixed_threshold(df, tau=p.p_cutoff)
-    return policies.pseudo_label(d, mode="soft", T=p.T)
+    return policies.pseudo_label(d, mode="soft", T=1.0)  # probabilities are not sharpened again
 
 
 def _pseudolabel(df: DataFrame, p: PseudoLabelParams) -> DataFrame:

@@ -14,7 +14,7 @@ from sslspark.functions.arrays import col_of, cosine, let, softmax
 from sslspark.functions.keys import hash_key
 from sslspark.operators.aggs import prototype_map
 
-__all__ = ["prototype_logits", "prototype_similarity", "lookup_by_class", "random_partner"]
+__all__ = ["prototype_logits", "prototype_similarity", "random_partner"]
 
 
 def prototype_logits(df: DataFrame, feat_col: str, protos: DataFrame, T: float,
@@ -39,15 +39,6 @@ def prototype_similarity(df: DataFrame, feat_col: str, protos: DataFrame, T: flo
     return prototype_logits(df, feat_col, protos, T, label_col, tmp).withColumn(out, softmax(tmp)).drop(tmp)
 
 
-def lookup_by_class(class_vec: list[float] | Column, cls) -> Column:
-    """JOI6: gather a per-class value by a (predicted / true) class id.
-
-    ``class_vec`` is a K-vector (literal list or a scalar-subquery array).
-    """
-    arr = class_vec if isinstance(class_vec, Column) else F.array(*[F.lit(float(v)) for v in class_vec])
-    return F.element_at(arr, (col_of(cls) + 1).cast("int"))
-
-
 def random_partner(df: DataFrame, id_col: str, batch_col: str, seed: int, seed_b: int | None = None) -> DataFrame:
     """JOI12: pair each row with a row of a seeded permutation of its batch.
 
@@ -82,19 +73,16 @@ def keyed_bank(df: DataFrame, id_col: str, batch_col: str, feat_col: str, m: flo
     seq = F.array_sort(F.collect_list(F.struct(F.col(batch_col).alias("b"), F.col(feat_col).alias("x"))))
     g = df.groupBy(id_col).agg(seq.alias("_s"))
     first = l2_normalise(F.col("_s")[0]["x"])
-    fold = F.aggregate(F.slice("_s", 2, 1_000_000), first,
+    fold = F.aggregate(F.expr("slice(_s, 2, size(_s))"), first,
                        lambda v, s: l2_normalise(F.zip_with(v, s["x"], lambda a, b: F.lit(m) * a + F.lit(1.0 - m) * b)))
     return g.select(id_col, fold.alias(feat_col))
 
 
-def attach_bank(df: DataFrame, bank: DataFrame, cols: list[str], out: str = "_bank", max_rows: int = 65536) -> DataFrame:
-    """Attach a bounded bank to every row as one array of structs (a scalar
-    subquery, evaluated once).  The bank is bounded by construction (top-L /
-    labelled ids); ``max_rows`` guards it at run time."""
-    b = bank.select(F.collect_list(F.struct(*cols)).alias("b"))
-    guard = F.when(F.size("b") <= F.lit(max_rows), F.col("b")).otherwise(
-        F.raise_error(F.lit(f"bank larger than {max_rows} rows")))
-    return df.withColumn(out, b.select(guard).scalar())
+def attach_bank(df: DataFrame, bank: DataFrame, cols: list[str], out: str = "_bank") -> DataFrame:
+    """Attach a ring bank (top-L by construction) to every row as one array of
+    structs (a scalar subquery, evaluated once).  Banks that grow with the
+    labelled rows go through ``propagate_over_bank``."""
+    return df.withColumn(out, bank.select(F.collect_list(F.struct(*cols)).alias("b")).scalar())
 
 
 def bank_similarity(feat_col: str, bank_col: str, bank_feat: str, T: float) -> Column:
@@ -132,6 +120,48 @@ def label_propagate(probs_col: str, weights_col: str, bank_col: str, bank_label:
     return teacher, smoothed
 
 
+def propagate_over_bank(df: DataFrame, bank: DataFrame, K: int, T: float, T_student: float, alpha: float, id_col: str = "row_id",
+                        feat_col: str = "feat", probs_col: str = "probs", label_col: str = "label_id", block: int = 4096,
+                        smoothed: str = "p_prop", loss: str = "in_loss") -> DataFrame:
+    """JOI9 + FN22 (SimMatch) for a bank of any size: ``df`` with the smoothed
+    probabilities and the instance-consistency loss.
+
+    Rows and bank meet in blocks of about ``block`` (features L2-normalised
+    upstream).  A block pair gives each of its rows four sums over its part of
+    the bank: exp(s/T) for each label, the same times s, and exp(s/T_student);
+    the softmax weights, the teacher and its cross term follow from their
+    totals, so neither bank nor teacher is ever held whole."""
+    import numpy as np
+    import pandas as pd
+    blocks = lambda d: max(1, -(-d.count() // block))
+    left, right = blocks(df), blocks(bank)
+    rows = (df.select(id_col, feat_col, F.pmod(F.xxhash64(id_col), F.lit(left).cast("long")).alias("i"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(right - 1)))))
+    entries = (bank.select(feat_col, label_col, F.pmod(F.xxhash64(feat_col), F.lit(right).cast("long")).cast("int").alias("j"))
+               .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left - 1).cast("long")))))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({id_col: [], "m": [], "c": [], "z": []})
+        b = b.sort_values(label_col, kind="stable")
+        s = np.stack(a[feat_col].to_numpy()) @ np.stack(b[feat_col].to_numpy()).T
+        w = np.exp(s / T)
+        of = (b[label_col].to_numpy()[:, None] == np.arange(K)[None, :]).astype(float)
+        return pd.DataFrame({id_col: a[id_col].to_numpy(), "m": list(w @ of), "c": list((w * s) @ of), "z": np.exp(s / T_student).sum(1)})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    parts = (rows.groupBy("i", "j").cogroup(entries.groupBy("i", "j"))
+             .applyInPandas(pair, f"`{id_col}` {kind}, m array<double>, c array<double>, z double"))
+    at = lambda c: [F.sum(F.col(c)[k]).alias(f"_{c}{k}") for k in range(K)]
+    sums = parts.groupBy(id_col).agg(*at("m"), *at("c"), F.sum("z").alias("_z"))
+    sums = sums.select(id_col, F.array(*[f"_m{k}" for k in range(K)]).alias("_m"), F.array(*[f"_c{k}" for k in range(K)]).alias("_c"), "_z")
+    total = F.aggregate("_m", F.lit(0.0), lambda a, x: a + x)
+    weigh = lambda c: F.aggregate(F.zip_with(probs_col, c, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    mixed = F.zip_with(probs_col, "_m", lambda p, m: F.lit(alpha) * p + F.lit(1.0 - alpha) * m / F.col("_t"))
+    return (df.join(sums, id_col).withColumn("_t", total).withColumns({
+        smoothed: mixed, loss: F.log("_z") - weigh("_c") / weigh("_m") / F.lit(float(T_student))}).drop("_m", "_c", "_z", "_t"))
+
+
 def instance_consistency(teacher_col: str, student_weights_col: str) -> Column:
     """FN22: -sum_j teacher_j * log(student_j)."""
     return -F.aggregate(F.zip_with(F.col(teacher_col), F.col(student_weights_col), lambda t, s: t * F.log(s)),
@@ -139,13 +169,11 @@ def instance_consistency(teacher_col: str, student_weights_col: str) -> Column:
 
 
 def batch_arrays(df: DataFrame, batch_col: str, cols: list[str], id_col: str = "row_id",
-                 max_batch_rows: int = 4096) -> DataFrame:
-    """Each row of a batch gets the batch's (id, cols) as one array (bounded by
-    the batch size; checked at run time) — the in-batch graph below needs
-    every row of its batch, never rows of other batches."""
+                 ) -> DataFrame:
+    """Each row of a batch gets the batch's (id, cols) as one array: the
+    in-batch graph below needs every row of its batch (a training step's
+    size), never rows of other batches."""
     g = df.groupBy(batch_col).agg(F.collect_list(F.struct(id_col, *cols)).alias("_batch"))
-    g = g.withColumn("_batch", F.when(F.size("_batch") <= F.lit(max_batch_rows), F.col("_batch")).otherwise(
-        F.raise_error(F.lit(f"batch larger than {max_batch_rows} rows"))))
     return df.join(g, batch_col)
 
 

@@ -19,7 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sslspark.functions.keys import hash_key, hash_u
+from sslspark.functions.keys import hash_key, hash_u, hash_u52
 
 __all__ = [
     "rank_select", "stratified_test_split", "sample_labelled_unlabelled", "split_ssl", "imbalance_profile",
@@ -37,36 +37,63 @@ def bround_quota(frac: float) -> QuotaFn:
     return lambda n: F.bround(F.lit(float(frac)) * n.cast("double"), 0).cast("long")
 
 
+def score_bucket(score: Column) -> Column:
+    """Ascending bucket (below 65536) for a descending order on a [0, 1] score,
+    log-spread towards both ends."""
+    x = F.lit(1.0) - score
+    high = F.when(x <= 0, F.lit(0)).otherwise(F.lit(1) + F.floor((F.log(x) + F.lit(37.0)) * F.lit(800.0)))
+    low = F.when(score <= 1e-300, F.lit(65535)).otherwise(F.lit(32768) + F.floor(-F.log(score) * F.lit(45.0)))
+    return F.when(score >= 0.5, high).otherwise(low).cast("int")
+
+
+def _split_large(base: DataFrame, by: list[str], keys: list[str], id_col: str, out: str, target: int) -> DataFrame:
+    """Buckets of more than ``target`` rows are cut into 1024 slices, in the
+    order (score desc, id): by the score's place between the bucket's
+    extremes, or by the id's where all scores are equal."""
+    large = (base.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_n1"), F.min("_s").alias("_s0"), F.max("_s").alias("_s1"),
+                                          F.min(id_col).alias("_i0"), F.max(id_col).alias("_i1")).where(F.col("_n1") > target))
+    by_id = F.floor((F.col(id_col) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1) * 1024)
+    by_score = F.floor((F.col("_s1") - F.col("_s")) / (F.col("_s1") - F.col("_s0")) * 1023)
+    slot = F.when(F.col("_n1").isNull(), F.lit(0)).when(F.col("_s0") == F.col("_s1"), by_id).otherwise(by_score)
+    return base.join(large, [*by, *keys], "left").withColumn(out, slot.cast("int")).drop("_n1", "_s0", "_s1", "_i0", "_i1")
+
+
 def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Mapping[str, QuotaFn],
-                order_key: Column | None = None, rank_col: str | None = None,
-                within: Sequence[Column] | None = None) -> DataFrame:
+                score: Column | None = None, rank_col: str | None = None, target: int = 65536) -> DataFrame:
     """For each quota q: flag rows whose rank inside their ``by`` group, in
-    ``(md5(id:seed), id)`` order (or ``(order_key, id)``; a hex string whose
-    first four digits spread the rows), is <= q(n).  Exact; no group in one task.
-    ``within``: exact sort columns inside a bucket (the bucket key must be
-    non-decreasing in that order), e.g. ``[F.desc("conf")]``."""
+    ``(md5(id:seed), id)`` order, is <= q(n).  Exact; no group in one task.
+
+    With ``score`` (a number in [0, 1]) the order is ``(score desc, id)``, for
+    numeric ids.  Its buckets follow the score; any that holds more than
+    ``target`` rows is cut again by its own extremes, twice if need be, and
+    rows of one score are cut by their ids."""
     by = list(by)
-    h = hash_key(id_col, seed) if order_key is None else order_key
-    base = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    hist = base.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    if score is None:
+        base = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+        keys, order = ["_b"], [F.col("_h")]
+    else:
+        base = df.withColumn("_s", score.cast("double")).withColumn("_b", score_bucket(F.col("_s")))
+        base = _split_large(base, by, ["_b"], id_col, "_b1", target)
+        base = _split_large(base, by, ["_b", "_b1"], id_col, "_b2", target)
+        keys, order = ["_b", "_b1", "_b2"], [F.desc("_s")]
+    hist = base.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*by)
-    wc = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    wc = wg.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     hist = (hist.withColumn("_n", F.sum("_cnt").over(wg))
             .withColumn("_before", F.sum("_cnt").over(wc) - F.col("_cnt")))
     for name, fn in quotas.items():
         hist = hist.withColumn(f"_q_{name}", fn(F.col("_n")))
     qcols = [f"_q_{n}" for n in quotas]
     # exact rank = rows of the group in lower buckets + rank inside the bucket;
-    # the window partitions by (group, bucket): ~N/65536 rows each, never a whole group
-    out = base.join(hist, [*by, "_b"])
-    order = list(within) if within else [F.col("_h")]
+    # the window partitions by (group, bucket), never a whole group
+    out = base.join(hist, [*by, *keys])
     out = out.withColumn("_rank", F.col("_before") + F.row_number().over(
-        Window.partitionBy(*by, "_b").orderBy(*order, id_col)))
+        Window.partitionBy(*by, *keys).orderBy(*order, id_col)))
     for name, q in zip(quotas, qcols):
         out = out.withColumn(name, F.col("_rank") <= F.col(q))
     if rank_col:
         out = out.withColumn(rank_col, F.col("_rank"))
-    return out.drop("_h", "_b", "_cnt", "_n", "_before", "_rank", *qcols)
+    return out.drop("_h", "_s", *keys, "_cnt", "_n", "_before", "_rank", *qcols)
 
 
 def stratified_test_split(df: DataFrame, strata_col: str, id_col: str, frac: float = 0.3, seed: int = 0,
@@ -161,11 +188,13 @@ def split_ssl(df: DataFrame, label_col: str, id_col: str, K: int, lb_num: int, u
 def ordered_split_per_class(df: DataFrame, label_col: str, order_col: str, frac: float = 0.8,
                             out: str = "split") -> DataFrame:
     """WIN5: first ``int(frac * n_c)`` rows of each class in file order -> train, rest test."""
-    w = Window.partitionBy(label_col).orderBy(order_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label_col))
-    rn = F.row_number().over(w)
-    cut = F.floor(F.lit(float(frac)) * n.cast("double"))
-    return df.withColumn(out, F.when(rn <= cut, F.lit("train")).otherwise(F.lit("test")))
+    # ranks in file order: the row's place between the first and the last one is a decreasing score
+    ends = df.agg(F.min(order_col).cast("double").alias("a"), F.max(order_col).cast("double").alias("b")).select(F.struct("a", "b").alias("e"))
+    d = df.withColumn("_e", ends.scalar())
+    place = (F.col(order_col).cast("double") - F.col("_e.a")) / F.greatest(F.col("_e.b") - F.col("_e.a"), F.lit(1.0))
+    sel = rank_select(d, [label_col], order_col, 0, {"_train": lambda n: F.floor(F.lit(float(frac)) * n.cast("double")).cast("long")},
+                      score=F.lit(1.0) - place)
+    return sel.withColumn(out, F.when(F.col("_train"), F.lit("train")).otherwise(F.lit("test"))).drop("_train", "_e")
 
 
 def fraction_per_class(df: DataFrame, label_col: str, id_col: str, pct: float, seed: int = 0,
@@ -200,14 +229,18 @@ def resample_uniform(df: DataFrame, id_col: str, n: int, N: int, seed: int) -> D
 
 
 def resample_weighted(df: DataFrame, id_col: str, weight_col: str, n: int, seed: int) -> DataFrame:
-    """SMP2 without replacement: Efraimidis-Spirakis keys ``u^(1/w)``; the n
-    largest keys are the sample.  The key is turned into an ascending hex
-    string so the exact, bucketed ``rank_select`` applies (no single-task top-n)."""
-    from sslspark.operators.imbalance import conf_key
-    d = df.withColumn("_es", F.pow(hash_u(id_col, seed), F.lit(1.0) / F.col(weight_col))).withColumn("_all", F.lit(0))
-    sel = rank_select(d, ["_all"], id_col, seed, {"_pick": lambda _n: F.lit(int(n)).cast("long")},
-                      order_key=conf_key("_es"), within=[F.desc("_es")])
-    return sel.filter("_pick").drop("_pick", "_all", "_es")
+    """SMP2 without replacement: Efraimidis-Spirakis keys; the n smallest
+    ``-ln(u) / w`` are the sample (the same order as the largest ``u^(1/w)``,
+    without its underflow).  ``rank_select`` takes the key as the decreasing
+    score ``1 / (1 + key)``.  ``n`` above the set's size repeats it: whole
+    copies first, then the sample of the remainder; ``copy_no`` tells them."""
+    d = df.withColumn("_es", F.lit(1.0) / (F.lit(1.0) - F.log(hash_u52(id_col, seed)) / F.col(weight_col))).withColumn("_all", F.lit(0))
+    sel = rank_select(d, ["_all"], id_col, seed, {"_more": lambda rows: F.lit(int(n)) % F.greatest(rows, F.lit(1)),
+                                                  "_copy": lambda rows: rows}, score=F.col("_es"))
+    size = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    copies = F.floor(F.lit(int(n)) / size).cast("int") + F.col("_more").cast("int")
+    return (sel.withColumn("copy_no", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+            .drop("_more", "_copy", "_all", "_es"))
 
 
 def class_balanced_weights(counts: DataFrame, count_col: str = "n", out: str = "weight",
@@ -239,8 +272,11 @@ def augment_labelled_with_pseudo(lb: DataFrame, picked: DataFrame, label_col: st
 
 
 def full_supervised_pool(lb: DataFrame, ulb: DataFrame, id_col: str) -> DataFrame:
-    """SET4: every row back as labelled, one per id."""
-    return lb.unionByName(ulb, allowMissingColumns=True).dropDuplicates([id_col])
+    """SET4: every row back as labelled, one per id (the labelled row, where there is one)."""
+    both = (lb.withColumn("_p", F.lit(0)).unionByName(ulb.withColumn("_p", F.lit(1)), allowMissingColumns=True))
+    rest = [c for c in both.columns if c not in (id_col, "_p")]
+    return (both.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.col("_p")).alias("_r"))
+            .select(*[F.col(id_col) if c == id_col else F.col(f"_r.{c}").alias(c) for c in both.columns if c != "_p"]))
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The reference updates small state once per batch (EMA vectors, ring
 queues, running counts).  Here N rows are first reduced to B x K per-batch
-aggregates; the recurrences then run over those rows.  ``batch`` must be a
-dense step ordinal 0..B-1 (a training step counter).
+aggregates; the recurrences then run over those rows.  Steps may have gaps or
+start anywhere: every scan numbers the distinct steps it gets 0..B-1 first.
 
 Scale: no recurrence runs as one window over all B steps of a key.  The
 steps are cut into chunks of C; each chunk is scanned in its own window
@@ -27,11 +27,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 __all__ = ["linear_scan", "ema", "running_sum", "queue_mean", "batch_class_grid", "as_vector_per_batch",
-           "fifo_last_per_class"]
+           "last_value", "dense_steps"]
 
 DEFAULT_CHUNK = 4096
 
 
+def dense_steps(df: DataFrame, t_col: str, out: str = "_step") -> DataFrame:
+    """``(t_col, out)``: the distinct steps and their ordinals.  Numbered in
+    two levels (ranges of steps, then inside a range); one row for each step."""
+    steps = df.select(t_col).distinct().withColumn("_r", F.floor(F.col(t_col) / F.lit(DEFAULT_CHUNK)))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = steps.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy(t_col)) - 1
+    return (steps.withColumn("_i", inside).join(ranges, "_r").select(t_col, (F.col("_base") + F.col("_i")).cast("long").alias(out)))
+
+
 def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
@@ -47,13 +57,18 @@ def linear_scan(df: DataFrame, keys: Sequence[str], t_col: str, b_col: str, a: f
         return df.withColumn(out, F.col(b_col).cast("double"))
     if a == 1.0:
         return running_sum(df, keys, t_col, b_col, out, chunk, init)
+    return _scan(df.join(dense_steps(df, t_col), t_col), keys, b_col, a, init, out, chunk).drop("_step")
+
+
+def _scan(df: DataFrame, keys: list[str], b_col: str, a: float, init, out: str, chunk: int | None) -> DataFrame:
+    """``linear_scan`` over the dense ordinal ``_step``."""
     # a chunk must be long enough that a^C is below double precision
     C = max(chunk or 0, math.ceil(40.0 / math.log(1.0 / a)), 1)
     la = math.log(a)
-    t = F.col(t_col)
+    t = F.col("_step")
     d = df.withColumn("_c", F.floor(t / F.lit(C)).cast("long")).withColumn("_off", (t - F.col("_c") * C).cast("double"))
     term = F.col(b_col).cast("double") * F.exp(-F.col("_off") * F.lit(la))          # b * a^-off
-    w = Window.partitionBy(*keys, "_c").orderBy(t_col).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_c").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_local", F.exp(F.col("_off") * F.lit(la)) * F.sum(term).over(w))
     ends = (d.groupBy(*keys, "_c").agg((F.lit(math.exp((C - 1) * la)) * F.sum(term)).alias("_end"))
             .withColumn("_c", F.col("_c") + 1))
@@ -84,12 +99,13 @@ def ema(df: DataFrame, keys: Sequence[str], t_col: str, x_col: str, m: float, in
 
     ``init=None``: the first step *sets* v (v_0 = x_0), later steps blend
     (trap T12).  Otherwise v_{-1} = init (a number or a Column)."""
-    first = F.col(t_col) == 0
-    if init is None:
-        b = F.when(first, F.col(x_col)).otherwise(F.lit(1.0 - m) * F.col(x_col))
-        return linear_scan(df.withColumn("_b", b), keys, t_col, "_b", m, 0.0, out, chunk).drop("_b")
-    return linear_scan(df.withColumn("_b", F.lit(1.0 - m) * F.col(x_col)), keys, t_col, "_b", m, init,
-                       out, chunk).drop("_b")
+    b = F.lit(1.0 - m) * F.col(x_col)
+    if init is not None or m in (0.0, 1.0):
+        if init is None and m == 1.0:
+            raise ValueError("a scan with m = 1 needs an initial value")
+        return linear_scan(df.withColumn("_b", b), keys, t_col, "_b", m, 0.0 if init is None else init, out, chunk).drop("_b")
+    d = df.join(dense_steps(df, t_col), t_col).withColumn("_b", F.when(F.col("_step") == 0, F.col(x_col)).otherwise(b))
+    return _scan(d, list(keys), "_b", float(m), 0.0, out, chunk).drop("_b", "_step")
 
 
 def queue_mean(df: DataFrame, keys: Sequence[str], t_col: str, x_col: str, L: int, out: str = "v",
@@ -100,13 +116,13 @@ def queue_mean(df: DataFrame, keys: Sequence[str], t_col: str, x_col: str, L: in
     copied into the next chunk so every frame is complete."""
     keys = list(keys)
     C = max(chunk or DEFAULT_CHUNK, L)
-    d = df.withColumn("_c", F.floor(F.col(t_col) / F.lit(C)).cast("long"))
-    off = F.col(t_col) - F.col("_c") * C
+    d = df.join(dense_steps(df, t_col), t_col).withColumn("_c", F.floor(F.col("_step") / F.lit(C)).cast("long"))
+    off = F.col("_step") - F.col("_c") * C
     owners = F.when(off >= F.lit(C - (L - 1)), F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array(F.col("_c")))
     d = d.withColumn("_own", F.col("_c")).withColumn("_c", F.explode(owners))
-    w = Window.partitionBy(*keys, "_c").orderBy(t_col).rowsBetween(-(L - 1), 0)
+    w = Window.partitionBy(*keys, "_c").orderBy("_step").rowsBetween(-(L - 1), 0)
     d = d.withColumn(out, F.sum(F.col(x_col).cast("double")).over(w) / F.lit(float(L)))
-    return d.filter(F.col("_c") == F.col("_own")).drop("_c", "_own")
+    return d.filter(F.col("_c") == F.col("_own")).drop("_c", "_own", "_step")
 
 
 def batch_class_grid(batches: DataFrame, batch_col: str, K: int) -> DataFrame:
@@ -121,9 +137,14 @@ def as_vector_per_batch(long_state: DataFrame, batch_col: str, value_col: str, o
         F.transform(F.array_sort(F.collect_list(F.struct("class_id", value_col))), lambda s: s[value_col]).alias(out))
 
 
-def fifo_last_per_class(df: DataFrame, label_col: str, batch_col: str, id_col: str, L: int) -> DataFrame:
-    """WIN11 selection: the last L rows of each class (newest batches first).
-    ``row_number() <= L`` with a literal lets Spark keep only the top L per
-    class on each map task before the shuffle (window group limit)."""
-    w = Window.partitionBy(label_col).orderBy(F.desc(batch_col), F.desc(id_col))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(L)).drop("_rn")
+def last_value(df: DataFrame, keys: Sequence[str], t_col: str, x_col: str, init: float, out: str, chunk: int | None = None) -> DataFrame:
+    """The last non-null ``x`` up to each step per key (``init`` before any),
+    in two levels: inside chunks of steps, then the chunks' last values."""
+    keys = list(keys)
+    d = df.withColumn("_c", F.floor(F.col(t_col) / F.lit(chunk or DEFAULT_CHUNK)).cast("long"))
+    w = Window.partitionBy(*keys, "_c").orderBy(t_col).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_local", F.last(x_col, ignorenulls=True).over(w))
+    ends = d.groupBy(*keys, "_c").agg(F.max_by(F.col(x_col), F.when(F.col(x_col).isNotNull(), F.col(t_col))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_c", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    return (d.join(ends, [*keys, "_c"]).withColumn(out, F.coalesce("_local", "_carry", F.lit(float(init)))).drop("_c", "_local", "_carry"))

@@ -6,16 +6,14 @@ DataFrame; the DuckDB twins live in ``sslspark.plans.sql_fixtures``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sslspark.constants import UNLABELLED
 from sslspark.functions.arrays import softmax, to_double_array
-from sslspark.functions.keys import hash_key
 from sslspark.operators.aggs import class_prototypes
 from sslspark.operators.similarity import prototype_logits
+from sslspark.operators.split import rank_select
 from sslspark.session import table
 
 BATCH_ROWS = 50          # rows per batch in the scored fixture
@@ -37,16 +35,7 @@ ALLOWED_REGIONS = ["AFRICA", "AMERICA", "ASIA"]
 VARIANT_COLS = ["umls", "sr", "ri", "rs", "rd", "original"]
 
 
-def imbalance_quota(n_max: int, K: int, gamma: float) -> list[int]:
-    """WIN4: n_c = int(n_max * mu^c), mu = (1/|gamma|)^(1/(K-1)); last class
-    int(n_max/|gamma|); gamma < 0 reverses the order."""
-    mu = math.pow(1.0 / abs(gamma), 1.0 / (K - 1))
-    out = [int(n_max * math.pow(mu, c)) for c in range(K)]
-    out[-1] = int(n_max / abs(gamma))
-    return out[::-1] if gamma < 0 else out
-
-
-IMB_QUOTA = imbalance_quota(44, K_SCORED, 10)
+IMB_GAMMA = 10           # head to tail ratio of the long-tailed fixture
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +64,13 @@ def scored(spark: SparkSession, sf_dir: str, strong: bool = False, keep_emb: boo
 
 
 def imbalanced(spark: SparkSession, sf_dir: str, keep_emb: bool = False) -> DataFrame:
-    """FIXTURES 3.3: long-tailed subset of ``scored`` (rank by md5 within label)."""
-    from pyspark.sql import Window
+    """FIXTURES 3.3: long-tailed subset of ``scored`` (rank by md5 within label):
+    n_c = int(n_max * (1/gamma)^(c/(K-1))), n_max = rows of the largest class."""
     s = scored(spark, sf_dir, keep_emb=keep_emb)
-    quota = F.array(*[F.lit(q) for q in IMB_QUOTA])
-    w = Window.partitionBy("label_true").orderBy(hash_key("row_id", 42), "row_id")
-    return (s.withColumn("_rk", F.row_number().over(w))
-            .filter(F.col("_rk") <= F.element_at(quota, F.col("label_true") + 1)).drop("_rk"))
+    largest = embeddings(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").cast("double")).scalar()
+    share = F.pow(F.lit(1.0 / IMB_GAMMA), F.col("label_true") / F.lit(float(K_SCORED - 1)))
+    return rank_select(s, ["label_true"], "row_id", 42,
+                       {"_in": lambda n: F.floor(largest * share + 1e-9).cast("long")}).filter("_in").drop("_in")
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,17 +143,15 @@ def species_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def species_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fallback entity -> candidate list: regions of the next and the previous
-    nation; it covers every third entity key, so each branch of the pair
-    resolution occurs."""
+    nation.  Every entity has one; the pair resolution asks it only for those
+    that the primary dimension does not know."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     reg = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), "r_name")
     nxt = reg.select(((F.col("k") + 24) % 25).alias("nk"), F.col("r_name").alias("r_next"))
     prv = reg.select(((F.col("k") + 1) % 25).alias("nk"), F.col("r_name").alias("r_prev"))
     dim = F.broadcast(nxt.join(prv, "nk"))
-    ents = _entity_nations(spark, sf_dir).filter(
-        F.substring_index("entity", "#", -1).cast("long") % 3 == 0)
-    return ents.join(dim, "nk").select("entity", F.array("r_next", "r_prev").alias("species"))
+    return _entity_nations(spark, sf_dir).join(dim, "nk").select("entity", F.array("r_next", "r_prev").alias("species"))
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

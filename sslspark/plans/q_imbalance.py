@@ -89,20 +89,23 @@ def q_win8(spark, sf):
     return p.filter("picked").select("row_id", A.argmax("probs").alias("pl"))
 
 
-DARP_Q = [40.0, 30.0, 25.0, 20.0, 16.0, 12.0, 10.0, 8.0, 6.0, 5.0]
+DARP_Q_SQL = ("SELECT r.c AS class_id, CAST(count(s.label_id) AS DOUBLE) AS q FROM range(0, 10) r(c) "
+              "LEFT JOIN scored s ON s.label_id = r.c AND s.role = 'labelled' GROUP BY r.c")
 
 
 @query("win13_top_k_mass_per_class", with_ctes("scored", extra=[
     ("lng", f"SELECT row_id, {X.long_of('probs')} FROM scored WHERE role = 'unlabelled'"),
     ("rk", "SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY v DESC, row_id) AS rn FROM lng"),
-    ("top", f"SELECT class_id, sum(v) AS kp, count(*) AS n FROM rk WHERE rn <= {_lst([int(2 * q) for q in DARP_Q])}[class_id + 1] "
-            "GROUP BY class_id")]) + f"""
+    ("tq", DARP_Q_SQL),
+    ("top", "SELECT class_id, sum(v) AS kp, count(*) AS n FROM rk JOIN tq USING (class_id) WHERE rn <= 2 * q GROUP BY class_id")]) + """
 SELECT CAST(r.c AS INTEGER) AS class_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_flagged,
-       round(({_lst(DARP_Q)}[r.c + 1] + 1e-6) / (coalesce(t.kp, 0) + 1e-6), 6) AS weight
-FROM range(0, 10) r(c) LEFT JOIN top t ON t.class_id = r.c""")
+       round((tq.q + 1e-6) / (coalesce(t.kp, 0) + 1e-6), 6) AS weight
+FROM range(0, 10) r(c) JOIN tq ON tq.class_id = r.c LEFT JOIN top t ON t.class_id = r.c""")
 def q_win13(spark, sf):
-    u = fx.scored(spark, sf).filter("role = 'unlabelled'")
-    flags, w = imbalance.top_k_mass_per_class(u, DARP_Q, 2.0, K)
+    s = fx.scored(spark, sf)
+    u = s.filter("role = 'unlabelled'")
+    q = {r["label_id"]: float(r["n"]) for r in aggs.class_counts(s.filter("role = 'labelled'"), "label_id", K).collect()}  # K rows
+    flags, w = imbalance.top_k_mass_per_class(u, [q[c] for c in range(K)], 2.0, K)
     n = flags.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_flagged"))
     return (w.join(n, "class_id", "left")
             .select("class_id", F.coalesce("n_flagged", F.lit(0)).cast("long").alias("n_flagged"), r6("weight")))
@@ -199,14 +202,14 @@ def q_top3(spark, sf):
 
 @query("joi11_prototype_similarity", with_ctes("emb", "protos", extra=[
     ("ps", "SELECT e.row_id, list(" + X.cosine("e.emb", "p.proto") + " / 0.5 ORDER BY p.label) AS lg "
-           "FROM emb e, protos p WHERE e.row_id % 2 = 1 GROUP BY e.row_id"),
+           "FROM emb e, protos p GROUP BY e.row_id"),
     ("pq", "SELECT row_id, " + X.softmax("lg") + " AS q FROM ps")]) + """
 SELECT row_id % 4 AS grp, class_id, round(avg(v), 6) AS p_mean FROM (SELECT row_id, """ + X.long_of("q") + """ FROM pq)
 GROUP BY ALL""")
 def q_joi11(spark, sf):
     e = fx.embeddings(spark, sf)
     protos = aggs.class_prototypes(e, "label", "emb")
-    s = similarity.prototype_similarity(e.filter(F.col("row_id") % 2 == 1), "emb", protos, 0.5)
+    s = similarity.prototype_similarity(e, "emb", protos, 0.5)
     return long_avg(s.withColumn("grp", F.col("row_id") % 4), ["grp"], "p_sim", "p_mean")
 
 
@@ -232,7 +235,7 @@ def q_thr14(spark, sf):
     n_u = u.count()
     tot = sum(r["n"] for r in lbc)
     target = [n_u * r["n"] / tot for r in lbc]
-    ref, _ = imbalance.refine_to_target(u, target, num_iter=2)
+    ref, _ = imbalance.refine_to_target(u, target, num_iter=10)
     return long_avg(ref.withColumn("grp", F.lit(0)), ["grp"], "probs_refined", "p_mean").select(
         "class_id", (F.col("p_mean") * F.lit(n_u)).alias("class_mass"))
 

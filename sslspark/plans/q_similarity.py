@@ -75,12 +75,7 @@ def _keyed(spark, sf) -> DataFrame:
     f = feats(spark, sf)
     lb = f.filter("role = 'labelled'").select("row_id", "batch_id", "feat", "label_id")
     kb = S.keyed_bank(lb, "row_id", "batch_id", "feat").join(lb.select("row_id", "label_id"), "row_id")
-    d = S.attach_bank(f.filter("role = 'unlabelled'"), kb, ["feat", "label_id"])
-    d = d.withColumn("A", S.bank_similarity("feat", "_bank", "feat", 0.1))
-    teacher, smoothed = S.label_propagate("probs", "A", "_bank", "label_id", 0.9, K)
-    d = d.withColumn("teacher", teacher).withColumn("p_prop", smoothed)
-    d = d.withColumn("A_s", S.bank_similarity("feat", "_bank", "feat", 0.2))
-    return d.withColumn("in_loss", S.instance_consistency("teacher", "A_s"))
+    return S.propagate_over_bank(f.filter("role = 'unlabelled'"), kb, K, 0.1, 0.2, 0.9)
 
 
 KEYED_SQL = [("sf", SCORED_EMB),
@@ -108,16 +103,17 @@ def q_fn22(spark, sf):
 
 def _two_epoch_lb(spark, sf) -> DataFrame:
     f = feats(spark, sf).filter("role = 'labelled'").select("row_id", "batch_id", "feat")
+    epoch = fx.scored(spark, sf).agg(F.max("batch_id") + 1).scalar()  # the second epoch follows the first
     g = fx.scored(spark, sf, strong=True, keep_emb=True).filter("role = 'labelled'").select(
-        "row_id", (F.col("batch_id") + 1000).alias("batch_id"), A.l2_normalise(A.scale_array("emb", 2.0)).alias("feat"))
+        "row_id", (F.col("batch_id") + epoch).alias("batch_id"), A.l2_normalise(A.scale_array("emb", 2.0)).alias("feat"))
     # second epoch: the same ids with a perturbed feature (scaled, then re-normalised, plus the strong prototype)
-    g = g.withColumn("feat", A.l2_normalise(F.zip_with("feat", F.array_repeat(F.lit(0.05), 64), lambda a, b: a + b)))
+    g = g.withColumn("feat", A.l2_normalise(F.transform("feat", lambda a: a + F.lit(0.05))))
     return f.unionByName(g)
 
 
 @query("win17_keyed_bank", with_ctes("scored", "emb", extra=[
     ("sf", SCORED_EMB),
-    ("e2", "SELECT s.row_id, s.batch_id + 1000 AS batch_id, list_transform(n, lambda x: x / sqrt(list_dot_product(n, n))) AS feat "
+    ("e2", "SELECT s.row_id, s.batch_id + (SELECT max(batch_id) + 1 FROM scored) AS batch_id, list_transform(n, lambda x: x / sqrt(list_dot_product(n, n))) AS feat "
            "FROM (SELECT row_id, batch_id, list_transform(u, lambda x: x + 0.05) AS n FROM (SELECT row_id, batch_id, "
            "list_transform(emb, lambda x: 2 * x / greatest(sqrt(list_dot_product(emb, emb)) * 2, 1e-12)) AS u "
            "FROM (SELECT s.row_id, s.batch_id, e.emb FROM scored s JOIN emb e ON e.row_id = s.row_id "

@@ -366,7 +366,7 @@ def q_udf1(spark, sf):
 
 
 @query("thr10_tsa_mask", with_ctes("scored") + """
-SELECT batch_id, CAST(sum(CASE WHEN probs[label_id + 1] <= 0.5 * (1 - 1.0 / 10) + 1.0 / 10 THEN 1 ELSE 0 END) AS BIGINT)
+SELECT batch_id, CAST(sum(CASE WHEN list_max(probs) <= 0.5 * (1 - 1.0 / 10) + 1.0 / 10 THEN 1 ELSE 0 END) AS BIGINT)
        AS n_kept, CAST(count(*) AS BIGINT) AS n FROM scored WHERE role = 'labelled' GROUP BY batch_id""")
 def q_thr10(spark, sf):
     from sslspark.operators.policies import tsa_mask

@@ -7,7 +7,7 @@ named fixture and everything it depends on.
 from __future__ import annotations
 
 from sslspark.plans.fixtures import (
-    ALLOWED_REGIONS, BATCH_ROWS, CONTEXT_SPACES, IMB_QUOTA, PROTO_T,
+    ALLOWED_REGIONS, BATCH_ROWS, CONTEXT_SPACES, IMB_GAMMA, K_SCORED, PROTO_T,
 )
 
 
@@ -55,7 +55,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           CAST(generate_subscripts(probs, 1) - 1 AS INTEGER) AS class_id, unnest(probs) AS p FROM scored"""),
     "imbalanced": (("scored",), f"""SELECT * EXCLUDE (_rk) FROM (
         SELECT *, row_number() OVER (PARTITION BY label_true ORDER BY md5(concat_ws(':', row_id, 42)), row_id) AS _rk
-        FROM scored) WHERE _rk <= {_lst(IMB_QUOTA)}[label_true + 1]"""),
+        FROM scored) WHERE _rk <= floor((SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))
+          * pow(1.0 / {IMB_GAMMA}, label_true / {K_SCORED - 1}.0) + 1e-9)"""),
     "contexts": ((), """SELECT o.o_orderkey AS original_index, concat_ws(' ', o.o_orderstatus, c.c_name) AS text,
           r.r_name AS location, n.n_name AS cell_line, c.c_mktsegment AS cell_type,
           o.o_orderpriority AS organ, o.o_orderstatus AS disease,
@@ -80,8 +81,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "species_fallback": (("entity_nations",), """SELECT e.entity, [rn.r_name, rp.r_name] AS species
         FROM entity_nations e
         JOIN nation nn ON nn.n_nationkey = (e.nk + 1) % 25 JOIN region rn ON nn.n_regionkey = rn.r_regionkey
-        JOIN nation np ON np.n_nationkey = (e.nk + 24) % 25 JOIN region rp ON np.n_regionkey = rp.r_regionkey
-        WHERE CAST(split_part(e.entity, '#', 2) AS BIGINT) % 3 = 0"""),
+        JOIN nation np ON np.n_nationkey = (e.nk + 24) % 25 JOIN region rp ON np.n_regionkey = rp.r_regionkey"""),
     "rounds": ((), """SELECT CAST(ts AS DATE) AS day, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS acc,
           CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS round_no
         FROM events GROUP BY CAST(ts AS DATE)"""),

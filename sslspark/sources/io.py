@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sslspark.session import path_exists
+
 __all__ = [
     "CORPUS_SCHEMA", "read_corpus", "read_json_records", "read_json_lines", "read_path_label_list",
     "read_class_dirs", "read_shards", "export_pipe", "import_pipe", "write_split", "write_predictions",
@@ -139,8 +141,6 @@ def cached_split(spark: SparkSession, base: str, key: dict, compute: Callable[[]
     seed): read it when the key's folder exists, else compute and write it."""
     sub = "/".join(f"{k}={v}" for k, v in key.items())
     path = f"{base.rstrip('/')}/{sub}"
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (missing path)
+    if not path_exists(spark, f"{path}/_SUCCESS"):  # other errors of a saved split are raised, never written over
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

@@ -23,6 +23,7 @@ from sslspark.functions.arrays import align, argmax, confidence, vec_lit
 from sslspark.operators import policies
 from sslspark.operators.aggs import mean_probs_by_batch
 from sslspark.operators.state import as_vector_per_batch, ema
+from sslspark.session import path_exists
 
 __all__ = ["stream_score_and_mask", "AlignState", "FreeMatchState", "stream_curriculum_deltas",
            "stream_prototypes", "pseudo_label_distribution", "windowed_metrics", "latest_state"]
@@ -38,10 +39,9 @@ def stream_score_and_mask(df: DataFrame, probs_col: str = "probs", label_col: st
 
 def latest_state(spark: SparkSession, state_dir: str, before_epoch: int) -> DataFrame | None:
     """Newest state version written by an epoch < ``before_epoch`` (None if none)."""
-    try:
-        st = spark.read.parquet(state_dir)
-    except Exception:  # noqa: BLE001  (no state yet)
+    if not path_exists(spark, state_dir):
         return None
+    st = spark.read.parquet(state_dir)
     st = st.filter(F.col("epoch") < before_epoch)
     last = st.agg(F.max("epoch")).first()[0]
     if last is None:
