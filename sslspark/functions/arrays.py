@@ -128,15 +128,15 @@ def average_views(p1, p2) -> Column:
 
 def one_hot(label, K: int) -> Column:
     """PRJ14: label -> K-vector target."""
-    lab = col_of(label)
-    return F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: (i == lab).cast("double"))
+    classes = F.sequence(F.lit(0), F.lit(K - 1))
+    return let(col_of(label), lambda lab: F.transform(classes, lambda i: (i == lab).cast("double")))
 
 
 def smooth_label(label, K: int, eps: float) -> Column:
     """FN5: 1-eps on the class, eps/(K-1) elsewhere."""
-    lab = col_of(label)
-    return F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                       lambda i: F.when(i == lab, F.lit(1.0 - eps)).otherwise(F.lit(eps / (K - 1))))
+    classes = F.sequence(F.lit(0), F.lit(K - 1))
+    return let(col_of(label), lambda lab: F.transform(
+        classes, lambda i: F.when(i == lab, F.lit(1.0 - eps)).otherwise(F.lit(eps / (K - 1)))))
 
 
 def align(probs, target, model, eps: float = 1e-6) -> Column:

@@ -3,7 +3,7 @@
 Input ``(row_id, batch_id, probs)``; operators add ``conf``, ``pl`` and
 ``mask`` (double).  Stateless policies are pure projections; the stateful
 ones (FlexMatch, FreeMatch, SoftMatch, alignment, ...) live in
-``sslspark.operators.stateful`` and reduce N rows to B x K state first.
+``sslspark.operators.adaptive`` and reduce N rows to B x K state first.
 """
 
 from __future__ import annotations

@@ -85,7 +85,7 @@ def read_class_dirs(spark: SparkSession, root: str, extensions: Sequence[str] =
     classes = files.select("class_name").distinct()
     # one row per class: the ranking window is bounded by the number of classes
     classes = classes.withColumn("label_id", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int"))
-    return files.join(F.broadcast(classes), "class_name")
+    return files.join(classes, "class_name")
 
 
 def read_shards(spark: SparkSession, glob: str, fmt: str = "parquet") -> DataFrame:
@@ -102,10 +102,16 @@ def export_pipe(df: DataFrame, path: str, id_col: str = "original_index", text_c
 def import_pipe(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: ``id|label|sentence`` lines -> ``(original_index, line_no, label, sentence)``.
 
-    Blank lines or lines starting with ``##`` are invalid and raise.  The line
-    order is kept as ``line_no``, taken right at the scan (file-offset order,
-    before any shuffle)."""
-    t = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    Blank lines or lines starting with ``##`` are invalid and raise.
+    ``line_no`` orders the lines by file name and offset: the rank of their
+    part of a file (name, block start), then the place within it."""
+    t = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_part"),
+                                     F.monotonically_increasing_id().alias("_at"))
+    # one row for each part of a file; places count within the task, so they only grow inside a part
+    parts = t.select("_part").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_part")) - 1)
+    t = (t.join(parts, "_part")
+         .withColumn("line_no", F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_at").bitwiseAND((1 << 33) - 1))
+         .drop("_part", "_rank", "_at"))
     bad = t.filter(F.col("value").rlike(r"^##|^\s*$")).limit(1).count()
     if bad:
         raise ValueError("augmented data was not found")

@@ -49,6 +49,13 @@ def latest_state(spark: SparkSession, state_dir: str, before_epoch: int) -> Data
     return st.filter(F.col("epoch") == last).drop("epoch")
 
 
+def write_epoch(df: DataFrame, epoch_id: int, path: str) -> None:
+    """Output and state go to a partition of their epoch, which a replayed
+    micro-batch writes over."""
+    (df.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch").parquet(path))
+
+
 class AlignState:
     """STR2: EMA distribution alignment across micro-batches (``foreachBatch``).
 
@@ -79,11 +86,9 @@ class AlignState:
         vec = as_vector_per_batch(pm.select(b, "class_id", "p_model"), b, "p_model", "_p_model")
         out = df.join(vec, b).withColumn(
             "probs_aligned", align(self.probs_col, vec_lit([1.0 / self.K] * self.K), "_p_model")).drop("_p_model")
-        out.write.mode("append").parquet(self.out_path)
+        write_epoch(out, epoch_id, self.out_path)
         last = pm.filter(F.col("_t") == pm.agg(F.max("_t")).first()[0])
-        (last.select("class_id", F.col("p_model").alias("v"), F.lit(epoch_id).alias("epoch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
-         .parquet(self.state_dir))
+        write_epoch(last.select("class_id", F.col("p_model").alias("v")), epoch_id, self.state_dir)
 
 
 class FreeMatchState:
@@ -134,11 +139,9 @@ class FreeMatchState:
         out = d.join(vec_pm, "_t").join(tpv, "_t")
         mod = F.element_at("p_model", F.col("_pl") + 1) / F.array_max("p_model")
         out = out.withColumn("mask", (F.col("_conf") >= F.col("time_p") * mod).cast("double"))
-        out.drop("_t", "_conf", "_pl").write.mode("append").parquet(self.out_path)
+        write_epoch(out.drop("_t", "_conf", "_pl"), epoch_id, self.out_path)
         last = st.filter(F.col("_t") == st.agg(F.max("_t")).first()[0])
-        (last.select("class_id", "v", F.lit(epoch_id).alias("epoch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
-         .parquet(self.state_dir))
+        write_epoch(last.select("class_id", "v"), epoch_id, self.state_dir)
 
 
 def stream_curriculum_deltas(df: DataFrame, id_col: str = "row_id", batch_col: str = "batch_id",
@@ -173,11 +176,8 @@ def stream_prototypes(df: DataFrame, label_col: str, feat_col: str, batch_col: s
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fifo = list(state.get[0]) if state.exists else []
         for pdf in pdfs:
-            pdf = pdf.sort_values([batch_col, id_col])
-            for v in pdf[feat_col]:
-                fifo.append([float(x) for x in v])
-                if len(fifo) > L:
-                    fifo.pop(0)
+            newest = pdf.sort_values([batch_col, id_col])[feat_col].tail(L)
+            fifo = (fifo + [[float(x) for x in v] for v in newest])[-L:]
         state.update((fifo,))
         k = len(fifo[0]) if fifo else 0
         proto = [sum(f[i] for f in fifo) / len(fifo) for i in range(k)] if fifo else []

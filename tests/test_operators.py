@@ -245,3 +245,58 @@ def test_write_split_and_predictions(spark):
     io.write_predictions(df, f"{d}/preds", "truth", "pred", keep=["id"])
     got = {r.id: r.mismatch for r in spark.read.parquet(f"{d}/preds").collect()}
     assert got == {1: False, 2: True}
+
+
+def test_score_ranks_with_hot_buckets(spark):
+    """Scores crowding near 0, a third equal to 1: the ranks of row_number, no bucket above the target by much."""
+    from pyspark.sql import Window
+    df = spark.range(6000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise(
+        F.pow(F.rand(1), 4) * 0.01).alias("p")).checkpoint()
+    got = split.rank_select(df, ["g"], "row_id", 0, {"top": lambda n: F.floor(n * 0.4).cast("long")}, score=F.col("p"), rank_col="r", target=50)
+    want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("p"), "row_id")))
+    j = got.join(want.select("row_id", "w"), "row_id")
+    assert j.count() == 6000 and j.filter("r <> w OR top <> (w <= 1200)").count() == 0
+    base = split._split_large(df.withColumn("_s", F.col("p")).withColumn("_b", split.score_bucket(F.col("_s"))), ["g"], ["_b"], "row_id", "_b1", 50)
+    assert base.groupBy("g", "_b", "_b1").count().agg(F.max("count")).first()[0] <= 50
+
+
+def test_weighted_resample_is_fair_and_repeats(spark):
+    df = spark.range(20000).select(F.col("id").alias("row_id"), F.lit(1.0 / 20000).alias("w"))
+    s = split.resample_weighted(df, "row_id", "w", 2000, seed=1).agg(F.count("*"), F.avg("row_id")).first()
+    assert s[0] == 2000 and abs(s[1] - 10000) < 600
+    more = split.resample_weighted(df.limit(30), "row_id", "w", 70, seed=1)
+    assert more.count() == 70 and more.groupBy("row_id").count().agg(F.min("count"), F.max("count")).first() == (2, 3)
+
+
+def test_f1_without_a_right_prediction(spark):
+    from sslspark.operators import metrics
+    r = metrics.precision_recall_f1(spark.createDataFrame([(0, 1), (1, 0)], "truth int, pred int")).first()
+    assert r["micro_f1"] == 0.0 and r["macro_f1"] == 0.0
+
+
+def test_quota_by_rank_keeps_the_tail(spark):
+    from sslspark.operators.imbalance import crest_quota
+    assert crest_quota(3, 4.0, 1.0, by="rank", class_order=[2, 0, 1]) == pytest.approx([0.5, 1.0, 0.25])
+
+
+def test_labelled_row_wins(spark):
+    lb = spark.createDataFrame([(1, 5)], "row_id long, label_id int")
+    ulb = spark.createDataFrame([(1, -200), (2, -200)], "row_id long, label_id int")
+    assert sorted(map(tuple, split.full_supervised_pool(lb, ulb, "row_id").collect())) == [(1, 5), (2, -200)]
+
+
+def test_step_gaps_do_not_change_state(spark):
+    from sslspark.operators import adaptive
+    rows = [(i, i // 4, [0.97, 0.03] if i % 3 else [0.02, 0.98]) for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id long, batch_id long, probs array<double>")
+    gaps = df.withColumn("batch_id", F.col("batch_id") * 3 + 7)
+    for f in (lambda d: adaptive.flexmatch_mask(d, K=2, tau=0.9), lambda d: adaptive.freematch_mask(d, K=2, m=0.5),
+              lambda d: adaptive.align_distribution(d, K=2, m=0.5)):
+        a, b = ({r["row_id"]: r.asDict() for r in f(d).drop("batch_id").collect()} for d in (df, gaps))
+        assert a == b
+
+
+def test_cached_split_keeps_what_it_cannot_read(spark):
+    d = tempfile.mkdtemp(prefix="sslspark-split-", dir="/tmp")
+    one = io.cached_split(spark, d, {"n": 1}, lambda: spark.range(5))
+    assert one.count() == 5 and io.cached_split(spark, d, {"n": 1}, lambda: spark.range(9)).count() == 5

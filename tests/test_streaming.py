@@ -100,3 +100,12 @@ def test_stream_prototypes_fifo(spark, batch_files):
         mean0 = sum(v[0] for v in r.embs) / n
         assert last[r.label].n == n
         assert abs(last[r.label].proto[0] - mean0) < 1e-9
+
+
+def test_replayed_epoch_writes_its_output_once(spark, batch_files):
+    d, _ = batch_files
+    h = stream.AlignState(f"{d}/state-replay", f"{d}/out-replay", K=10, m=0.9)
+    frames = [spark.read.parquet(f"{d}/in/b{b:03d}") for b in (0, 1)]
+    for epoch, df in ((0, frames[0]), (1, frames[1]), (1, frames[1])):
+        h(df, epoch)
+    assert spark.read.parquet(f"{d}/out-replay").count() == sum(f.count() for f in frames)
