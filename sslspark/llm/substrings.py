@@ -136,19 +136,21 @@ def _repeated_windows(counts: np.ndarray, words: list[bytes], offset: np.ndarray
     begins = np.cumsum([0, *map(len, words)])[:-1]
     row = np.repeat(np.arange(len(counts)), counts)
     k = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    suffix = np.lib.stride_tricks.sliding_window_view(data, width)[begins[row] + 4 * k]
-    head = np.empty((len(row), 9), np.uint8)
-    head[:, :8] = group[row].astype(">i8").view(np.uint8).reshape(-1, 8)
-    head[:, 8] = offset[row] - k
-    leaf = np.concatenate([head, suffix], axis=1)
-    order = np.argsort(np.ascontiguousarray(leaf).view(f"V{width + 9}").ravel(), kind="stable")
-    leaf = leaf[order]
-    equal = leaf[1:] == leaf[:-1]
-    depth = np.where(equal.all(1), width + 9, equal.argmin(1))  # of the node above two neighbouring leaves, in bytes
-    deep = depth >= width + 9
+    views = np.lib.stride_tricks.sliding_window_view(data, width)
     repeated = np.zeros(len(row), bool)
-    repeated[order[1:][deep]] = True
-    repeated[order[:-1][deep]] = True
+    to_anchor = offset[row] - k
+    for o in np.unique(to_anchor):  # equal suffixes have their anchor at the same place
+        some = np.flatnonzero(to_anchor == o)
+        leaf = np.empty((len(some), width + 8), np.uint8)
+        leaf[:, :8] = group[row[some]].astype(">i8").view(np.uint8).reshape(-1, 8)
+        leaf[:, 8:] = views[begins[row[some]] + 4 * k[some]]
+        order = np.argsort(leaf.view(f"V{width + 8}").ravel(), kind="stable")
+        leaf = leaf[order]
+        equal = leaf[1:] == leaf[:-1]
+        depth = np.where(equal.all(1), width + 8, equal.argmin(1))  # of the node above two neighbouring leaves, in bytes
+        deep = depth >= width + 8
+        repeated[some[order[1:][deep]]] = True
+        repeated[some[order[:-1][deep]]] = True
     return repeated
 
 
@@ -190,8 +192,8 @@ def repeats(docs: DataFrame, packed: DataFrame, id_col: str, text_col: str, wind
     """``uid, <id>, start, mask`` of the windows that occur more than once."""
     kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     found = stored(_anchor_rows(docs, id_col, text_col, window, gram), "anchors")
-    again = (found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-             .select("key", (F.col("n") > max_group).alias("hot")))
+    again = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+                   .select("key", (F.col("n") > max_group).alias("hot")), "repeated")  # a table, so that a hot key's join is split
     at = (found.join(again, "key").groupBy("uid", "pos").agg(F.max("hot").alias("hot"))
           .groupBy("uid").agg(F.collect_list(F.struct("pos", "hot")).alias("at")))
     rows = stored(_contexts(packed.join(at, "uid").select("uid", id_col, "z", "at"), id_col, kind, arrow_kind, window, gram), "contexts")
@@ -200,7 +202,7 @@ def repeats(docs: DataFrame, packed: DataFrame, id_col: str, text_col: str, wind
     each = (rows.where("hot").select("uid", id_col, F.posexplode(F.expr(
         f"transform(sequence(0, n - 1), i -> substring(words, 4 * i + 1, {4 * window}))")).alias("i", "w"), "start")
         .select("uid", id_col, (F.col("start") + F.col("i")).alias("start"), F.unhex(F.md5("w")).alias("w")))
-    twice = each.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    twice = stored(each.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
     return trees.unionByName(each.join(twice, "w", "left_semi").select("uid", id_col, "start", F.lit(1).cast("long").alias("mask")))
 
 
@@ -219,7 +221,7 @@ def _covered(found: list[dict], n_words: int, window: int) -> np.ndarray:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 5,
-                     max_group: int = 4096) -> DataFrame:
+                     max_group: int = 65536) -> DataFrame:
     """``<id>, n_words, spans, kept``: the word ranges ``[begin, end)`` of the
     maximal repeats (runs of repeated windows), and the text left over."""
     kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
