@@ -265,7 +265,8 @@ def _forest(lines: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes
 def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_chars: int, block: int) -> DataFrame:
     """Spanning links ``a, b`` (digests) between different lines."""
     met = stored(_shared(_keys(docs, text_col, min_chars), block), "met")
-    wanted = rows.join(met.select("short").distinct(), "short").groupBy("line").agg(F.min(F.struct("uid", "no")).alias("w")).select("w.*")
+    shorts = stored(met.select("short").distinct(), "shorts")  # a table, so that a hot line's join is split
+    wanted = rows.join(shorts, "short").groupBy("line").agg(F.min(F.struct("uid", "no")).alias("w")).select("w.*")
     texts = _texts(docs, wanted, id_col, text_col, min_chars)
     hot = met.where("block > 0").groupBy("key").agg(F.max("block").alias("blocks"))
     units = (met.join(hot, "key", "left").select("key", "short", "block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0)))).alias("other"))
