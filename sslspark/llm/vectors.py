@@ -3,7 +3,8 @@
 1. Equal vectors under one label are one node (with a count).
 2. The nodes of a label are split into overlapping cluster shards: as long as a
    shard is too large, it is split around a few pivots fitted on a bounded
-   sample; a node also goes to other pivots that are almost as near.
+   sample; a node also goes to other pivots that are almost as near.  A group
+   too tight for that is cut into blocks, and every two blocks are a shard.
 3. Each shard builds its graph: robust pruning keeps, of a node's nearest and
    some random candidates, those that no kept one is much nearer to.
 4. The adjacency lists of a node from all its shards are united.
@@ -95,12 +96,16 @@ def shards(all_nodes: DataFrame, max_shard: int, overlap: float, sample: int = 6
 
         parts = stored(live.join(pivots, "path").select("path", "node", "v", "pivots").mapInArrow(
             split, "path string, node long, v array<double>"), "split")
-        # a split that leaves a part as large as the whole parted nothing: such a part is kept whole
+        # a split that leaves a part as large as the whole parted nothing (a tight group): every two of its
+        # blocks make a shard, so all pairs still meet and no shard is too large
         grown = parts.groupBy("path").agg(F.count("*").alias("m")).withColumn("up", F.regexp_replace("path", "/[^/]*$", ""))
-        stuck = grown.join(large.select(F.col("path").alias("up"), "n"), "up").where(F.col("m") >= F.col("n")).select("up").distinct()
-        whole = live.join(stuck.withColumnRenamed("up", "path"), "path", "left_semi").select("path", "node")
-        done = done.unionByName(whole)
-        live = parts.withColumn("up", F.regexp_replace("path", "/[^/]*$", "")).join(stuck, "up", "left_anti").drop("up")
+        stuck = stored(grown.join(large.select(F.col("path").alias("up"), "n"), "up").where(F.col("m") >= F.col("n")).select("up", "n").distinct(), "stuck")
+        blocks = F.ceil(F.col("n") * 2 / F.lit(max_shard)).cast("long")
+        own, other = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        tight = (live.join(stuck.withColumnRenamed("up", "path"), "path").select("path", "node", own.alias("i"), other.alias("j"))
+                 .select(F.concat("path", F.lit("#"), F.least("i", "j"), F.lit("-"), F.greatest("i", "j")).alias("path"), "node"))
+        done = done.unionByName(tight)
+        live = parts.withColumn("up", F.regexp_replace("path", "/[^/]*$", "")).join(stuck.select("up"), "up", "left_anti").drop("up")
     raise RuntimeError("the shards could not be split far enough")
 
 

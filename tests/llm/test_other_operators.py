@@ -156,6 +156,14 @@ def test_embeddings(spark, max_shard):
     assert vectors.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_tight_group_larger_than_a_shard(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=32) + r.normal(size=(150, 32)) * 0.05
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = vectors.embedding_dedup(df, max_shard=40, rounds=1).collect()
+    assert all(r["n_links"] == 149 and r["component_id"] == 0 for r in got)
+
+
 def test_graph_search_finds_the_range():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, 24))
