@@ -39,5 +39,5 @@ def r6(c, name: str | None = None) -> Column:
 def load_all() -> None:
     """Import every query module so the registry is filled."""
     from sslspark.plans import (  # noqa: F401
-        q_core, q_prep, q_metrics, q_state, q_imbalance, q_similarity, q_jobs, q_stream, q_sources,
+        q_core, q_prep, q_metrics, q_state, q_imbalance, q_similarity, q_jobs, q_stream, q_sources, q_policies,
     )
