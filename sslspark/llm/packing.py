@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from sslspark.llm.common import stored
 
-#: The split pattern of byte-level tokenizers (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -39,28 +37,23 @@ class Coder:
     across a single space between two other characters, so the ids of a text
     are the ids of its words (each with the space before it) in turn.  The
     different words of a batch are encoded together and parted where the
-    tokens' bytes reach the words' ends, by a faster encoder that is given the
-    tokenizer's own vocabulary and is compared with it on every batch.  Texts
-    with white space in a row or added tokens go to the tokenizer itself.
+    tokens' bytes reach the words' ends.  Texts with white space in a row or
+    added tokens are encoded by themselves.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        import tiktoken
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         kind = json.loads(tokenizer.to_str())
         split = kind["pre_tokenizer"] or {}
         if kind["normalizer"] or kind["post_processor"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
             raise ValueError("a byte-level BPE tokenizer with the usual split pattern is needed")
-        self.encode = tokenizer.encode
+        self.encode, self.encode_batch = tokenizer.encode, tokenizer.encode_batch_fast
         self.added = [t["content"] for t in kind["added_tokens"]]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow at 256
-        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-        ranks = {bytes(byte_of[c] for c in t): k for t, k in tokenizer.get_vocab(with_added_tokens=True).items() if t not in self.added}
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.n_bytes[list(ranks.values())] = list(map(len, ranks))
-        self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
+        self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def text(self, text: str) -> np.ndarray:
         """Ids of a text, cut where single spaces stand between words."""
@@ -76,12 +69,14 @@ class Coder:
         ends = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset + 1:spaced.offset + len(spaced) + 1]
         data = spaced.buffers()[2].to_pybytes() if len(spaced) else b""
         begin = int(ends[0]) - len(spaced[0].as_py().encode()) if len(spaced) else 0
-        marks = [begin, *ends[4095::4096].tolist()]
+        marks = [begin, *ends[63::64].tolist()]
         if len(spaced) and marks[-1] != ends[-1]:
             marks.append(int(ends[-1]))
-        found = [np.array(self.fast(data[a:b].decode()), "<u4") for a, b in zip(marks, marks[1:])]
-        if found and self.encode(trial := data[begin:ends[:200][-1]].decode(), add_special_tokens=False).ids != self.fast(trial):
-            raise ValueError("the tokenizer's ids are not those of its vocabulary by rank")
+        found: list[np.ndarray] = []
+        for at in range(0, len(marks) - 1, 128):
+            some = marks[at:at + 129]
+            parts = [data[a:b].decode() for a, b in zip(some, some[1:])]
+            found += [np.array(e.ids, "<u4") for e in self.encode_batch(parts, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.empty(0, "<u4")
         cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends - begin) + 1
         if len(cuts) and cuts[-1] != len(ids):
@@ -134,7 +129,7 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             row = 0
             ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)))
             while row < batch.num_rows:  # rows by bytes, so very long texts stay apart
-                upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 12_000_000)))
+                upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 6_000_000)))
                 ids = code.texts(batch.column(1).slice(row, upto - row), end_id)
                 counts = np.asarray(pc.binary_length(ids)).astype(np.int64) // 4
                 starts = at + np.cumsum(counts) - counts
