@@ -240,7 +240,12 @@ def q_thr14(spark, sf):
         "class_id", (F.col("p_mean") * F.lit(n_u)).alias("class_mass"))
 
 
-@query("smp2_resample_weighted")
+@query("smp2_resample_weighted", with_ctes("imbalanced", extra=[
+    ("w", "SELECT label_true, 1.0 / count(*) AS weight FROM imbalanced GROUP BY label_true"),
+    ("u", "SELECT i.label_true, i.row_id, w.weight, (CAST(CAST(('0x' || substr(md5(concat_ws(':', i.row_id, 17)), 1, 13)) AS UBIGINT) AS DOUBLE) + 0.5) "
+          "/ 4503599627370496.0 AS u FROM imbalanced i JOIN w ON w.label_true = i.label_true")]) + """
+SELECT label_true, CAST(count(*) AS BIGINT) AS n_sampled FROM (
+  SELECT label_true, row_number() OVER (ORDER BY -ln(u) / weight, row_id) AS rn FROM u) WHERE rn <= 60 GROUP BY label_true""")
 def q_smp2(spark, sf):
     """Weighted sampling without replacement (Efraimidis-Spirakis keys,
     class-balanced weights = 1 / class count): sampled rows per class."""
