@@ -73,7 +73,8 @@ def sizes_of(text: bytes, coders: list, segment: int = 2_000) -> list[int]:
 
 def predict(docs: DataFrame, books: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text",
             margin: float = 0.01, level: int = 6, sharpness: float = 40.0) -> DataFrame:
-    """``docs`` with ``lang_pred, score, margin, rejected`` appended.  The
+    """``docs`` with ``lang_pred, score, margin, rejected`` appended (columns of
+    these names are replaced).  The
     margin is how much larger the runner-up is than the winner, as a share; a
     decision below ``margin`` is rejected.  The score is the winner's weight
     when a size ``x`` times the smallest weighs exp(-sharpness * (x - 1))."""

@@ -321,11 +321,14 @@ def _short():
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048) -> DataFrame:
-    """``docs`` with the text left over, and ``n_lines, n_removed`` appended."""
-    gone = duplicate_lines(docs, id_col, text_col, min_chars, block).withColumnRenamed(id_col, "_id")
+    """``docs`` with the text left over, and ``n_lines, n_removed`` appended
+    (columns of these names are replaced)."""
+    docs = docs.drop("n_lines", "n_removed")
+    gone = (duplicate_lines(docs.select(id_col, text_col), id_col, text_col, min_chars, block)
+            .select(F.col("uid").alias("_uid"), F.col(id_col).alias("_gone_id"), F.col("nos").alias("_nos")))
     rest = list(docs.columns)
-    rows = docs.select("*", _uid(id_col, text_col).alias("_uid")).join(
-        gone, (F.col("_uid") == F.col("uid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(*rest, "nos")
+    rows = docs.select("*", _uid(id_col, text_col).alias("_own")).join(
+        gone, (F.col("_own") == F.col("_uid")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").select(*rest, "_nos")
     kinds = {f.name: to_arrow_type(f.dataType) for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

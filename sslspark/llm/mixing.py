@@ -78,12 +78,11 @@ def draw(key: str) -> Column:
 
 def mix(docs: DataFrame, power: dict[str, float], dims: tuple[str, ...] = DIMS, key: str = "doc_id", text_col: str = "text",
         targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``docs`` with ``probability, kept, residual`` appended.  ``dims`` are
+    """``docs`` with ``probability, kept, residual`` appended (columns of these
+    names are replaced).  ``dims`` are
     columns of ``docs``; ``topic`` is made from the text where it is missing.
     ``targets`` gives a margin's shares, ``power`` tempers the observed ones."""
-    for name in ("probability", "kept", "residual"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} is to be made")
+    docs = docs.drop("probability", "kept", "residual")
     level = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) if d in docs.columns else topic(text_col) for d in dims}
     keyed = docs.select("*", *[c.alias(f"_{d}") for d, c in level.items()])
     cells = stored(docs.select(*[c.alias(d) for d, c in level.items()], tokens(text_col).alias("n"))

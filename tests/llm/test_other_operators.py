@@ -187,6 +187,7 @@ def test_mixing_meets_the_targets(spark):
     aims = {"source": spark.createDataFrame([("a", 0.4), ("b", 0.3), ("c", 0.3)], "source string, target double"),
             "lang": spark.createDataFrame([("en", 0.5), ("de", 0.3), ("", 0.2)], "lang string, target double")}
     out = mixing.mix(df, {"topic": 0.5}, targets=aims).withColumn("n", mixing.tokens()).cache()
+    assert mixing.mix(out.drop("residual", "n"), {}).columns == [*df.columns, "probability", "kept", "residual"]  # names met before are replaced
     assert out.count() == len(rows) and out.first()["residual"] <= 1e-8
     for dim, want in (("source", {"a": 0.4, "b": 0.3, "c": 0.3}), ("lang", {"en": 0.5, "de": 0.3, "": 0.2})):
         sums = {x[0]: x[1] for x in out.groupBy(F.coalesce(dim, F.lit(""))).agg(F.sum(F.col("n") * F.col("probability"))).collect()}
@@ -245,8 +246,8 @@ def test_line_dedup(spark, block):
     pool = ["".join(r.choice("abcdef ") for _ in range(r.randint(15, 120))) for _ in range(30)]
     texts = ["\n".join(edited(r, r.choice(pool), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randint(1, 6))) for _ in range(60)]
     texts += [None, "", "\n\n", "short\nshort", pool[0] + "\n" + pool[0], "long " * 4000]
-    rows = [(k, t, "clash", 1) for k, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, line string, no long")
+    rows = [(k, t, "clash", 1, 2, "x") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line string, no long, uid long, nos string")
     every = [(k, n, x) for k, t in enumerate(texts) for n, x in enumerate(t.split("\n") if t is not None else []) if len(x) >= 20]
     parent = list(range(len(every)))
 
