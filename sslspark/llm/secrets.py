@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are values assigned to a telling name, strings with a known
-beginning, and long strings of letters and digits.  For each one the forest
+beginning, and long strings of letters and digits, each one whole, however
+long it is.  For each one the forest
 sees its length and mix of characters, how usual its character transitions are
 in the corpus, how much of it dictionary words cover, what its path looks like
 and which words stand beside it.  Transitions and dictionary are counted over
@@ -32,9 +33,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sslspark.llm.common import stored
 
-ASSIGNED = re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}["']?([^\s"']{8,200})""")
-KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,72})\b")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{14,200}(?![A-Za-z0-9+/_=-])")
+#: The name may end a longer one (``DB_PASSWORD``, ``client_secret``) and stand in quotes, as in JSON.
+ASSIGNED = re.compile(r"""(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s*[:=](?:[ \t]*|\s{0,3})["']?([^\s"']{8,})""")
+KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,})\b")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{14,}")
+NAME = re.compile(r"[A-Za-z0-9_-]")
 SAMPLE_PATH = re.compile(r"(?i)test|example|sample|doc|fixture|mock")
 FEATURES = ["size", "digits", "upper", "variety", "transitions", "worst_transition", "coverage", "path_depth", "path_sample", "before", "after"]
 CLASSES = 64
@@ -98,15 +101,40 @@ def coverage(value: str, dictionary: frozenset[str]) -> float:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, kind)``, without overlaps; the more telling kind first."""
-    found = [(*m.span(1), "assigned") for m in ASSIGNED.finditer(text)]
+    """``(start, end, kind)``, without overlaps; the more telling kind first.
+    Of a long run that holds another finding, what is left beside it (and
+    beside the finding's name) counts like a run of its own."""
+    assigned = {m.start(1): m for m in ASSIGNED.finditer(text)}
+    found = [(*m.span(1), "assigned") for m in assigned.values()]
     found += [(*m.span(), "known") for m in KNOWN.finditer(text)]
-    found += [(*m.span(), "long") for m in LONG.finditer(text)]
     out: list[tuple[int, int, str]] = []
-    for f in sorted(found, key=lambda f: (f[0], {"known": 0, "assigned": 1, "long": 2}[f[2]], -f[1])):
+    taken: list[tuple[int, int]] = []
+    for f in sorted(found, key=lambda f: (f[0], {"known": 0, "assigned": 1}[f[2]], -f[1])):
         if not out or f[0] >= out[-1][1]:
+            begin = f[0]
+            if f[0] in assigned:
+                begin, least = assigned[f[0]].start(), taken[-1][1] if taken else 0
+                while begin > least and NAME.match(text[begin - 1]):
+                    begin -= 1
             out.append(f)
-    return out
+            taken.append((begin, f[1]))
+    k = 0
+    for m in LONG.finditer(text):
+        at, end = m.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < end:
+            out += _run(text, at, taken[j][0])
+            at = max(at, taken[j][1])
+            j += 1
+        out += _run(text, at, end)
+    return sorted(out)
+
+
+def _run(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
+    m = LONG.fullmatch(text[a:b]) if b > a else None
+    return [(a, b, "long")] if m else []
 
 
 def _word(side: list[str], k: int) -> str:
