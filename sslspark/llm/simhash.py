@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sslspark.llm.common import connected_components, lists, stored
@@ -158,24 +158,34 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 6, max_block: int = 2
     return usual.unionByName(spanned(large, ["c", "k", "c2", "k2"]))
 
 
+def _rooted(classes: DataFrame, max_bits: int, max_block: int) -> DataFrame:
+    """``classes`` (a row for each ``fp``) with the ``root`` of its component."""
+    classes = stored(classes, "classes")
+    roots = connected_components(links(classes.select("fp"), max_bits, max_block=max_block))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3,
                   seed: int = 42, max_block: int = 2048) -> DataFrame:
     """``<id>, fp, component_id`` for every row of ``docs``."""
     fps = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    roots = connected_components(links(classes.select("fp"), max_bits, max_block=max_block))
-    by_class = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_class = _rooted(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), max_bits, max_block)
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = by_class.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, the one with the
-    smallest id (of repeated ids one row).  Rows without an id that have a
-    component without any id: one row of them."""
-    found = simhash_dedup(docs.select(id_col, text_col), id_col, text_col, **options)
-    stay = (found.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("_id"), "fp"))
-    kept = docs.join(stay.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    again = Window.partitionBy(id_col).orderBy(text_col)
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3,
+                seed: int = 42, max_block: int = 2048) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component of fingerprints,
+    the one with the smallest id (null ids last, equal ids by a hash of the
+    text).  Rows have numbers of their own: equal or null ids merge nothing."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # a table: the numbers stay when it is read again
+    place = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(row).alias("r"))
+    fps = fingerprints(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", words, seed)
+    by_class = _rooted(fps.groupBy("fp").agg(F.min("place").alias("rep")), max_bits, max_block)
+    stay = by_class.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.r").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

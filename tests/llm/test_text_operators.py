@@ -96,6 +96,15 @@ def test_simhash_fingerprints_and_components(spark, docs):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, d), (None, c), (9, e), (None, e)]
+    kept = simhash.one_of_each(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, _row long").repartition(3))
+    assert kept.columns == ["doc_id", "text", "_row"]
+    assert sorted(((x[0], x[1]) for x in kept.collect()), key=lambda x: x[1]) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=lambda x: x[1])
+
+
 @pytest.mark.parametrize("max_block", [2048, 4])
 def test_simhash_links_of_a_dense_group(spark, max_block):
     """Hundreds of fingerprints near one another, with blocks cut again when they are large."""
