@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of lines within a few edits of each other the first stays.
     Texts get shorter; a document that has no line left stays, empty."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    return lines.dedup_lines(docs, exact_chars=lines.EXACT_CHARS).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,15 @@ a spanning forest of its links.  A bucket beyond ``block`` lines is compared in
 pairs of blocks, so no task holds more than two blocks.
 
 The edits allowed grow with the shorter line: none below 25 characters, one
-below 50, else two.  Lines shorter than ``min_chars`` are left alone.
+below 50, two below 300, from there one for every 75 characters.  Long lines
+(300 and more) within their edits have 60 unchanged characters in a row, so
+they share a gram that is the smallest by hash of some window of grams
+(winnowing); it is joined with the classes of the line's length and its place.
+
+Lines shorter than ``min_chars`` are left out of the edit join; equal lines of
+``exact_chars`` characters or more are copies (by default ``min_chars``, so
+shorter lines are left alone; the query and the pipeline take every line that
+is not empty).
 
 Defined cases: a null text stays null and has no lines; repeated rows (same id
 and text) get the same result; ties go to the smaller id and line number; lines
@@ -36,11 +44,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sslspark.llm.common import connected_components, stored
 
 MIN_CHARS = 20
+#: Shortest line of which exact copies go, in the query and the pipeline.
+EXACT_CHARS = 1
+#: Long lines: their length, characters of a line for each edit, characters of a gram, grams of a window.
+LONG, RATE, GRAM, WINDOW = 300, 75, 28, 33
 
 
 def allowed(length: int) -> int:
     """Edits that a line may be away from a shorter line of this length."""
-    return 0 if length < 25 else 1 if length < 50 else 2
+    return 0 if length < 25 else 1 if length < 50 else 2 if length < LONG else length // RATE
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -106,9 +118,13 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
 def keys_of(line: str) -> list[int]:
     """Index and probe keys of a line.  For the line's own length an index
     entry is also the probe at that place."""
+    return list(dict.fromkeys(_segment_keys(line) + (gram_keys([line])[0].tolist() if len(line) >= LONG else [])))
+
+
+def _segment_keys(line: str) -> list[int]:
     import xxhash
     out = []
-    for length in range(max(1, len(line) - 2), len(line) + 1):
+    for length in range(max(1, len(line) - 2), min(len(line), LONG - 1) + 1):
         more, edits = len(line) - length, allowed(length)
         if more > edits:
             continue
@@ -121,6 +137,61 @@ def keys_of(line: str) -> list[int]:
     return list(dict.fromkeys(out))
 
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def gram_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of long lines and the number of each key's line.
+
+    The grams of all lines are hashed together, by differences of one running
+    sum.  Of equal grams of a window the first is taken.  Lines of a pair and the
+    places of a gram in them are at most ``length // RATE`` apart, so each key
+    is given for the classes on both sides where a class ends in between."""
+    base = 0x5851F42D4C957F2D
+    sizes = np.array([len(x) for x in lines], np.int64)
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n = len(c)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c) * _powers(n, base)[:n], dtype=np.uint64)])
+    grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * _powers(n, pow(base, -1, 1 << 64))[:n - GRAM + 1])
+    low = np.uint64((1 << 24) - 1)
+    least = grams & ~low | np.arange(len(grams), dtype=np.uint64) & low
+    width = 1
+    while width < WINDOW:  # smallest of ``width`` grams from each one on
+        step = min(width, WINDOW - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    at = np.flatnonzero(np.arange(len(least)) + GRAM + WINDOW - 1 <= ends[owner[:len(least)]])
+    least, owner = least[at], owner[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    at, owner = at[new], owner[new]
+    at = at + ((least[new] & low).astype(np.int64) - at) % (1 << 24)  # places of the grams
+    place = at - (ends - sizes)[owner]
+    reach = sizes // RATE
+    keys, whose = [], []
+    kinds = [(np.log2(x) * 3).astype(np.int64) for x in (sizes, sizes - reach)]
+    for k, kind in enumerate(kinds):
+        wide = (2.0 ** (kind / 3) / 6).astype(np.int64)[owner]
+        parts = [place // wide, (place + reach[owner]) // wide]
+        for j, part in enumerate(parts):
+            use = np.ones(len(at), bool) if not k else (kind != kinds[0])[owner]
+            if j:
+                use &= part != parts[0]
+            keys.append(_mixed(grams[at[use]] ^ _mixed((kind[owner[use]] << 40 | part[use]).astype(np.uint64) + np.uint64(1))))
+            whose.append(owner[use])
+    return np.concatenate(keys), np.concatenate(whose)
+
+
 def _digest(line: bytes) -> bytes:
     import xxhash
     return xxhash.xxh3_128_digest(line)
@@ -157,9 +228,18 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     task are left out, as far as a bounded memory goes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+
+        def out(keys: np.ndarray, shorts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shorts, pa.int64())], names=["key", "short"])
+
+        def grams(lines: list[str], own: list[int]) -> pa.RecordBatch:
+            keys, whose = gram_keys(lines)
+            return out(keys, np.array(own, np.int64)[whose])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 keys, shorts = [], []
+                long, own, size = [], [], 0
                 for text in batch.column(0).slice(at, 500).to_pylist():
                     for x in (text or "").split("\n"):
                         if len(x) >= min_chars and allowed(len(x)):
@@ -168,10 +248,20 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                                 if len(seen) >= 100_000:
                                     seen.clear()
                                 seen.add(short)
-                                own = keys_of(x)
-                                keys.extend(own)
-                                shorts.extend([short] * len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(shorts, pa.int64())], names=["key", "short"])
+                                if len(x) < LONG + 2:
+                                    found = _segment_keys(x)
+                                    keys.extend(found)
+                                    shorts.extend([short] * len(found))
+                                if len(x) >= LONG:
+                                    long.append(x)
+                                    own.append(short)
+                                    size += len(x)
+                                    if size > 500_000:
+                                        yield grams(long, own)
+                                        long, own, size = [], [], 0
+                if long:
+                    yield grams(long, own)
+                yield out(np.array(keys, np.uint64), np.array(shorts, np.int64))
 
     return docs.select(text_col).mapInArrow(run, "key long, short long")
 
@@ -250,7 +340,7 @@ def _forest(lines: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes
         queue = [left.pop(0)]
         while queue and left:
             i = queue.pop()
-            near = left if bags is None else np.array(left)[np.abs(bags[left] - bags[i]).sum(1) <= 4]
+            near = left if bags is None else np.array(left)[np.abs(bags[left] - bags[i]).sum(1) <= 2 * allowed(len(texts[i]))]
             got = set()
             for j in near:
                 k = allowed(min(len(texts[i]), len(texts[j])))
@@ -262,9 +352,18 @@ def _forest(lines: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes
                 left = [j for j in left if j not in got]
 
 
+def _once(met: DataFrame) -> DataFrame:
+    """``met`` with one key for each set of lines: close lines share many keys,
+    and comparing the same lines again finds nothing new.  Sets are told apart
+    by their sizes and 128 bits."""
+    sets = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("short")).alias("x"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("y"))
+    one = sets.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return stored(met.join(stored(one.select("key"), "sets"), "key", "left_semi"), "met")
+
+
 def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_chars: int, block: int) -> DataFrame:
     """Spanning links ``a, b`` (digests) between different lines."""
-    met = stored(_shared(_keys(docs, text_col, min_chars), block), "met")
+    met = _once(stored(_shared(_keys(docs, text_col, min_chars), block), "shared"))
     shorts = stored(met.select("short").distinct(), "shorts")  # a table, so that a hot line's join is split
     wanted = rows.join(shorts, "short").groupBy("line").agg(F.min(F.struct("uid", "no")).alias("w")).select("w.*")
     texts = _texts(docs, wanted, id_col, text_col, min_chars)
@@ -298,9 +397,10 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_char
     return full.mapInArrow(run, "a binary, b binary")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048,
+                    exact_chars: int | None = None) -> DataFrame:
     """``uid, <id>, nos``: for each document with any, the numbers of the lines that go."""
-    rows = stored(_lines(docs, id_col, text_col, min_chars).withColumn("short", _short()), "lines")
+    rows = stored(_lines(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)).withColumn("short", _short()), "lines")
     roots = connected_components(links(docs, rows, id_col, text_col, min_chars, block)).withColumnRenamed("node", "line")
     place = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), "uid", "no")
     classes = rows.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -320,11 +420,12 @@ def _short():
     return F.conv(swapped, 16, -10).cast("long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048,
+                exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the text left over, and ``n_lines, n_removed`` appended
     (columns of these names are replaced)."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = (duplicate_lines(docs.select(id_col, text_col), id_col, text_col, min_chars, block)
+    gone = (duplicate_lines(docs.select(id_col, text_col), id_col, text_col, min_chars, block, exact_chars)
             .select(F.col("uid").alias("_uid"), F.col(id_col).alias("_gone_id"), F.col("nos").alias("_nos")))
     rest = list(docs.columns)
     rows = docs.select("*", _uid(id_col, text_col).alias("_own")).join(

@@ -74,7 +74,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents; the text left over as a digest."""
-    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=lines.EXACT_CHARS)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

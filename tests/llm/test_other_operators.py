@@ -291,6 +291,28 @@ def test_line_dedup(spark, block):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_close_long_lines_share_a_key():
+    r = random.Random(7)
+    for _ in range(400):
+        line = "".join(r.choice("abc d") for _ in range(r.randint(290, 900)))
+        other = edited(r, line, r.randint(1, lines.allowed(len(line))))
+        if lines.within(line, other, lines.allowed(min(len(line), len(other)))):
+            assert set(lines.keys_of(line)) & set(lines.keys_of(other))
+    many = ["".join(r.choice("abc d") for _ in range(n)) for n in (300, 301, 377, 4000, 20_000)]
+    keys, whose = lines.gram_keys(many)
+    assert [sorted(set(keys[whose == k].tolist())) for k in range(5)] == [sorted(set(lines.gram_keys([x])[0].tolist())) for x in many]
+
+
+def test_short_copies_and_long_lines_with_a_replaced_word(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(70)]
+    line, other = " ".join(words), " ".join([*words[:30], "qrstu", *words[31:]])
+    assert len(line) >= 400 and simple_distance(line, other) == 5
+    df = spark.createDataFrame([(1, "ok\n" + line + "\n\nok"), (2, other + "\n}\nok"), (3, "}\n\nlast")], "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(df, exact_chars=lines.EXACT_CHARS).collect()}
+    assert got == {1: "ok\n" + line + "\n", 2: "}", 3: "\nlast"}
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
