@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sslspark.constants import UNLABELLED
-from sslspark.functions.arrays import (argmax, average_views, consistency_loss, cross_entropy_hard, entropy, kl_from_logits, mtl_weighted_loss,
-                                       ramp, sharpen)
+from sslspark.functions.arrays import (argmax, average_views, consistency_loss, cosine_repulsion, cross_entropy_hard, entropy, kl_from_logits,
+                                       mtl_weighted_loss, ramp, sharpen)
 from sslspark.operators import adaptive, aggs, imbalance, metrics, policies
 
 __all__ = ["POLICIES", "IMBALANCE", "get_policy", "apply_policy", "compose"]
@@ -210,6 +210,14 @@ def _mixmatch(df: DataFrame, p: MixMatchParams) -> DataFrame:
     return df.withColumn("pseudo", sharpen(average_views("probs", "probs_s"), p.T))
 
 
+def _crmatch(df: DataFrame, p: FixMatchParams) -> DataFrame:
+    """FixMatch with the strong view's loss, and the repulsion of the two views'
+    descriptors ``ds`` (weak) and ``ds_s`` (strong); the rotation head is not built."""
+    d = _fixmatch(df, p)
+    return d.withColumns({"unsup_loss": consistency_loss("logits_s", "pseudo", "ce", mask="mask", hard=p.hard_label),
+                          "repulsion_loss": cosine_repulsion("ds_s", "ds", "mask")})
+
+
 def _defixmatch(df: DataFrame, p: FixMatchParams, labelled: DataFrame) -> DataFrame:
     """Labelled rows go through the same mask with weight -1, which takes the bias out."""
     both = df.withColumn("weight", F.lit(1.0)).unionByName(labelled.withColumn("weight", F.lit(-1.0)))
@@ -248,7 +256,7 @@ POLICIES: dict[str, tuple[type, Callable]] = {
     "vat": (VATParams, _vat),
     "mixmatch": (MixMatchParams, _mixmatch),
     "defixmatch": (FixMatchParams, _defixmatch),
-    "crmatch": (FixMatchParams, _fixmatch),  # its rotation head is not built
+    "crmatch": (FixMatchParams, _crmatch),
     "fullysupervised": (NoParams, _fullysupervised),
     "mtl_fullysupervised": (NoParams, _mtl_fullysupervised),
     "mtl_fixmatch": (MultiTaskParams, _mtl_fixmatch),

@@ -78,6 +78,17 @@ def q_mixmatch(spark, sf):
     return d.groupBy("batch_id").agg(r6(F.avg(F.array_max("pseudo")), "mean_top"))
 
 
+@query("policy_crmatch", with_ctes("scored", "scored_strong", extra=[("tv", TWO_VIEWS_SQL), (
+    "m", f"""SELECT batch_id, CASE WHEN list_max(probs) >= 0.6 THEN 1.0 ELSE 0.0 END AS k, {X.ce_hard('logits_s', X.argmax('probs'))} AS ce,
+    greatest({X.cosine('logits_s', 'logits')}, 0.0) AS rep FROM tv WHERE role = 'unlabelled'""")]) + """
+SELECT batch_id, round(avg(ce * k), 6) AS unsup_loss, round(avg(rep * k), 6) AS repulsion_loss FROM m GROUP BY batch_id""")
+def q_crmatch(spark, sf):
+    # the tables have no descriptor head; the views' logits stand for its outputs
+    tv = two_views(spark, sf).filter("role = 'unlabelled'").withColumns({"ds": F.col("logits"), "ds_s": F.col("logits_s")})
+    d = apply_policy(tv, "crmatch", p_cutoff=0.6)
+    return d.groupBy("batch_id").agg(r6(F.avg("unsup_loss"), "unsup_loss"), r6(F.avg("repulsion_loss"), "repulsion_loss"))
+
+
 @query("policy_defixmatch", with_ctes("scored") + """
 SELECT batch_id, CAST(sum(CASE WHEN list_max(probs) >= 0.6 THEN CASE WHEN role = 'labelled' THEN -1 ELSE 1 END ELSE 0 END) AS BIGINT) AS net
 FROM scored GROUP BY batch_id""")

@@ -300,3 +300,12 @@ def test_cached_split_keeps_what_it_cannot_read(spark):
     d = tempfile.mkdtemp(prefix="sslspark-split-", dir="/tmp")
     one = io.cached_split(spark, d, {"n": 1}, lambda: spark.range(5))
     assert one.count() == 5 and io.cached_split(spark, d, {"n": 1}, lambda: spark.range(9)).count() == 5
+
+
+def test_crmatch_has_its_repulsion(spark):
+    from sslspark.operators import registry
+    rows = [(1, [0.99, 0.01], [3.0, 0.0], [1.0, 0.0], [1.0, 1.0]), (2, [0.99, 0.01], [3.0, 0.0], [1.0, 0.0], [-1.0, 0.0]), (3, [0.6, 0.4], [3.0, 0.0], [1.0, 0.0], [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "row_id long, probs array<double>, logits_s array<double>, ds array<double>, ds_s array<double>")
+    got = {r["row_id"]: r for r in registry.apply_policy(df, "crmatch").collect()}
+    assert abs(got[1]["repulsion_loss"] - 0.5 ** 0.5) < 1e-9 and got[2]["repulsion_loss"] == 0 and got[3]["repulsion_loss"] == 0
+    assert abs(got[1]["unsup_loss"] - math.log1p(math.exp(-3.0))) < 1e-9 and got[3]["unsup_loss"] == 0
