@@ -16,6 +16,7 @@ in prediction.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         rows_per_language: int = 400, dictionary_bytes: int = 64_000) -> dict[str, bytes]:
     """One dictionary for each language, from a bounded sample: about
     ``rows_per_language`` labelled rows with the smallest id hashes, of these
-    the distinct sentences in hash order up to ``dictionary_bytes``.
+    the distinct sentences in hash order up to ``dictionary_bytes``; longer
+    sentences in pieces of 1,000 characters.  Warns of languages that get none.
 
     One pass counts the rows of each language and gives a hash bound; only the
     texts below it are read, and only the dictionaries reach the driver."""
@@ -47,14 +49,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         bound = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, rows_per_language / n) * (2 ** 64 - 2 ** 12)) - 2 ** 63)).otherwise(bound)
     sentences = (usable.where(h <= bound)
                  .select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"(?<=[.!?])\s+|\n")).alias("s"))
-                 .where(F.length("s") > 0).distinct())
+                 .where(F.length("s") > 0)
+                 .select("lang", F.explode(F.expr("transform(sequence(1, length(s), 1000), i -> substring(s, i, 1000))")).alias("s")).distinct())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("s"), "s")
     rows = (sentences.withColumn("size", F.sum(F.octet_length("s") + 1).over(order))
             .where(F.col("size") <= dictionary_bytes).select("lang", "size", "s").collect())
     books: dict[str, list[bytes]] = {}
     for r in sorted(rows):
         books.setdefault(r["lang"], []).append(r["s"].encode())
-    return {lang: book for lang, parts in sorted(books.items()) if len(book := b"\n".join(parts)) >= 8}
+    out = {lang: book for lang, parts in sorted(books.items()) if len(book := b"\n".join(parts)) >= 8}
+    if missing := sorted(set(counts) - set(out)):
+        warnings.warn(f"no dictionary for labelled languages {missing}", stacklevel=2)
+    return out
 
 
 def sizes_of(text: bytes, coders: list, segment: int = 2_000) -> list[int]:

@@ -44,6 +44,13 @@ def test_language_odd_texts(spark):
     assert langid.predict(rows.limit(0), books).count() == 0
 
 
+def test_language_of_unbroken_texts_is_learned(spark):
+    df = spark.createDataFrame([(1, "日本語のテキスト" * 9000, "ja"), (2, "x", "xx")], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="xx"):
+        books = langid.fit(df)
+    assert sorted(books) == ["ja"] and 1000 < len(books["ja"]) <= 64_000
+
+
 # ---- sharding
 
 def simple_shards(rows, limit):
