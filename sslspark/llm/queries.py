@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sslspark.llm import fingerprints, langid, lines, mixing, packing, secrets, sharding, simhash, substrings, vectors
+from sslspark.llm import chat, divergence, fingerprints, langid, lines, mixing, packing, periodic, secrets, sharding, simhash, substrings, vectors
 from sslspark.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,12 +83,36 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole text, of which every tenth gets the contract's repetition."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted().alias("text"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the other sources of its language, and its terms against the language's."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, read back from their pieces."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    pieces = chat.format_turns(given.unionByName(more), tokenizer_path())
+    found = chat.digests(chat.read_back(pieces, tokenizer_path()))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_simhash, op3_language_id, op4_sharding, op5_secret_scan, op6_embedding_dedup,
-                            op7_substring_dedup, op8_mixing, op9_line_dedup, op10_fingerprints)
+                            op7_substring_dedup, op8_mixing, op9_line_dedup, op10_fingerprints, op11_periodic_runs,
+                            op12_source_divergence, op13_chat_format)
 }
 #: The others have no SQL form: tokenizers, XXH64, compression, forests, graphs and edit joins; substring windows are too slow.
 ORACLE: dict[str, str] = {
     "op4_sharding": sharding.oracle_sql(SHARD_BYTES),
     "op8_mixing": mixing.oracle_sql(MIX_POWER),
+    "op12_source_divergence": divergence.oracle_sql(),
+    "op13_chat_format": chat.oracle_sql(),
 }

@@ -13,6 +13,9 @@ COLUMNS = {
     "op6_embedding_dedup": ["vec_id", "n_links", "component_id", "kept"],
     "op7_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op13_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
 }
 
 

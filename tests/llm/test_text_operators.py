@@ -203,4 +203,4 @@ def test_merged_fingerprints(spark, docs):
 
 
 def test_queries_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
