@@ -48,7 +48,8 @@ CONTROLS = [m.strip() for m in MARKS]
 _CONTROL = "|".join(map(re.escape, CONTROLS))
 _ESCAPE = re.compile(rf"(\\*)({_CONTROL})")
 _UNESCAPE = re.compile(rf"\\(\\*)({_CONTROL})")
-_MARK = re.compile(rf"(?<!\\)(?:{'|'.join(map(re.escape, MARKS))})")
+# a mark's own space or line end may follow a text's last backslash; its control string never does
+_MARK = re.compile("|".join(re.escape(m[:len(m) - len(m.lstrip())]) + r"(?<!\\)" + re.escape(m.lstrip()) for m in MARKS))
 ORDER = ("turn", "role", "tie")
 
 
