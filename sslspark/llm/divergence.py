@@ -4,9 +4,10 @@
    (source, occurrences, documents) in memory.  When the block is full it is
    spilled as a run: sorted by language and term, parted into hash shards, each
    part in compressed pages.
-2. The runs of a shard meet in one task, which merges them page by page with a
-   heap and sums up the postings of each term: the frequencies.  A term is one
-   entry of a run, however often it occurs, so frequent terms are no hot keys.
+2. The runs of a shard meet in one task, which merges them page by page, with
+   a heap of the open pages' last terms, and sums up the postings of each term:
+   the frequencies.  A term is one entry of a run and source, however often it
+   occurs, so frequent terms are no hot keys.
 3. A term's smoothed share in a group is an integer, so are all divergences.
    The divergence of two sources over all terms is taken in three parts: terms
    that neither has (all alike), terms that one has (from the histogram of its
@@ -26,12 +27,13 @@ from __future__ import annotations
 import heapq
 import io
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,65 +43,73 @@ from sslspark.llm.common import stored
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _AS_TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE = 1_000_000_000
-_ENTRY = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("source", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
+#: Ends the language in an entry's key (language, term); no byte of UTF-8, so keys sort alike in all runs.
+_AND = b"\xff"
+_ENTRY = pa.schema([("key", pa.binary()), ("source", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_AS_TERM).split()
 
 
+class _Numbers(dict):
+    """A number for each different key, in the order in which they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Block:
     """Postings of some documents, in memory."""
 
     def __init__(self):
-        self.terms: dict[bytes, int] = {}
-        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.terms = _Numbers()
+        self.groups = _Numbers()
         self.found: list[np.ndarray] = []  # term, occurrences, group: a column for each term of a document
         self.size = 0
 
-    def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        counts = Counter(terms_of(text))
-        group = self.groups.setdefault((lang, source), len(self.groups))
-        number, terms = self.terms.setdefault, self.terms
-        part = np.empty((3, len(counts)), np.int64)
-        part[0] = [number(t, len(terms)) for t in counts]
-        part[1] = list(counts.values())
-        part[2] = group
-        self.found.append(part)
-        self.size += part.shape[1]
+    def add(self, langs: list[bytes], sources: list[bytes], texts: list[bytes]) -> None:
+        """Some documents; equal terms of one are one posting."""
+        for lang, source, text in zip(langs, sources, texts, strict=True):
+            counts = Counter(terms_of(text))  # small, so that the block's large table is asked once for each different term
+            part = np.empty((3, len(counts)), np.int64)
+            part[0] = np.fromiter(map(self.terms.__getitem__, counts), np.int64, len(counts))
+            part[1] = np.fromiter(counts.values(), np.int64, len(counts))
+            part[2] = self.groups[lang, source]
+            self.found.append(part)
+            self.size += len(counts)
 
     def spill(self, shards: int, page: int) -> Iterator[tuple[int, bytes]]:
         """The run: for each hash shard its entries, in order, in pages."""
         if not self.size:
             return
         terms = sorted(self.terms)
-        groups = sorted(self.groups)
-        langs = sorted({g[0] for g in groups})
-        rank = np.empty(len(terms), np.int64)
+        groups = sorted(self.groups, key=lambda g: (g[0] + _AND, g[1]))
+        langs = sorted({g[0] for g in groups}, key=lambda x: x + _AND)
+        rank, place = np.empty(len(terms), np.int64), np.empty(len(groups), np.int64)
         rank[[self.terms[t] for t in terms]] = np.arange(len(terms))
-        place = np.empty(len(groups), np.int64)
         place[[self.groups[g] for g in groups]] = np.arange(len(groups))
-        lang_of = np.array([langs.index(g[0]) for g in groups], np.int64)
+        number = {x: k for k, x in enumerate(langs)}
+        lang_of = np.array([number[g[0]] for g in groups], np.int64)
         term, n, group = np.concatenate(self.found, axis=1)
         term, group = rank[term], place[group]
-        lang = lang_of[group]
-        order = np.lexsort((group, term, lang))
-        term, n, group, lang = term[order], n[order], group[order], lang[order]
+        order = np.lexsort((group, term, lang_of[group]))
+        term, n, group = term[order], n[order], group[order]
         new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])))
         docs = np.diff(np.append(new, len(term)))
-        n = np.add.reduceat(n, new)
-        term, group, lang = term[new], group[new], lang[new]
+        n, term, group = np.add.reduceat(n, new), term[new], group[new]
         salt = np.array([zlib.crc32(x) for x in langs], np.uint64)
-        shard = np.fromiter((zlib.crc32(t) for t in terms), np.uint64, len(terms))[term] ^ salt[lang]
+        shard = np.fromiter(map(zlib.crc32, terms), np.uint64, len(terms))[term] ^ salt[lang_of[group]]
         shard = ((shard * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
         by = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(shard[by]) != 0))
-        all_terms, all_langs, sources = (pa.array(x, pa.binary()) for x in (terms, langs, [g[1] for g in groups]))
+        all_terms, all_langs, sources = (pa.array(x, pa.binary()) for x in (terms, [g[0] for g in groups], [g[1] for g in groups]))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
             some = by[a:b]
-            entries = pa.RecordBatch.from_arrays(
-                [all_langs.take(pa.array(lang[some])), all_terms.take(pa.array(term[some])), sources.take(pa.array(group[some])),
-                 pa.array(n[some]), pa.array(docs[some])], schema=_ENTRY)
+            whose = pa.array(group[some])
+            key = pc.binary_join_element_wise(all_langs.take(whose), all_terms.take(pa.array(term[some])), pa.scalar(_AND))
+            entries = pa.RecordBatch.from_arrays([key, sources.take(whose), pa.array(n[some]), pa.array(docs[some])], schema=_ENTRY)
             out = io.BytesIO()
             with pa.ipc.new_stream(out, _ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 for at in range(0, entries.num_rows, page):
@@ -118,67 +128,79 @@ def runs(docs: DataFrame, text_col: str, lang_col: str, source_col: str, shards:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([entries], pa.binary())], names=["shard", "entries"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                cols = [c.cast(pa.binary()).to_pylist() for c in batch.slice(at, 500).columns]
-                for text, lang, source in zip(*cols, strict=True):
-                    known = len(block.terms)
-                    block.add(lang, source, text)
-                    held += 100 * (len(block.terms) - known)
-                    if block.size >= max_postings or held >= max_bytes:
-                        yield from out()
-                        block, held = Block(), 0
+            for at in range(0, batch.num_rows, 200):
+                cols = [c.cast(pa.binary()).to_pylist() for c in batch.slice(at, 200).columns]
+                known = len(block.terms)
+                block.add(cols[1], cols[2], cols[0])
+                held += 100 * (len(block.terms) - known)
+                if block.size >= max_postings or held >= max_bytes:
+                    yield from out()
+                    block, held = Block(), 0
         yield from out()
 
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (text_col, lang_col, source_col)]).mapInArrow(
         run, "shard int, entries binary")
 
 
-def _entries(run: bytes) -> Iterator[tuple[bytes, bytes, bytes, int, int]]:
-    """Entries of one run's part, a page at a time."""
-    for page in pa.ipc.open_stream(run):
-        yield from zip(*(c.to_pylist() for c in page.columns), strict=True)
+def _merged(parts: list[bytes]) -> Iterator[pa.Table]:
+    """Entries of the runs of a shard, so that no key is in two tables.  The
+    heap holds the last key of each run's open page; up to the smallest of them
+    all entries are at hand."""
+    pages = [iter(pa.ipc.open_stream(p)) for p in parts]
+    open_ = [next(p) for p in pages]
+    heap = [(page.column(0)[-1].as_py(), k) for k, page in enumerate(open_)]
+    heapq.heapify(heap)
+    while heap:
+        bound = heap[0][0]
+        ready = []
+        for k, page in enumerate(open_):
+            if page is None or (heap[0][1] != k and page.column(0)[0].as_py() > bound):
+                continue
+            keys = page.column(0)
+            upto = bisect_right(range(len(keys)), bound, key=lambda i: keys[i].as_py())
+            ready.append(page.slice(0, upto))
+            open_[k] = page.slice(upto)
+        while heap and heap[0][0] == bound:
+            k = heapq.heappop(heap)[1]
+            open_[k] = next(pages[k], None)
+            while open_[k] is not None and open_[k].column(0)[-1].as_py() == bound:  # a key may go on in the next page
+                ready.append(open_[k])
+                open_[k] = next(pages[k], None)
+            if open_[k] is not None:
+                keys = open_[k].column(0)
+                upto = bisect_right(range(len(keys)), bound, key=lambda i: keys[i].as_py())
+                ready.append(open_[k].slice(0, upto))
+                open_[k] = open_[k].slice(upto)
+                heapq.heappush(heap, (keys[-1].as_py(), k))
+        yield pa.Table.from_batches(ready)
 
 
 def frequencies(spilled: DataFrame, min_docs: int) -> DataFrame:
     """``lang, term, docs, n, posts`` of the terms in at least ``min_docs``
     documents of their language; ``posts`` are (source, n), by source."""
-    posts_kind = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
-
-    def merged(parts: list[bytes]) -> Iterator[tuple]:
-        merged_ = heapq.merge(*map(_entries, parts), key=lambda e: e[:2])
-        for (lang, term), same in groupby(merged_, key=lambda e: e[:2]):
-            n: Counter[bytes] = Counter()
-            docs = 0
-            for e in same:
-                n[e[2]] += e[3]
-                docs += e[4]
-            if docs >= min_docs:
-                yield (lang.decode(), term.decode(), docs, n.total(), [{"source": s.decode(), "n": n[s]} for s in sorted(n)])
+    def table(entries: pa.Table) -> pa.RecordBatch:
+        terms = entries.group_by("key", use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+        terms = terms.filter(pc.greater_equal(terms["docs_sum"], min_docs)).sort_by("key").combine_chunks()
+        kept = entries.filter(pc.is_in(entries["key"], terms["key"]))
+        posts = kept.group_by(["key", "source"], use_threads=False).aggregate([("n", "sum")]).sort_by([("key", "ascending"), ("source", "ascending")])
+        ends = np.asarray(pc.run_end_encode(posts["key"].combine_chunks()).run_ends) if len(posts) else np.empty(0, np.int32)
+        keys = [k.partition(_AND) for k in terms["key"].to_pylist()]
+        pairs = pa.StructArray.from_arrays([pa.array(posts["source"].to_pylist(), pa.binary()).cast(pa.string()), pa.array(np.asarray(posts["n_sum"]), pa.int64())],
+                                           names=["source", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0].decode() for k in keys], pa.string()), pa.array([k[2].decode() for k in keys], pa.string()),
+             pa.array(np.asarray(terms["docs_sum"]), pa.int64()), pa.array(np.asarray(terms["n_sum"]), pa.int64()),
+             pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pairs)], names=["lang", "term", "docs", "n", "posts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-            for row in rows:
-                held.append(row)
-                if len(held) >= 10_000:
-                    yield table(held)
-                    held = []
-            if held:
-                yield table(held)
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), posts_kind]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                              names=["lang", "term", "docs", "n", "posts"])
-
         shard, parts = None, []
         for batch in batches:
             for s, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if s != shard:
-                    yield from batched(merged(parts))
+                    yield from map(table, _merged(parts))
                     shard, parts = s, []
                 parts.append(part)
-        yield from batched(merged(parts))
+        yield from map(table, _merged(parts))
 
     return spilled.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         run, "lang string, term string, docs long, n long, posts array<struct<source:string,n:long>>")

@@ -138,9 +138,9 @@ def test_source_divergence(spark, monkeypatch, size):
     r = random.Random(2)
     vocabulary = ["Ab", "ab", "c1d", "é", "É", "日本", "x-y", " ", *("".join(r.choice("abcdeé") for _ in range(4)) for _ in range(60))]
     rows = [(" ".join(r.choice(vocabulary[:r.randint(3, len(vocabulary))]) for _ in range(r.randint(0, 40))), r.choice(["en", "en", "de", None, ""]),
-             r.choice(["a", "b", "b", "c\n", "日", None])) for _ in range(250)]
+             r.choice(["a", "b", "b", "c\n", "日", None])) for _ in range(1500)]
     rows += [(None, "en", "only null"), ("", "fr", "a"), ("12 3", "fr", "b"), ("lonely", "it", "a"), rows[0], rows[0]]
-    df = spark.createDataFrame([(k, *x, "clash", 1) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string, term string, n long").repartition(4)
+    df = spark.createDataFrame([(k, *x, "clash", 1) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string, term string, n long").repartition(2)
     if size:
         whole = divergence.runs
         monkeypatch.setattr(divergence, "runs", lambda *a, **k: whole(*a, **k, max_postings=size, page=7))
