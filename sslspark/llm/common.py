@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +22,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(taken: Iterable[str], name: str) -> str:
+    """A column name like ``name`` that is not taken (letter case aside)."""
+    lower = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name in lower:
+        name += "_"
+    return name
+
+
 def lists(batches: Iterator[pa.RecordBatch], max_rows: int = 1000) -> Iterator[list[list]]:
     """Columns of each batch as Python lists, a bounded number of rows at a
     time; string columns come as UTF-8 ``bytes`` (no decoding)."""

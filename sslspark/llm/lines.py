@@ -7,19 +7,29 @@ A line of length ``l`` that may have ``t`` edits is cut into ``t + 1``
 segments; a line within ``t`` edits has one of these segments unchanged, at a
 place that the lengths and the segment's number confine to a few.  The index
 holds (length, number, segment); longer lines probe it with their substrings
-at those places, for each length in reach.  Lines that meet there are compared
-by an edit distance over a band of ``2 t + 1`` diagonals held in the bits of
-one integer.
-
-Equal lines are one line from the start.  What leaves a bucket of the index is
-a spanning forest of its links.  A bucket beyond ``block`` lines is compared in
-pairs of blocks, so no task holds more than two blocks.
+at those places, for each length in reach.  Lines that meet there are compared,
+each pair once: by their lengths, by counts of their characters, and by an edit
+distance over a band of ``2 t + 1`` diagonals held in the bits of one integer.
 
 The edits allowed grow with the shorter line: none below 25 characters, one
-below 50, two below 300, from there one for every 75 characters.  Long lines
-(300 and more) within their edits have 60 unchanged characters in a row, so
-they share a gram that is the smallest by hash of some window of grams
-(winnowing); it is joined with the classes of the line's length and its place.
+below 50, two below 300, from there one for every 75 characters.
+
+* From 300 characters on the length enters as the class ``t`` of the line, so
+  that all lines of a class have segments of one size.  Half of them are counted
+  from the line's start and half from its end: if each of the first ``h + 1`` and
+  of the last ``t - h`` segments had an edit that moves the next ones, there
+  would be more than ``t``; so one segment ``i`` of these is unchanged and moved
+  by ``i`` places at most.  A line within reach of the class below has its keys too.
+* From 1,200 characters on these places grow too many.  Lines within their edits
+  have 60 unchanged characters in a row, so they share a gram that is the
+  smallest by hash of some window of grams (winnowing); it is joined with the
+  classes of the line's length and its place.
+
+Equal lines are one line from the start.  Few lines that meet under a key are
+given out as pairs, and a pair that met under many keys is compared once.  Of
+more lines (``few``) a spanning forest leaves the bucket, never all pairs; beyond
+``block`` lines the bucket is compared in pairs of blocks, so no task holds more
+than two blocks.
 
 Lines shorter than ``min_chars`` are left out of the edit join; equal lines of
 ``exact_chars`` characters or more are copies (by default ``min_chars``, so
@@ -37,17 +47,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sslspark.llm.common import connected_components, stored
+from sslspark.llm.common import connected_components, free, stored
 
 MIN_CHARS = 20
 #: Shortest line of which exact copies go, in the query and the pipeline.
 EXACT_CHARS = 1
-#: Long lines: their length, characters of a line for each edit, characters of a gram, grams of a window.
-LONG, RATE, GRAM, WINDOW = 300, 75, 28, 33
+#: Long lines: their length, characters of a line for each edit.
+LONG, RATE = 300, 75
+#: Very long lines: their length, characters of a gram, grams of a window.
+WIDE, GRAM, WINDOW = 1200, 28, 33
 
 
 def allowed(length: int) -> int:
@@ -83,12 +96,13 @@ def within(a: str, b: str, k: int) -> bool:
     distance = abs(diagonal)
     full = (1 << 2 * k + 1) - 1
     up, down = full >> k << k, 0
+    where: dict[str, int] = {}  # the places of each character in ``a``, as bits
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
     for j in range(1, len(b) + 1):
-        c, first = b[j - 1], j - k - 1
-        equal = 0
-        for t in range(max(0, -first), min(2 * k + 1, len(a) - first)):
-            if a[first + t] == c:
-                equal |= 1 << t
+        first = j - k - 1
+        places = where.get(b[j - 1], 0)
+        equal = (places >> first if first >= 0 else places << -first) & full
         x = equal | down
         zero = ((up + (x & up)) ^ up | x) & full
         right_down = up & zero
@@ -118,7 +132,12 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
 def keys_of(line: str) -> list[int]:
     """Index and probe keys of a line.  For the line's own length an index
     entry is also the probe at that place."""
-    return list(dict.fromkeys(_segment_keys(line) + (gram_keys([line])[0].tolist() if len(line) >= LONG else [])))
+    keys = _segment_keys(line) if len(line) < LONG + 2 else []
+    if LONG <= len(line) < WIDE + WIDE // RATE:
+        keys += class_keys([line])[0].tolist()
+    if len(line) >= WIDE:
+        keys += gram_keys([line])[0].tolist()
+    return list(dict.fromkeys(keys))
 
 
 def _segment_keys(line: str) -> list[int]:
@@ -148,19 +167,63 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+class _Sums:
+    """Hashes of substrings of many lines, by differences of one running sum."""
+
+    base = 0x5851F42D4C957F2D
+
+    def __init__(self, lines: list[str]):
+        self.sizes = np.array([len(x) for x in lines], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c) * _powers(len(c), self.base)[:len(c)], dtype=np.uint64)])
+        self.back = _powers(len(c), pow(self.base, -1, 1 << 64))
+
+    def grams(self, size: int) -> np.ndarray:
+        return _mixed((self.sums[size:] - self.sums[:-size]) * self.back[:len(self.sums) - size])
+
+    def at(self, start: np.ndarray, size: int) -> np.ndarray:
+        return _mixed((self.sums[start + size] - self.sums[start]) * self.back[start])
+
+
+def _places(edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of a class of lines: probe places from the start, probe places from the
+    end, the segment numbers of both, and the segments' size."""
+    size = RATE * edits // (edits + 1)
+    half = edits // 2
+    left = [(i * size + d, i) for i in range(half + 1) for d in range(-i, i + 1)]
+    right = [(-(j + 1) * size + d, edits - j) for j in range(edits - half) for d in range(-j, j + 1)]
+    return (np.array([x for x, _ in left]), np.array([x for x, _ in right]), np.array([i for _, i in left], np.uint64),
+            np.array([i for _, i in right], np.uint64), size)
+
+
+def class_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines from ``LONG`` characters on, and the number of each key's
+    line: of a line's own class, and of the class below if it is within reach."""
+    text = _Sums(lines)
+    own = text.sizes // RATE
+    keys, whose = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for below in (0, 1):
+        use = np.flatnonzero((text.sizes - own * RATE < own - 1) & (own > LONG // RATE) if below else own * RATE < WIDE)
+        for edits in np.unique(own[use]).tolist():
+            some = use[own[use] == edits]
+            left, right, number, last, size = _places(edits - below)
+            start = np.concatenate([(text.ends - text.sizes)[some][:, None] + left, text.ends[some][:, None] + right], axis=1)
+            tag = _mixed(np.concatenate([number, last]) + np.uint64((edits - below) << 20 | 1 << 40))
+            keys.append(_mixed(text.at(start, size) ^ tag).ravel())
+            whose.append(np.repeat(some, start.shape[1]))
+    return np.concatenate(keys), np.concatenate(whose)
+
+
 def gram_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of long lines and the number of each key's line.
+    """Keys of very long lines and the number of each key's line.
 
     The grams of all lines are hashed together, by differences of one running
     sum.  Of equal grams of a window the first is taken.  Lines of a pair and the
     places of a gram in them are at most ``length // RATE`` apart, so each key
     is given for the classes on both sides where a class ends in between."""
-    base = 0x5851F42D4C957F2D
-    sizes = np.array([len(x) for x in lines], np.int64)
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n = len(c)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c) * _powers(n, base)[:n], dtype=np.uint64)])
-    grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * _powers(n, pow(base, -1, 1 << 64))[:n - GRAM + 1])
+    text = _Sums(lines)
+    sizes, ends, grams = text.sizes, text.ends, text.grams(GRAM)
     low = np.uint64((1 << 24) - 1)
     least = grams & ~low | np.arange(len(grams), dtype=np.uint64) & low
     width = 1
@@ -168,7 +231,6 @@ def gram_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         step = min(width, WINDOW - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(lines)), sizes)
     at = np.flatnonzero(np.arange(len(least)) + GRAM + WINDOW - 1 <= ends[owner[:len(least)]])
     least, owner = least[at], owner[at]
@@ -232,9 +294,14 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
         def out(keys: np.ndarray, shorts: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shorts, pa.int64())], names=["key", "short"])
 
-        def grams(lines: list[str], own: list[int]) -> pa.RecordBatch:
-            keys, whose = gram_keys(lines)
-            return out(keys, np.array(own, np.int64)[whose])
+        def long_keys(lines: list[str], own: list[int]) -> Iterator[pa.RecordBatch]:
+            of = np.array(own, np.int64)
+            size = np.array([len(x) for x in lines])
+            for find, use in ((class_keys, size < WIDE + WIDE // RATE), (gram_keys, size >= WIDE)):
+                if use.any():
+                    some = np.flatnonzero(use)
+                    keys, whose = find([lines[k] for k in some])
+                    yield out(keys, of[some[whose]])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -257,10 +324,10 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                                     own.append(short)
                                     size += len(x)
                                     if size > 500_000:
-                                        yield grams(long, own)
+                                        yield from long_keys(long, own)
                                         long, own, size = [], [], 0
                 if long:
-                    yield grams(long, own)
+                    yield from long_keys(long, own)
                 yield out(np.array(keys, np.uint64), np.array(shorts, np.int64))
 
     return docs.select(text_col).mapInArrow(run, "key long, short long")
@@ -274,37 +341,67 @@ def _runs(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _shared(keys: DataFrame, block: int) -> DataFrame:
-    """``key, short, block`` of the keys that two different lines have; the
-    rows of a key are streamed in order, none are held."""
+def _shared(keys: DataFrame, few: int, block: int) -> DataFrame:
+    """What meets under a key: ``key, a, b, block``.  Up to ``few`` lines of a
+    key come as pairs ``a < b`` (block -1); of more, each comes as ``a`` with the
+    number of its block.  The rows of a key are streamed in order; no more than
+    ``few`` and a batch are held."""
+    names = ["key", "a", "b", "block"]
+
+    def rows(key, a, b, number) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(number, pa.int32())], names=names)
+
+    def met(key: np.ndarray, short: np.ndarray, base: int, more: bool) -> Iterator[pa.RecordBatch]:
+        """Whole runs of keys; ``base`` lines of the first key went out before, and its run is a large one if ``more``."""
+        starts = _runs([key])
+        sizes = np.diff(np.append(starts, len(key)))
+        run_ = np.repeat(np.arange(len(starts)), sizes)
+        large = sizes > few
+        large[0] |= more
+        number = np.arange(len(key)) - starts[run_]
+        number[:sizes[0]] += base
+        big = large[run_]
+        if big.any():
+            yield rows(key[big], short[big], np.zeros(big.sum(), np.int64), number[big] // block)
+        key, short, run_ = key[~big], short[~big], run_[~big]
+        for lag in range(1, few):
+            at = np.flatnonzero(run_[lag:] == run_[:-lag])
+            if not len(at):
+                break
+            yield rows(np.zeros(len(at), np.int64), short[at], short[at + lag], np.full(len(at), -1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row not given out yet: key, short, its number within the key, whether a row of the key went out
+        held: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
+        last = None  # the last line that went out of the first run held, if it is a large one
+        base = 0
         for batch in batches:
-            key, short = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, short = (np.append(h, c.to_numpy(zero_copy_only=False)) for h, c in zip(held, batch.columns, strict=True))
             if not len(key):
                 continue
-            base = 0
-            if last is not None:
-                key, short = np.append(last[0], key), np.append(last[1], short)
-                base = last[2]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (short[1:] != short[:-1])
+            if last is not None:
+                new[0] = (key[0], short[0]) != last
             key, short = key[new], short[new]
-            starts = _runs([key])
-            sizes = np.diff(np.append(starts, len(key)))
-            number = np.arange(len(key)) - np.repeat(starts, sizes)
-            number[:sizes[0]] += base
-            many = np.repeat(sizes, sizes) > 1
-            many[:sizes[0]] |= base > 0
-            out = many.copy()
-            out[-1] = False
-            last = (key[-1], short[-1], int(number[-1]))
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(short[out]), pa.array((number[out] // block).astype(np.int32))], names=["key", "short", "block"])
-        if last is not None and last[2] > 0:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([last[2] // block], pa.int32())], names=["key", "short", "block"])
-
-    return keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(run, "key long, short long, block int")
+            if not len(key):
+                held = (key, short)
+                continue
+            if last is not None and key[0] != last[0]:
+                last, base = None, 0
+            cut = int(_runs([key])[-1])
+            if cut:
+                yield from met(key[:cut], short[:cut], base, last is not None)
+                key, short, last, base = key[cut:], short[cut:], None, 0
+            if len(key) > few or last is not None:  # a large run: its lines go out as they come
+                yield from met(key, short, base, True)
+                base += len(key)
+                last = (key[-1], short[-1])
+                key, short = key[:0], short[:0]
+            held = (key, short)
+        if len(held[0]):
+            yield from met(*held, base, last is not None)
+
+    return keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(run, "key long, a long, b long, block int")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -330,26 +427,49 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_c
     return rows.mapInArrow(run, "short long, line binary, text string").dropDuplicates(["line"])
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    """Counts of characters by class: each edit moves at most two of them by one."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 31, minlength=31) for t in texts]).astype(np.int32)
+
+
 def _forest(lines: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
     """Spanning links of one bucket."""
-    left = list(range(len(texts)))
-    bags = None
-    if len(left) > 32:  # counts of characters by class: each edit moves at most two of them by one
-        bags = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 31, minlength=31) for t in texts]).astype(np.int32)
-    while left:
-        queue = [left.pop(0)]
-        while queue and left:
+    left = np.arange(len(texts))
+    bags = _counts(texts)
+    size = np.array([len(t) for t in texts])
+    edits = np.array([allowed(n) for n in size.tolist()])
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
             i = queue.pop()
-            near = left if bags is None else np.array(left)[np.abs(bags[left] - bags[i]).sum(1) <= 2 * allowed(len(texts[i]))]
-            got = set()
-            for j in near:
-                k = allowed(min(len(texts[i]), len(texts[j])))
-                if lines[i] != lines[j] and within(texts[i], texts[j], k):
-                    yield lines[i], lines[j]
-                    got.add(int(j))
+            reach = np.minimum(edits[left], edits[i])
+            near = left[np.abs(size[left] - size[i]) <= reach]
+            near = near[np.abs(bags[near] - bags[i]).sum(1) <= 2 * np.minimum(edits[near], edits[i])]
+            got = [j for j in near.tolist() if lines[i] != lines[j] and within(texts[i], texts[j], int(min(edits[i], edits[j])))]
+            for j in got:
+                yield lines[i], lines[j]
             if got:
                 queue.extend(got)
-                left = [j for j in left if j not in got]
+                left = left[~np.isin(left, got)]
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """Of ``line_a, text_a, line_b, text_b`` the links ``a, b``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                size = [np.asarray(pc.utf8_length(part.column(c))).astype(np.int64) for c in (1, 3)]
+                k = np.array([allowed(n) for n in np.minimum(*size).tolist()])
+                part, k = part.take(pa.array(np.flatnonzero(np.abs(size[0] - size[1]) <= k))), k[np.abs(size[0] - size[1]) <= k]
+                if not part.num_rows:
+                    continue
+                a, x, b, y = (c.to_pylist() for c in part.columns)
+                near = np.abs(_counts(x) - _counts(y)).sum(1) <= 2 * k
+                found = [(a[i], b[i]) for i in np.flatnonzero(near).tolist() if a[i] != b[i] and within(x[i], y[i], int(k[i]))]
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
 def _once(met: DataFrame) -> DataFrame:
@@ -361,12 +481,16 @@ def _once(met: DataFrame) -> DataFrame:
     return stored(met.join(stored(one.select("key"), "sets"), "key", "left_semi"), "met")
 
 
-def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_chars: int, block: int) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_chars: int, block: int, few: int = 16) -> DataFrame:
     """Spanning links ``a, b`` (digests) between different lines."""
-    met = _once(stored(_shared(_keys(docs, text_col, min_chars), block), "shared"))
-    shorts = stored(met.select("short").distinct(), "shorts")  # a table, so that a hot line's join is split
+    shared = stored(_shared(_keys(docs, text_col, min_chars), min(few, block), block), "shared")
+    pairs = stored(shared.where("block < 0").select("a", "b").distinct(), "pairs")
+    met = _once(shared.where("block >= 0").select("key", F.col("a").alias("short"), "block"))
+    shorts = stored(met.select("short").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("short"))).distinct(), "shorts")
     wanted = rows.join(shorts, "short").groupBy("line").agg(F.min(F.struct("uid", "no")).alias("w")).select("w.*")
-    texts = _texts(docs, wanted, id_col, text_col, min_chars)
+    texts = stored(_texts(docs, wanted, id_col, text_col, min_chars), "texts")
+    of = lambda c: texts.select(F.col("short").alias(c), F.col("line").alias(f"line_{c}"), F.col("text").alias(f"text_{c}"))
+    few_links = _verified(pairs.join(of("a"), "a").join(of("b"), "b").select("line_a", "text_a", "line_b", "text_b"))
     hot = met.where("block > 0").groupBy("key").agg(F.max("block").alias("blocks"))
     units = (met.join(hot, "key", "left").select("key", "short", "block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0)))).alias("other"))
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "short"))
@@ -394,7 +518,7 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_char
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return full.mapInArrow(run, "a binary, b binary")
+    return full.mapInArrow(run, "a binary, b binary").unionByName(few_links)
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048,
@@ -425,11 +549,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the text left over, and ``n_lines, n_removed`` appended
     (columns of these names are replaced)."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = (duplicate_lines(docs.select(id_col, text_col), id_col, text_col, min_chars, block, exact_chars)
-            .select(F.col("uid").alias("_uid"), F.col(id_col).alias("_gone_id"), F.col("nos").alias("_nos")))
     rest = list(docs.columns)
-    rows = docs.select("*", _uid(id_col, text_col).alias("_own")).join(
-        gone, (F.col("_own") == F.col("_uid")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").select(*rest, "_nos")
+    own, uid, doc, nos = (free(rest, x) for x in ("own", "uid", "doc", "nos"))
+    gone = (duplicate_lines(docs.select(id_col, text_col), id_col, text_col, min_chars, block, exact_chars)
+            .select(F.col("uid").alias(uid), F.col(id_col).alias(doc), F.col("nos").alias(nos)))
+    rows = docs.select("*", _uid(id_col, text_col).alias(own)).join(
+        gone, (F.col(own) == F.col(uid)) & F.col(id_col).eqNullSafe(F.col(doc)), "left").select(*rest, nos)
     kinds = {f.name: to_arrow_type(f.dataType) for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -310,6 +310,36 @@ def test_close_long_lines_share_a_key():
     assert [sorted(set(keys[whose == k].tolist())) for k in range(5)] == [sorted(set(lines.gram_keys([x])[0].tolist())) for x in many]
 
 
+def test_close_lines_of_a_class_share_a_key():
+    """Edits spread out, at the start or at the end; lengths around the ends of classes."""
+    r = random.Random(3)
+    close = 0
+    for _ in range(1500):
+        line = "".join(r.choice("abc d") for _ in range(r.choice([r.randint(295, 420), r.randint(440, 460), r.randint(1180, 1225)])))
+        other, where = list(line), r.choice([0, 1, 2])
+        for _ in range(lines.allowed(len(line))):
+            near = min(len(other), int(abs(r.gauss(0, 60))))
+            k = (r.randint(0, len(other)), near, len(other) - near)[where]
+            n = r.randint(0, 1)
+            other[k:k + n] = r.choice(["", "x"]) if n else "x"
+        other = "".join(other)
+        if lines.within(line, other, lines.allowed(min(len(line), len(other)))):
+            close += 1
+            assert set(lines.keys_of(line)) & set(lines.keys_of(other))
+    assert close > 1000
+    many = ["".join(r.choice("abc d") for _ in range(n)) for n in (300, 301, 377, 1199, 1201, 1214)]
+    keys, whose = lines.class_keys(many)
+    assert [sorted(keys[whose == k].tolist()) for k in range(6)] == [sorted(lines.class_keys([x])[0].tolist()) for x in many]
+
+
+def test_line_dedup_with_clashing_names(spark):
+    line = "one line that is long enough to be compared with others"
+    df = spark.createDataFrame([(1, line, 1, 2, 3, 4), (2, line + "\nx", 5, 6, 7, 8)], "doc_id long, text string, _own long, _nos long, _uid long, _doc long")
+    out = lines.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, line, 1, 2, 3, 4, 1, 0), (2, "x", 5, 6, 7, 8, 2, 1)]
+
+
 def test_short_copies_and_long_lines_with_a_replaced_word(spark):
     r = random.Random(12)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(70)]
