@@ -432,8 +432,35 @@ def _counts(texts: list[str]) -> np.ndarray:
     return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 31, minlength=31) for t in texts]).astype(np.int32)
 
 
-def _forest(lines: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-    """Spanning links of one bucket."""
+class _Known:
+    """What is known of lines that meet again and again under other keys of one
+    leading line: which are linked, and which pairs are too far apart."""
+
+    def __init__(self, most: int = 500_000):
+        self.parent: dict[bytes, bytes] = {}
+        self.far: set[bytes] = set()
+        self.most = most
+
+    def root(self, x: bytes) -> bytes:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def near(self, a: bytes, b: bytes, x: str, y: str, edits: int) -> bool:
+        pair = min(a, b) + max(a, b)
+        if a == b or pair in self.far:
+            return False
+        if within(x, y, edits):
+            self.parent[self.root(a)] = self.root(b)
+            return True
+        if len(self.far) >= self.most:
+            self.far.clear()
+        self.far.add(pair)
+        return False
+
+
+def _forest(lines: list[bytes], texts: list[str], known: _Known) -> Iterator[tuple[bytes, bytes]]:
+    """Spanning links of one bucket, but for those known."""
     left = np.arange(len(texts))
     bags = _counts(texts)
     size = np.array([len(t) for t in texts])
@@ -445,9 +472,13 @@ def _forest(lines: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes
             reach = np.minimum(edits[left], edits[i])
             near = left[np.abs(size[left] - size[i]) <= reach]
             near = near[np.abs(bags[near] - bags[i]).sum(1) <= 2 * np.minimum(edits[near], edits[i])]
-            got = [j for j in near.tolist() if lines[i] != lines[j] and within(texts[i], texts[j], int(min(edits[i], edits[j])))]
-            for j in got:
-                yield lines[i], lines[j]
+            got = []
+            for j in near.tolist():
+                if known.root(lines[i]) == known.root(lines[j]):
+                    got.append(j)
+                elif known.near(lines[i], lines[j], texts[i], texts[j], int(min(edits[i], edits[j]))):
+                    got.append(j)
+                    yield lines[i], lines[j]
             if got:
                 queue.extend(got)
                 left = left[~np.isin(left, got)]
@@ -491,20 +522,28 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_char
     texts = stored(_texts(docs, wanted, id_col, text_col, min_chars), "texts")
     of = lambda c: texts.select(F.col("short").alias(c), F.col("line").alias(f"line_{c}"), F.col("text").alias(f"text_{c}"))
     few_links = _verified(pairs.join(of("a"), "a").join(of("b"), "b").select("line_a", "text_a", "line_b", "text_b"))
-    hot = met.where("block > 0").groupBy("key").agg(F.max("block").alias("blocks"))
-    units = (met.join(hot, "key", "left").select("key", "short", "block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0)))).alias("other"))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "short"))
-    by = ["key", "i", "j"]
-    full = units.join(texts, "short").select(*by, "line", "text").repartition(*by).sortWithinPartitions(*by)
+    leads = met.groupBy("key").agg(F.min("short").alias("lead"), F.max("block").alias("blocks"))
+    units = (met.join(leads, "key").select("key", "short", "block", "lead", "blocks", F.explode(F.sequence(F.lit(0), "blocks")).alias("other"))
+             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "lead", "blocks", "short")
+             # keys of one leading line one after the other, as much the same lines meet there; pairs of blocks anywhere
+             .withColumn("lead", F.when(F.col("blocks") == 0, F.col("lead")).otherwise(F.xxhash64("key", "i", "j"))))
+    by = ["lead", "key", "i", "j"]
+    full = units.join(texts, "short").select(*by, "line", "text").repartition("lead").sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        known: list = [None, None]  # the leading line, and what is known of its lines
+
         def solve(t: pa.Table) -> pa.RecordBatch:
             starts = _runs([t[c].to_numpy() for c in by])
             ends = np.append(starts[1:], t.num_rows)
-            lines, texts = t["line"].to_pylist(), t["text"].to_pylist()
-            found = [p for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1 for p in _forest(lines[s:e], texts[s:e])]
+            leads, lines, texts = t["lead"].to_numpy(), t["line"].to_pylist(), t["text"].to_pylist()
+            found = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if leads[s] != known[0]:
+                    known[:] = [leads[s], _Known()]
+                found += _forest(lines[s:e], texts[s:e], known[1])
             return pa.RecordBatch.from_arrays([pa.array([p[x] for p in found], pa.binary()) for x in (0, 1)], names=["a", "b"])
 
         for batch in batches:
