@@ -3,23 +3,22 @@
 Lines within a few edits of each other are copies; of each class of linked
 lines the first one (smallest document id, then line number) stays.
 
-A line of length ``l`` that may have ``t`` edits is cut into ``t + 1``
-segments; a line within ``t`` edits has one of these segments unchanged, at a
-place that the lengths and the segment's number confine to a few.  The index
-holds (length, number, segment); longer lines probe it with their substrings
-at those places, for each length in reach.  Lines that meet there are compared,
-each pair once: by their lengths, by counts of their characters, and by an edit
-distance over a band of ``2 t + 1`` diagonals held in the bits of one integer.
+A line that may have ``t`` edits is cut into ``t + 1`` segments; a line within
+``t`` edits has one of these segments unchanged, at a place that the segment's
+number confines to a few.  The index holds (length class, number, segment); the
+lines of the class, and longer ones within reach of it, probe it with their
+substrings at those places.  Lines that meet there are compared, each pair once:
+by their lengths, by counts of their characters, and by an edit distance over a
+band of ``2 t + 1`` diagonals held in the bits of one integer.
 
 The edits allowed grow with the shorter line: none below 25 characters, one
 below 50, two below 300, from there one for every 75 characters.
 
-* From 300 characters on the length enters as the class ``t`` of the line, so
-  that all lines of a class have segments of one size.  Half of them are counted
-  from the line's start and half from its end: if each of the first ``h + 1`` and
-  of the last ``t - h`` segments had an edit that moves the next ones, there
-  would be more than ``t``; so one segment ``i`` of these is unchanged and moved
-  by ``i`` places at most.  A line within reach of the class below has its keys too.
+* The lines of a class have segments of one size.  Half of them are counted from
+  the line's start and half from its end: if each of the first ``h + 1`` and of
+  the last ``t - h`` segments had an edit that moves the next ones, there would be
+  more than ``t``; so one segment ``i`` of these is unchanged and moved by ``i``
+  places at most.
 * From 1,200 characters on these places grow too many.  Lines within their edits
   have 60 unchanged characters in a row, so they share a gram that is the
   smallest by hash of some window of grams (winnowing); it is joined with the
@@ -117,45 +116,15 @@ def within(a: str, b: str, k: int) -> bool:
     return distance <= k
 
 
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """Even cut of a line into ``edits + 1`` (start, length)."""
-    parts = edits + 1
-    size, longer = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        n = size + (i >= parts - longer)
-        out.append((at, n))
-        at += n
-    return out
-
-
 def keys_of(line: str) -> list[int]:
     """Index and probe keys of a line.  For the line's own length an index
     entry is also the probe at that place."""
-    keys = _segment_keys(line) if len(line) < LONG + 2 else []
-    if LONG <= len(line) < WIDE + WIDE // RATE:
-        keys += class_keys([line])[0].tolist()
+    keys = class_keys([line])[0].tolist()
     if len(line) >= WIDE:
         keys += gram_keys([line])[0].tolist()
     return list(dict.fromkeys(keys))
 
 
-def _segment_keys(line: str) -> list[int]:
-    import xxhash
-    out = []
-    for length in range(max(1, len(line) - 2), min(len(line), LONG - 1) + 1):
-        more, edits = len(line) - length, allowed(length)
-        if more > edits:
-            continue
-        for i, (at, n) in enumerate(segments(length, edits)):
-            left = edits - i  # segments to the right: edits left for them
-            low = max(at - i, at + more - left, 0)
-            high = min(at + i, at + more + left, len(line) - n)
-            for s in range(low, high + 1):
-                out.append(xxhash.xxh3_64_intdigest(line[s:s + n].encode("utf-8", "surrogatepass"), length * 4 + i))
-    return list(dict.fromkeys(out))
-
-
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
@@ -186,10 +155,24 @@ class _Sums:
         return _mixed((self.sums[start + size] - self.sums[start]) * self.back[start])
 
 
-def _places(edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _classes() -> np.ndarray:
+    """Least length of each class of lines, and of the very long ones: short
+    classes grow by an eighth, long ones have one number of edits each."""
+    out = [25]
+    while out[-1] < LONG:
+        stop = 50 if out[-1] < 50 else LONG
+        out.append(min(stop, out[-1] + max(4, out[-1] // 8)))
+    return np.array([*out, *range(LONG + RATE, WIDE + 1, RATE)])
+
+
+LEAST = _classes()
+
+
+def _places(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Of a class of lines: probe places from the start, probe places from the
     end, the segment numbers of both, and the segments' size."""
-    size = RATE * edits // (edits + 1)
+    edits = allowed(int(LEAST[kind]))
+    size = int(LEAST[kind]) // (edits + 1)
     half = edits // 2
     left = [(i * size + d, i) for i in range(half + 1) for d in range(-i, i + 1)]
     right = [(-(j + 1) * size + d, edits - j) for j in range(edits - half) for d in range(-j, j + 1)]
@@ -198,18 +181,19 @@ def _places(edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 
 def class_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of lines from ``LONG`` characters on, and the number of each key's
+    """Keys of lines below ``WIDE`` characters, and the number of each key's
     line: of a line's own class, and of the class below if it is within reach."""
     text = _Sums(lines)
-    own = text.sizes // RATE
+    own = np.searchsorted(LEAST, text.sizes, side="right") - 1
+    edits = np.array([allowed(n) for n in LEAST.tolist()])
     keys, whose = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for below in (0, 1):
-        use = np.flatnonzero((text.sizes - own * RATE < own - 1) & (own > LONG // RATE) if below else own * RATE < WIDE)
-        for edits in np.unique(own[use]).tolist():
-            some = use[own[use] == edits]
-            left, right, number, last, size = _places(edits - below)
+        use = np.flatnonzero((own > 0) & (text.sizes - LEAST[own] < edits[own - 1]) if below else (own >= 0) & (own < len(LEAST) - 1))
+        for kind in np.unique(own[use]).tolist():
+            some = use[own[use] == kind]
+            left, right, number, last, size = _places(kind - below)
             start = np.concatenate([(text.ends - text.sizes)[some][:, None] + left, text.ends[some][:, None] + right], axis=1)
-            tag = _mixed(np.concatenate([number, last]) + np.uint64((edits - below) << 20 | 1 << 40))
+            tag = _mixed(np.concatenate([number, last]) + np.uint64(kind - below << 20 | 1 << 40))
             keys.append(_mixed(text.at(start, size) ^ tag).ravel())
             whose.append(np.repeat(some, start.shape[1]))
     return np.concatenate(keys), np.concatenate(whose)
@@ -270,19 +254,20 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                row, no, line = [], [], []
+                row, no, line, short = [], [], [], []
                 for k, text in enumerate(part.column(2).to_pylist()):
                     for n, x in enumerate((text or "").split("\n")):
                         if len(x) >= min_chars:
                             row.append(k)
                             no.append(n)
                             line.append(_digest(x.encode()))
+                            short.append(int.from_bytes(line[-1][:8], "little", signed=True))
                 pick = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pick), part.column(1).take(pick).cast(arrow_kind), pa.array(no, pa.int32()), pa.array(line, pa.binary())],
-                    names=["uid", id_col, "no", "line"])
+                    [part.column(0).take(pick), part.column(1).take(pick).cast(arrow_kind), pa.array(no, pa.int32()), pa.array(line, pa.binary()),
+                     pa.array(short, pa.int64())], names=["uid", id_col, "no", "line", "short"])
 
-    return docs.select(_uid(id_col, text_col), id_col, text_col).mapInArrow(run, f"uid long, `{id_col}` {kind}, no int, line binary")
+    return docs.select(_uid(id_col, text_col), id_col, text_col).mapInArrow(run, f"uid long, `{id_col}` {kind}, no int, line binary, short long")
 
 
 def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
@@ -294,41 +279,33 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
         def out(keys: np.ndarray, shorts: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shorts, pa.int64())], names=["key", "short"])
 
-        def long_keys(lines: list[str], own: list[int]) -> Iterator[pa.RecordBatch]:
+        def found(lines: list[str], own: list[int]) -> Iterator[pa.RecordBatch]:
             of = np.array(own, np.int64)
-            size = np.array([len(x) for x in lines])
-            for find, use in ((class_keys, size < WIDE + WIDE // RATE), (gram_keys, size >= WIDE)):
-                if use.any():
-                    some = np.flatnonzero(use)
-                    keys, whose = find([lines[k] for k in some])
-                    yield out(keys, of[some[whose]])
+            keys, whose = class_keys(lines)
+            yield out(keys, of[whose])
+            wide = [k for k, x in enumerate(lines) if len(x) >= WIDE]
+            if wide:
+                keys, whose = gram_keys([lines[k] for k in wide])
+                yield out(keys, of[wide][whose])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                keys, shorts = [], []
-                long, own, size = [], [], 0
-                for text in batch.column(0).slice(at, 500).to_pylist():
-                    for x in (text or "").split("\n"):
-                        if len(x) >= min_chars and allowed(len(x)):
-                            short = int.from_bytes(_digest(x.encode())[:8], "little", signed=True)
-                            if short not in seen:
-                                if len(seen) >= 100_000:
-                                    seen.clear()
-                                seen.add(short)
-                                if len(x) < LONG + 2:
-                                    found = _segment_keys(x)
-                                    keys.extend(found)
-                                    shorts.extend([short] * len(found))
-                                if len(x) >= LONG:
-                                    long.append(x)
-                                    own.append(short)
-                                    size += len(x)
-                                    if size > 500_000:
-                                        yield from long_keys(long, own)
-                                        long, own, size = [], [], 0
-                if long:
-                    yield from long_keys(long, own)
-                yield out(np.array(keys, np.uint64), np.array(shorts, np.int64))
+            lines, own, size = [], [], 0
+            for text in batch.column(0):
+                for x in (text.as_py() or "").split("\n"):
+                    if len(x) >= min_chars and allowed(len(x)):
+                        short = int.from_bytes(_digest(x.encode())[:8], "little", signed=True)
+                        if short not in seen:
+                            if len(seen) >= 100_000:
+                                seen.clear()
+                            seen.add(short)
+                            lines.append(x)
+                            own.append(short)
+                            size += len(x)
+                            if size > 500_000:
+                                yield from found(lines, own)
+                                lines, own, size = [], [], 0
+            if lines:
+                yield from found(lines, own)
 
     return docs.select(text_col).mapInArrow(run, "key long, short long")
 
@@ -563,26 +540,20 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_char
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048,
                     exact_chars: int | None = None) -> DataFrame:
     """``uid, <id>, nos``: for each document with any, the numbers of the lines that go."""
-    rows = stored(_lines(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)).withColumn("short", _short()), "lines")
+    rows = stored(_lines(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)), "lines")
     roots = connected_components(links(docs, rows, id_col, text_col, min_chars, block)).withColumnRenamed("node", "line")
     place = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), "uid", "no")
-    classes = rows.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    linked = roots.select("line").unionByName(roots.select(F.col("root").alias("line"))).distinct().withColumn("linked", F.lit(True))
-    classes = stored(classes.join(linked, "line", "left").where("n > 1 OR linked").join(roots, "line", "left")
+    linked = roots.select("line").unionByName(roots.select(F.col("root").alias("line")))
+    more = rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")  # lines that stand alone go no further
+    some = stored(rows.join(stored(linked.unionByName(more).distinct(), "wanted"), "line").drop("short"), "some")
+    classes = stored(some.groupBy("line").agg(F.min(place).alias("first")).join(roots, "line", "left")
                      .select("line", "first", F.coalesce("root", "line").alias("root")), "classes")
     firsts = classes.groupBy("root").agg(F.min("first").alias("first"))
     keep = classes.select("line", "root").join(firsts, "root").select("line", "first")
-    gone = rows.join(keep, "line").where(~place.eqNullSafe(F.col("first")))
+    gone = some.join(keep, "line").where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("uid", id_col).agg(F.collect_set("no").alias("nos"))
 
 
-def _short():
-    """The first 8 bytes of the digest as the little-endian number of ``_keys``."""
-    h = F.hex("line")
-    swapped = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
-    return F.conv(swapped, 16, -10).cast("long")
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, block: int = 2048,
                 exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the text left over, and ``n_lines, n_removed`` appended
