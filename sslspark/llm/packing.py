@@ -31,7 +31,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Coder:
-    """Token ids of many texts, each different word encoded once.
+    """Token ids of many texts, each different word encoded once (as far as
+    ``most`` words kept from earlier batches go).
 
     A byte-level BPE tokeniser with the usual split pattern never merges
     across a single space between two other characters, so the ids of a text
@@ -41,7 +42,7 @@ class Coder:
     added tokens are encoded by themselves.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
@@ -50,6 +51,14 @@ class Coder:
         if kind["normalizer"] or kind["post_processor"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
             raise ValueError("a byte-level BPE tokenizer with the usual split pattern is needed")
         self.encode, self.encode_batch = tokenizer.encode, tokenizer.encode_batch_fast
+        self.is_stop, self.is_plain = np.zeros(256, bool), np.zeros(256, bool)
+        self.is_stop[list(b",.;:!?")] = True
+        self.is_plain[[b for b in range(128) if chr(b).isalnum()]] = True
+        self.stop_id = np.zeros(256, np.uint32)
+        for b in b",.;:!?":
+            self.stop_id[b], = tokenizer.encode(chr(b), add_special_tokens=False).ids
+        self.most = most
+        self.kept = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64)  # words, their ids, sizes
         self.added = [t["content"] for t in kind["added_tokens"]]
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
@@ -83,6 +92,44 @@ class Coder:
             raise ValueError("the tokens don't spell the words")
         return ids, np.diff(cuts, prepend=0)
 
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of different words among those kept; new ones are encoded."""
+        place = pc.index_in(words, value_set=self.kept[0])
+        if len(self.kept[0]) + place.null_count > self.most:
+            self.kept = tuple(x[:0] for x in self.kept)
+            place = pa.nulls(len(words), pa.int32())
+        new = words.filter(pc.is_null(place))
+        before = len(self.kept[0])
+        self.kept = tuple(pa.concat_arrays([a, b]) if isinstance(a, pa.Array) else np.concatenate([a, b])
+                          for a, b in zip(self.kept, (new, *self.words(new)), strict=True))
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = before + np.arange(len(new))
+        return place
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``words``.  A stop after a letter or digit at a word's end is a
+        piece of its own for the split pattern, so the word is looked up without it."""
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1:words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        size = np.asarray(pc.binary_length(words))
+        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        stop = (size > 1) & self.is_stop[last] & self.is_plain[before]
+        heads = pc.if_else(pa.array(stop), pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        place = self.look_up(heads.dictionary)[heads.indices.to_numpy()]
+        _, ids, sizes = self.kept
+        n = sizes[place]
+        total = n + stop
+        out_ends = np.cumsum(total)
+        out = np.empty(int(out_ends[-1]), "<u4")
+        head = np.ones(len(out), bool)
+        head[out_ends[stop] - 1] = False
+        begin = (np.cumsum(sizes) - sizes)[place]
+        out[head] = ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        out[~head] = self.stop_id[last[stop]]
+        return out, total
+
     def texts(self, texts: pa.Array, end_id: int) -> pa.Array:
         """Little-endian unsigned 32-bit ids of each text, ``end_id`` last."""
         split = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
@@ -96,7 +143,7 @@ class Coder:
         odd = bad[place]  # white space in a row: these texts are cut by a pattern
         odd[begins] &= np.asarray(pc.binary_length(known))[place[begins]] > 0
         doc = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(place))))
-        ids, sizes = self.words(known.filter(pa.array(~bad)))
+        ids, sizes = self.ids_of(known.filter(pa.array(~bad)))
         size = np.zeros(len(known), np.int64)
         size[~bad] = sizes
         first = pc.take(known, pa.array(place[begins])).to_pylist()  # words without a space before them
