@@ -19,10 +19,13 @@ below 50, two below 300, from there one for every 75 characters.
   the last ``t - h`` segments had an edit that moves the next ones, there would be
   more than ``t``; so one segment ``i`` of these is unchanged and moved by ``i``
   places at most.
-* From 1,200 characters on these places grow too many.  Lines within their edits
-  have 60 unchanged characters in a row, so they share a gram that is the
-  smallest by hash of some window of grams (winnowing); it is joined with the
-  classes of the line's length and its place.
+* From 300 characters on these places are many, so a segment is known by the
+  gram of it that is the smallest by hash; a probe takes the smallest grams at
+  its places, most of which are the same one.
+* From 9,600 characters on even these are many.  Lines within their edits have 60
+  unchanged characters in a row, so they share a gram that is the smallest of
+  some window of grams (winnowing); it is joined with the classes of the line's
+  length and its place.
 
 Equal lines are one line from the start.  Few lines that meet under a key are
 given out as pairs, and a pair that met under many keys is compared once.  Of
@@ -42,6 +45,7 @@ without any document id come after all others; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +62,8 @@ MIN_CHARS = 20
 EXACT_CHARS = 1
 #: Long lines: their length, characters of a line for each edit.
 LONG, RATE = 300, 75
-#: Very long lines: their length, characters of a gram, grams of a window.
-WIDE, GRAM, WINDOW = 1200, 28, 33
+#: Characters of a gram; length of very long lines, and grams of their windows.
+GRAM, WIDE, WINDOW = 28, 9600, 33
 
 
 def allowed(length: int) -> int:
@@ -148,8 +152,18 @@ class _Sums:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c) * _powers(len(c), self.base)[:len(c)], dtype=np.uint64)])
         self.back = _powers(len(c), pow(self.base, -1, 1 << 64))
 
-    def grams(self, size: int) -> np.ndarray:
-        return _mixed((self.sums[size:] - self.sums[:-size]) * self.back[:len(self.sums) - size])
+    def least(self, width: int) -> np.ndarray:
+        """The smallest hash of ``width`` grams from each place on."""
+        out = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.back[:len(self.sums) - GRAM])
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            out = np.minimum(out[:-step], out[step:])
+            done += step
+        return out
+
+    def grams(self) -> np.ndarray:
+        return self.least(1)
 
     def at(self, start: np.ndarray, size: int) -> np.ndarray:
         return _mixed((self.sums[start + size] - self.sums[start]) * self.back[start])
@@ -183,19 +197,27 @@ def _places(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 def class_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of lines below ``WIDE`` characters, and the number of each key's
     line: of a line's own class, and of the class below if it is within reach."""
-    text = _Sums(lines)
-    own = np.searchsorted(LEAST, text.sizes, side="right") - 1
+    sizes = np.array([len(x) for x in lines], np.int64)
+    own = np.searchsorted(LEAST, sizes, side="right") - 1
     edits = np.array([allowed(n) for n in LEAST.tolist()])
     keys, whose = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for below in (0, 1):
-        use = np.flatnonzero((own > 0) & (text.sizes - LEAST[own] < edits[own - 1]) if below else (own >= 0) & (own < len(LEAST) - 1))
+        use = np.flatnonzero((own > 0) & (sizes - LEAST[own] < edits[own - 1]) if below else (own >= 0) & (own < len(LEAST) - 1))
         for kind in np.unique(own[use]).tolist():
             some = use[own[use] == kind]
+            text = _Sums([lines[k] for k in some.tolist()])
             left, right, number, last, size = _places(kind - below)
-            start = np.concatenate([(text.ends - text.sizes)[some][:, None] + left, text.ends[some][:, None] + right], axis=1)
-            tag = _mixed(np.concatenate([number, last]) + np.uint64(kind - below << 20 | 1 << 40))
-            keys.append(_mixed(text.at(start, size) ^ tag).ravel())
-            whose.append(np.repeat(some, start.shape[1]))
+            start = np.concatenate([(text.ends - text.sizes)[:, None] + left, text.ends[:, None] + right], axis=1)
+            number = np.concatenate([number, last])
+            tag = _mixed(number + np.uint64(kind - below << 20 | 1 << 40))
+            if LEAST[kind - below] < LONG:
+                value, new = text.at(start, size), np.ones(start.shape, bool)
+            else:
+                value = text.least(size - GRAM + 1)[start]
+                new = np.ones(start.shape, bool)
+                new[:, 1:] = (value[:, 1:] != value[:, :-1]) | (number[1:] != number[:-1])
+            keys.append(_mixed(value ^ tag)[new])
+            whose.append(np.repeat(some, new.sum(1)))
     return np.concatenate(keys), np.concatenate(whose)
 
 
@@ -207,7 +229,7 @@ def gram_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     places of a gram in them are at most ``length // RATE`` apart, so each key
     is given for the classes on both sides where a class ends in between."""
     text = _Sums(lines)
-    sizes, ends, grams = text.sizes, text.ends, text.grams(GRAM)
+    sizes, ends, grams = text.sizes, text.ends, text.grams()
     low = np.uint64((1 << 24) - 1)
     least = grams & ~low | np.arange(len(grams), dtype=np.uint64) & low
     width = 1
@@ -381,25 +403,23 @@ def _shared(keys: DataFrame, few: int, block: int) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(run, "key long, a long, b long, block int")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``short, line, text`` of the lines at ``wanted(uid, no)``, from their documents."""
-    at = wanted.groupBy("uid").agg(F.collect_set("no").alias("nos"))
-    rows = docs.select(_uid(id_col, text_col), F.col(text_col).alias("text")).join(at, "uid").select("text", "nos")
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``short, line, text`` of the lines ``wanted(uid, line)``, from their documents."""
+    at = wanted.groupBy("uid").agg(F.collect_set("line").alias("lines"))
+    rows = docs.select(_uid(id_col, text_col), F.col(text_col).alias("text")).join(at, "uid").select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                out: tuple[list, list, list] = ([], [], [])
-                for text, nos in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    every = text.split("\n")
-                    for n in nos:
-                        if n < len(every):
-                            d = _digest(every[n].encode())
-                            out[0].append(int.from_bytes(d[:8], "little", signed=True))
-                            out[1].append(d)
-                            out[2].append(every[n])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], names=["short", "line", "text"])
+                out: dict[bytes, str] = {}
+                for text, lines in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    left = set(lines)
+                    for x in text.split("\n"):
+                        if (d := _digest(x.encode())) in left:
+                            out[d] = x
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(d[:8], "little", signed=True) for d in out], pa.int64()), pa.array(list(out), pa.binary()),
+                                                  pa.array(list(out.values()), pa.string())], names=["short", "line", "text"])
 
     return rows.mapInArrow(run, "short long, line binary, text string").dropDuplicates(["line"])
 
@@ -411,11 +431,12 @@ def _counts(texts: list[str]) -> np.ndarray:
 
 class _Known:
     """What is known of lines that meet again and again under other keys of one
-    leading line: which are linked, and which pairs are too far apart."""
+    leading line: their counts, which are linked, and which pairs are too far apart."""
 
     def __init__(self, most: int = 500_000):
         self.parent: dict[bytes, bytes] = {}
         self.far: set[bytes] = set()
+        self.bags: dict[bytes, np.ndarray] = {}
         self.most = most
 
     def root(self, x: bytes) -> bytes:
@@ -423,6 +444,14 @@ class _Known:
             self.parent[x] = x = self.parent.get(up, up)
         return x
 
+    def counts(self, lines: list[bytes], texts: list[str]) -> np.ndarray:
+        if len(self.bags) > self.most // 10:
+            self.bags.clear()
+        new = {x: t for x, t in zip(lines, texts) if x not in self.bags}
+        if new:
+            self.bags.update(zip(new, _counts(list(new.values()))))
+        return np.stack([self.bags[x] for x in lines])
+
     def near(self, a: bytes, b: bytes, x: str, y: str, edits: int) -> bool:
         pair = min(a, b) + max(a, b)
         if a == b or pair in self.far:
@@ -437,28 +466,23 @@ class _Known:
 
 
 def _forest(lines: list[bytes], texts: list[str], known: _Known) -> Iterator[tuple[bytes, bytes]]:
-    """Spanning links of one bucket, but for those known."""
-    left = np.arange(len(texts))
-    bags = _counts(texts)
+    """Spanning links of one bucket, but for those known.  Lines of the largest
+    component known need not be compared with each other, so the others are
+    compared with all."""
+    roots = [known.root(x) for x in lines]
+    most, n = Counter(roots).most_common(1)[0]
+    if n == len(lines):
+        return
     size = np.array([len(t) for t in texts])
-    edits = np.array([allowed(n) for n in size.tolist()])
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            reach = np.minimum(edits[left], edits[i])
-            near = left[np.abs(size[left] - size[i]) <= reach]
-            near = near[np.abs(bags[near] - bags[i]).sum(1) <= 2 * np.minimum(edits[near], edits[i])]
-            got = []
-            for j in near.tolist():
-                if known.root(lines[i]) == known.root(lines[j]):
-                    got.append(j)
-                elif known.near(lines[i], lines[j], texts[i], texts[j], int(min(edits[i], edits[j]))):
-                    got.append(j)
-                    yield lines[i], lines[j]
-            if got:
-                queue.extend(got)
-                left = left[~np.isin(left, got)]
+    edits = np.array([allowed(k) for k in size.tolist()])
+    bags = known.counts(lines, texts)
+    for i in [k for k, r in enumerate(roots) if r != most]:
+        reach = np.minimum(edits, edits[i])
+        near = np.flatnonzero(np.abs(size - size[i]) <= reach)
+        near = near[np.abs(bags[near] - bags[i]).sum(1) <= 2 * reach[near]]
+        for j in near.tolist():
+            if known.root(lines[i]) != known.root(lines[j]) and known.near(lines[i], lines[j], texts[i], texts[j], int(reach[j])):
+                yield lines[i], lines[j]
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -489,14 +513,13 @@ def _once(met: DataFrame) -> DataFrame:
     return stored(met.join(stored(one.select("key"), "sets"), "key", "left_semi"), "met")
 
 
-def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, min_chars: int, block: int, few: int = 16) -> DataFrame:
+def links(docs: DataFrame, per_line: DataFrame, id_col: str, text_col: str, min_chars: int, block: int, few: int = 16) -> DataFrame:
     """Spanning links ``a, b`` (digests) between different lines."""
     shared = stored(_shared(_keys(docs, text_col, min_chars), min(few, block), block), "shared")
     pairs = stored(shared.where("block < 0").select("a", "b").distinct(), "pairs")
     met = _once(shared.where("block >= 0").select("key", F.col("a").alias("short"), "block"))
     shorts = stored(met.select("short").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("short"))).distinct(), "shorts")
-    wanted = rows.join(shorts, "short").groupBy("line").agg(F.min(F.struct("uid", "no")).alias("w")).select("w.*")
-    texts = stored(_texts(docs, wanted, id_col, text_col, min_chars), "texts")
+    texts = stored(_texts(docs, per_line.join(shorts, "short").select("uid", "line"), id_col, text_col), "texts")
     of = lambda c: texts.select(F.col("short").alias(c), F.col("line").alias(f"line_{c}"), F.col("text").alias(f"text_{c}"))
     few_links = _verified(pairs.join(of("a"), "a").join(of("b"), "b").select("line_a", "text_a", "line_b", "text_b"))
     leads = met.groupBy("key").agg(F.min("short").alias("lead"), F.max("block").alias("blocks"))
@@ -541,10 +564,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     exact_chars: int | None = None) -> DataFrame:
     """``uid, <id>, nos``: for each document with any, the numbers of the lines that go."""
     rows = stored(_lines(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)), "lines")
-    roots = connected_components(links(docs, rows, id_col, text_col, min_chars, block)).withColumnRenamed("node", "line")
+    per_line = stored(rows.groupBy("line").agg(F.min("uid").alias("uid"), F.min("short").alias("short"), F.count("*").alias("n")), "per_line")
+    roots = connected_components(links(docs, per_line, id_col, text_col, min_chars, block)).withColumnRenamed("node", "line")
     place = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), "uid", "no")
     linked = roots.select("line").unionByName(roots.select(F.col("root").alias("line")))
-    more = rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")  # lines that stand alone go no further
+    more = per_line.where("n > 1").select("line")  # lines that stand alone go no further
     some = stored(rows.join(stored(linked.unionByName(more).distinct(), "wanted"), "line").drop("short"), "some")
     classes = stored(some.groupBy("line").agg(F.min(place).alias("first")).join(roots, "line", "left")
                      .select("line", "first", F.coalesce("root", "line").alias("root")), "classes")
