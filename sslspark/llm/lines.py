@@ -424,9 +424,25 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(run, "short long, line binary, text string").dropDuplicates(["line"])
 
 
+CHARS, PAIRS = 31, 512
+
+
 def _counts(texts: list[str]) -> np.ndarray:
-    """Counts of characters by class: each edit moves at most two of them by one."""
-    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 31, minlength=31) for t in texts]).astype(np.int32)
+    """Counts of characters by class, then of pairs of neighbours: each edit
+    moves at most two of the first and four of the others by one."""
+    out = np.empty((len(texts), CHARS + PAIRS), np.int32)
+    for k, t in enumerate(texts):
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[k, :CHARS] = np.bincount(c % CHARS, minlength=CHARS)
+        out[k, CHARS:] = np.bincount((c[1:] * np.uint32(37) + c[:-1] * np.uint32(101)) % PAIRS, minlength=PAIRS)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Which rows of counts don't rule out that many edits."""
+    near = np.flatnonzero(np.abs(a[:, :CHARS] - b[..., :CHARS]).sum(1) <= 2 * edits)
+    b = b if b.ndim == 1 else b[near]
+    return near[np.abs(a[near, CHARS:] - b[..., CHARS:]).sum(1) <= 4 * edits[near]]
 
 
 class _Known:
@@ -445,7 +461,7 @@ class _Known:
         return x
 
     def counts(self, lines: list[bytes], texts: list[str]) -> np.ndarray:
-        if len(self.bags) > self.most // 10:
+        if len(self.bags) > self.most // 50:
             self.bags.clear()
         new = {x: t for x, t in zip(lines, texts) if x not in self.bags}
         if new:
@@ -479,7 +495,7 @@ def _forest(lines: list[bytes], texts: list[str], known: _Known) -> Iterator[tup
     for i in [k for k, r in enumerate(roots) if r != most]:
         reach = np.minimum(edits, edits[i])
         near = np.flatnonzero(np.abs(size - size[i]) <= reach)
-        near = near[np.abs(bags[near] - bags[i]).sum(1) <= 2 * reach[near]]
+        near = near[_alike(bags[near], bags[i], reach[near])]
         for j in near.tolist():
             if known.root(lines[i]) != known.root(lines[j]) and known.near(lines[i], lines[j], texts[i], texts[j], int(reach[j])):
                 yield lines[i], lines[j]
@@ -497,8 +513,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 if not part.num_rows:
                     continue
                 a, x, b, y = (c.to_pylist() for c in part.columns)
-                near = np.abs(_counts(x) - _counts(y)).sum(1) <= 2 * k
-                found = [(a[i], b[i]) for i in np.flatnonzero(near).tolist() if a[i] != b[i] and within(x[i], y[i], int(k[i]))]
+                found = [(a[i], b[i]) for i in _alike(_counts(x), _counts(y), k).tolist() if a[i] != b[i] and within(x[i], y[i], int(k[i]))]
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a binary, b binary")
