@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -65,8 +66,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the other one has."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = 8) -> float:
+    """Estimated share of the smaller text's shingles that the other one has.
+    Hashes kept above the threshold only count where both texts have no others."""
+    below = [x[x < np.uint64((1 << 64) // scale)] for x in (a, b)]
+    if len(below[0]) or len(below[1]):
+        a, b = below
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
@@ -86,12 +91,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
-def merge(fingerprints: DataFrame, by: list[str], column: str = "fingerprint") -> DataFrame:
+def merge(fingerprints: DataFrame, by: list[str], column: str = "fingerprint", scale: int = 8) -> DataFrame:
     """Fingerprints of whole groups (a source, a shard): the union of the
-    members' hashes.  Returned one hash a row (``*by, hash``), so that a group
+    members' hashes below the threshold, which is the sketch of the union of
+    their shingles.  Returned one hash a row (``*by, hash``), so that a group
     with any share of the rows stays spread out."""
     parts = F.expr(f"transform(sequence(1, length({column}) div 16), i -> substring({column}, 16 * i - 15, 16))")
-    return (fingerprints.where(F.length(column) > 0).select(*by, F.explode(parts).alias("hash")).distinct())
+    return (fingerprints.where(F.length(column) > 0).select(*by, F.explode(parts).alias("hash"))
+            .where(F.col("hash") < f"{(1 << 64) // scale:016x}").distinct())
 
 
 def containment_of_groups(members: DataFrame, by: list[str], other: DataFrame) -> DataFrame:
@@ -100,13 +107,24 @@ def containment_of_groups(members: DataFrame, by: list[str], other: DataFrame) -
     return members.join(known, "hash", "left").groupBy(*by).agg((F.count("_k") / F.count("*")).alias("containment"))
 
 
+def _number(docs: DataFrame, id_col: str) -> Column:
+    """A number in the order of the ids; of strings the six bytes after those that
+    all of them share (ids that agree there too lie in one bucket)."""
+    if docs.schema[id_col].dataType.simpleString() not in ("string", "binary"):
+        return F.col(id_col).cast("double")
+    own = F.col(id_col).cast("binary")
+    first, last = docs.agg(F.min(own), F.max(own)).first()
+    shared = len(os.path.commonprefix([bytes(first or b""), bytes(last or b"")]))
+    return F.conv(F.rpad(F.hex(F.substring(own, shared + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def _in_order(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """Rows in ``buckets`` ranges of the id: ``bucket, <id>, text, lends``.
     The first rows of a bucket (those with its smallest id) are lent to the
     bucket before, whose last document needs their text, and the first
     bucket's to the last one.  The driver sees the range bounds only."""
     from pyspark.ml.feature import Bucketizer
-    x = docs.select(F.coalesce(F.col(id_col).cast("double"), F.lit(float("nan"))).alias("_x"), id_col, text_col)
+    x = docs.select(F.coalesce(_number(docs, id_col), F.lit(float("nan"))).alias("_x"), id_col, text_col)
     inner = x.where(~F.isnan("_x")).approxQuantile("_x", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
     cuts = [-math.inf, *sorted(set(inner)), math.inf]
     rows = (Bucketizer(splits=cuts if len(cuts) > 2 else [-math.inf, 0.0, math.inf], inputCol="_x", outputCol="_b", handleInvalid="keep")

@@ -5,7 +5,8 @@ cells' token weights so that their sums meet the target share of every source,
 then of every language, then of every topic, again and again until all three
 hold.  A document's sampling probability is its cell's fitted weight over its
 tokens, scaled so that the largest is 1: the expected token shares of the
-sample are the targets.  The draw is a hash of the id, so it can be repeated.
+sample are the targets.  The draw is a hash of the id and the text, so it can be
+repeated.
 
 Only cells are iterated on, never rows; every few rounds they are written to
 the shared folder and give the driver one number.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sslspark.llm.common import stored
+from sslspark.llm.common import free, stored
 
 DIMS = ("source", "lang", "topic")
 
@@ -70,9 +71,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_rounds: int = 60,
     return cur.select(*names, "tokens", "weight"), error
 
 
-def draw(key: str) -> Column:
-    """A number in [0, 1) from an id: 52 bits of its MD5."""
-    text = F.concat(F.lit("mix:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+def draw(key: str, text_col: str = "text") -> Column:
+    """A number in [0, 1) from an id and its text: 52 bits of their MD5, so that
+    different texts with one id, or without an id, are drawn apart."""
+    own = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    text = F.concat(F.lit("mix:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), own)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -84,16 +87,17 @@ def mix(docs: DataFrame, power: dict[str, float], dims: tuple[str, ...] = DIMS,
     ``targets`` gives a margin's shares, ``power`` tempers the observed ones."""
     docs = docs.drop("probability", "kept", "residual")
     level = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) if d in docs.columns else topic(text_col) for d in dims}
-    keyed = docs.select("*", *[c.alias(f"_{d}") for d, c in level.items()])
+    own = {d: free(docs.columns, d) for d in dims}
+    keyed = docs.select("*", *[c.alias(own[d]) for d, c in level.items()])
     cells = stored(docs.select(*[c.alias(d) for d, c in level.items()], tokens(text_col).alias("n"))
                    .groupBy(*dims).agg(F.sum("n").alias("tokens")), "counts")
     aims = {d: (targets or {}).get(d) if (targets or {}).get(d) is not None else tempered(cells, d, power.get(d, 1.0)) for d in dims}
     fitted, residual = rake(cells, aims)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     top = fitted.agg(F.max(ratio)).first()[0] or 1.0
-    chance = stored(fitted.select(*[F.col(d).alias(f"_{d}") for d in dims], F.coalesce(ratio / F.lit(top), F.lit(1.0)).alias("probability")), "chances")
-    return (keyed.join(chance, [f"_{d}" for d in dims]).drop(*[f"_{d}" for d in dims])
-            .withColumns({"kept": draw(key) < F.col("probability"), "residual": F.lit(float(residual))}))
+    chance = stored(fitted.select(*[F.col(d).alias(own[d]) for d in dims], F.coalesce(ratio / F.lit(top), F.lit(1.0)).alias("probability")), "chances")
+    return (keyed.join(chance, list(own.values())).drop(*own.values())
+            .withColumns({"kept": draw(key, text_col) < F.col("probability"), "residual": F.lit(float(residual))}))
 
 
 def oracle_sql(power: dict[str, float], rounds: int = 40) -> str:
@@ -102,7 +106,7 @@ def oracle_sql(power: dict[str, float], rounds: int = 40) -> str:
             " WHEN contains(x, '***') OR contains(x, '%%%') THEN 'marks' ELSE 'prose' END")
     parts = [
         "d0 AS (SELECT doc_id, COALESCE(source, '') AS source, COALESCE(lang, '') AS lang, COALESCE(text, '') AS x FROM documents)",
-        f"d AS MATERIALIZED (SELECT doc_id, source, lang, {rule} AS topic, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM d0)",
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, x, {rule} AS topic, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM d0)",
         "c AS MATERIALIZED (SELECT source, lang, topic, CAST(SUM(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)"]
     for dim in DIMS:
         parts.append(f"a_{dim} AS (SELECT {dim}, pow(SUM(tokens), {power.get(dim, 1.0)}) AS p FROM c GROUP BY {dim} HAVING SUM(tokens) > 0)")
@@ -115,7 +119,7 @@ def oracle_sql(power: dict[str, float], rounds: int = 40) -> str:
             parts.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (w * {t} / SUM(w) OVER (PARTITION BY {dim}) AS w) FROM w{n})")
             n += 1
     parts.append(f"p AS (SELECT *, (w / tokens) / MAX(w / tokens) OVER () AS probability FROM w{n} WHERE tokens > 0)")
-    u = "CAST(('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
+    u = "CAST(('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR) || ':' || md5(x)), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
     return ("WITH " + ",\n".join(parts) + f"""
 SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.tokens AS BIGINT) AS tokens, round(COALESCE(probability, 1.0), 6) AS probability,
        {u} < COALESCE(probability, 1.0) AS kept

@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sslspark.llm.common import stored
 
 #: The name may end a longer one (``DB_PASSWORD``, ``client_secret``) and stand in quotes, as in JSON.
-ASSIGNED = re.compile(r"""(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s*[:=](?:[ \t]*|\s{0,3})["']?([^\s"']{8,})""")
+ASSIGNED = re.compile(r"""(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s*[:=](?:[ \t]*|\s{0,3})(?:"([^"\n]{8,})"|'([^'\n]{8,})'|["']?([^\s"']{8,}))""")
 KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,})\b")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{14,}")
 NAME = re.compile(r"[A-Za-z0-9_-]")
@@ -104,8 +104,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)``, without overlaps; the more telling kind first.
     Of a long run that holds another finding, what is left beside it (and
     beside the finding's name) counts like a run of its own."""
-    assigned = {m.start(1): m for m in ASSIGNED.finditer(text)}
-    found = [(*m.span(1), "assigned") for m in assigned.values()]
+    assigned = {m.start(m.lastindex): m for m in ASSIGNED.finditer(text)}
+    found = [(*m.span(m.lastindex), "assigned") for m in assigned.values()]
     found += [(*m.span(), "known") for m in KNOWN.finditer(text)]
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from sslspark.llm.common import stored
 
@@ -38,13 +39,19 @@ def _bits(number: Column | str, width: int | Column) -> Column:
     return F.when(F.lit(width) > 0, F.right(digits, F.lit(width))).otherwise("")
 
 
+def _hashable(field: StructField) -> Column:
+    """A column for a row's hash; Spark has none of maps, so their text is taken."""
+    c = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c
+
+
 def assign(docs: DataFrame, max_bytes: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<key>, bytes, shard, depth, shard_bytes, oversize`` for every row:
     the shard's name is its bit string, with the page after a dot."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = stored(docs.select(
         key, size.alias("bytes"), key_hash(key).alias("h"),
-        F.shiftrightunsigned(F.xxhash64(*docs.columns), 64 - WORD).alias("h2"), F.monotonically_increasing_id().alias("row")), "rows")
+        F.shiftrightunsigned(F.xxhash64(*[_hashable(f) for f in docs.schema]), 64 - WORD).alias("h2"), F.monotonically_increasing_id().alias("row")), "rows")
     live = rows.withColumn("path", F.lit(""))
     done = []
     for k in range(2 * WORD // ROUND):

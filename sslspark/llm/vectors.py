@@ -15,11 +15,14 @@
    node and a spanning forest, never the pairs.
 6. The recall is audited on a bounded sample against brute force; below the
    target, the overlap and the search are widened and steps 2 to 5 run again.
+   If ``rounds`` of that don't do, every two nodes of a group are compared, in blocks.
 
 Defined cases: rows with a null label, or a null or zero vector, or one with
 null or non-finite components, link with nothing; vectors of different lengths
-don't link; repeated ids are separate vectors; an empty table gives no rows;
-other columns are ignored.
+don't link; repeated ids are separate vectors, under other labels too; ids may be
+of any type that has an order; rows without an id are compared like others, are
+no component's id where one of it has an id, and then are not kept; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,17 +41,19 @@ FANOUT = 8
 
 
 def nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """``grp, node, copies, v``: distinct usable vectors, of unit length, in
-    double precision; ``grp`` is label and length, ``node`` the smallest id."""
+    """``grp, node, least, copies, v``: distinct usable vectors, of unit length, in
+    double precision; ``grp`` is label and length, ``node`` a number of its own
+    (fixed once the table is stored), ``least`` the smallest id."""
     v = F.transform(vec_col, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (vectors.select(id_col, F.col(label_col).cast("string").alias("label"), v.alias("v"))
-            .where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col(id_col).isNotNull()).where(usable)
+            .where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(usable)
             .withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
             .withColumn("v", F.expr("transform(v, x -> x / norm)"))
             .withColumn("grp", F.concat_ws(":", F.size("v").cast("string"), "label"))
-            .groupBy("grp", "v").agg(F.min(id_col).alias("node"), F.count("*").alias("copies")))
+            .groupBy("grp", "v").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"))
+            .withColumn("node", F.monotonically_increasing_id()))
 
 
 def _pivots(sample: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -109,6 +114,15 @@ def shards(all_nodes: DataFrame, max_shard: int, overlap: float, sample: int = 6
     raise RuntimeError("the shards could not be split far enough")
 
 
+def every_pair(all_nodes: DataFrame, max_shard: int) -> DataFrame:
+    """``path, node`` of shards in which every two nodes of a group meet."""
+    sizes = all_nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") * 2 / F.lit(max_shard)).cast("long")
+    own, other = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    return stored(all_nodes.join(sizes, "grp").select("grp", "node", own.alias("i"), other.alias("j"))
+                  .select(F.concat("grp", F.lit("#"), F.least("i", "j"), F.lit("-"), F.greatest("i", "j")).alias("path"), "node"), "shards")
+
+
 def robust_prune(x: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Adjacency (rows padded with -1) out of candidate lists ``pool``: the
     nearest candidate is kept, and candidates that it is ``alpha`` times nearer
@@ -209,8 +223,10 @@ def _forest(found: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _once(all_nodes: DataFrame, bound: float, max_shard: int, overlap: float, beam: int) -> tuple[DataFrame, DataFrame]:
-    placed = shards(all_nodes, max_shard, overlap)
+def _once(all_nodes: DataFrame, bound: float, max_shard: int, overlap: float, beam: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``node, links, pairs`` (vectors linked, and different ones of them) and
+    the forest; ``exact`` compares every two nodes of a group in blocks."""
+    placed = every_pair(all_nodes, max_shard) if exact else shards(all_nodes, max_shard, overlap)
     homes = placed.groupBy("node").agg(F.sort_array(F.collect_set(F.xxhash64("path"))).alias("homes"))
     members = stored(placed.join(all_nodes.select("node", "copies", "v"), "node").join(homes, "node"), "members")
 
@@ -220,19 +236,27 @@ def _once(all_nodes: DataFrame, bound: float, max_shard: int, overlap: float, be
         g = build_graph(np.stack(p["v"].to_numpy()))
         return pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]].tolist() for r in g]})
 
-    lists = members.select("path", "node", "v").groupBy("path").applyInPandas(built, "node long, near array<long>")
-    united = stored(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    if exact:
+        united = members.select("node").distinct().withColumn("near", F.array().cast("array<long>"))
+    lists = None if exact else members.select("path", "node", "v").groupBy("path").applyInPandas(built, "node long, near array<long>")
+    united = united if exact else stored(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
 
     def searched(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("node")
         ids, x, copies = p["node"].to_numpy(), np.stack(p["v"].to_numpy()), p["copies"].to_numpy()
+        if exact:
+            found = x @ x.T >= bound
+            np.fill_diagonal(found, False)
+            return counted(p, ids, copies, found)
         lists = [np.asarray(n, np.int64) for n in p["near"]]
         graph = np.full((len(p), max(1, max(map(len, lists)))), -1, np.int64)
         for i, n in enumerate(lists):
             at = np.minimum(np.searchsorted(ids, n), len(ids) - 1)
             at = at[ids[at] == n]
             graph[i, :len(at)] = at
-        found = search(x, graph, bound, beam)
+        return counted(p, ids, copies, search(x, graph, bound, beam))
+
+    def counted(p: pd.DataFrame, ids: np.ndarray, copies: np.ndarray, found: np.ndarray) -> pd.DataFrame:
         root = _forest(found)
         here = p["home"].iloc[0]
         lower: dict[int, list[int]] = {}
@@ -242,16 +266,18 @@ def _once(all_nodes: DataFrame, bound: float, max_shard: int, overlap: float, be
                     lower.setdefault(other, []).append(i)
         for idx in lower.values():
             found[np.ix_(idx, idx)] = False  # counted in an earlier shard
-        return pd.DataFrame({"node": ids, "links": found @ copies, "root": ids[root]})
+        return pd.DataFrame({"node": ids, "links": found @ copies, "pairs": found.sum(1), "root": ids[root]})
 
     hits = stored(members.join(united, "node").withColumn("home", F.xxhash64("path")).groupBy("path").applyInPandas(
-        searched, "node long, links long, root long"), "hits")
-    return hits.groupBy("node").agg(F.sum("links").alias("links")), hits.select("node", "root")
+        searched, "node long, links long, pairs long, root long"), "hits")
+    return hits.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")), hits.select("node", "root")
 
 
 def audit(all_nodes: DataFrame, links: DataFrame, bound: float, queries: int = 200) -> float:
     """Share of the true links that were found, for ``queries`` nodes at most
-    (those with the smallest hash); brute force over all nodes."""
+    (those with the smallest hash); brute force over all nodes.  The smaller of
+    the shares by vectors and by different vectors, so that a large group of
+    copies hides no lost pair."""
     h = F.xxhash64("node")
     sample = all_nodes.orderBy(h, "node").limit(queries).select("grp", "node", "v").collect()
     if not sample:
@@ -269,11 +295,12 @@ def audit(all_nodes: DataFrame, links: DataFrame, bound: float, queries: int = 2
                     ids, x = groups[g]
                     near = x @ np.stack(part["v"].to_numpy()).T >= bound
                     near &= ids[:, None] != part["node"].to_numpy()[None, :]
-                    yield pa.RecordBatch.from_pydict({"node": ids, "n": near @ part["copies"].to_numpy()})
+                    yield pa.RecordBatch.from_pydict({"node": ids, "n": near @ part["copies"].to_numpy(), "m": near.sum(1)})
 
-    true = all_nodes.select("grp", "node", "copies", "v").mapInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    n, got = true.join(links, "node", "left").agg(F.sum("n"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return float(got or 0) / n if n else 1.0
+    true = (all_nodes.select("grp", "node", "copies", "v").mapInArrow(compare, "node long, n long, m long")
+            .groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    n, got, m, had = true.join(links, "node", "left").agg(F.sum("n"), F.sum(F.coalesce("links", F.lit(0))), F.sum("m"), F.sum(F.coalesce("pairs", F.lit(0)))).first()
+    return min(float(got or 0) / n if n else 1.0, float(had or 0) / m if m else 1.0)
 
 
 def embedding_dedup(vectors: DataFrame, bound: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
@@ -287,16 +314,20 @@ def embedding_dedup(vectors: DataFrame, bound: float = 0.93, id_col: str = "vec_
         if recall >= target:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    else:  # the search does not come near enough: every two nodes of a group
+        links, forest = _once(all_nodes, bound, max_shard, overlap, beam, exact=True)
+        links, recall = stored(links, "links"), 1.0
     roots = connected_components(forest.withColumnsRenamed({"node": "a", "root": "b"}))
-    per_node = stored(
-        all_nodes.select("grp", "v", "node", "copies").join(links, "node", "left").join(roots, "node", "left")
-        .select("grp", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("c")), "by_node")
+    by_node = stored(all_nodes.join(links, "node", "left").join(roots, "node", "left")
+                     .select("grp", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")), "by_node")
+    least = by_node.groupBy("root").agg(F.min("least").alias("c"))
+    per_node = by_node.join(least, "root").select("grp", "v", "n", "c", F.lit(True).alias("usable"))
     v = F.transform(vec_col, lambda x: x.cast("double"))
     unit = vectors.select(id_col, F.col(label_col).cast("string").alias("label"), v.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = (unit.withColumn("norm", norm).withColumn("grp", F.concat_ws(":", F.size("v").cast("string"), "label"))
             .withColumn("u", F.when(F.col("label").isNotNull() & (F.col("norm") > 0), F.expr("transform(v, x -> x / norm)"))))
     return (unit.select(id_col, "grp", "u").join(per_node, (unit["grp"] == per_node["grp"]) & (unit["u"] == per_node["v"]), "left")
-            .select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", F.col(id_col)).cast("long").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+            .select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("usable"), F.col("c")).otherwise(F.col(id_col)).alias("component_id"))
+            .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
             .withColumn("audited_recall", F.lit(recall)))

@@ -350,6 +350,77 @@ def test_short_copies_and_long_lines_with_a_replaced_word(spark):
     assert got == {1: "ok\n" + line + "\n", 2: "}", 3: "\nlast"}
 
 
+def test_embeddings_with_repeated_null_and_string_ids(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v: [a + 0.01 for a in v]
+    rows = [(1, x, 1), (1, y, 2), (2, near(y), 1), (3, near(x), 2), (4, near(x), 1), (None, near(y), 2), (None, [0.0, 0.0, 1.0], 1), (None, None, 1)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, label int, grp long, node long")
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 1, False), (None, 1, 1, False), (None, 0, None, True), (None, 0, None, True)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    out = vectors.embedding_dedup(df)
+    assert sorted((tuple(r)[:4] for r in out.collect()), key=key) == sorted(want, key=key)
+    named = df.withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    got = vectors.embedding_dedup(named).collect()
+    text = lambda v: None if v is None else f"v{v}"
+    assert sorted(map(str, (tuple(r)[:4] for r in got))) == sorted(map(str, ((text(a), n, text(c), k) for a, n, c, k in want)))
+
+
+def test_embeddings_below_the_target_are_compared_in_blocks(spark):
+    df, rows = vectors_frame(spark)
+    first = {r["vec_id"]: tuple(r)[:4] for r in vectors.embedding_dedup(df).collect()}
+    got = vectors.embedding_dedup(df, max_shard=60, target=1.1, rounds=1)  # no search reaches this
+    assert {r["vec_id"]: tuple(r)[:4] for r in got.collect()} == first
+
+
+def test_mixing_draws_rows_apart(spark):
+    rows = [(None, f"text number {k} a b", "en", "a" if k % 3 else "b", 1) for k in range(900)] + [(7, f"other {k}", "en", "a", 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _source long")
+    out = mixing.mix(df, {"source": 0.2, "lang": 1.0, "topic": 1.0})
+    assert out.columns == [*df.columns, "probability", "kept", "residual"]
+    for r in out.where("source = 'a'").groupBy(F.col("doc_id").isNull()).agg(F.avg(F.col("kept").cast("int")).alias("share"), F.avg("probability").alias("p")).collect():
+        assert 0 < r["p"] < 0.9 and abs(r["share"] - r["p"]) < 0.1
+    again = mixing.mix(df.repartition(5), {"source": 0.2, "lang": 1.0, "topic": 1.0})
+    assert again.where("kept").count() == out.where("kept").count()
+
+
+def test_sharding_with_a_map_column(spark):
+    df = spark.createDataFrame([(k, "x" * 100, {"a": k % 2}) for k in range(20)] + [(1, "x" * 100, {"b": 1})], "doc_id long, text string, m map<string,int>")
+    found = sharding.assign(df, 300).collect()
+    assert len(found) == 21 and all(r["shard_bytes"] <= 300 for r in found)
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ('password="correcthorse battery!staple" x', "correcthorse battery!staple"), ('password = "correct horse battery" x', "correct horse battery"),
+    ("pwd: 'a b c d e f' x", "a b c d e f"), ('"secret": "it\'s a long one",', "it's a long one"), ('token = "unclosed1 value', "unclosed1")])
+def test_quoted_secrets_are_whole(text, value):
+    assert [text[a:b] for a, b, k in secrets.candidates(text) if k == "assigned"] == [value]
+
+
+def test_language_sizes_by_hand(spark, docs):
+    """Every answer of the query's prediction against plain compression with the same books."""
+    import zstandard
+    books = langid.fit(docs)
+    for r in langid.predict(docs.orderBy("doc_id").limit(150), books).collect():
+        text = (r["text"] or "").lower().encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["rejected"]) == ("und", True)
+            continue
+        cuts = [0]
+        while cuts[-1] < len(text):
+            end = min(len(text), cuts[-1] + 2000)
+            while end < len(text) and 0x80 <= text[end] < 0xC0:
+                end += 1
+            cuts.append(end)
+        total = {}
+        for lang, book in books.items():
+            data = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total[lang] = sum(len(zstandard.ZstdCompressor(level=6, dict_data=data, write_content_size=False, write_dict_id=False).compress(text[a:b]))
+                              for a, b in zip(cuts, cuts[1:]))
+        best, second = sorted(total.values())[:2]
+        assert r["lang_pred"] == min(x for x, n in total.items() if n == best) and abs(r["margin"] - (second / best - 1)) < 1e-12
+        assert r["rejected"] == (second / best - 1 < 0.01)
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, tmp_path):

@@ -202,5 +202,33 @@ def test_merged_fingerprints(spark, docs):
     assert parts.select("hash").distinct().count() == whole.count()
 
 
+def test_fingerprints_of_string_null_and_repeated_ids(spark):
+    texts = {"doc-00a": "a b c d e f", "doc-00b": "g h i j k l m", "doc-0": "x", "doc-00a1": "a b c d e f g"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(3)
+    order = sorted(texts)
+    for r in fingerprints.edited_and_next(df).collect():
+        after = texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        half = len(texts[r["doc_id"]]) // 2
+        edited = texts[r["doc_id"]][:len(texts[r["doc_id"]]) - half] + after[:half]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    odd = spark.createDataFrame([(None, "a b c"), (None, "d"), (1, "e"), (1, "f"), (1, "e")], "doc_id long, text string")
+    found = fingerprints.edited_and_next(odd)
+    assert sorted(map(str, (r["doc_id"] for r in found.collect()))) == ["1", "1", "1", "None", "None"]
+
+
+def test_merged_sketch_is_that_of_the_union(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (5, 6, 7, 300, 8, 5)]
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, part int")
+    prints = fingerprints.fingerprint_documents(df).withColumn("part", F.lit(0))
+    got = {x["hash"] for x in fingerprints.merge(prints, ["part"]).collect()}
+    below = [h for t in texts for h in fingerprints.sketch(t.encode()).tolist() if h < (1 << 64) // 8]
+    assert got == {f"{h:016x}" for h in below}
+    short = fingerprints.sketch(b"a b c d e")
+    if short[0] >= (1 << 64) // 8:
+        assert fingerprints.containment(short, short) == 1.0
+        assert fingerprints.containment(short, fingerprints.sketch(texts[3].encode())) == 0.0
+
+
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
