@@ -323,7 +323,7 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                             lines.append(x)
                             own.append(short)
                             size += len(x)
-                            if size > 500_000:
+                            if size > 2_000_000:
                                 yield from found(lines, own)
                                 lines, own, size = [], [], 0
             if lines:
