@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from sslspark.functions.arrays import (
     align, argmax, confidence, cross_entropy_soft, element, log_softmax, logit_adjust, softmax, vec_lit,
 )
-from sslspark.operators.aggs import mean_probs_by_batch
+from sslspark.operators.aggs import exact_quantile, mean_probs_by_batch
 from sslspark.operators.split import rank_select
-from sslspark.operators.state import as_vector_per_batch, batch_class_grid, dense_steps, ema, last_value, queue_mean, running_sum
+from sslspark.operators.state import (
+    as_vector_per_batch, batch_class_grid, clamped_scan, dense_steps, ema, last_value, queue_mean, running_sum,
+)
+from sslspark.session import cut_lineage
 
 __all__ = ["align_distribution", "flexmatch_mask", "freematch_mask", "softmatch_weight", "adamatch_mask",
            "dash_mask", "adsh_thresholds", "adsh_mask", "debiased_probs", "fairness_entropy"]
@@ -120,19 +123,23 @@ def flexmatch_mask(df: DataFrame, id_col: str = "row_id", batch_col: str = "batc
 
 
 def freematch_mask(df: DataFrame, batch_col: str = "batch_id", probs_col: str = "probs", K: int = 10,
-                   m: float = 0.999, use_quantile: bool = False, out: str = "mask") -> DataFrame:
+                   m: float = 0.999, use_quantile: bool = False, clip: bool = False, out: str = "mask") -> DataFrame:
     """THR5 (FreeMatch self-adaptive threshold): update then mask (T13).
 
     time_p <- m*time_p + (1-m)*mean(conf) (or its 0.8-quantile); p_model <-
     EMA of mean probs; label_hist <- EMA of the normalised pseudo-label
     histogram; all start at 1/K.  mask = conf >= time_p * p_model[pl] / max(p_model).
     Also returns ``time_p``, ``p_model`` and ``label_hist`` per row's batch.
-    (The optional clip to [0, 0.95] is not linear; use the streaming form.)
+    ``clip`` keeps time_p in [0, 0.95] after every update.
     """
     d = df.withColumns({"_conf": confidence(probs_col), "_pl": argmax(probs_col)})
-    q = F.percentile("_conf", F.lit(0.8)) if use_quantile else F.avg("_conf")
-    g_stats = d.groupBy(batch_col).agg(q.alias("x"), F.count(F.lit(1)).alias("_n"))
-    tp = ema(g_stats.withColumn("_k", F.lit(0)), ["_k"], batch_col, "x", m, 1.0 / K, "time_p")
+    g_stats = d.groupBy(batch_col).agg(F.avg("_conf").alias("x"), F.count(F.lit(1)).alias("_n"))
+    if use_quantile:
+        g_stats = g_stats.drop("x").join(exact_quantile(d, "_conf", [batch_col], 0.8, "x"), batch_col)
+    g_stats = cut_lineage(g_stats)
+    g = g_stats.withColumn("_k", F.lit(0))
+    tp = (clamped_scan(g.withColumn("_b", F.lit(1.0 - m) * F.col("x")), ["_k"], batch_col, "_b", m, 0.0, 0.95, 1.0 / K, "time_p") if clip
+          else ema(g, ["_k"], batch_col, "x", m, 1.0 / K, "time_p"))
     pm = ema(mean_probs_by_batch(d, probs_col, batch_col, "x"), ["class_id"], batch_col, "x", m, 1.0 / K, "p_model")
     hist = d.groupBy(batch_col, F.col("_pl").alias("class_id")).agg(F.count(F.lit(1)).alias("_c"))
     hg = (batch_class_grid(d, batch_col, K).join(hist, [batch_col, "class_id"], "left")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from sslspark.constants import UNLABELLED
 from sslspark.functions.arrays import (argmax, average_views, consistency_loss, cosine_repulsion, cross_entropy_hard, entropy, kl_from_logits,
-                                       mtl_weighted_loss, ramp, sharpen)
-from sslspark.operators import adaptive, aggs, imbalance, metrics, policies
+                                       mtl_weighted_loss, one_hot, ramp, sharpen)
+from sslspark.operators import adaptive, aggs, imbalance, metrics, policies, similarity
 
 __all__ = ["POLICIES", "IMBALANCE", "get_policy", "apply_policy", "compose"]
 
@@ -51,6 +51,17 @@ class FreeMatchParams:
     num_classes: int = 10
 
 
+@dataclass(frozen=True)
+class CoMatchParams:
+    T: float = 0.2
+    p_cutoff: float = 0.95
+    smoothing_alpha: float = 0.9
+    da_len: int = 256
+    queue_rows: int = 2560
+    warm_batches: int = 0
+    num_classes: int = 10
+
+
 @dataclass(frozen=True)
 class SoftMatchParams:
     T: float = 0.5
@@ -160,12 +171,23 @@ def _flexmatch(df: DataFrame, p: FlexMatchParams) -> DataFrame:
 
 
 def _freematch(df: DataFrame, p: FreeMatchParams) -> DataFrame:
-    if p.clip_thresh:
-        raise NotImplementedError("clip_thresh is not linear; use streaming.FreeMatchState")
-    d = adaptive.freematch_mask(df, K=p.num_classes, m=p.ema_p, use_quantile=p.use_quantile)
+    d = adaptive.freematch_mask(df, K=p.num_classes, m=p.ema_p, use_quantile=p.use_quantile, clip=p.clip_thresh)
     return policies.pseudo_label(d, mode="hard")
 
 
+def _comatch(df: DataFrame, p: CoMatchParams, labelled: DataFrame) -> DataFrame:
+    """Alignment with the queue, smoothing by the bank as it was before the row's
+    batch (aligned unlabelled and one-hot labelled rows), then mask and soft
+    pseudo-label.  ``feat`` is the unit-length feature; batches below
+    ``warm_batches`` are not smoothed."""
+    d = adaptive.align_distribution(df, K=p.num_classes, mode="queue", target="uniform", L=p.da_len, out="_p")
+    bank = d.select("row_id", "batch_id", "feat", F.col("_p").alias("bp")).unionByName(
+        labelled.select("row_id", "batch_id", "feat", one_hot("label_id", p.num_classes).alias("bp")))
+    d = similarity.smooth_with_bank(d, bank, p.queue_rows, p.num_classes, p.T, p.smoothing_alpha, probs_col="_p", out="_q")
+    d = d.withColumn("probs", F.when(F.col("batch_id") >= p.warm_batches, F.col("_q")).otherwise(F.col("_p"))).drop("_p", "_q")
+    return policies.pseudo_label(policies.fixed_threshold(d, tau=p.p_cutoff), mode="soft", T=1.0)
+
+
 def _softmatch(df: DataFrame, p: SoftMatchParams) -> DataFrame:
     a = adaptive.align_distribution(df, K=p.num_classes, m=p.ema_p, out="_aligned")
     d = adaptive.softmatch_weight(a, probs_col="_aligned", K=p.num_classes, m=p.ema_p, n_sigma=p.n_sigma,
@@ -257,6 +279,7 @@ POLICIES: dict[str, tuple[type, Callable]] = {
     "mixmatch": (MixMatchParams, _mixmatch),
     "defixmatch": (FixMatchParams, _defixmatch),
     "crmatch": (FixMatchParams, _crmatch),
+    "comatch": (CoMatchParams, _comatch),
     "fullysupervised": (NoParams, _fullysupervised),
     "mtl_fullysupervised": (NoParams, _mtl_fullysupervised),
     "mtl_fixmatch": (MultiTaskParams, _mtl_fixmatch),
@@ -264,7 +287,7 @@ POLICIES: dict[str, tuple[type, Callable]] = {
 }
 
 #: Policies that also look at the labelled rows.
-WITH_LABELLED = frozenset({"dash", "adamatch", "defixmatch"})
+WITH_LABELLED = frozenset({"dash", "adamatch", "defixmatch", "comatch"})
 
 
 def _debiaspl(df: DataFrame, p: DebiasPLParams) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sslspark.functions.arrays import col_of, cosine, let, softmax
 from sslspark.functions.keys import hash_key
 from sslspark.operators.aggs import prototype_map
+from sslspark.operators.state import last_value, running_sum
+from sslspark.session import cut_lineage
 
 __all__ = ["prototype_logits", "prototype_similarity", "random_partner"]
 
@@ -62,6 +64,71 @@ def ring_bank(df: DataFrame, L: int, order_cols=("batch_id", "row_id")) -> DataF
     return df.orderBy(*[F.desc(c) for c in order_cols]).limit(L)
 
 
+def _ranked(df: DataFrame, by: list[str], batch_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_rank`` (1, 2, ... in (batch, id) order inside ``by``), and
+    ``(*by, batch, _last)``: the rank of the last row of each batch.  Counts of
+    the batches are summed up in chunks; rows are numbered inside their batch."""
+    counts = df.groupBy(*by, batch_col).agg(F.count(F.lit(1)).alias("_n"))
+    ends = cut_lineage(running_sum(counts, by, batch_col, "_n", "_last").withColumn("_last", F.col("_last").cast("long")))
+    inside = F.row_number().over(Window.partitionBy(*by, batch_col).orderBy(id_col))
+    rows = df.withColumn("_i", inside).join(ends, [*by, batch_col]).withColumn("_rank", F.col("_last") - F.col("_n") + F.col("_i"))
+    return rows.drop("_i", "_n", "_last"), ends.drop("_n")
+
+
+def _newest(rows: DataFrame, ends: DataFrame, by: list[str], L: int) -> DataFrame:
+    """Each of ``ends(*by, ..., _last)`` with the ``L`` rows up to ``_last``: an
+    equi-join on chunks of L ranks, a row in its own and the next one."""
+    chunk = F.floor((F.col("_rank") - 1) / F.lit(L)).cast("long")
+    r = rows.withColumn("_chunk", F.explode(F.array(chunk, chunk + 1)))
+    e = ends.withColumn("_chunk", F.floor((F.col("_last") - 1) / F.lit(L)).cast("long"))
+    return r.join(e, [*by, "_chunk"]).where((F.col("_rank") <= F.col("_last")) & (F.col("_rank") > F.col("_last") - L)).drop("_chunk")
+
+
+def fifo_prototypes(df: DataFrame, label_col: str, feat_col: str, L: int, batch_col: str = "batch_id", id_col: str = "row_id",
+                    out: str = "proto") -> DataFrame:
+    """WIN11: for each class and batch that has rows of it, the mean of the
+    class's last ``L`` features up to the batch's end: ``label, batch, n, out``.
+    No class lies in one task: rows meet a batch's end by chunks of L ranks, and
+    the sums are partial aggregates over (class, batch, place in the vector)."""
+    rows, ends = _ranked(df.select(label_col, feat_col, batch_col, id_col), [label_col], batch_col, id_col)
+    near = _newest(rows.drop(batch_col, id_col), ends, [label_col], L)
+    long = (near.select(label_col, batch_col, F.posexplode(feat_col).alias("pos", "v"))
+            .groupBy(label_col, batch_col, "pos").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("v").cast("double")).alias("v")))
+    return long.groupBy(label_col, batch_col).agg(
+        F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias(out))
+
+
+def ring_bank_as_of(df: DataFrame, rows: DataFrame, L: int, cols: list[str], batch_col: str = "batch_id", id_col: str = "row_id",
+                    out: str = "_bank") -> DataFrame:
+    """WIN16 as of each batch: every row of ``df`` gets the newest ``L`` of
+    ``rows`` that came in batches before its own, newest first (an empty array
+    before there are any).  A batch's bank has L rows by construction, and is
+    put together once for the batch."""
+    ranked, ends = _ranked(rows.select(batch_col, id_col, *[c for c in cols if c not in (batch_col, id_col)]), [], batch_col, id_col)
+    asked = df.select(batch_col).distinct().withColumn("_asked", F.lit(True))
+    grid = asked.join(ends, batch_col, "full")
+    # the last rank before each batch: of the batches in between, the greatest
+    before = last_value(grid.withColumn("_k", F.lit(0)).withColumn("_last", F.col("_last").cast("double")), ["_k"], batch_col, "_last", 0.0, "_upto")
+    own = ranked.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_own"))
+    before = (before.join(own, batch_col, "left").where("_asked")
+              .select(F.col(batch_col).alias("_for"), (F.col("_upto") - F.coalesce("_own", F.lit(0))).cast("long").alias("_last")).where("_last > 0"))
+    near = _newest(ranked, before, [], L)
+    bank = near.groupBy("_for").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.struct(*cols).alias("e"))))),
+                                                lambda s: s["e"]).alias(out))
+    return (df.join(bank.withColumnRenamed("_for", batch_col), batch_col, "left")
+            .withColumn(out, F.coalesce(F.col(out), F.array().cast(bank.schema[out].dataType))))
+
+
+def smooth_with_bank(df: DataFrame, rows: DataFrame, L: int, K: int, T: float, alpha: float, feat_col: str = "feat", probs_col: str = "probs",
+                     bank_probs: str = "bp", out: str = "p_smooth") -> DataFrame:
+    """JOI7 and JOI8 over the bank as of each batch: where the bank has rows,
+    alpha * p + (1 - alpha) * their similarity-weighted targets, else p."""
+    d = ring_bank_as_of(df, rows, L, [feat_col, bank_probs])
+    d = d.withColumn("_a", bank_similarity(feat_col, "_bank", feat_col, T))
+    mixed = neighbour_smooth(probs_col, "_a", "_bank", bank_probs, alpha, K)
+    return d.withColumn(out, F.when(F.size("_bank") > 0, mixed).otherwise(F.col(probs_col))).drop("_a", "_bank")
+
+
 def keyed_bank(df: DataFrame, id_col: str, batch_col: str, feat_col: str, m: float | None = None) -> DataFrame:
     """WIN17: one feature per id.  ``m=None``: the latest one replaces the
     rest (``max_by`` per id).  Otherwise v <- normalise(m v + (1-m) x) over the

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sslspark.functions.keys import hash_key, hash_u, hash_u52
+from sslspark.session import cut_lineage
 
 __all__ = [
     "rank_select", "stratified_test_split", "sample_labelled_unlabelled", "split_ssl", "imbalance_profile",
@@ -52,6 +53,8 @@ def _split_large(base: DataFrame, by: list[str], keys: list[str], id_col: str, o
     extremes, or by the id's where all scores are equal."""
     large = (base.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_n1"), F.min("_s").alias("_s0"), F.max("_s").alias("_s1"),
                                           F.min(id_col).alias("_i0"), F.max(id_col).alias("_i1")).where(F.col("_n1") > target))
+    if large.isEmpty():
+        return base.withColumn(out, F.lit(0))
     by_id = F.floor((F.col(id_col) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1) * 1024)
     by_score = F.floor((F.col("_s1") - F.col("_s")) / (F.col("_s1") - F.col("_s0")) * 1023)
     slot = F.when(F.col("_n1").isNull(), F.lit(0)).when(F.col("_s0") == F.col("_s1"), by_id).otherwise(by_score)
@@ -72,7 +75,8 @@ def rank_select(df: DataFrame, by: Sequence[str], id_col: str, seed, quotas: Map
         base = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
         keys, order = ["_b"], [F.col("_h")]
     else:
-        base = df.withColumn("_s", score.cast("double")).withColumn("_b", score_bucket(F.col("_s")))
+        # written once: the input is read for the buckets' sizes and for the ranks
+        base = cut_lineage(df.withColumn("_s", score.cast("double")).withColumn("_b", score_bucket(F.col("_s"))))
         base = _split_large(base, by, ["_b"], id_col, "_b1", target)
         base = _split_large(base, by, ["_b", "_b1"], id_col, "_b2", target)
         keys, order = ["_b", "_b1", "_b2"], [F.desc("_s")]

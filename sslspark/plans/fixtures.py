@@ -47,8 +47,8 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, strong: bool = False, keep_emb: bool = False) -> DataFrame:
     """FIXTURES 3.1 / 3.2: ``(row_id, batch_id, label_true, role, label_id, logits, probs)``."""
     emb = embeddings(spark, sf_dir)
-    src = emb.filter(F.col("row_id") % 2 == 0) if strong else emb
-    protos = class_prototypes(src, "label", "emb")
+    # the strong view's prototypes weigh all rows otherwise: 1, 2, 3, 4 in turn
+    protos = class_prototypes(emb, "label", "emb", weight=F.col("row_id") % 4 + 1 if strong else None)
     lg = prototype_logits(emb, "emb", protos, PROTO_T)
     labelled = F.col("row_id") % 5 == 0
     cols = [

@@ -9,6 +9,7 @@ from sslspark.plans import fixtures as fx
 from sslspark.plans import sql_expr as X
 from sslspark.plans.catalog import query, r6
 from sslspark.plans.q_core import TWO_VIEWS_SQL, two_views
+from sslspark.plans.q_similarity import SCORED_EMB, feats
 from sslspark.plans.q_state import MEANP_SQL, ULB_SQL, sql_ema
 from sslspark.plans.sql_fixtures import with_ctes
 
@@ -138,3 +139,23 @@ def q_saw(spark, sf):
     u = fx.imbalanced(spark, sf).filter("role = 'unlabelled'")
     d = compose("saw", "fixmatch")(u)
     return d.groupBy("batch_id").agg(F.round(F.sum("weight"), 4).alias("total"))
+
+
+@query("policy_comatch", with_ctes("scored", "emb", extra=[
+    ("sf", SCORED_EMB), ("ulb", "SELECT * FROM sf WHERE role = 'unlabelled'"), ("mp", MEANP_SQL),
+    ("qm", "SELECT batch_id, class_id, sum(x) OVER (PARTITION BY class_id ORDER BY batch_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4.0 AS v FROM mp"),
+    ("pv", "SELECT batch_id, list(v ORDER BY class_id) AS vec FROM qm GROUP BY batch_id"),
+    ("al", f"SELECT u.row_id, u.batch_id, u.feat, {X.normalise_sum(X.zip_with('u.probs', 'pv.vec', '{x} * (0.1 + 1e-6) / ({y} + 1e-6)'))} AS p "
+           "FROM ulb u JOIN pv ON pv.batch_id = u.batch_id"),
+    ("rows_", f"SELECT row_id, batch_id, feat, p AS bp FROM al UNION ALL SELECT row_id, batch_id, feat, {X.one_hot('label_id', K)} FROM sf WHERE role = 'labelled'"),
+    ("rk", "SELECT *, row_number() OVER (ORDER BY batch_id, row_id) AS rk FROM rows_"),
+    ("up", "SELECT t.batch_id, coalesce((SELECT max(rk) FROM rk WHERE rk.batch_id < t.batch_id), 0) AS last FROM (SELECT DISTINCT batch_id FROM al) t"),
+    ("bk", "SELECT up.batch_id, list({'f': rk.feat, 'p': rk.bp} ORDER BY rk.rk DESC) AS bank FROM up JOIN rk ON rk.rk <= up.last AND rk.rk > up.last - 40 GROUP BY up.batch_id"),
+    ("aw", "SELECT al.*, " + X.softmax(X.transform("bk.bank", "list_dot_product(al.feat, {x}.f) / 0.2")) + " AS a, bk.bank FROM al LEFT JOIN bk ON bk.batch_id = al.batch_id"),
+    ("sm", "SELECT batch_id, CASE WHEN bank IS NULL THEN p ELSE list_transform(range(0, 10), lambda c: 0.9 * p[c + 1] + 0.1 * "
+           "list_sum(list_transform(list_zip(a, bank), lambda z: z[1] * z[2].p[c + 1]))) END AS q FROM aw")]) + """
+SELECT batch_id, CAST(sum(CASE WHEN list_max(q) >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked, round(avg(list_max(q)), 6) AS conf FROM sm GROUP BY batch_id""")
+def q_comatch(spark, sf):
+    f = feats(spark, sf)
+    d = apply_policy(f.filter("role = 'unlabelled'"), "comatch", f.filter("role = 'labelled'"), p_cutoff=0.6, da_len=4, queue_rows=40)
+    return d.groupBy("batch_id").agg(F.sum(F.col("mask").cast("long")).alias("n_masked"), r6(F.avg(F.array_max("probs")), "conf"))

@@ -236,3 +236,55 @@ def q_job12(spark, sf):
         F.struct(F.lit("pimodel").alias("policy"), F.col("u_pi").alias("unsup")))).alias("x")).select("batch_id", "sup", "x.*")
     total = F.col("sup") + F.lit(1.0) * A.ramp(F.col("batch_id"), 4) * F.col("unsup")
     return g.select("batch_id", "policy", r6("sup", "sup_loss"), r6("unsup", "unsup_loss"), r6(total, "total_loss"))
+
+
+# --- state as of each batch ------------------------------------------------------------------------
+
+FIFO = 5
+
+
+@query("win11_fifo_prototypes", with_ctes("scored", "emb", extra=[
+    ("r", "SELECT s.label_true AS label, s.batch_id, s.row_id, e.emb, row_number() OVER (PARTITION BY s.label_true ORDER BY s.batch_id, s.row_id) AS rk "
+          "FROM scored s JOIN emb e ON e.row_id = s.row_id"),
+    ("t", "SELECT label, batch_id, max(rk) AS last FROM r GROUP BY label, batch_id"),
+    ("m", f"SELECT t.label, t.batch_id, pos, count(*) AS n, avg(v) AS v FROM t JOIN (SELECT label, rk, unnest(range(1, len(emb) + 1)) AS pos, unnest(emb) AS v FROM r) x "
+          f"ON x.label = t.label AND x.rk <= t.last AND x.rk > t.last - {FIFO} GROUP BY t.label, t.batch_id, pos")]) + """
+SELECT label, batch_id, CAST(max(n) AS BIGINT) AS n, round(sum(v), 6) AS total, round(max(v), 6) AS top FROM m GROUP BY label, batch_id""")
+def q_win11(spark, sf):
+    s = fx.scored(spark, sf, keep_emb=True).withColumnRenamed("label_true", "label")
+    d = S.fifo_prototypes(s, "label", "emb", FIFO)
+    return d.select("label", "batch_id", F.col("n").cast("long").alias("n"), r6(A.asum("proto"), "total"), r6(F.array_max("proto"), "top"))
+
+
+def bank_rows(f: DataFrame) -> DataFrame:
+    return f.select("row_id", "batch_id", "feat", F.when(F.col("role") == "labelled", A.one_hot("label_id", K)).otherwise(F.col("probs")).alias("bp"))
+
+
+RANKED_SQL = (f"SELECT row_id, batch_id, feat, CASE WHEN role = 'labelled' THEN {X.one_hot('label_id', K)} ELSE probs END AS bp, "
+              "row_number() OVER (ORDER BY batch_id, row_id) AS rk FROM sf")
+AS_OF_SQL = [("sf", SCORED_EMB), ("rk", RANKED_SQL),
+             ("up", "SELECT t.batch_id, coalesce((SELECT max(rk) FROM rk WHERE rk.batch_id < t.batch_id), 0) AS last FROM (SELECT DISTINCT batch_id FROM sf) t"),
+             ("bk", f"SELECT up.batch_id, list({{'f': rk.feat, 'p': rk.bp}} ORDER BY rk.rk DESC) AS bank FROM up JOIN rk ON rk.rk <= up.last AND rk.rk > up.last - {L} "
+                    "GROUP BY up.batch_id"),
+             ("aw", "SELECT sf.*, " + X.softmax(X.transform("bk.bank", "list_dot_product(sf.feat, {x}.f) / 0.1"))
+                    + " AS a, bk.bank FROM sf LEFT JOIN bk ON bk.batch_id = sf.batch_id")]
+
+
+@query("win16_bank_as_of_batch", with_ctes("scored", "emb", extra=AS_OF_SQL) + """
+SELECT sf.batch_id, CAST(coalesce(any_value(len(bk.bank)), 0) AS BIGINT) AS n,
+       round(coalesce(any_value(list_sum(list_transform(bk.bank, lambda b: list_max(b.p)))), 0), 6) AS top
+FROM sf LEFT JOIN bk ON bk.batch_id = sf.batch_id GROUP BY sf.batch_id""")
+def q_win16_as_of(spark, sf):
+    f = feats(spark, sf)
+    d = S.ring_bank_as_of(f.select("row_id", "batch_id"), bank_rows(f), L, ["bp"])
+    top = F.aggregate("_bank", F.lit(0.0), lambda a, b: a + F.array_max(b["bp"]))
+    return d.groupBy("batch_id").agg(F.max(F.size("_bank")).cast("long").alias("n"), r6(F.max(top), "top"))
+
+
+@query("joi8_smooth_as_of_batch", with_ctes("scored", "emb", extra=AS_OF_SQL + [(
+    "sm", "SELECT batch_id, CASE WHEN bank IS NULL THEN probs ELSE list_transform(range(0, 10), lambda c: 0.9 * probs[c + 1] + 0.1 * "
+          "list_sum(list_transform(list_zip(a, bank), lambda z: z[1] * z[2].p[c + 1]))) END AS q FROM aw")])
+       + sql_long_avg("sm", ["batch_id"], "q", "p_mean"))
+def q_joi8_as_of(spark, sf):
+    f = feats(spark, sf)
+    return long_avg(S.smooth_with_bank(f, bank_rows(f), L, K, 0.1, 0.9), ["batch_id"], "p_smooth", "p_mean")

@@ -222,6 +222,30 @@ def q_thr5(spark, sf):
         r6(F.max(F.array_max("p_model")), "p_model_max"), r6(F.max(F.array_max("label_hist")), "label_hist_max"))
 
 
+@query("win10_clamped_ema", with_ctes("scored", extra=[
+    ("ulb", ULB_SQL), ("mp", MEANP_SQL),
+    ("e", "SELECT CAST(c AS INTEGER) AS class_id, CAST(-1 AS BIGINT) AS batch_id, CAST(0.1 AS DOUBLE) AS v FROM range(0, 10) t(c) UNION ALL "
+          "SELECT e.class_id, m.batch_id, least(greatest(0.5 * e.v + 0.5 * m.x, 0.09), 0.11) FROM e JOIN mp m ON m.batch_id = e.batch_id + 1 AND m.class_id = e.class_id"),
+], recursive=True) + "SELECT class_id, batch_id, round(v, 6) AS v FROM e WHERE batch_id >= 0")
+def q_win10_clamped(spark, sf):
+    mp = aggs.mean_probs_by_batch(ulb(spark, sf), out="x").withColumn("b", 0.5 * F.col("x"))
+    return state.clamped_scan(mp, ["class_id"], "batch_id", "b", 0.5, 0.09, 0.11, 0.1, chunk=3).select("class_id", "batch_id", r6("v"))
+
+
+@query("thr5_freematch_quantile_clip", with_ctes("scored", extra=[
+    *[(n, b) for n, b in FREE_EXTRA if n in ("ulb", "mp", "d", "pm")],
+    ("bs", "SELECT batch_id, quantile_cont(conf, 0.8) AS x FROM d GROUP BY batch_id"),
+    ("tp", "SELECT CAST(-1 AS BIGINT) AS batch_id, CAST(0.1 AS DOUBLE) AS v UNION ALL "
+           "SELECT bs.batch_id, least(greatest(0.2 * tp.v + 0.8 * bs.x, 0.0), 0.95) FROM tp JOIN bs ON bs.batch_id = tp.batch_id + 1"),
+    ("pm2", sql_ema("mp", ["class_id"], 0.2, 0.1)),
+    ("pv", "SELECT batch_id, list(v ORDER BY class_id) AS p FROM pm2 GROUP BY batch_id")], recursive=True) + """
+SELECT d.batch_id, round(any_value(tp.v), 6) AS time_p, CAST(sum(CASE WHEN d.conf >= tp.v * pv.p[d.pl + 1] / list_max(pv.p) THEN 1 ELSE 0 END) AS BIGINT) AS n_masked
+FROM d JOIN tp ON tp.batch_id = d.batch_id JOIN pv ON pv.batch_id = d.batch_id GROUP BY d.batch_id""")
+def q_thr5_quantile_clip(spark, sf):
+    m = adaptive.freematch_mask(ulb(spark, sf), K=K, m=0.2, use_quantile=True, clip=True)
+    return m.groupBy("batch_id").agg(r6(F.first("time_p"), "time_p"), F.sum(F.col("mask").cast("long")).alias("n_masked"))
+
+
 @query("thr17_fairness_entropy", with_ctes("scored", "scored_strong", extra=FREE_EXTRA)[:-1] + f""",
 fs AS (SELECT fm.*, s.probs AS probs_s FROM fm JOIN scored_strong s ON s.row_id = fm.row_id WHERE fm.mask > 0),
 hs AS (SELECT g.batch_id, c.class_id, count(x.pls) AS cnt, any_value(g.n) AS n FROM

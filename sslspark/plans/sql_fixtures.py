@@ -29,8 +29,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           SELECT label, unnest(range(1, len(emb) + 1)) AS pos, unnest(emb) AS v FROM emb) GROUP BY label, pos)
         GROUP BY label"""),
     "protos_strong": (("emb",), """SELECT label, list(v ORDER BY pos) AS proto FROM (
-        SELECT label, pos, avg(v) AS v FROM (
-          SELECT label, unnest(range(1, len(emb) + 1)) AS pos, unnest(emb) AS v FROM emb WHERE row_id % 2 = 0)
+        SELECT label, pos, sum(v * w) / sum(w) AS v FROM (
+          SELECT label, row_id % 4 + 1 AS w, unnest(range(1, len(emb) + 1)) AS pos, unnest(emb) AS v FROM emb)
           GROUP BY label, pos)
         GROUP BY label"""),
     "scored": (("emb", "protos"), f"""SELECT row_id, batch_id, label_true, role, label_id, logits,

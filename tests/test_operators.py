@@ -309,3 +309,75 @@ def test_crmatch_has_its_repulsion(spark):
     got = {r["row_id"]: r for r in registry.apply_policy(df, "crmatch").collect()}
     assert abs(got[1]["repulsion_loss"] - 0.5 ** 0.5) < 1e-9 and got[2]["repulsion_loss"] == 0 and got[3]["repulsion_loss"] == 0
     assert abs(got[1]["unsup_loss"] - math.log1p(math.exp(-3.0))) < 1e-9 and got[3]["unsup_loss"] == 0
+
+
+# --- state as of each batch, clamped scans, exact quantiles: against plain loops -------------------
+
+def test_clamped_scan_matches_a_loop(spark):
+    import random
+
+    from sslspark.operators import state
+    r = random.Random(1)
+    rows = [(k, 3 * t + 5, r.uniform(-1, 1)) for k in range(3) for t in range(50)]
+    df = spark.createDataFrame(rows, "k int, t long, b double")
+    got = {(x["k"], x["t"]): x["v"] for x in state.clamped_scan(df, ["k"], "t", "b", 0.8, -0.5, 0.6, 0.1, chunk=4).collect()}
+    for k in range(3):
+        v = 0.1
+        for kk, t, b in rows:
+            if kk == k:
+                v = min(max(0.8 * v + b, -0.5), 0.6)
+                assert abs(got[k, t] - v) < 1e-12
+
+
+def test_exact_quantile_in_rounds(spark):
+    import random
+
+    import numpy as np
+
+    from sslspark.operators import aggs
+    r = random.Random(1)
+    rows = [(g, x) for g in "ab" for x in (r.choice([0.5, r.random() ** 9]) for _ in range(3000))]
+    rows += [("c", None), ("c", float("nan")), ("d", -1e300), ("d", 1e300), ("e", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {x["g"]: x["quantile"] for x in aggs.exact_quantile(df, "x", ["g"], 0.8, slots=7, small=10).collect()}
+    for g in "abde":
+        want = np.quantile([x for k, x in rows if k == g], 0.8)
+        assert abs(got[g] - want) <= 1e-9 * max(1.0, abs(want))
+    assert got["c"] is None and len(got) == 5
+    whole = aggs.exact_quantile(df.filter("g IN ('a', 'b')"), "x", [], 0.3, slots=7, small=10).first()["quantile"]
+    assert abs(whole - np.quantile([x for k, x in rows if k in "ab"], 0.3)) < 1e-12
+    assert aggs.exact_quantile(df.limit(0), "x", ["g"], 0.5).count() == 0
+
+
+def test_banks_and_prototypes_as_of_each_batch(spark):
+    import random
+
+    import numpy as np
+
+    from sslspark.operators import similarity as S
+    r = random.Random(1)
+    rows = [(r.randint(0, 2), [r.random(), r.random()], b, 100 * b + i) for b in (0, 1, 4, 5, 9) for i in range(r.randint(1, 7))]
+    df = spark.createDataFrame(rows, "label int, emb array<double>, batch_id long, row_id long")
+    newest = sorted(rows, key=lambda x: (x[2], x[3]), reverse=True)
+    for L in (1, 3, 50):
+        got = {(x["label"], x["batch_id"]): x for x in S.fifo_prototypes(df, "label", "emb", L).collect()}
+        want = {(x[0], x[2]): [y[1] for y in newest if y[0] == x[0] and y[2] <= x[2]][:L] for x in rows}
+        assert set(got) == set(want)
+        assert all(got[k]["n"] == len(v) and np.allclose(got[k]["proto"], np.mean(v, 0)) for k, v in want.items())
+        asked = spark.createDataFrame([(b,) for b in (0, 1, 2, 4, 7, 9, 12)], "batch_id long")
+        for x in S.ring_bank_as_of(asked, df, L, ["row_id"]).collect():
+            assert [y["row_id"] for y in x["_bank"]] == [y[3] for y in newest if y[2] < x["batch_id"]][:L]
+
+
+def test_freematch_clip_matches_the_loop(spark):
+    from pyspark.sql import functions as F
+
+    from sslspark.operators.registry import apply_policy
+    rows = [(b, 10 * b + i, [p, 1 - p]) for b in range(6) for i, p in enumerate((0.9 + 0.02 * b, 0.99, 0.97))]
+    df = spark.createDataFrame([(b, k, p, p) for b, k, p in rows], "batch_id long, row_id long, probs array<double>, logits array<double>")
+    got = {x["batch_id"]: x["t"] for x in apply_policy(df, "freematch", num_classes=2, ema_p=0.1, clip_thresh=True)
+           .groupBy("batch_id").agg(F.max("time_p").alias("t")).collect()}
+    v = 0.5
+    for b in range(6):
+        v = min(max(0.1 * v + 0.9 * sum(max(p) for x, _, p in rows if x == b) / 3, 0.0), 0.95)
+        assert abs(got[b] - v) < 1e-12
