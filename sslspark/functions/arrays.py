@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sslspark.functions.keys import hash_beta
+
 __all__ = [
     "let", "col_of", "asum", "dot", "l2_norm", "l2_normalise", "cosine", "softmax", "log_softmax",
     "confidence", "argmax", "sharpen", "average_views", "one_hot", "smooth_label", "align",
@@ -211,6 +213,15 @@ def mixup(a, b, lam) -> Column:
     return F.zip_with(col_of(a), col_of(b), lambda x, y: lam * x + (1 - lam) * y)
 
 
+def mixup_beta(a, b, id_col, seed, alpha: float) -> Column:
+    """FN15 with its draw: lam ~ Beta(alpha, alpha), the larger of lam and
+    1 - lam, so that ``a`` weighs more; alpha 0 keeps ``a``."""
+    if alpha == 0:
+        return col_of(a)
+    lam = hash_beta(id_col, seed, alpha)
+    return let(F.greatest(lam, 1 - lam), lambda l: mixup(a, b, l))
+
+
 def tsa_threshold(schedule: str, progress, K: int) -> Column:
     """FN17: training-signal-annealing threshold for progress t/T in [0,1]."""
     t = progress if isinstance(progress, Column) else F.lit(float(progress))

@@ -133,23 +133,20 @@ def freematch_mask(df: DataFrame, batch_col: str = "batch_id", probs_col: str =
     ``clip`` keeps time_p in [0, 0.95] after every update.
     """
     d = df.withColumns({"_conf": confidence(probs_col), "_pl": argmax(probs_col)})
-    g_stats = d.groupBy(batch_col).agg(F.avg("_conf").alias("x"), F.count(F.lit(1)).alias("_n"))
-    if use_quantile:
-        g_stats = g_stats.drop("x").join(exact_quantile(d, "_conf", [batch_col], 0.8, "x"), batch_col)
-    g_stats = cut_lineage(g_stats)
-    g = g_stats.withColumn("_k", F.lit(0))
+    # one pass over the rows gives all B x K statistics
+    each = F.posexplode(probs_col).alias("class_id", "_p")
+    grid = cut_lineage(d.select(batch_col, "_conf", "_pl", each).groupBy(batch_col, F.col("class_id").cast("int").alias("class_id")).agg(
+        F.avg("_p").alias("x"), F.avg((F.col("_pl") == F.col("class_id")).cast("double")).alias("_h"), F.avg("_conf").alias("_x")))
+    pm = ema(grid.select(batch_col, "class_id", "x"), ["class_id"], batch_col, "x", m, 1.0 / K, "p_model")
+    lh = ema(grid.select(batch_col, "class_id", F.col("_h").alias("x")), ["class_id"], batch_col, "x", m, 1.0 / K, "label_hist")
+    g = exact_quantile(d, "_conf", [batch_col], 0.8, "x") if use_quantile else grid.where("class_id = 0").select(batch_col, F.col("_x").alias("x"))
+    g = g.withColumn("_k", F.lit(0))
     tp = (clamped_scan(g.withColumn("_b", F.lit(1.0 - m) * F.col("x")), ["_k"], batch_col, "_b", m, 0.0, 0.95, 1.0 / K, "time_p") if clip
           else ema(g, ["_k"], batch_col, "x", m, 1.0 / K, "time_p"))
-    pm = ema(mean_probs_by_batch(d, probs_col, batch_col, "x"), ["class_id"], batch_col, "x", m, 1.0 / K, "p_model")
-    hist = d.groupBy(batch_col, F.col("_pl").alias("class_id")).agg(F.count(F.lit(1)).alias("_c"))
-    hg = (batch_class_grid(d, batch_col, K).join(hist, [batch_col, "class_id"], "left")
-          .join(g_stats.select(batch_col, "_n"), batch_col)
-          .withColumn("x", F.coalesce("_c", F.lit(0)) / F.col("_n")))
-    lh = ema(hg, ["class_id"], batch_col, "x", m, 1.0 / K, "label_hist")
     st = (_state_vec(pm, batch_col, "p_model", "p_model")
           .join(_state_vec(lh, batch_col, "label_hist", "label_hist"), batch_col)
           .join(tp.select(batch_col, "time_p"), batch_col))
-    j = d.join(st, batch_col, "left")
+    j = d.join(cut_lineage(st), batch_col, "left")
     mod = element("p_model", "_pl") / F.array_max("p_model")
     return (j.withColumn(out, (F.col("_conf") >= F.col("time_p") * mod).cast("double"))
             .drop("_conf", "_pl"))
@@ -272,16 +269,12 @@ def fairness_entropy(df: DataFrame, batch_col: str = "batch_id", probs_s_col: st
     Batches without masked rows yield no row.
     """
     d = df.filter(F.col(mask_col) > 0)
-    mp = mean_probs_by_batch(d, probs_s_col, batch_col, "_mp")
-    h = d.groupBy(batch_col, argmax(probs_s_col).alias("class_id")).agg(F.count(F.lit(1)).alias("_c"))
-    n = d.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_n"))
-    # batch state (one K-vector pair per batch), long form
-    st = d.groupBy(batch_col).agg(F.first(p_model_col).alias("_pm"), F.first(label_hist_col).alias("_lh"))
-    st = st.select(batch_col, F.posexplode(F.arrays_zip("_pm", "_lh")).alias("class_id", "_z")).select(
-        batch_col, F.col("class_id").cast("int").alias("class_id"), F.col("_z._pm").alias("_pm"),
-        F.col("_z._lh").alias("_lh"))
-    g = (mp.join(st, [batch_col, "class_id"]).join(n, batch_col)
-         .join(h, [batch_col, "class_id"], "left").withColumn("_c", F.coalesce("_c", F.lit(0))))
+    # one pass over the masked rows: B x K sums with the batch's state beside them
+    rows = d.select(batch_col, argmax(probs_s_col).alias("_pl"), F.posexplode(F.arrays_zip(
+        F.col(probs_s_col).alias("p"), F.col(p_model_col).alias("m"), F.col(label_hist_col).alias("h"))).alias("class_id", "_z"))
+    g = cut_lineage(rows.groupBy(batch_col, F.col("class_id").cast("int").alias("class_id")).agg(
+        F.avg("_z.p").alias("_mp"), F.sum((F.col("_pl") == F.col("class_id")).cast("long")).alias("_c"), F.count(F.lit(1)).alias("_n"),
+        F.first("_z.m").alias("_pm"), F.first("_z.h").alias("_lh")))
     wb = Window.partitionBy(batch_col)
     inv = lambda c: F.when(c == 0, F.lit(0.0)).otherwise(F.lit(1.0) / c)
     g = g.withColumn("_hs", F.col("_c") / F.col("_n"))

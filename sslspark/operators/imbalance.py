@@ -9,13 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sslspark.functions.arrays import argmax, confidence, element, sharpen
-from sslspark.functions.keys import hash_u
+from sslspark.functions.keys import hash_beta, hash_u
 from sslspark.operators.split import rank_select
 
 __all__ = ["crest_quota", "top_confident_per_class", "top_k_mass_per_class", "blend_pseudo_label",
@@ -173,15 +171,6 @@ def refine_to_target(df: DataFrame, target: Sequence[float], id_col: str = "row_
     return res, nu
 
 
-def _beta_udf(alpha: float, seed: int):
-    @F.pandas_udf("double")
-    def beta(cls: pd.Series, rank: pd.Series) -> pd.Series:
-        # one generator per slot, seeded by (seed, class, rank): partition-independent
-        return pd.Series([np.random.default_rng([seed, int(c), int(r)]).beta(alpha, alpha)
-                          for c, r in zip(cls, rank)], dtype="float64")
-    return beta
-
-
 def tail_feature_synthesis(lb: DataFrame, ulb: DataFrame, K: int, id_col: str = "row_id", feat_col: str = "feat",
                            label_col: str = "label_id", probs_col: str = "probs", seed: int = 0,
                            alpha: float = 0.75) -> DataFrame:
@@ -192,10 +181,9 @@ def tail_feature_synthesis(lb: DataFrame, ulb: DataFrame, K: int, id_col: str =
     and all unlabelled rows by p_c (the j-th synthetic row uses the j-th
     donor).  Members: drawn with replacement from class c by a hashed index
     into the class's exact rank.  Both ranks come from the bucketed
-    ``rank_select``; lam comes from a seeded Arrow UDF (per slot).
+    ``rank_select``; lam is a hashed draw of the slot (``hash_beta``).
     Output: labelled rows plus synthetic rows, ``(id, feat, label, synthetic)``.
     """
-    from sslspark.functions.keys import hash_u
     counts = lb.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     cls = lb.sparkSession.range(K).select(F.col("id").cast("int").alias("class_id"))
     plan = (F.broadcast(cls).join(counts.withColumnRenamed(label_col, "class_id"), "class_id", "left")
@@ -218,7 +206,7 @@ def tail_feature_synthesis(lb: DataFrame, ulb: DataFrame, K: int, id_col: str =
     slots = slots.withColumn("m_rank", (F.floor(hash_u(F.concat_ws(":", "class_id", "slot"), seed + 2) * F.col("n_c"))
                                         + 1).cast("long"))
     slots = slots.join(members.select("class_id", "m_rank", F.col(feat_col).alias("x_member")), ["class_id", "m_rank"])
-    slots = slots.withColumn("lam", _beta_udf(alpha, seed)(F.col("class_id"), F.col("slot")))
+    slots = slots.withColumn("lam", hash_beta(F.concat_ws(":", "class_id", "slot"), seed + 3, alpha))
     synth = slots.select(
         F.concat_ws(":", F.lit("syn"), "class_id", "slot").alias(id_col),
         F.zip_with("x_member", "x_donor", lambda a, b: F.col("lam") * a + (F.lit(1.0) - F.col("lam")) * b).alias(feat_col),

@@ -280,13 +280,31 @@ def q_fn16(spark, sf):
             .agg(r6(F.avg("v"), "p_mean"), F.sum(F.col("mixed").cast("long")).alias("n_mixed")))
 
 
-@query("thr19_tail_feature_synthesis")
+SYN_KEY = "concat_ws(':', d.class_id, d.slot)"
+
+
+@query("thr19_tail_feature_synthesis", with_ctes("imbalanced", "emb", extra=[
+    ("im", "SELECT i.*, e.emb FROM imbalanced i JOIN emb e ON e.row_id = i.row_id"),
+    ("lb", "SELECT * FROM im WHERE role = 'labelled'"),
+    ("nc", f"SELECT CAST(c AS INTEGER) AS class_id, (SELECT count(*) FROM lb WHERE label_id = c) AS n_c FROM range(0, {K}) t(c)"),
+    ("pl", "SELECT *, (SELECT max(n_c) FROM nc) - n_c AS aug FROM nc"),
+    ("lg", f"SELECT row_id, emb, CASE WHEN role = 'labelled' THEN label_id END AS own, {X.long_of('probs')} FROM im"),
+    ("dn", "SELECT lg.emb AS x_donor, pl.class_id, pl.n_c, pl.aug, row_number() OVER (PARTITION BY pl.class_id ORDER BY lg.v DESC, lg.row_id) AS slot "
+           "FROM lg JOIN pl ON pl.class_id = lg.class_id WHERE lg.own IS DISTINCT FROM lg.class_id AND pl.aug > 0 AND pl.n_c > 0"),
+    ("mb", "SELECT label_id AS class_id, emb AS x_member, row_number() OVER (PARTITION BY label_id ORDER BY md5(concat_ws(':', row_id, 4)), row_id) AS m_rank FROM lb"),
+    ("sl", f"SELECT d.*, {X.hash_beta(SYN_KEY, 6, 0.75)} AS lam, "
+           f"CAST(floor((('0x' || substr(md5(concat_ws(':', {SYN_KEY}, 5)), 1, 8))::BIGINT / 4294967296.0) * d.n_c) + 1 AS BIGINT) AS m_rank FROM dn d WHERE d.slot <= d.aug"),
+    ("sy", "SELECT sl.class_id AS label_id, sl.lam, " + X.zip_with("mb.x_member", "sl.x_donor", "sl.lam * {x} + (1 - sl.lam) * {y}")
+           + " AS feat FROM sl JOIN mb ON mb.class_id = sl.class_id AND mb.m_rank = sl.m_rank"),
+    ("al", "SELECT label_id, emb AS feat, NULL AS lam, 0 AS syn FROM lb UNION ALL SELECT label_id, feat, lam, 1 FROM sy")]) + """
+SELECT label_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(syn) AS BIGINT) AS n_synthetic, round(min(lam), 6) AS lam_min, round(max(lam), 6) AS lam_max,
+       round(avg(list_sum(feat)), 6) AS feat_mean FROM al GROUP BY label_id""")
 def q_thr19(spark, sf):
     """CoSSL feature synthesis on the long-tailed fixture: rows per class after
-    synthesis (all equal n_max) and the lam range; rows-only check."""
+    synthesis (all equal n_max), the lam range and the mean feature sum."""
     imb = fx.imbalanced(spark, sf, keep_emb=True)
     lb = imb.filter("role = 'labelled'").select("row_id", F.col("emb").alias("feat"), "probs", "label_id")
     ulb = imb.filter("role = 'unlabelled'").select("row_id", F.col("emb").alias("feat"), "probs")
     out = imbalance.tail_feature_synthesis(lb, ulb, K, seed=3)
     return out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("synthetic").cast("long")).alias("n_synthetic"),
-                                       r6(F.min("lam"), "lam_min"), r6(F.max("lam"), "lam_max"))
+                                       r6(F.min("lam"), "lam_min"), r6(F.max("lam"), "lam_max"), r6(F.avg(A.asum("feat")), "feat_mean"))

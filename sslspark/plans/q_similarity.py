@@ -151,6 +151,18 @@ def q_fn15(spark, sf):
     return long_avg(p, ["batch_id"], A.mixup("probs", "probs_b", 0.7), "p_mean")
 
 
+@query("fn15_mixup_beta", with_ctes("scored", extra=[("pp", PART_SQL), (
+    "lm", "SELECT *, " + X.hash_beta("row_id", 23, 0.75) + " AS b FROM pp"), (
+    "mx", "SELECT lm.batch_id, greatest(lm.b, 1 - lm.b) AS lam, " + X.zip_with("a.probs", "b.probs", "greatest(lm.b, 1 - lm.b) * {x} + (1 - greatest(lm.b, 1 - lm.b)) * {y}")
+          + " AS q FROM lm JOIN scored a ON a.row_id = lm.row_id JOIN scored b ON b.row_id = lm.partner_id")])
+       + sql_long_avg("mx", ["batch_id"], "q", "p_mean"))
+def q_fn15_beta(spark, sf):
+    s = fx.scored(spark, sf)
+    p = S.random_partner(s.select("row_id", "batch_id", "probs"), "row_id", "batch_id", 21, 22)
+    p = p.join(s.select(F.col("row_id").alias("partner_id"), F.col("probs").alias("probs_b")), "partner_id")
+    return long_avg(p, ["batch_id"], A.mixup_beta("probs", "probs_b", "row_id", 23, 0.75), "p_mean")
+
+
 @query("fn21_cosine_repulsion", with_ctes("scored", "emb", "protos", extra=[("sf", SCORED_EMB)]) + f"""
 SELECT sf.batch_id, round(avg(greatest({X.cosine('sf.feat', 'p.proto')}, 0.0)
        * CASE WHEN list_max(sf.probs) >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS loss

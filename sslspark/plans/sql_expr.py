@@ -103,3 +103,12 @@ def smooth_label(label: str, K: int, eps: float) -> str:
 def long_of(arr: str) -> str:
     """select-list fragment: class_id, value from an array (unnest pair)."""
     return f"CAST(generate_subscripts({arr}, 1) - 1 AS INTEGER) AS class_id, unnest({arr}) AS v"
+
+
+def hash_beta(key: str, seed, alpha: float) -> str:
+    """Twin of ``functions.keys.hash_beta`` (alpha up to 1)."""
+    from sslspark.functions.keys import BETA_TRIES
+    t, x = _v("t"), _v("x")
+    u = [f"pow((('0x' || substr(md5(concat_ws(':', {key}, {seed}, {t}, {part})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0, {1 / alpha!r})" for part in (0, 1)]
+    tries = f"list_transform(range(0, {BETA_TRIES}), lambda {t}: CASE WHEN {u[0]} + {u[1]} <= 1 THEN {u[0]} / ({u[0]} + {u[1]}) END)"
+    return f"coalesce(list_filter({tries}, lambda {x}: {x} IS NOT NULL)[1], 0.5)"
