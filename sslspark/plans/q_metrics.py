@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sslspark.operators import encode, metrics, policies
+from sslspark.plans import corpus_jobs
 from sslspark.plans import fixtures as fx
 from sslspark.plans import sql_expr as X
 from sslspark.plans.catalog import query, r6
+from sslspark.plans.q_sources import scratch
 from sslspark.plans.sql_fixtures import with_ctes
 
 
@@ -95,13 +97,18 @@ SELECT truth_name, pred_name, mismatch, CAST(count(*) AS BIGINT) AS n FROM (
          ['c0','c1','c2','c3','c4','c5','c6','c7','c8','c9'][pred + 1] AS pred_name,
          truth IS DISTINCT FROM pred AS mismatch FROM p) GROUP BY ALL""")
 def q_job6(spark, sf):
-    """JOB6 row part: decode truth / prediction (PRJ3), flag mismatches (PRJ11)."""
-    names = [f"c{i}" for i in range(fx.K_SCORED)]
-    p = preds(spark, sf)
-    d = p.select(encode.decode_label("truth", names).alias("truth_name"),
-                 encode.decode_label("pred", names).alias("pred_name"),
-                 encode.flag_mismatch("truth", "pred").alias("mismatch"))
-    return d.groupBy("truth_name", "pred_name", "mismatch").agg(F.count(F.lit(1)).alias("n"))
+    """JOB6 with its sinks: the rows, decoded and flagged, as written."""
+    run = corpus_jobs.evaluate_run(preds(spark, sf), [f"c{i}" for i in range(fx.K_SCORED)], sink=scratch(spark, "run"))
+    return run.predictions.groupBy("truth_name", "pred_name", "mismatch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("job6_evaluate_run_summary", with_ctes("scored", extra=[("p", P_SQL)]) + """
+SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       (SELECT round(avg(r), 6) FROM (SELECT avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END) AS r FROM p GROUP BY truth)) AS balanced_accuracy
+FROM p""")
+def q_job6_summary(spark, sf):
+    run = corpus_jobs.evaluate_run(preds(spark, sf), [f"c{i}" for i in range(fx.K_SCORED)], sink=scratch(spark, "run"))
+    return run.summary.select(r6("accuracy"), r6("balanced_accuracy"))
 
 
 @query("win14_best_so_far", with_ctes("rounds") + """

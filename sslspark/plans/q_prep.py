@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from sslspark.constants import OOD, UNLABELLED
 from sslspark.functions import arrays as A
 from sslspark.operators import aggs, encode, lookup, policies, split
+from sslspark.plans import corpus_jobs
 from sslspark.plans import fixtures as fx
 from sslspark.plans import sql_expr as X
 from sslspark.plans.catalog import query, r6
+from sslspark.plans.q_sources import scratch
 from sslspark.plans.sql_fixtures import _in, _lst, with_ctes
 
 K = fx.K_SCORED
@@ -239,16 +241,8 @@ UNION ALL SELECT split, task, 'ood', CAST(count(*) FILTER (WHERE label_id = -100
 UNION ALL SELECT split, task, 'total-lb', CAST(count(*) FILTER (WHERE label_id >= 0) AS BIGINT) FROM lng GROUP BY ALL
 UNION ALL SELECT split, task, 'total-ulb', CAST(count(*) FILTER (WHERE label_id IS NULL) AS BIGINT) FROM lng GROUP BY ALL""")
 def q_job1(spark, sf):
-    """JOB1: PRJ5 -> PRJ6 -> WIN1 -> JOI2 -> AGG3 (per split label report)."""
-    s = contexts_split(spark, sf)
-    e = encode.encode_labels(s, SP)
-    lng = e.unpivot(["split"], TASKS, "task", "label_id").withColumn("task", F.concat_ws("|", "split", "task"))
-    vocab = encode.label_vocab(spark, SP)
-    vocab = vocab.select(F.explode(F.array(F.lit("test"), F.lit("train"))).alias("split"), "*").select(
-        F.concat_ws("|", "split", "task").alias("task"), "label", "label_id")
-    rep = aggs.label_report(lng, vocab)
-    parts = F.split("task", r"\|")
-    return rep.select(parts[0].alias("split"), parts[1].alias("task"), "label", "n")
+    """JOB1 with its sinks: the reports read the tables written."""
+    return corpus_jobs.prepare_corpus(fx.contexts(spark, sf), SP, sink=scratch(spark, "prepared")).report
 
 
 @query("agg3_label_report", with_ctes("contexts", extra=[("c", CONTEXTS_OOD_SQL), (
@@ -272,13 +266,20 @@ SELECT role, CAST(count(*) AS BIGINT) AS n, CAST(sum(lab) AS BIGINT) AS label_su
   LATERAL (SELECT CASE WHEN lab >= 0 THEN 'labelled' WHEN lab = -100 THEN 'ood' ELSE 'unlabelled' END AS role)
 GROUP BY role""")
 def q_job2(spark, sf):
-    c = encode.null_out_of_space(encode.in_label_space(fx.contexts(spark, sf), SP), SP)
-    e = c.withColumn("lab", encode.encode_label("cell_line", SP["cell_line"]))
-    e = encode.fill_sentinel(e, ["lab"])
-    e = encode.assign_role(encode.validate(e, ["text", "lab"]), "lab")
+    e = corpus_jobs.build_ssl_tables(fx.contexts(spark, sf), SP, "cell_line", sink=scratch(spark, "ssl"))
     return e.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("lab").cast("long").alias("label_sum"))
 
 
+@query("job2_multi_task_tables", with_ctes("contexts_in_space") + f"""
+SELECT role, CAST(count(*) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS cell_sum, CAST(sum(b) AS BIGINT) AS organ_sum FROM (
+  SELECT a, b, CASE WHEN a = -100 OR b = -100 THEN 'ood' WHEN a = -200 OR b = -200 THEN 'unlabelled' ELSE 'labelled' END AS role FROM (
+    SELECT CAST(coalesce({_sql_encode('cell_line')}, -200) AS INTEGER) AS a, CAST(coalesce({_sql_encode('organ')}, -200) AS INTEGER) AS b
+    FROM contexts_in_space)) GROUP BY role""")
+def q_job2_multi(spark, sf):
+    e = corpus_jobs.build_ssl_tables(fx.contexts(spark, sf), SP, ["cell_line", "organ"], sink=scratch(spark, "ssl"))
+    return e.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("cell_line").cast("long").alias("cell_sum"), F.sum("organ").cast("long").alias("organ_sum"))
+
+
 # --- JOB3: OOD annotation over several tasks in one pass ------------------------------------
 
 @query("job3_annotate_ood", with_ctes("scored", "scored_strong", extra=[(
@@ -293,15 +294,12 @@ UNION ALL SELECT task, 'ood', CAST(count(*) FILTER (WHERE label_id = -100) AS BI
 UNION ALL SELECT task, 'total-lb', CAST(count(*) FILTER (WHERE label_id >= 0) AS BIGINT) FROM ann GROUP BY task
 UNION ALL SELECT task, 'total-ulb', CAST(count(*) FILTER (WHERE label_id = -200) AS BIGINT) FROM ann GROUP BY task""")
 def q_job3(spark, sf):
-    w = fx.scored(spark, sf).select(F.lit("weak").alias("task"), "row_id", "label_id", "probs")
-    s = fx.scored(spark, sf, strong=True).select(
-        F.lit("strong").alias("task"), "row_id",
-        F.when(F.col("row_id") % 10 == 0, F.col("label_true")).otherwise(F.lit(UNLABELLED)).cast("int").alias("label_id"),
-        "probs")
-    ann = policies.ood_by_confidence_long(w.unionByName(s), tau=0.9)
+    weak, strong = fx.scored(spark, sf), fx.scored(spark, sf, strong=True)
+    corpus = weak.select("row_id", F.col("label_id").alias("weak"),
+                         F.when(F.col("row_id") % 10 == 0, F.col("label_true")).otherwise(F.lit(UNLABELLED)).cast("int").alias("strong"))
     vocab = spark.range(K).select(F.explode(F.array(F.lit("weak"), F.lit("strong"))).alias("task"),
                                   F.col("id").cast("string").alias("label"), F.col("id").cast("int").alias("label_id"))
-    return aggs.label_report(ann, vocab)
+    return corpus_jobs.annotate_ood(corpus, {"weak": weak, "strong": strong}, vocab, tau=0.9, sink=scratch(spark, "ood")).after
 
 
 # --- WIN2-7, SMP, SET on the scored fixture ---------------------------------------------------

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sslspark.plans import fixtures as fx
+from sslspark.plans import corpus_jobs
 from sslspark.plans.catalog import query, r6
 from sslspark.plans.sql_fixtures import with_ctes
 from sslspark.session import ensure_checkpoint_dir, table
@@ -129,3 +130,17 @@ def q_src11(spark, sf):
     io.cached_split(spark, base, key, lambda: e.where("vec_id % 10 < 3"))
     again = io.cached_split(spark, base, key, lambda: e.limit(0))  # the saved one is read
     return again.agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
+
+
+@query("job11_augmentation_round_trip", """
+SELECT c_custkey, c_name, c_name AS first, lower(c_name) AS second, CASE WHEN c_custkey % 2 = 0 THEN reverse(c_name) END AS third FROM customer""")
+def q_job11(spark, sf):
+    """JOB11: the augmenter here is a Spark job over the folders, two or three variants an id."""
+    def augment(source: str, target: str) -> None:
+        t = spark.read.option("sep", "|").schema("id long, label string, text string").csv(source)
+        three = F.array("text", F.lower("text"), F.reverse("text"))
+        lines = t.select("id", "label", F.posexplode(F.when(F.col("id") % 2 == 0, three).otherwise(F.slice(three, 1, 2))).alias("k", "v"))
+        lines.sort("id", "k").select(F.concat_ws("|", "id", "label", "v")).write.text(target)
+
+    corpus = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return corpus_jobs.augmentation_round_trip(corpus, scratch(spark, "augmented"), augment, ["first", "second", "third"], "c_custkey", "c_name")
