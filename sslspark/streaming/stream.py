@@ -204,3 +204,21 @@ def windowed_metrics(df: DataFrame, ts_col: str, truth: str, pred: str, mask_col
     if mask_col:
         aggs.append(F.avg(F.col(mask_col).cast("double")).alias("util_ratio"))
     return df.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, window).alias("w")).agg(*aggs)
+
+
+def update_sink(stream: DataFrame, path: str, checkpoint: str):
+    """Start ``stream`` (update mode, all that is there, then stop) into
+    ``path``: each epoch writes its changed rows to its own folder, over what a
+    replay of the epoch may have left there.  Returns the running query."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+
+    return (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .foreachBatch(write).start())
+
+
+def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key among the epochs of ``update_sink``."""
+    rows = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/epoch=*")
+    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("epoch")).alias("_r")).select(*keys, "_r.*")
