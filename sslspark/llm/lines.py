@@ -129,10 +129,18 @@ def keys_of(line: str) -> list[int]:
     return list(dict.fromkeys(keys))
 
 
+#: What each task computes once: powers of a base, places of a class.
+_POWERS: dict[int, np.ndarray] = {}
+_PLACES: dict[int, tuple] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first ``n + 1`` powers of ``base``, at least."""
+    if len(_POWERS.get(base, ())) <= n:
+        out = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -185,13 +193,16 @@ LEAST = _classes()
 def _places(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Of a class of lines: probe places from the start, probe places from the
     end, the segment numbers of both, and the segments' size."""
+    if kind in _PLACES:
+        return _PLACES[kind]
     edits = allowed(int(LEAST[kind]))
     size = int(LEAST[kind]) // (edits + 1)
     half = edits // 2
     left = [(i * size + d, i) for i in range(half + 1) for d in range(-i, i + 1)]
     right = [(-(j + 1) * size + d, edits - j) for j in range(edits - half) for d in range(-j, j + 1)]
-    return (np.array([x for x, _ in left]), np.array([x for x, _ in right]), np.array([i for _, i in left], np.uint64),
-            np.array([i for _, i in right], np.uint64), size)
+    _PLACES[kind] = (np.array([x for x, _ in left]), np.array([x for x, _ in right]), np.array([i for _, i in left], np.uint64),
+                     np.array([i for _, i in right], np.uint64), size)
+    return _PLACES[kind]
 
 
 def class_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -447,12 +458,13 @@ def _alike(a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
 
 class _Known:
     """What is known of lines that meet again and again under other keys of one
-    leading line: their counts, which are linked, and which pairs are too far apart."""
+    leading line: their counts, which were compared, and which are linked."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 2_000_000):
         self.parent: dict[bytes, bytes] = {}
-        self.far: set[bytes] = set()
         self.bags: dict[bytes, np.ndarray] = {}
+        self.compared: dict[bytes, set[bytes]] = {}
+        self.size = 0
         self.most = most
 
     def root(self, x: bytes) -> bytes:
@@ -460,44 +472,56 @@ class _Known:
             self.parent[x] = x = self.parent.get(up, up)
         return x
 
+    def link(self, a: bytes, b: bytes) -> None:
+        self.parent[self.root(a)] = self.root(b)
+
     def counts(self, lines: list[bytes], texts: list[str]) -> np.ndarray:
-        if len(self.bags) > self.most // 50:
+        if len(self.bags) > self.most // 200:
             self.bags.clear()
         new = {x: t for x, t in zip(lines, texts) if x not in self.bags}
         if new:
             self.bags.update(zip(new, _counts(list(new.values()))))
         return np.stack([self.bags[x] for x in lines])
 
-    def near(self, a: bytes, b: bytes, x: str, y: str, edits: int) -> bool:
-        pair = min(a, b) + max(a, b)
-        if a == b or pair in self.far:
-            return False
-        if within(x, y, edits):
-            self.parent[self.root(a)] = self.root(b)
-            return True
-        if len(self.far) >= self.most:
-            self.far.clear()
-        self.far.add(pair)
-        return False
+    def new(self, x: bytes, lines: list[bytes]) -> list[int]:
+        """Which lines ``x`` was not compared with yet; from now on it was."""
+        if self.size > self.most:
+            self.compared.clear()
+            self.size = 0
+        mine = self.compared.setdefault(x, {x})
+        out = [k for k, y in enumerate(lines) if y not in mine]
+        for k in out:
+            self.compared.setdefault(lines[k], {lines[k]}).add(x)
+        mine.update(lines)
+        self.size += 2 * len(out)
+        return out
 
 
 def _forest(lines: list[bytes], texts: list[str], known: _Known) -> Iterator[tuple[bytes, bytes]]:
     """Spanning links of one bucket, but for those known.  Lines of the largest
     component known need not be compared with each other, so the others are
-    compared with all."""
+    compared with all that they were not compared with yet."""
     roots = [known.root(x) for x in lines]
     most, n = Counter(roots).most_common(1)[0]
     if n == len(lines):
         return
-    size = np.array([len(t) for t in texts])
-    edits = np.array([allowed(k) for k in size.tolist()])
-    bags = known.counts(lines, texts)
+    size = edits = bags = None
     for i in [k for k, r in enumerate(roots) if r != most]:
-        reach = np.minimum(edits, edits[i])
-        near = np.flatnonzero(np.abs(size - size[i]) <= reach)
-        near = near[_alike(bags[near], bags[i], reach[near])]
-        for j in near.tolist():
-            if known.root(lines[i]) != known.root(lines[j]) and known.near(lines[i], lines[j], texts[i], texts[j], int(reach[j])):
+        new = known.new(lines[i], lines)
+        if not new:
+            continue
+        if size is None:
+            size = np.array([len(t) for t in texts])
+            edits = np.array([allowed(k) for k in size.tolist()])
+            bags = known.counts(lines, texts)
+        near = np.array(new)
+        reach = np.minimum(edits[near], edits[i])
+        close = np.abs(size[near] - size[i]) <= reach
+        near, reach = near[close], reach[close]
+        some = _alike(bags[near], bags[i], reach)
+        for j, k in zip(near[some].tolist(), reach[some].tolist()):
+            if known.root(lines[i]) != known.root(lines[j]) and within(texts[i], texts[j], k):
+                known.link(lines[i], lines[j])
                 yield lines[i], lines[j]
 
 
