@@ -438,17 +438,35 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 CHARS, PAIRS = 31, 512
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _char_counts(c: np.ndarray) -> np.ndarray:
+    return np.bincount(c % CHARS, minlength=CHARS)
+
+
+def _pair_counts(c: np.ndarray) -> np.ndarray:
+    return np.bincount((c[1:] * np.uint32(37) + c[:-1] * np.uint32(101)) % PAIRS, minlength=PAIRS)
+
+
 def _counts(texts: list[str]) -> np.ndarray:
     """Counts of characters by class, then of pairs of neighbours: each edit
     moves at most two of the first and four of the others by one."""
     out = np.empty((len(texts), CHARS + PAIRS), np.int32)
     for k, t in enumerate(texts):
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[k, :CHARS] = np.bincount(c % CHARS, minlength=CHARS)
-        out[k, CHARS:] = np.bincount((c[1:] * np.uint32(37) + c[:-1] * np.uint32(101)) % PAIRS, minlength=PAIRS)
+        c = _points(t)
+        out[k, :CHARS], out[k, CHARS:] = _char_counts(c), _pair_counts(c)
     return out
 
 
+def _may_link(a: str, b: str, edits: int) -> bool:
+    """As ``_alike`` for one pair; pairs of neighbours only where the characters agree."""
+    c, d = _points(a), _points(b)
+    return (np.abs(_char_counts(c) - _char_counts(d)).sum() <= 2 * edits
+            and np.abs(_pair_counts(c) - _pair_counts(d)).sum() <= 4 * edits)
+
+
 def _alike(a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
     """Which rows of counts don't rule out that many edits."""
     near = np.flatnonzero(np.abs(a[:, :CHARS] - b[..., :CHARS]).sum(1) <= 2 * edits)
@@ -537,7 +555,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 if not part.num_rows:
                     continue
                 a, x, b, y = (c.to_pylist() for c in part.columns)
-                found = [(a[i], b[i]) for i in _alike(_counts(x), _counts(y), k).tolist() if a[i] != b[i] and within(x[i], y[i], int(k[i]))]
+                found = [(a[i], b[i]) for i, n in enumerate(k.tolist()) if a[i] != b[i] and _may_link(x[i], y[i], n) and within(x[i], y[i], n)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a binary, b binary")
