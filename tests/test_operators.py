@@ -381,3 +381,39 @@ def test_freematch_clip_matches_the_loop(spark):
     for b in range(6):
         v = min(max(0.1 * v + 0.9 * sum(max(p) for x, _, p in rows if x == b) / 3, 0.0), 0.95)
         assert abs(got[b] - v) < 1e-12
+
+
+def test_bank_blocks_are_summed_tile_by_tile():
+    """A block pair of FN22 / JOI9 holds tiles of its similarities, not several matrices of all of them."""
+    import tracemalloc
+    import numpy as np
+    from sslspark.operators.similarity import _block_sums
+    rng = np.random.default_rng(1)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(3000, 8)), rng.normal(size=(2500, 8))))
+    n = rng.integers(1, 4, 2500).astype(float)
+    of = (rng.integers(0, 3, 2500)[:, None] == np.arange(3)[None, :]) * n[:, None]
+    tracemalloc.start()
+    m, c, z = _block_sums(x, y, of, n, 0.1, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6  # one matrix of all pairs has 60 MB
+    s = x @ y.T
+    assert np.allclose(m, np.exp(s / 0.1) @ of) and np.allclose(c, (np.exp(s / 0.1) * s) @ of) and np.allclose(z, np.exp(s / 0.2) @ n)
+
+
+def test_bank_copies_do_not_meet_in_one_block(spark):
+    """Equal entries of the bank and rows of one id count as often as they occur."""
+    import numpy as np
+    from sslspark.operators.similarity import propagate_over_bank
+    bank = [([1.0, 0.0], 0)] * 300 + [([0.6, 0.8], 1)] * 5 + [([0.0, 1.0], 1)]
+    df = spark.createDataFrame([(1, [0.6, 0.8], [0.3, 0.7]), (2, [1.0, 0.0], [0.5, 0.5])], "row_id long, feat array<double>, probs array<double>")
+    out = {r["row_id"]: r for r in propagate_over_bank(df, spark.createDataFrame(bank, "feat array<double>, label_id int"), 2, 0.5, 1.0, 0.9, block=2).collect()}
+    y, lab = np.array([b[0] for b in bank]), np.array([b[1] for b in bank])
+    for rid, f, p in ((1, [0.6, 0.8], [0.3, 0.7]), (2, [1.0, 0.0], [0.5, 0.5])):
+        s = y @ np.array(f)
+        a, st = np.exp(s / 0.5), np.exp(s)
+        a, st = a / a.sum(), st / st.sum()
+        teacher = a * np.array(p)[lab]
+        teacher /= teacher.sum()
+        assert np.allclose(out[rid]["p_prop"], 0.9 * np.array(p) + 0.1 * np.array([a[lab == k].sum() for k in (0, 1)]))
+        assert abs(out[rid]["in_loss"] + (teacher * np.log(st)).sum()) < 1e-9
