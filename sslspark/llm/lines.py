@@ -64,6 +64,8 @@ EXACT_CHARS = 1
 LONG, RATE = 300, 75
 #: Characters of a gram; length of very long lines, and grams of their windows.
 GRAM, WIDE, WINDOW = 28, 9600, 33
+#: Least number of tasks that compare the lines of large keys.
+TASKS = 96
 
 
 def allowed(length: int) -> int:
@@ -585,7 +587,9 @@ def links(docs: DataFrame, per_line: DataFrame, id_col: str, text_col: str, min_
              # keys of one leading line one after the other, as much the same lines meet there; pairs of blocks anywhere
              .withColumn("lead", F.when(F.col("blocks") == 0, F.col("lead")).otherwise(F.xxhash64("key", "i", "j"))))
     by = ["lead", "key", "i", "j"]
-    full = units.join(texts, "short").select(*by, "line", "text").repartition("lead").sortWithinPartitions(*by)
+    # a number of tasks of its own: few bytes can be much work, so tasks must not be merged by their bytes
+    tasks = max(TASKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    full = units.join(texts, "short").select(*by, "line", "text").repartition(tasks, "lead").sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

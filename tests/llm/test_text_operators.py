@@ -232,3 +232,15 @@ def test_merged_sketch_is_that_of_the_union(spark):
 
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
+
+
+def test_lines_of_large_keys_are_not_merged_into_few_tasks(spark):
+    """Comparing lines costs far more than their bytes tell, so the tasks are not merged by bytes; the links stay the same."""
+    from sslspark.llm import lines
+    groups = [f"{g} quick brown foxes {g * 7} jump over the lazy dogs of the {g * g} villages" for g in range(100, 112)]
+    docs = spark.createDataFrame([(g * 100 + k, text[:30] + chr(97 + k) + text[31:]) for g, text in enumerate(groups) for k in range(24)], "doc_id long, text string")
+    rows = lines._lines(docs, "doc_id", "text", 20)
+    per_line = rows.groupBy("line").agg(F.min("uid").alias("uid"), F.min("short").alias("short"), F.count("*").alias("n"))
+    links = lines.links(docs, per_line, "doc_id", "text", 20, 2048)
+    assert links.rdd.getNumPartitions() >= lines.TASKS
+    assert lines.dedup_lines(docs).where("n_removed = 1").count() == 12 * 23
