@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sslspark.llm.common import connected_components, lists, stored
+from sslspark.llm.common import connected_components, free, lists, stored
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -180,12 +180,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: one of each component of fingerprints,
     the one with the smallest id (null ids last, equal ids by a hash of the
     text).  Rows have numbers of their own: equal or null ids merge nothing."""
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row, group, bits = (free(docs.columns, x) for x in ("row", "group", "bits"))
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # a table: the numbers stay when it is read again
     place = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(row).alias("r"))
     fps = fingerprints(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", words, seed)
     by_class = _rooted(fps.groupBy("fp").agg(F.min("place").alias("rep")), max_bits, max_block)
+    # a bit for each row, 64 in one number: small enough that Spark need not shuffle the texts for it until it is large itself
+    of, bit = f"shiftright(`{row}`, 6)", f"shiftleft(1L, CAST(`{row}` & 63 AS INT))"
     stay = by_class.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.r").alias(row))
-    return rows.join(stay, row, "left_semi").select(*docs.columns)
+    stay = stored(stay.groupBy(F.expr(of).alias(group)).agg(F.expr(f"bit_or({bit})").alias(bits)), "stay")
+    return rows.withColumn(group, F.expr(of)).join(stay, group).where(f"`{bits}` & {bit} <> 0").select(*docs.columns)

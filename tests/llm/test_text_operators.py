@@ -244,3 +244,21 @@ def test_lines_of_large_keys_are_not_merged_into_few_tasks(spark):
     links = lines.links(docs, per_line, "doc_id", "text", 20, 2048)
     assert links.rdd.getNumPartitions() >= lines.TASKS
     assert lines.dedup_lines(docs).where("n_removed = 1").count() == 12 * 23
+
+
+def test_one_of_each_does_not_shuffle_the_texts(spark):
+    """What stays is a bit for each row, so the texts are read where they lie as long as it is small; the rows stay the same."""
+    r = random.Random(13)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(2000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k + 2000, t) for k, t in enumerate(texts[:500])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        kept = simhash.one_of_each(docs)
+        assert kept.columns == ["doc_id", "text"]
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(x["doc_id"] for x in kept.collect()) == list(range(2000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
