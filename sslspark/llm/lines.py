@@ -64,6 +64,8 @@ EXACT_CHARS = 1
 LONG, RATE = 300, 75
 #: Characters of a gram; length of very long lines, and grams of their windows.
 GRAM, WIDE, WINDOW = 28, 9600, 33
+#: Most edits that are followed along their diagonals.
+FAR = 48
 #: Least number of tasks that compare the lines of large keys.
 TASKS = 96
 
@@ -73,10 +75,45 @@ def allowed(length: int) -> int:
     return 0 if length < 25 else 1 if length < 50 else 2 if length < LONG else length // RATE
 
 
+def _reaches(a: str, b: str, k: int) -> bool:
+    """Whether ``k`` edits lead from ``a`` to ``b``: for each number of edits the
+    farthest place of ``a`` on each diagonal from which the last one is still
+    within reach.  About ``k * k / 2`` steps, whatever the length of the lines."""
+    n, m = len(a), len(b)
+    last = m - n
+    if abs(last) > k:
+        return False
+    far = [-2] * (2 * k + 3)  # of diagonal ``d`` (place in ``b`` less that in ``a``) at ``d + k + 1``
+    far[k + 1] = -1
+    for e in range(k + 1):
+        new = [-2] * (2 * k + 3)
+        for d in range(max(-e, last - k + e), min(e, last + k - e) + 1):
+            at = d + k + 1
+            i = max(far[at] + 1, far[at - 1], far[at + 1] + 1)  # changed, put in, left out
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            j = i + d
+            while i < n and j < m and a[i] == b[j]:
+                if a[i:i + 32] == b[j:j + 32]:
+                    step = min(32, n - i, m - j)
+                    i += step
+                    j += step
+                else:
+                    i += 1
+                    j += 1
+            if d == last and i == n:
+                return True
+            new[at] = i
+        far = new
+    return False
+
+
 def within(a: str, b: str, k: int) -> bool:
     """Whether the edit distance is ``k`` or less.
 
-    Column by column of ``b``; bit ``t`` stands for row ``j - k + t``.  The
+    Few edits are followed along their diagonals (``_reaches``).  For many, column
+    by column of ``b``: bit ``t`` stands for row ``j - k + t``.  The
     vertical differences of the band are two integers; the distance is counted
     along the diagonal on which the two ends lie, and only grows there."""
     if abs(len(a) - len(b)) > k:
@@ -91,12 +128,16 @@ def within(a: str, b: str, k: int) -> bool:
             while lo < n and a[lo] == b[lo]:
                 lo += 1
             break
-    hi = 0
-    while hi < n - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
+    hi, x, y = 0, len(a), len(b)
+    while hi + step <= n - lo and a[x - hi - step:x - hi] == b[y - hi - step:y - hi]:  # common end
+        hi += step
+    while hi < n - lo and a[x - 1 - hi] == b[y - 1 - hi]:
         hi += 1
     a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
     if not a or not b:
         return max(len(a), len(b)) <= k
+    if k <= FAR:
+        return _reaches(a, b, k)
     diagonal = len(a) - len(b)
     distance = abs(diagonal)
     full = (1 << 2 * k + 1) - 1

@@ -246,6 +246,32 @@ def test_lines_of_large_keys_are_not_merged_into_few_tasks(spark):
     assert lines.dedup_lines(docs).where("n_removed = 1").count() == 12 * 23
 
 
+def test_distance_work_grows_with_the_edits_not_the_length():
+    """Long lines that differ everywhere are told apart in a few steps for each edit allowed."""
+    import sys
+
+    from sslspark.llm import lines
+    r = random.Random(12)
+    a = "".join(r.choice("abcdefgh") for _ in range(3000))
+    b = "x" + "".join(r.sample(a[1:-1], 2998)) + "y"
+    copy = "z" + a[1:700] + a[701:2000] + "zz" + a[2000:-1] + "z"  # five edits: as far as is allowed here
+    steps = 0
+
+    def trace(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return trace
+
+    k = 5
+    sys.settrace(trace)
+    try:
+        assert not lines.within(a, b, k)
+    finally:
+        sys.settrace(None)
+    assert steps < len(a)
+    assert lines.within(a, copy, k) and not lines.within(a, copy, k - 1)
+
+
 def test_one_of_each_does_not_shuffle_the_texts(spark):
     """What stays is a bit for each row, so the texts are read where they lie as long as it is small; the rows stay the same."""
     r = random.Random(13)
