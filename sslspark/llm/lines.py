@@ -8,8 +8,8 @@ A line that may have ``t`` edits is cut into ``t + 1`` segments; a line within
 number confines to a few.  The index holds (length class, number, segment); the
 lines of the class, and longer ones within reach of it, probe it with their
 substrings at those places.  Lines that meet there are compared, each pair once:
-by their lengths, by counts of their characters, and by an edit distance over a
-band of ``2 t + 1`` diagonals held in the bits of one integer.
+by their lengths, by counts of their characters, and by an edit distance along
+diagonals, for many edits over a band of ``2 t + 1`` of them in one integer's bits.
 
 The edits allowed grow with the shorter line: none below 25 characters, one
 below 50, two below 300, from there one for every 75 characters.
