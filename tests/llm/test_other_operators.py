@@ -189,6 +189,20 @@ def test_tight_group_larger_than_a_shard(spark):
     assert all(r["n_links"] == 149 and r["component_id"] == 0 for r in got)
 
 
+def test_a_tight_group_among_others_does_not_multiply(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 32))
+    x[::2] = x[0] + r.normal(size=(250, 32)) * 0.05
+    written, stored = [], vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df, name: written.append(stored(df, name)) or written[-1])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {v["vec_id"]: v["n_links"] for v in vectors.embedding_dedup(df, max_shard=50).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.93).sum(1) - 1
+    assert all(got[k] <= true[k] for k in got) and sum(got.values()) >= 0.95 * true.sum()
+    assert max(t.count() for t in written) <= 20 * len(x)
+
+
 def test_graph_search_finds_the_range():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, 24))
